@@ -13,11 +13,12 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import islice
 
 import numpy as np
 
-#: Entries kept per worker; some 150 bytes each.
-MAX_CHUNKS = 1_000_000
+#: Entries kept per worker, some 150 bytes each; beyond it the older half goes.
+MAX_CHUNKS = 2_000_000
 #: Longer chunks are encoded but not kept.
 MAX_CHUNK_CHARS = 64
 #: Fresh chunks that go to the library in one call, in characters.
@@ -49,6 +50,7 @@ class ChunkEncoder:
         for token, i in self.tokenizer.get_vocab().items():
             self.opens[i] = token.startswith("Ġ")
         self.cache: dict[str, bytes] = {}
+        self.marks = {c: self._plain(c) for c in ".,"}
 
     def _plain(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -73,21 +75,36 @@ class ChunkEncoder:
                 batch.clear()
                 held = 0
 
+        stems: set[str] = set()
+        ended: list[str] = []
         for c in chunks:
             if " " in c or not c or c[0].isspace() or c[-1].isspace():
                 out[c] = self._plain(" " + c)
+            elif c[-1] in self.marks and c[:-1].isalpha():  # letters, then a mark that is a piece of its own
+                ended.append(c)
+                if c[:-1] not in self.cache:
+                    stems.add(c[:-1])
             else:
                 batch.append(c)
                 held += len(c) + 1
                 if held >= CALL_CHARS:
                     flush()
+        for c in stems.difference(out, chunks):
+            batch.append(c)
+            held += len(c) + 1
+            if held >= CALL_CHARS:
+                flush()
         flush()
+        for c in ended:
+            stem = out.get(c[:-1])
+            out[c] = (self.cache[c[:-1]] if stem is None else stem) + self.marks[c[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; an empty text has none."""
         split = [split_chunks(t) for t in texts]
         if len(self.cache) > MAX_CHUNKS:
-            self.cache.clear()
+            for c in list(islice(self.cache, MAX_CHUNKS // 2)):
+                del self.cache[c]
         cache = self.cache
         fresh: set[str] = set()
         for chunks in split:
