@@ -178,10 +178,13 @@ def second_pass(found: list[Block]) -> list[bool]:
     if any(b.article and not b.away for b in found):  # the page marks its article: what stands outside isn't
         found = [b if b.article else b._replace(away=True) for b in found]
     labels = [first_pass(b) for b in found]
+    if "good" not in labels:  # of a short page the near-good blocks are the text
+        labels = ["good" if x == "near" else x for x in labels]
 
     def nearest(i: int, step: int) -> str | None:
+        """Label of the nearest decided block on that side; within an article what has no place in it doesn't count."""
         i += step
-        while 0 <= i < len(found) and labels[i] not in ("good", "bad"):
+        while 0 <= i < len(found) and (labels[i] not in ("good", "bad") or article and found[i].away):
             i += step
         return labels[i] if 0 <= i < len(found) and found[i].article == article else None
 

@@ -22,13 +22,15 @@ from .token_store import default_tokenizer, text_blocks
 
 MAX_LEN = 1024
 END_ID = 2
+#: Slack allowed per bin, one try each.
+SLACKS = (0, 1, 2, 4, 8, 16, 32)
 
 
-def fullest(counts: dict[int, int], room: int) -> list[tuple[int, int]]:
-    """The combination of (length, times) with the largest sum up to ``room``; larger lengths first.
+def fullest(counts: dict[int, int], room: int, slack: int = 0) -> list[tuple[int, int]]:
+    """A combination of (length, times) whose sum is the largest up to ``room``, or at most ``slack`` less.
 
-    Bit s of ``reach[i]`` says that the i smallest lengths can make the sum s.  Equal sums are
-    resolved towards long pieces, which are the hardest to place later.
+    Bit s of ``reach[i]`` says that the i smallest lengths can make the sum s.  Among the sums allowed,
+    long pieces are taken first, as they are the hardest to place later.
     """
     full = (1 << (room + 1)) - 1
     lengths = sorted(k for k, c in counts.items() if c > 0 and 0 < k <= room)
@@ -41,25 +43,36 @@ def fullest(counts: dict[int, int], room: int) -> list[tuple[int, int]]:
             left -= take
             step *= 2
         reach.append(bits)
-    want, chosen = reach[-1].bit_length() - 1, []
+    most, chosen = reach[-1].bit_length() - 1, []
+    least = max(0, most - slack)
     for i in range(len(lengths), 0, -1):
         k = lengths[i - 1]
-        times = min(counts[k], want // k)
-        while times and not reach[i - 1] >> (want - times * k) & 1:
+        times = min(counts[k], most // k)
+        while times and not reach[i - 1] >> max(0, least - times * k) & ((1 << (most - max(times * k, least) + 1)) - 1):
             times -= 1
         if times:
             chosen.append((k, times))
-            want -= times * k
+            most, least = most - times * k, max(0, least - times * k)
     return chosen
 
 
 def patterns(counts: dict[int, int], max_len: int = MAX_LEN) -> list[tuple[list[tuple[int, int]], int]]:
-    """[(combination, how many bins take it)] that places all pieces; each bin starts from the longest piece left."""
+    """[(combination, how many bins take it)] that places all pieces, in the fewest bins of a few tries.
+
+    A try allows each bin some slack, which leaves more short pieces for the last bins; the
+    histogram is small, so trying costs little.
+    """
+    tries = (_patterns(counts, max_len, slack) for slack in SLACKS)
+    return min(tries, key=lambda p: sum(bins for _, bins in p))
+
+
+def _patterns(counts: dict[int, int], max_len: int, slack: int) -> list[tuple[list[tuple[int, int]], int]]:
+    """Each bin starts from the longest piece left."""
     left, found = {k: c for k, c in counts.items() if c > 0}, []
     while left:
         top = max(left)
         left[top] -= 1
-        rest = fullest(left, max_len - top)
+        rest = fullest(left, max_len - top, slack)
         left[top] += 1
         combo = {top: 1}
         for k, t in rest:
