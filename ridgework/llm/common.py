@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space of the contracts, as a regular expression class without brackets.
@@ -63,3 +63,33 @@ def running_start(df: DataFrame, keys: list[str], order: list[str], value, out:
     inside = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn(out, F.coalesce(F.sum("_v").over(inside), F.lit(0)))
     return df.join(offsets, [*keys, "_b"]).withColumn(out, (F.col(out) + F.col("_o")).cast("long")).drop("_b", "_v", "_o")
+
+
+ROUNDS, WALKS = 4, 24
+
+
+def quotient(x: Column, by: Column) -> Column:
+    """x div by of longs, exact as long as the quotient is below 2 ** 52."""
+    return F.round((x - F.pmod(x, by)) / by).try_cast("long")
+
+
+def permuted(j: Column, n: Column, prf) -> Column:
+    """A keyed permutation of 0..n-1 (n up to 10 ** 18): a Feistel network over pairs below (a, b), a = ceil(sqrt n), a * b >= n.
+
+    prf(round, half) gives a pseudorandom long of a half.  A result outside 0..n-1 is walked on.  Fewer
+    than a + b results are outside and a walk visits each once at most; one longer than WALKS has odds of about
+    (a * b / n - 1) ** WALKS, which only counts for n so small that no walk is that long.
+    """
+    a = F.ceil(F.sqrt(n.cast("double"))).try_cast("long")
+    b = quotient(n + a - 1, a)
+
+    def step(x: Column) -> Column:
+        left, right = quotient(x, b), F.pmod(x, b)
+        for r in range(ROUNDS):
+            if r % 2 == 0:
+                left = F.pmod(left + F.pmod(prf(r, right), a), a)
+            else:
+                right = F.pmod(right + F.pmod(prf(r, left), b), b)
+        return left * b + right
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), step(j), lambda x, _: F.when(x < n, x).otherwise(step(x)))

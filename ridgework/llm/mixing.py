@@ -4,7 +4,7 @@ A source's documents are laid end to end as one stream of words (documents in th
 of their id), which is cut into blocks of fixed length.  A source's target gives its number of
 slots in the mix.  Each slot draws its output shard independently, so the shards' counts of a
 source are multinomial and add up to the target exactly.  Slot j takes block perm(j mod blocks),
-where perm is a keyed pseudorandom permutation of the source's block indices; slots and blocks
+where perm is a keyed pseudorandom permutation of the source's block indices (``common.permuted``); slots and blocks
 meet in a join on (source, block index).
 """
 
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WS, materialize, running_start, table
+from .common import WS, materialize, permuted, running_start, table
 
 BLOCK_WORDS = 64
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -21,7 +21,6 @@ SHARE, CAP = 1.5, 2.0
 SEED = 17
 #: Slots that one row of the plan expands to.
 CHUNK = 4096
-ROUNDS, WALKS = 4, 24
 
 
 def n_words(text: Column) -> Column:
@@ -52,27 +51,6 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     return s.select("source", "source_size", "weight", F.when(F.col("_capped") | F.col("_level").isNull(), F.col("_cap")).otherwise(F.col("weight") * F.col("_level")).alias("target"))
 
 
-def permuted(j: Column, n: Column, key: Column) -> Column:
-    """A keyed permutation of 0..n-1: a Feistel network over pairs (a, b) with a * b >= n, a = ceil(sqrt n).
-
-    A place outside 0..n-1 is walked on.  Fewer than a places are outside, and a walk visits each once, so
-    ``WALKS`` steps always suffice for a up to it; beyond that a walk so long has odds below a ** -WALKS.
-    """
-    a = F.ceil(F.sqrt(n.cast("double")))
-    b = F.ceil(n / a)
-
-    def step(x: Column) -> Column:
-        left, right = F.floor(x / b), F.pmod(x, b)
-        for r in range(ROUNDS):
-            if r % 2 == 0:
-                left = F.pmod(left + F.pmod(F.xxhash64(F.lit(r), key, right), a), a)
-            else:
-                right = F.pmod(right + F.pmod(F.xxhash64(F.lit(r), key, left), b), b)
-        return left * b + right
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), step(j), lambda x, _: F.when(x < n, x).otherwise(step(x)))
-
-
 def lay_out(docs: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     """Written table doc_id, _src, _null, size, start: each document's place in its source's word stream."""
     rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("_src"), F.col("source").isNull().alias("_null"), n_words(F.col("text")).alias("size"))
@@ -92,10 +70,10 @@ def draw(layout: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float =
     plan = sources.filter("source_size > 0").select("_src", "_null", "blocks", n_slots.alias("n_slots")).filter("n_slots > 0")
     chunks = plan.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / CHUNK).cast("long")))).repartition("_src", "_null", "c")
     slots = chunks.withColumn("slot", F.explode(F.sequence(F.col("c") * CHUNK, F.least((F.col("c") + 1) * CHUNK, F.col("n_slots")) - 1)))
-    key = F.xxhash64(F.lit(seed), "_src", "_null")
+    prf = lambda r, half: F.xxhash64(F.lit(seed), F.lit(r), "_src", "_null", half)
     slots = slots.select(
         "_src", "_null", F.pmod(F.xxhash64(F.lit(seed), "_src", "_null", "slot"), F.lit(shards)).cast("int").alias("shard"), "slot",
-        F.floor(F.col("slot") / F.col("blocks")).cast("int").alias("epoch"), permuted(F.pmod("slot", "blocks"), F.col("blocks"), key).alias("block"),
+        F.floor(F.col("slot") / F.col("blocks")).cast("int").alias("epoch"), permuted(F.pmod("slot", "blocks"), F.col("blocks"), prf).alias("block"),
     )
     return sources, slots
 
