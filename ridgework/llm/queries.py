@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_extract, mixing, packing, quality, token_store, warc
+from . import exact_dedup, html_extract, metric_search, mixing, ngram_join, packing, pseudonyms, quality, token_store, warc
 
 
 def queries() -> dict:
     found = [
-        packing.op2_best_fit_packing, html_extract.op3_main_text, exact_dedup.op5_content_sort_dedup, quality.op7_quality_scores,
+        pseudonyms.op1_feistel_pseudonyms, packing.op2_best_fit_packing, html_extract.op3_main_text, ngram_join.op4_ngram_jaccard_join,
+        exact_dedup.op5_content_sort_dedup, metric_search.op6_mtree_top_k, quality.op7_quality_scores,
         warc.op8_warc_revisits, mixing.op9_source_mixing, token_store.op10_token_store,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_content_sort_dedup": exact_dedup.SQL}
+    return {"op5_content_sort_dedup": exact_dedup.SQL, "op6_mtree_top_k": metric_search.SQL}
