@@ -4,38 +4,36 @@ The pre-tokenizer of the byte-level vocabulary never joins characters across a
 space that stands alone between two non-space characters: the space opens the
 next piece.  A text may therefore be cut at exactly those spaces, each chunk be
 encoded once, and the ids of the chunks be joined; the result equals encoding
-the whole text.  The chunks not met before go to the ``tokenizers`` library in
-one call.  The cache has a bounded number of entries, lives as long as the
-Python worker and changes nothing but the speed.
+the whole text.  A block of texts is cut and its distinct chunks found by Arrow;
+those not met before go to the ``tokenizers`` library in few calls, and the
+texts' ids are gathered from a pool by NumPy.  The cache has a bounded number of
+entries, lives as long as the Python worker and changes nothing but the speed.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from itertools import islice
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Entries kept per worker, some 150 bytes each; beyond it the older half goes.
-MAX_CHUNKS = 2_000_000
+#: Entries kept per worker, some 200 bytes each; beyond it the cache starts anew.
+MAX_CHUNKS = 1_200_000
+#: Characters that form a piece of their own after letters, and runs of them that are kept.
+MARKS, MAX_MARKS = '.,;:!?%&*#$")', 10_000
 #: Longer chunks are encoded but not kept.
 MAX_CHUNK_CHARS = 64
 #: Fresh chunks that go to the library in one call, in characters.
-CALL_CHARS = 1 << 20
+CALL_CHARS = 1 << 18
 
 _ADJACENT = re.compile(r"\s\s")
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _encoders: dict[str, "ChunkEncoder"] = {}
 
 
-def split_chunks(text: str) -> list[str]:
-    """Cut at every single space between two non-space characters."""
-    if _ADJACENT.search(text) or text[:1].isspace() or text[-1:].isspace():
-        return _LONE_SPACE.split(text)
-    return text.split(" ")
-
-
 class ChunkEncoder:
     """ids of texts as little-endian unsigned 32-bit bytes."""
 
@@ -49,12 +47,32 @@ class ChunkEncoder:
         self.opens = np.zeros(size, dtype=bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.opens[i] = token.startswith("Ġ")
-        self.cache: dict[str, bytes] = {}
-        self.marks = {c: self._plain(c) for c in ".,"}
+        self._clear()
+        self.marks: dict[str, bytes] = {}
+
+    def _clear(self) -> None:
+        """No chunk: slot i has ``lens[i]`` ids in the pool from ``starts[i]`` on."""
+        self.slots: dict[str, int] = {}
+        self.starts, self.lens, self.pool, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0
+
+    def _put(self, parts: list[bytes], at: int) -> None:
+        """Ids of consecutive slots from ``at`` on."""
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        end, need = at + len(parts), self.used + int(sizes.sum())
+        while end > len(self.starts):
+            self.starts, self.lens = np.concatenate([self.starts] * 2), np.concatenate([self.lens] * 2)
+        while need > len(self.pool):
+            self.pool = np.concatenate([self.pool] * 2)
+        self.lens[at:end] = sizes
+        self.starts[at:end] = self.used + np.cumsum(sizes) - sizes
+        self.pool[self.used : need] = np.frombuffer(b"".join(parts), "<u4")
+        self.used = need
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def _plain(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, dtype="<u4").tobytes()
+        return np.array(self._ids(text), dtype="<u4").tobytes()
 
     def _learn(self, chunks: list[str], out: dict[str, bytes]) -> None:
         """Encode chunks that follow a space.  Those that hold no space of their own go in
@@ -65,7 +83,7 @@ class ChunkEncoder:
         def flush() -> None:
             nonlocal held
             if batch:
-                ids = np.array(self.tokenizer.encode(" " + " ".join(batch), add_special_tokens=False).ids, dtype="<u4")
+                ids = np.array(self._ids(" " + " ".join(batch)), dtype="<u4")
                 cuts = np.flatnonzero(self.opens[ids])
                 raw, at = ids.tobytes(), (cuts * 4).tolist()
                 if len(at) == len(batch):
@@ -76,14 +94,21 @@ class ChunkEncoder:
                 held = 0
 
         stems: set[str] = set()
-        ended: list[str] = []
+        ended: list[tuple[str, str, str]] = []
         for c in chunks:
-            if " " in c or not c or c[0].isspace() or c[-1].isspace():
+            if c.isalpha():
+                batch.append(c)
+                held += len(c) + 1
+                if held >= CALL_CHARS:
+                    flush()
+            elif " " in c or not c or c[0].isspace() or c[-1].isspace():
                 out[c] = self._plain(" " + c)
-            elif c[-1] in self.marks and c[:-1].isalpha():  # letters, then a mark that is a piece of its own
-                ended.append(c)
-                if c[:-1] not in self.cache:
-                    stems.add(c[:-1])
+            elif (stem := c.rstrip(MARKS)) != c and stem.isalpha():  # letters, then marks that are a piece of their own
+                ended.append((c, stem, mark := c[len(stem) :]))
+                if stem not in self.slots:
+                    stems.add(stem)
+                if mark not in self.marks:
+                    self.marks[mark] = self._plain(mark)
             else:
                 batch.append(c)
                 held += len(c) + 1
@@ -95,28 +120,58 @@ class ChunkEncoder:
             if held >= CALL_CHARS:
                 flush()
         flush()
-        for c in ended:
-            stem = out.get(c[:-1])
-            out[c] = (self.cache[c[:-1]] if stem is None else stem) + self.marks[c[-1]]
+        for c, stem, mark in ended:
+            out[c] = (out[stem] if stem in out else self._slot(self.slots[stem])) + self.marks[mark]
+
+    def _slot(self, i: int) -> bytes:
+        return self.pool[self.starts[i] : self.starts[i] + self.lens[i]].tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; an empty text has none."""
-        split = [split_chunks(t) for t in texts]
-        if len(self.cache) > MAX_CHUNKS:
-            for c in list(islice(self.cache, MAX_CHUNKS // 2)):
-                del self.cache[c]
-        cache = self.cache
-        fresh: set[str] = set()
-        for chunks in split:
-            fresh.update(chunks[1:])
-        fresh.difference_update(cache)
+        if len(self.slots) > MAX_CHUNKS:
+            self._clear()
+        if len(self.marks) > MAX_MARKS:
+            self.marks.clear()
+        # Arrow cuts texts in which every space is a lone one; the others are cut by the expression
+        odd = [i for i, t in enumerate(texts) if _ADJACENT.search(t) or t[:1].isspace() or t[-1:].isspace()]
+        easy = np.ones(len(texts), bool)
+        easy[odd] = False
+        easy_at = np.flatnonzero(easy)
+        cut = pc.split_pattern(pa.array([texts[i] for i in easy_at], pa.large_string()), " ")
+        odd_cut = [_LONE_SPACE.split(texts[i]) for i in odd]
+        flat = pa.concat_arrays([cut.flatten(), pa.array([c for cs in odd_cut for c in cs], pa.large_string())])
+        counts = np.concatenate([np.diff(cut.offsets.to_numpy()), np.fromiter(map(len, odd_cut), np.int64, len(odd_cut))])
+        order = np.concatenate([easy_at, np.array(odd, np.int64)])
+        coded = flat.dictionary_encode()
+        chunks, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        first = np.cumsum(counts) - counts
+
+        slots = self.slots
+        known = np.fromiter(map(slots.get, chunks, repeat(-1)), np.int64, len(chunks))
+        missing = np.flatnonzero(known < 0).tolist()
         found: dict[str, bytes] = {}
-        self._learn(list(fresh), found)
-        long = {c: b for c, b in found.items() if len(c) > MAX_CHUNK_CHARS}
-        cache.update(found)
-        out = [self._plain(chunks[0]) + b"".join(map(cache.__getitem__, chunks[1:])) if chunks[0] or len(chunks) > 1 else b"" for chunks in split]
-        for c in long:
-            del cache[c]
+        self._learn([chunks[i] for i in missing], found)
+        keep = [c for c in found if len(c) <= MAX_CHUNK_CHARS]
+        self._put([found[c] for c in keep], len(slots))
+        slots.update(zip(keep, range(len(slots), len(slots) + len(keep))))
+        # for this block alone: long chunks, and each text's first chunk, which follows no space
+        kept, used = len(slots), self.used
+        long = [c for c in found if len(c) > MAX_CHUNK_CHARS]
+        heads = [chunks[codes[i]] for i in first]
+        self._put([found[c] for c in long] + [self._plain(c) if c else b"" for c in heads], kept)
+        own = dict(zip(long, range(kept, kept + len(long))))
+        known[missing] = [slots[c] if len(c) <= MAX_CHUNK_CHARS else own[c] for c in (chunks[i] for i in missing)]
+        at = known[codes]
+        at[first] = kept + len(long) + np.arange(len(heads))
+
+        lens = self.lens[at]
+        ends = np.cumsum(lens)
+        ids = self.pool[np.repeat(self.starts[at] - (ends - lens), lens) + np.arange(ends[-1] if len(ends) else 0)]
+        self.used = used
+        bounds = np.concatenate([[0], ends])
+        out: list[bytes] = [b""] * len(texts)
+        for i, a, b in zip(order.tolist(), bounds[first].tolist(), bounds[first + counts].tolist()):
+            out[i] = ids[a:b].tobytes()
         return out
 
 
