@@ -95,7 +95,8 @@ def mix_counts(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: floa
     layout = lay_out(docs, block)
     sources, slots = draw(layout, weights, share, cap, block, seed=seed)
     times = slots.groupBy("_src", "_null", "block").agg(F.count(F.lit(1)).alias("times"))
-    taken = spans(layout, block).join(times, ["_src", "_null", "block"], "left").groupBy("doc_id", "_src", "_null", "size", "start").agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"))
+    # the hint: the planner takes a table that grows out of the few rows of sources for a small one
+    taken = spans(layout, block).join(times.hint("merge"), ["_src", "_null", "block"], "left").groupBy("doc_id", "_src", "_null", "size", "start").agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"))
     rows = taken.unionByName(layout.filter("size = 0").withColumn("taken", F.lit(0).cast("long")))
     few = sources.count() <= 100_000  # a row a source; beyond that, a shuffle join
     return rows.join(F.broadcast(sources) if few else sources, ["_src", "_null"]).select("doc_id", "source", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
@@ -109,7 +110,7 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: f
     """
     layout = lay_out(docs, block)
     _, slots = draw(layout, weights, share, cap, block, seed=seed)
-    drawn = spans(layout, block).join(slots.select("_src", "_null", "block", "epoch"), ["_src", "_null", "block"])
+    drawn = spans(layout, block).join(slots.select("_src", "_null", "block", "epoch").hint("merge"), ["_src", "_null", "block"])
     drawn = drawn.groupBy("doc_id", "epoch", "start", "size").agg(F.sum("words").alias("_taken"), F.collect_set("block").alias("_blocks")).withColumnRenamed("doc_id", "_id")
     rows = docs.join(drawn, docs.doc_id == F.col("_id"))
     words = F.split(F.regexp_replace("text", f"^[{WS}]+", ""), f"[{WS}]+")
