@@ -92,4 +92,6 @@ def permuted(j: Column, n: Column, prf) -> Column:
                 right = F.pmod(right + F.pmod(prf(r, left), b), b)
         return left * b + right
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), step(j), lambda x, _: F.when(x < n, x).otherwise(step(x)))
+    once = step(j)
+    walk = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), once, lambda x, _: F.when(x < n, x).otherwise(step(x)))
+    return F.when(once < n, once).otherwise(walk)

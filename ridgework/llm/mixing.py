@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WS, materialize, permuted, running_start, table
+from .common import WS, materialize, partitions, permuted, running_start, table
 
 BLOCK_WORDS = 64
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -68,7 +68,7 @@ def draw(layout: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float =
     mean = F.col("source_size") / F.greatest(F.col("blocks"), F.lit(1))
     n_slots = F.least(F.round(F.col("target") / mean), F.floor(F.lit(cap)) * F.col("blocks")).cast("long")
     plan = sources.filter("source_size > 0").select("_src", "_null", "blocks", n_slots.alias("n_slots")).filter("n_slots > 0")
-    chunks = plan.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / CHUNK).cast("long")))).repartition("_src", "_null", "c")
+    chunks = plan.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / CHUNK).cast("long")))).repartition(4 * partitions(layout.sparkSession), "_src", "_null", "c")
     slots = chunks.withColumn("slot", F.explode(F.sequence(F.col("c") * CHUNK, F.least((F.col("c") + 1) * CHUNK, F.col("n_slots")) - 1)))
     prf = lambda r, half: F.xxhash64(F.lit(seed), F.lit(r), "_src", "_null", half)
     slots = slots.select(
