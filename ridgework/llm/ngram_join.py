@@ -40,7 +40,7 @@ NUM, DEN = 80, 100
 MORE_ORDERS = 2
 MAX_FREQUENT = 1 << 20
 #: A block is counted when it holds so many shingles; shingles in at least RECUR of its documents are reported.
-BLOCK_SHINGLES, RECUR = 4 << 20, 3
+BLOCK_SHINGLES, RECUR = 2 << 20, 3
 #: Leaders of a bucket in the first round, and times more in each next.
 LEADERS, MORE_LEADERS = 1, 16
 #: Members that are verified against one copy of their leader.
@@ -51,17 +51,32 @@ BROADCAST_IDS = 1_000_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+_BASE = 0x2127599BF4325C37
+_BYTES = np.random.default_rng(11).integers(1, 2**64, 256, np.uint64)
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+_powers = _inverses = np.ones(1, np.uint64)
 
-        if len(self) > 1_000_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
 
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0..n-1 at least of an odd base and of its inverse, modulo 2 ** 64."""
+    global _powers, _inverses
+    if len(_powers) < n:
+        size = max(n, 1 << 16)
+        steps = np.repeat(np.array([[_BASE], [pow(_BASE, -1, 1 << 64)]], np.uint64), size, axis=1)
+        steps[:, 0] = 1
+        _powers, _inverses = np.cumprod(steps, axis=1, dtype=np.uint64)
+    return _powers, _inverses
 
-_words = _WordHashes()
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """64-bit hashes of the maximal runs of bytes that aren't ASCII white space: polynomials, from sums over prefixes of the text."""
+    x = np.frombuffer(data, np.uint8)
+    edge = np.flatnonzero(np.diff(_SPACE[x], prepend=True, append=True))
+    start, end = edge[::2], edge[1::2]
+    up, down = _power_tables(len(x))
+    sums = np.cumsum(_BYTES[x] * up[: len(x)], dtype=np.uint64)
+    return _mixed((sums[end - 1] - np.where(start > 0, sums[start - 1], np.uint64(0))) * down[start])
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -71,10 +86,9 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def shingles(text: str, k: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the k-word shingles of the lower-cased (A-Z) text; of fewer words, one of all."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII only, both
-    if not words:
+    h = word_hashes(text.encode("utf-8", "surrogatepass").lower())  # bytes: ASCII only, both
+    if not len(h):
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
     with np.errstate(over="ignore"):
         if len(h) < k:
             x = np.uint64(len(h))
@@ -85,7 +99,9 @@ def shingles(text: str, k: int = WORDS) -> np.ndarray:
         s = h[:n].copy()
         for i in range(1, k):
             s = (s ^ (s >> np.uint64(31))) * _MIX[i % len(_MIX)] + h[i : n + i]
-        return np.unique(_mixed(s))
+        s = _mixed(s)
+        s.sort()
+        return s[np.concatenate([[True], s[1:] != s[:-1]])]
 
 
 def prefix_length(n: int, num: int = NUM, den: int = DEN) -> int:
@@ -97,12 +113,24 @@ def similar(a: np.ndarray, b: np.ndarray, num: int = NUM, den: int = DEN) -> boo
     return both > 0 and den * both >= num * (len(a) + len(b) - both)
 
 
-def prefixes(s: np.ndarray, frequent: np.ndarray, classes: np.ndarray, orders: int, num: int = NUM, den: int = DEN) -> list[np.ndarray]:
+class Frequent:
+    """Sorted frequent shingles with their classes, and which leading bits they have."""
+
+    SHIFT = np.uint64(64 - 22)
+
+    def __init__(self, shingles: np.ndarray, classes: np.ndarray):
+        self.shingles, self.classes = shingles, classes
+        self.maybe = np.zeros(1 << 22, bool)
+        self.maybe[shingles >> self.SHIFT] = True
+
+
+def prefixes(s: np.ndarray, frequent: Frequent, orders: int, num: int = NUM, den: int = DEN) -> list[np.ndarray]:
     """The first shingles of a set under each order, as 32-bit hashes (equal shingles have equal ones)."""
     p, rank = prefix_length(len(s), num, den), np.zeros(len(s), np.uint64)
-    if len(frequent) and len(s):
-        at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-        rank = np.where(frequent[at] == s, classes[at], 0).astype(np.uint64)
+    if len(frequent.shingles) and len(s):
+        some = np.flatnonzero(frequent.maybe[s >> Frequent.SHIFT])  # one byte read for most shingles
+        at = np.minimum(np.searchsorted(frequent.shingles, s[some]), len(frequent.shingles) - 1)
+        rank[some] = np.where(frequent.shingles[at] == s[some], frequent.classes[at], 0)
     out, x = [], s
     for i in range(orders):
         if i:
@@ -110,12 +138,12 @@ def prefixes(s: np.ndarray, frequent: np.ndarray, classes: np.ndarray, orders: i
                 x = _mixed(x + _MIX[i])
         key = (rank << np.uint64(58)) | (x >> np.uint64(6))
         first = np.argpartition(key, p - 1)[:p] if p < len(s) else np.arange(len(s))
-        out.append(np.unique((s[first] >> np.uint64(32)).astype(np.uint32)).view(np.int32))
+        out.append((s[first] >> np.uint64(32)).astype(np.uint32).view(np.int32))
     return out
 
 
 def frequent_shingles(docs: DataFrame, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted shingles that recur most, MAX_FREQUENT at most, and their classes (log2 of the count)."""
+    """Sorted shingles that recur most, MAX_FREQUENT at most, and their classes (log2 of the count), as ``Frequent`` takes them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -162,15 +190,15 @@ def signatures(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN)
     orders = 1 + MORE_ORDERS
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, classes = shared.value
+        frequent = Frequent(*shared.value)
         for batch in batches:
             for doc_ids, texts in text_blocks(batch):
                 sets = [shingles(t, k) for t in texts]
-                pre = [prefixes(s, frequent, classes, orders, num, den) for s in sets]
+                pre = [prefixes(s, frequent, orders, num, den) for s in sets]
                 cols = {"doc_id": pa.array(doc_ids, pa.int64()), "n": pa.array(map(len, sets), pa.int64()), "digest": pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())}
                 for i in range(orders):
                     # only equality of some element matters, so 16 bits do for the filters that follow the first order
-                    cols[f"p{i}"] = pa.array([p[i] if i == 0 else np.unique(p[i].view(np.uint32) >> 16).astype(np.uint16).view(np.int16) for p in pre], pa.list_(pa.int32() if i == 0 else pa.int16()))
+                    cols[f"p{i}"] = pa.array([p[i] if i == 0 else (p[i] >> 16).astype(np.int16) for p in pre], pa.list_(pa.int32() if i == 0 else pa.int16()))
                 yield pa.RecordBatch.from_pydict(cols)
 
     schema = "doc_id long, n long, digest binary, p0 array<int>" + "".join(f", p{i} array<short>" for i in range(1, orders))

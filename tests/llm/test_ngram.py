@@ -54,8 +54,8 @@ def test_similar_sets_share_prefixes_under_each_order(a, drop, add, heavy):
     if not b or 100 * len(a & b) < 80 * len(a | b):
         return
     f = mix(heavy) if heavy else np.zeros(0, np.uint64)
-    c = (f % np.uint64(5)) + np.uint64(1)
-    for x, y in zip(ngram_join.prefixes(mix(a), f, c, 3), ngram_join.prefixes(mix(b), f, c, 3)):
+    f = ngram_join.Frequent(f, (f % np.uint64(5)) + np.uint64(1))
+    for x, y in zip(ngram_join.prefixes(mix(a), f, 3), ngram_join.prefixes(mix(b), f, 3)):
         assert set(x.tolist()) & set(y.tolist())
 
 
