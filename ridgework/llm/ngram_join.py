@@ -4,7 +4,7 @@ Two sets of n and m shingles can only reach the similarity if, under any total o
 shingles, they share one of their first n - ceil(t * n) + 1.  The orders used here put rare
 shingles first (a class by corpus frequency, then one of several hashes), so passages that many
 documents share come last and rarely meet.  A pair is verified only if it shares prefix shingles
-under every order.
+under every order, and under the further ones so many that the rests can make up for the others.
 
 * Frequencies: every task counts the shingles of blocks of whole documents and reports those that
   recur in a block; what is frequent overall must be so in some block.  The most frequent
@@ -27,7 +27,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, partitions, table
@@ -42,7 +42,7 @@ MAX_FREQUENT = 1 << 20
 #: A block is counted when it holds so many shingles; shingles in at least RECUR of its documents are reported.
 BLOCK_SHINGLES, RECUR = 2 << 20, 3
 #: Leaders of a bucket in the first round, and times more in each next.
-LEADERS, MORE_LEADERS = 1, 16
+LEADERS, MORE_LEADERS = 1, 4
 #: Members that are verified against one copy of their leader.
 PER_LEADER = 256
 #: Candidate ids up to this number (16 MB) are broadcast to fetch texts; beyond it they are joined.
@@ -253,6 +253,19 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def enough(n: Column, p: Column, m: Column, q: Column, num: int, den: int) -> Column:
+    """Whether sets of n and m shingles with prefixes p and q under one order can be similar.
+
+    Common shingles up to the smaller of the two prefixes' ends are in both prefixes; beyond it the set whose prefix ends there
+    has no more than its rest.  So the overlap is at most the prefixes' overlap and the larger rest.  Hashes that
+    coincide within a prefix hide some of its overlap, so as many as coincide are granted.
+    """
+    hidden = F.size(p) - F.size(F.array_distinct(p)) + F.size(q) - F.size(F.array_distinct(q))
+    both = F.size(F.array_intersect(p, q))
+    rest = F.greatest(n - F.size(p), m - F.size(q))
+    return (both > 0) & ((num + den) * (both + hidden + rest) >= num * (n + m))
+
+
 def near_groups(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """doc_id, n_shingles, component_id: a row per row of ``docs``.
 
@@ -279,10 +292,10 @@ def near_groups(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN)
             pairs = pairs.join(old, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "ngram-pairs")
         tested.append(pairs)
-        a = filters.select(F.col("node").alias("a"), *(F.col(f"p{i}").alias(f"a{i}") for i in range(1, 1 + MORE_ORDERS)))
+        a = filters.select(F.col("node").alias("a"), F.col("n").alias("n_a"), *(F.col(f"p{i}").alias(f"a{i}") for i in range(1, 1 + MORE_ORDERS)))
         both = pairs.join(a, "a").join(filters.withColumnRenamed("node", "b"), "b")
         for i in range(1, 1 + MORE_ORDERS):
-            both = both.filter(F.arrays_overlap(f"a{i}", f"p{i}"))
+            both = both.filter(enough(F.col("n_a"), F.col(f"a{i}"), F.col("n"), F.col(f"p{i}"), num, den))
         links.append(verify(materialize(both.select("a", "b").distinct(), "ngram-candidates"), docs, k, num, den))
         comps = components(reduce(DataFrame.unionByName, links))
         done = leads.groupBy("t").agg(F.max("a").alias("done"))
