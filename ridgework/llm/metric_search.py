@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import materialize, partitions, table
 
 #: Vectors of a shard, about; vectors of a leaf page; routing entries of a page.
-SHARD, LEAF, FANOUT = 4096, 96, 16
+SHARD, LEAF, FANOUT = 4096, 512, 16
 K, EVERY = 5, 50
 LONG = 2**63 - 1
 
