@@ -73,25 +73,26 @@ def quotient(x: Column, by: Column) -> Column:
     return F.round((x - F.pmod(x, by)) / by).try_cast("long")
 
 
-def permuted(j: Column, n: Column, prf) -> Column:
+def permuted(j: Column, n: Column, prf, bind=lambda x, f: f(x)) -> Column:
     """A keyed permutation of 0..n-1 (n up to 10 ** 18): a Feistel network over pairs below (a, b), a = ceil(sqrt n), a * b >= n.
 
     prf(round, half) gives a pseudorandom long of a half.  A result outside 0..n-1 is walked on.  Fewer
     than a + b results are outside and a walk visits each once at most; one longer than WALKS has odds of about
     (a * b / n - 1) ** WALKS, which only counts for n so small that no walk is that long.
+    bind(x, f) is f of x; inside lambdas, where Spark evaluates a column as often as it occurs, give one that evaluates x once.
     """
-    a = F.ceil(F.sqrt(n.cast("double"))).try_cast("long")
-    b = quotient(n + a - 1, a)
 
-    def step(x: Column) -> Column:
-        left, right = quotient(x, b), F.pmod(x, b)
-        for r in range(ROUNDS):
+    def network(n: Column, a: Column, b: Column) -> Column:
+        def rounds(left: Column, right: Column, r: int) -> Column:
+            if r == ROUNDS:
+                return left * b + right
             if r % 2 == 0:
-                left = F.pmod(left + F.pmod(prf(r, right), a), a)
-            else:
-                right = F.pmod(right + F.pmod(prf(r, left), b), b)
-        return left * b + right
-
-    once = step(j)
-    walk = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), once, lambda x, _: F.when(x < n, x).otherwise(step(x)))
-    return F.when(once < n, once).otherwise(walk)
+                return bind(F.pmod(left + F.pmod(prf(r, right), a), a), lambda x: rounds(x, right, r + 1))
+            return bind(F.pmod(right + F.pmod(prf(r, left), b), b), lambda x: rounds(left, x, r + 1))
+
+        step = lambda x: bind(quotient(x, b), lambda left: bind(F.pmod(x, b), lambda right: rounds(left, right, 0)))
+        walk = lambda once: F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), once, lambda x, _: F.when(x < n, x).otherwise(step(x)))
+        return bind(bind(j, step), lambda once: F.when(once < n, once).otherwise(walk(once)))
+
+    size = lambda n: bind(F.ceil(F.sqrt(n.cast("double"))).try_cast("long"), lambda a: bind(quotient(n + a - 1, a), lambda b: network(n, a, b)))
+    return bind(n, size)

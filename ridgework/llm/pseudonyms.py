@@ -32,12 +32,18 @@ DATE = r"(?<![\d./\-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4}
 SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
 PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,3}|\(\d{3}\) ?\d{3}[.\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?!\d|[.\-]\d)"
 CARD = r"(?<![\d.\-+])(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){2,3}(?:[ \-]\d{1,3})?|\d{4}[ \-]\d{6}[ \-]\d{5})(?!\d|[.\-]\d)"
-CANDIDATE = "|".join((EMAIL, IP, DATE, SSN, PHONE, CARD))
+#: All but e-mail addresses start with one of four kinds of character, which is tested once for them all.
+CANDIDATE = rf"{EMAIL}|(?=[0-9+(])(?:{'|'.join((IP, DATE, SSN, PHONE, CARD))})"
 #: Days from FIRST_DAY on that dates are permuted within, and valid social security numbers.
 FIRST_DAY, DAYS = "1900-01-01", 73049
 AREAS, GROUPS, SERIALS = 898, 99, 9999
 
 
+def _let(value: Column, f) -> Column:
+    """f(value), with value evaluated once however often f uses it: lambda variables hold values, columns are evaluated at every use."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def _hex(key: str, *parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(key), *(p.cast("string") for p in parts)), 256)
 
@@ -49,7 +55,7 @@ def _number(digits: Column) -> Column:
 def _permute(value: Column, n, key: str, kind: str) -> Column:
     """A permutation of 0..n-1 by SHA-256 of key, kind, round and half."""
     prf = lambda r, half: F.conv(F.substring(_hex(f"{key}|{kind}|{r}", half), 1, 15), 16, 10).try_cast("long")
-    return permuted(value, n if isinstance(n, Column) else F.lit(n).cast("long"), prf)
+    return permuted(value, n if isinstance(n, Column) else F.lit(n).cast("long"), prf, _let)
 
 
 def _digits(value: Column) -> Column:
@@ -60,11 +66,14 @@ def _refill(template: Column, digits: Column) -> Column:
     """The template with its digits replaced, in order, by those given (0-9, as many)."""
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("i"))
 
-    def put(acc: Column, c: Column) -> Column:
-        digit = c.between("0", "9")
-        return F.struct(F.concat(acc["out"], F.when(digit, F.substr(digits, acc["i"], F.lit(1))).otherwise(c)).alias("out"), (acc["i"] + digit.cast("int")).alias("i"))
+    def fill(digits: Column) -> Column:
+        def put(acc: Column, c: Column) -> Column:
+            digit = c.between("0", "9")
+            return F.struct(F.concat(acc["out"], F.when(digit, F.substr(digits, acc["i"], F.lit(1))).otherwise(c)).alias("out"), (acc["i"] + digit.cast("int")).alias("i"))
+
+        return F.aggregate(F.split(template, ""), start, put, lambda acc: acc["out"])
 
-    return F.aggregate(F.split(template, ""), start, put, lambda acc: acc["out"])
+    return _let(digits, fill)
 
 
 def luhn_sum(digits: Column) -> Column:
@@ -93,18 +102,19 @@ def _email(value: Column, key: str) -> Column:
 
         return F.array_join(F.transform(F.split(part, ""), one), "")
 
-    for r in range(4):
+    def rounds(left: Column, right: Column, r: int) -> Column:
+        if r == 4:
+            return F.concat(left, right, top)
         if r % 2 == 0:
-            left = shift(left, _hex(f"{key}|email|{r}", right))
-        else:
-            right = shift(right, _hex(f"{key}|email|{r}", left))
-    return F.concat(left, right, top)
+            return _let(_hex(f"{key}|email|{r}", right), lambda k: _let(shift(left, k), lambda x: rounds(x, right, r + 1)))
+        return _let(_hex(f"{key}|email|{r}", left), lambda k: _let(shift(right, k), lambda x: rounds(left, x, r + 1)))
+
+    return _let(left, lambda left: _let(right, lambda right: rounds(left, right, 0)))
 
 
 def _ip(value: Column, key: str) -> Column:
     n = F.aggregate(F.split(value, r"\."), F.lit(0).cast("long"), lambda acc, o: acc * 256 + o.try_cast("long"))
-    x = _permute(n, 1 << 32, key, "ip")
-    return F.concat_ws(".", *(F.shiftright(x, s).bitwiseAND(F.lit(255)) for s in (24, 16, 8, 0)))
+    return _let(_permute(n, 1 << 32, key, "ip"), lambda x: F.concat_ws(".", *(F.shiftright(x, s).bitwiseAND(F.lit(255)) for s in (24, 16, 8, 0))))
 
 
 def _iso(value: Column) -> Column:
@@ -119,8 +129,8 @@ def _day(value: Column) -> Column:
 
 def _date(value: Column, key: str) -> Column:
     d = F.date_add(F.lit(FIRST_DAY).cast("date"), _permute(_day(value), DAYS, key, "date").cast("int"))
-    out = lambda f: F.date_format(d, f)
-    return F.when(F.substring(value, 5, 1) == "-", out("yyyy-MM-dd")).when(F.substring(value, 3, 1) == "/", out("dd/MM/yyyy")).otherwise(out("dd.MM.yyyy"))
+    form = lambda d: F.when(F.substring(value, 5, 1) == "-", F.date_format(d, "yyyy-MM-dd")).when(F.substring(value, 3, 1) == "/", F.date_format(d, "dd/MM/yyyy")).otherwise(F.date_format(d, "dd.MM.yyyy"))
+    return _let(d, form)
 
 
 def _ssn_parts(value: Column) -> tuple[Column, Column, Column]:
@@ -130,10 +140,13 @@ def _ssn_parts(value: Column) -> tuple[Column, Column, Column]:
 def _ssn(value: Column, key: str) -> Column:
     area, group, serial = _ssn_parts(value)
     n = ((area - 1 - (area > 666).cast("long")) * GROUPS + group - 1) * SERIALS + serial - 1
-    x = _permute(n, AREAS * GROUPS * SERIALS, key, "ssn")
-    serial, x = F.pmod(x, F.lit(SERIALS)) + 1, F.floor(x / SERIALS)
-    group, area = F.pmod(x, F.lit(GROUPS)) + 1, F.floor(x / GROUPS) + 1
-    return F.concat_ws("-", F.lpad((area + (area > 665).cast("long")).cast("string"), 3, "0"), F.lpad(group.cast("string"), 2, "0"), F.lpad(serial.cast("string"), 4, "0"))
+
+    def write(x: Column) -> Column:
+        serial, x = F.pmod(x, F.lit(SERIALS)) + 1, F.floor(x / SERIALS)
+        group, area = F.pmod(x, F.lit(GROUPS)) + 1, F.floor(x / GROUPS) + 1
+        return F.concat_ws("-", F.lpad((area + (area > 665).cast("long")).cast("string"), 3, "0"), F.lpad(group.cast("string"), 2, "0"), F.lpad(serial.cast("string"), 4, "0"))
+
+    return _let(_permute(n, AREAS * GROUPS * SERIALS, key, "ssn"), write)
 
 
 def _phone(value: Column, key: str) -> Column:
@@ -149,8 +162,8 @@ def _card(value: Column, key: str) -> Column:
     digits = _digits(value)
     size = F.length(digits) - 1
     x = F.lpad(_permute(_number(F.substr(digits, F.lit(1), size)), F.pow(F.lit(10.0), size).try_cast("long"), key, "card").cast("string"), size, "0")
-    check = F.pmod(10 - F.pmod(luhn_sum(F.concat(x, F.lit("0"))), F.lit(10)), F.lit(10))
-    return _refill(value, F.concat(x, check.cast("string")))
+    check = lambda x: F.pmod(10 - F.pmod(luhn_sum(F.concat(x, F.lit("0"))), F.lit(10)), F.lit(10))
+    return _refill(value, _let(x, lambda x: F.concat(x, check(x).cast("string"))))
 
 
 def kind_of(value: Column) -> Column:
