@@ -10,11 +10,15 @@ under every order, and under the further ones so many that the rests can make up
   recur in a block; what is frequent overall must be so in some block.  The most frequent
   ``MAX_FREQUENT`` are sent to all tasks: a table of fixed size, which only sets the orders.
 * Equal sets become one class, with the smallest doc_id as its node.
-* Classes that share a prefix shingle under the first order form a bucket.  Its members are not
-  paired all with all: in each round the bucket's smallest untried members (one, then more) are its
-  leaders and are compared with members of other components; then they are done.  Rounds end when
-  the untried members of each bucket are in one component.  So groups of near copies take one pair a
-  member, and no link between components is missed.
+* A first round takes two prefix shingles of each class only, and pairs each class with the smallest that has one of
+  the two as well: it finds most of each group of near copies, whose many other shared shingles then pair nothing.
+* Classes that share a prefix shingle under the first order form a bucket.  Take the first shingle that two similar sets
+  share: i shingles of the one and j of the other come before it, so they overlap in n - i and m - j at most, and
+  i + j is at most (1 - t) / (1 + t) of n + m.  So i is within that part of n, or j of m: such members may lead.
+* A bucket's members are not paired all with all: in each round the smallest untried of those that may lead (one, then
+  more) are its leaders and are compared with members of other components; then they are done.  Rounds end when no leader
+  is left or the untried members of each bucket are in one component.  So groups of near copies take one pair a member,
+  and no link between components is missed.
 * Pairs are filtered by size and by the other orders, then verified on whole texts, streamed
   leader by leader; a leader of many members is split by salt.
 """
@@ -42,7 +46,7 @@ MAX_FREQUENT = 1 << 20
 #: A block is counted when it holds so many shingles; shingles in at least RECUR of its documents are reported.
 BLOCK_SHINGLES, RECUR = 2 << 20, 3
 #: Leaders of a bucket in the first round, and times more in each next.
-LEADERS, MORE_LEADERS = 1, 4
+LEADERS, MORE_LEADERS = 1, 8
 #: Members that are verified against one copy of their leader.
 PER_LEADER = 256
 #: Candidate ids up to this number (16 MB) are broadcast to fetch texts; beyond it they are joined.
@@ -124,22 +128,36 @@ class Frequent:
         self.maybe[shingles >> self.SHIFT] = True
 
 
-def prefixes(s: np.ndarray, frequent: Frequent, orders: int, num: int = NUM, den: int = DEN) -> list[np.ndarray]:
-    """The first shingles of a set under each order, as 32-bit hashes (equal shingles have equal ones)."""
+def prefixes_and_two(s: np.ndarray, frequent: Frequent, orders: int, num: int = NUM, den: int = DEN) -> tuple[list[np.ndarray], list[int]]:
+    """The first shingles of a set under each order (sorted by the first one), as 32-bit hashes (equal shingles have equal ones), and two of the first order's.
+
+    The two are the earliest of the prefix's most frequent class, which near copies mostly keep in common, and the earliest of all by hash.
+    """
+    if not len(s):
+        return [np.zeros(0, np.int32)] * orders, []
     p, rank = prefix_length(len(s), num, den), np.zeros(len(s), np.uint64)
     if len(frequent.shingles) and len(s):
         some = np.flatnonzero(frequent.maybe[s >> Frequent.SHIFT])  # one byte read for most shingles
         at = np.minimum(np.searchsorted(frequent.shingles, s[some]), len(frequent.shingles) - 1)
         rank[some] = np.where(frequent.shingles[at] == s[some], frequent.classes[at], 0)
-    out, x = [], s
+    out, x, two = [], s, s
     for i in range(orders):
         if i:
             with np.errstate(over="ignore"):
                 x = _mixed(x + _MIX[i])
         key = (rank << np.uint64(58)) | (x >> np.uint64(6))
         first = np.argpartition(key, p - 1)[:p] if p < len(s) else np.arange(len(s))
+        if i == 0:
+            first = first[np.lexsort((first, key[first]))]  # in this order, as positions count
         out.append((s[first] >> np.uint64(32)).astype(np.uint32).view(np.int32))
-    return out
+        if i == 0:
+            top = first[rank[first] == rank[first].max()]
+            two = np.unique((s[[top.min(), first.min()]] >> np.uint64(32)).astype(np.uint32).view(np.int32))  # s is sorted
+    return out, two.tolist()
+
+
+def prefixes(s: np.ndarray, frequent: Frequent, orders: int, num: int = NUM, den: int = DEN) -> list[np.ndarray]:
+    return prefixes_and_two(s, frequent, orders, num, den)[0]
 
 
 def frequent_shingles(docs: DataFrame, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -184,7 +202,7 @@ def frequent_shingles(docs: DataFrame, k: int = WORDS) -> tuple[np.ndarray, np.n
 
 
 def signatures(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
-    """Written table doc_id, n, digest of the set, and its prefixes p0, p1, ... under the orders."""
+    """Written table doc_id, n, digest of the set, two of its first prefix's shingles, and its prefixes p0, p1, ... under the orders."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(frequent_shingles(docs, k))
     orders = 1 + MORE_ORDERS
@@ -194,14 +212,15 @@ def signatures(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN)
         for batch in batches:
             for doc_ids, texts in text_blocks(batch):
                 sets = [shingles(t, k) for t in texts]
-                pre = [prefixes(s, frequent, orders, num, den) for s in sets]
+                pre, two = zip(*(prefixes_and_two(s, frequent, orders, num, den) for s in sets)) if sets else ((), ())
                 cols = {"doc_id": pa.array(doc_ids, pa.int64()), "n": pa.array(map(len, sets), pa.int64()), "digest": pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())}
+                cols["two"] = pa.array(two, pa.list_(pa.int32()))
                 for i in range(orders):
                     # only equality of some element matters, so 16 bits do for the filters that follow the first order
                     cols[f"p{i}"] = pa.array([p[i] if i == 0 else (p[i] >> 16).astype(np.int16) for p in pre], pa.list_(pa.int32() if i == 0 else pa.int16()))
                 yield pa.RecordBatch.from_pydict(cols)
 
-    schema = "doc_id long, n long, digest binary, p0 array<int>" + "".join(f", p{i} array<short>" for i in range(1, orders))
+    schema = "doc_id long, n long, digest binary, two array<int>, p0 array<int>" + "".join(f", p{i} array<short>" for i in range(1, orders))
     return materialize(docs.mapInArrow(sign, schema), "ngram-signatures")
 
 
@@ -275,18 +294,26 @@ def near_groups(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN)
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     signed = signatures(docs, k, num, den)
     named = signed.filter("n > 0 AND doc_id IS NOT NULL")
-    firsts = [F.first(f"p{i}").alias(f"p{i}") for i in range(1 + MORE_ORDERS)]
+    firsts = [F.first(c).alias(c) for c in ("two", *(f"p{i}" for i in range(1 + MORE_ORDERS)))]
     classes = materialize(named.groupBy("n", "digest").agg(F.min("doc_id").alias("node"), *firsts), "ngram-classes")
-    tokens = classes.select(F.explode("p0").alias("t"), "node", "n")
-    shared = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("t")
+    may_lead = (num + den) * F.col("i") <= (den - num) * F.col("n")
+    tokens = classes.select(F.posexplode("p0").alias("i", "t"), "node", "n")
+    shared = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.bool_or(may_lead).alias("some")).filter("c > 1 AND some").select("t")
     members = materialize(tokens.join(materialize(shared, "ngram-shared"), "t"), "ngram-members")
     filters = classes.select("node", "n", *(f"p{i}" for i in range(1, 1 + MORE_ORDERS)))
 
-    left, links, tested, count, comps = members.withColumn("comp", F.col("node")), [], [], LEADERS, None
-    while True:
-        leads = left.withColumn("r", F.row_number().over(Window.partitionBy("t").orderBy("node"))).filter(F.col("r") <= count)
-        leads = materialize(leads.select("t", F.col("node").alias("a"), F.col("comp").alias("comp_a"), F.col("n").alias("n_a")), "ngram-leads")
-        pairs = left.join(leads, "t").filter((F.col("node") > F.col("a")) & (F.col("comp") != F.col("comp_a")) & (den * F.least("n", "n_a") >= num * F.greatest("n", "n_a")))
+    links, tested = [], []
+
+    def lead(left: DataFrame, count: int, comps: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """Compare the first ``count`` members of each bucket with its others; the leaders, and the components of all links so far (``comps`` before)."""
+        leads = left.filter(may_lead)
+        if count == 1:  # combined before the shuffle, as some bucket may hold much of all
+            leads = leads.groupBy("t").agg(F.min(F.struct("node", "comp", "n", "i")).alias("l")).select("t", "l.*")
+        else:
+            leads = leads.withColumn("r", F.row_number().over(Window.partitionBy("t").orderBy("node"))).filter(F.col("r") <= count)
+        leads = materialize(leads.select("t", F.col("node").alias("a"), F.col("comp").alias("comp_a"), F.col("n").alias("n_a"), F.col("i").alias("i_a")), "ngram-leads")
+        overlap = F.least(F.col("n") - F.col("i"), F.col("n_a") - F.col("i_a"))
+        pairs = left.join(leads, "t").filter((F.col("comp") != F.col("comp_a")) & (den * F.least("n", "n_a") >= num * F.greatest("n", "n_a")) & ((num + den) * overlap >= num * (F.col("n") + F.col("n_a"))))
         pairs = pairs.select("a", F.col("node").alias("b")).distinct()
         for old in tested:
             pairs = pairs.join(old, ["a", "b"], "left_anti")
@@ -296,15 +323,25 @@ def near_groups(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN)
         both = pairs.join(a, "a").join(filters.withColumnRenamed("node", "b"), "b")
         for i in range(1, 1 + MORE_ORDERS):
             both = both.filter(enough(F.col("n_a"), F.col(f"a{i}"), F.col("n"), F.col(f"p{i}"), num, den))
-        links.append(verify(materialize(both.select("a", "b").distinct(), "ngram-candidates"), docs, k, num, den))
-        comps = components(reduce(DataFrame.unionByName, links))
+        found = materialize(both.select("a", "b").distinct(), "ngram-candidates")
+        if comps is not None and found.isEmpty():
+            return leads, comps
+        links.append(verify(found, docs, k, num, den))
+        return leads, components(reduce(DataFrame.unionByName, links))
+
+    def still_open(left: DataFrame, comps: DataFrame) -> DataFrame:
+        """The members, with their components, of buckets that hold several components."""
+        left = left.join(comps, "node", "left").select("t", "node", "n", "i", F.coalesce("comp", "node").alias("comp"))
+        open_ = left.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bool_or(may_lead).alias("some")).filter("lo <> hi AND some").select("t")
+        return materialize(left.join(materialize(open_, "ngram-open"), "t"), "ngram-left")
+
+    _, comps = lead(classes.select(F.explode("two").alias("t"), F.lit(0).alias("i"), "node", "n", F.col("node").alias("comp")), 1, None)
+    left, count = still_open(members, comps), LEADERS
+    while not left.isEmpty():
+        leads, comps = lead(left, count, comps)
         done = leads.groupBy("t").agg(F.max("a").alias("done"))
-        left = left.drop("comp").join(materialize(done, "ngram-done"), "t", "left").filter(F.col("done").isNull() | (F.col("node") > F.col("done"))).drop("done")
-        left = left.join(comps, "node", "left").select("t", "node", "n", F.coalesce("comp", "node").alias("comp"))
-        open_ = left.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("t")
-        left = materialize(left.join(materialize(open_, "ngram-open"), "t"), "ngram-left")
-        if left.isEmpty():
-            break
+        left = left.drop("comp").join(materialize(done, "ngram-done"), "t", "left").filter(F.col("done").isNull() | ~may_lead | (F.col("node") > F.col("done"))).drop("done")
+        left = still_open(left, comps)
         count *= MORE_LEADERS
     names = classes.join(comps, "node", "left").select("n", "digest", F.coalesce("comp", "node").alias("component_id"))
     out = signed.select("doc_id", "n", "digest").join(materialize(names, "ngram-names"), ["n", "digest"], "left")
