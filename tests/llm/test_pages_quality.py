@@ -106,6 +106,13 @@ def test_quality_edge_rows(spark, sf):
     assert quality.score_documents(documents(spark).limit(0), labels).collect() == []
 
 
+def test_statistics_read_every_word_of_long_texts():
+    at = quality.STATS.index("upper_words")
+    for n in (10, 399, 400, 801, 20_000):
+        words = ["word", "SHOUT"] * (n // 2) + ["word"] * (n % 2)
+        assert quality.statistics(" ".join(words))[at] == pytest.approx(n // 2 / n)
+
+
 def test_isotonic():
     x, y = quality.isotonic(np.arange(5.0), np.array([0, 0.5, 0.2, 0.9, 0.8]), np.ones(5))
     assert list(np.diff(y) >= 0) == [True] * (len(y) - 1)
