@@ -48,19 +48,18 @@ def foot_seconds(e: DataFrame) -> DataFrame:
     return e.select("q", "r", "dir", F.round(STEP_M / 1000 / F.greatest(F.lit(0.1), speed) * 3600, 6).alias("seconds"))
 
 
-def accumulated_cost(cells: DataFrame, q0: int, r0: int, rounds: int = 400) -> DataFrame:
-    """Least cost from a cell to all reachable ones: rounds of relaxation over the edges of cells that improved.
+def accumulated_cost(cells: DataFrame, q0: int, r0: int) -> DataFrame:
+    """Least cost from a cell to all reachable ones: rounds of relaxation over the edges of cells that improved, until none does.
 
-    Each round joins only the frontier with the edges and writes its result, so lineage stays short.
+    Each round joins only the frontier with the edges and writes its result, so lineage stays short.  Weights are
+    positive, so a least path has fewer edges than there are cells and the rounds end.
     """
     from ..sources.shared import written
 
     e = written(edges(cells).select("q", "r", "b_q", "b_r", route_cost().alias("w")), "edges")
     best = written(cells.filter((F.col("q") == q0) & (F.col("r") == r0)).select("q", "r", F.lit(0.0).alias("cost"), F.lit(True).alias("open")), "cost")
-    for _ in range(rounds):
+    while not best.filter("open").isEmpty():
         step = best.filter("open").join(e, ["q", "r"]).groupBy(F.col("b_q").alias("q"), F.col("b_r").alias("r")).agg(F.min(F.col("cost") + F.col("w")).alias("_new"))
         after = best.join(step, ["q", "r"], "full_outer").select("q", "r", F.least("cost", "_new").alias("cost"), (F.col("_new").isNotNull() & (F.col("cost").isNull() | (F.col("_new") < F.col("cost")))).alias("open"))
         best = written(after, "cost")
-        if best.filter("open").isEmpty():
-            break
     return best.select("q", "r", F.round("cost", 4).alias("cost"))
