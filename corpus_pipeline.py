@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and returns a
 DataFrame; between stages the rows are written as Parquet and read again.  All stages but the last
 return the columns of ``documents``.  The mix may hold a document twice, each time with the blocks of
-words drawn in that epoch, so the packed pieces may repeat a doc_id.
+words drawn in that epoch, so the packed pieces may repeat a doc_id.  Stages decide on rows, not on
+doc_ids: rows with a null doc_id, or with the same one, are documents of their own in each.
 """
 
 from __future__ import annotations
@@ -17,8 +18,7 @@ from ridgework.llm.common import materialize, table
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, trained on the labelled ones, doesn't reject."""
-    kept = quality.score_documents(docs, table(spark, sf_dir, "labels")).filter("predicted = 1").select("doc_id")
-    return docs.join(materialize(kept, "kept"), "doc_id", "left_semi").select(*docs.columns)
+    return quality.keep_accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,6 +37,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Key of a row within one stage of the pipeline, where doc_id may be null or repeated.
+ROW = "__row_key"
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with ROW, written once, so that all later reads see the same distinct keys."""
+    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
+
+
+def row_key(df: DataFrame) -> list[str]:
+    """[ROW] if ``df`` carries it, else nothing."""
+    return [ROW] if ROW in df.columns else []
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

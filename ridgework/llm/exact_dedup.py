@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WS, materialize, partitions, table
+from .common import ROW, WS, materialize, numbered, partitions, row_key, table
 
 #: Characters of the normalised text that take part in the range splitters.
 PREFIX = 32
@@ -34,11 +34,11 @@ def content_groups(docs: DataFrame, n_partitions: int | None = None) -> DataFram
 
     Texts are equal if they are identical without ASCII white space; null counts as empty.  Of equal
     texts the one with the most code points, then the smallest doc_id (null last) stays; of rows that
-    tie in both, one.  ``kept`` marks that row; ``keep_id`` is its doc_id.  Extra columns don't matter.
+    tie in both, one.  ``kept`` marks that row; ``keep_id`` is its doc_id.  Extra columns don't matter, but ROW is returned.
     """
-    spark = docs.sparkSession
+    spark, key = docs.sparkSession, row_key(docs)
     n = n_partitions or partitions(spark)
-    base = docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("_len"), normalised(F.col("text")).alias("_norm"))
+    base = docs.select("doc_id", *key, F.length(F.coalesce("text", F.lit(""))).alias("_len"), normalised(F.col("text")).alias("_norm"))
     hashes = docs.select(F.xxhash64(normalised(F.col("text"))).alias("_h")).groupBy("_h").agg(F.count("*").alias("_c"))
     hashes = materialize(hashes.filter(F.col("_c") >= LEAST_HOT), "content-counts")
     total = docs.count()
@@ -52,24 +52,25 @@ def content_groups(docs: DataFrame, n_partitions: int | None = None) -> DataFram
     run = Window.partitionBy("_p", "_h", "_salt", "_norm")
     first = run.orderBy(F.col("_len").desc(), F.col("doc_id").asc_nulls_last())
     runs = rows.select(
-        "doc_id", "_len", "_h", "_salt",
+        "doc_id", *key, "_len", "_h", "_salt",
         F.first("doc_id").over(first).alias("_head"), F.first("_len").over(first).alias("_head_len"),
         F.count(F.lit(1)).over(run).alias("_n"), F.row_number().over(first).alias("_rn"), "_norm",
     )
-    runs = runs.select("doc_id", "_salt", "_head", "_head_len", "_n", "_rn", F.sha2("_norm", 256).alias("text_sha256"), F.when((F.col("_salt") >= 0) & (F.col("_rn") == 1), F.col("_norm")).alias("_text"))
+    runs = runs.select("doc_id", *key, "_salt", "_head", "_head_len", "_n", "_rn", F.sha2("_norm", 256).alias("text_sha256"), F.when((F.col("_salt") >= 0) & (F.col("_rn") == 1), F.col("_norm")).alias("_text"))
     runs = materialize(runs, "content-runs")
-    plain = runs.filter("_salt < 0").select("doc_id", F.col("_head").alias("keep_id"), F.col("_n").alias("group_size"), (F.col("_rn") == 1).alias("kept"), "text_sha256")
+    plain = runs.filter("_salt < 0").select("doc_id", F.col("_head").alias("keep_id"), F.col("_n").alias("group_size"), (F.col("_rn") == 1).alias("kept"), "text_sha256", *key)
     heads = runs.filter("_salt >= 0 AND _rn = 1")  # at most 8 * partitions rows
     of = Window.partitionBy("text_sha256", "_text")
     best = of.orderBy(F.col("_head_len").desc(), F.col("_head").asc_nulls_last(), "_salt")
     heads = heads.select("text_sha256", "_salt", F.first("_head").over(best).alias("keep_id"), F.sum("_n").over(of).alias("group_size"), (F.row_number().over(best) == 1).alias("_wins"))
-    salted = runs.filter("_salt >= 0").join(F.broadcast(heads), ["text_sha256", "_salt"]).select("doc_id", "keep_id", "group_size", (F.col("_wins") & (F.col("_rn") == 1)).alias("kept"), "text_sha256")
+    salted = runs.filter("_salt >= 0").join(F.broadcast(heads), ["text_sha256", "_salt"]).select("doc_id", "keep_id", "group_size", (F.col("_wins") & (F.col("_rn") == 1)).alias("kept"), "text_sha256", *key)
     return plain.unionByName(salted)
 
 
 def keep_distinct(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that ``content_groups`` drops; doc_id must be distinct and not null."""
-    return docs.join(content_groups(docs).filter("kept").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    """``docs`` without the rows that ``content_groups`` drops, also where doc_ids are null or repeated."""
+    rows = numbered(docs, "content-docs")
+    return rows.join(content_groups(rows).filter("kept").select(ROW), ROW, "left_semi").select(*docs.columns)
 
 
 def op5_content_sort_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WS, materialize, partitions, permuted, running_start, table
+from .common import ROW, WS, materialize, numbered, partitions, permuted, row_key, running_start, table
 
 BLOCK_WORDS = 64
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -52,8 +52,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
 
 
 def lay_out(docs: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
-    """Written table doc_id, _src, _null, size, start: each document's place in its source's word stream."""
-    rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("_src"), F.col("source").isNull().alias("_null"), n_words(F.col("text")).alias("size"))
+    """Written table doc_id, _src, _null, size, start (and ROW if ``docs`` has it): each document's place in its source's word stream."""
+    rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("_src"), F.col("source").isNull().alias("_null"), n_words(F.col("text")).alias("size"), *row_key(docs))
     rows = materialize(rows, "mix-sizes")
     return materialize(running_start(rows, ["_src", "_null"], ["doc_id", "size"], F.col("size"), "start"), "mix-layout")
 
@@ -106,18 +106,19 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: f
     """The mix as documents: a row per document and epoch in which some of its blocks are drawn, with the columns of ``docs``.
 
     Its text holds the words of those blocks; a document whose blocks are all drawn keeps its text as it is.
-    n_chars, if there, follows the text.  doc_id must be distinct and not null.
+    n_chars, if there, follows the text.  Rows with a null doc_id, or with the same one, are documents of their own.
     """
-    layout = lay_out(docs, block)
+    numbered_docs = numbered(docs, "mix-docs")
+    layout = lay_out(numbered_docs, block)
     _, slots = draw(layout, weights, share, cap, block, seed=seed)
     drawn = spans(layout, block).join(slots.select("_src", "_null", "block", "epoch").hint("merge"), ["_src", "_null", "block"])
-    drawn = drawn.groupBy("doc_id", "epoch", "start", "size").agg(F.sum("words").alias("_taken"), F.collect_set("block").alias("_blocks")).withColumnRenamed("doc_id", "_id")
-    rows = docs.join(drawn, docs.doc_id == F.col("_id"))
+    drawn = drawn.groupBy(ROW, "epoch", F.col("start").alias("_start"), F.col("size").alias("_size")).agg(F.sum("words").alias("_taken"), F.collect_set("block").alias("_blocks")).drop("epoch")
+    rows = numbered_docs.join(drawn, ROW)
     words = F.split(F.regexp_replace("text", f"^[{WS}]+", ""), f"[{WS}]+")
-    part = F.array_join(F.filter(words, lambda w, i: (w != "") & F.array_contains("_blocks", F.floor((F.col("start") + i) / block))), " ")
-    text = F.when(F.col("_taken") == F.col("size"), F.col("text")).otherwise(part)
+    part = F.array_join(F.filter(words, lambda w, i: (w != "") & F.array_contains("_blocks", F.floor((F.col("_start") + i) / block))), " ")
+    text = F.when(F.col("_taken") == F.col("_size"), F.col("text")).otherwise(part)
     out = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return rows.select(*(out[c].alias(c) if c in out else docs[c] for c in docs.columns))
+    return rows.select(*(out[c].alias(c) if c in out else F.col(c) for c in docs.columns))
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

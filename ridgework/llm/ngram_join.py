@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, table
+from .common import ROW, materialize, numbered, partitions, table
 from .token_store import text_blocks
 
 WORDS = 5
@@ -349,8 +349,15 @@ def near_groups(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with the document of the smallest doc_id of each group; doc_id must be distinct and not null."""
-    return docs.join(near_groups(docs).filter("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    """``docs`` with one row of each group: the one of the smallest doc_id (null last), of several the one of the smallest hash of the text.
+
+    Rows are linked by a key of their own, so rows with a null or a repeated doc_id are compared like any others.
+    """
+    rows = numbered(docs, "ngram-docs")
+    groups = near_groups(rows.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), "component_id")
+    ranks = rows.select(ROW, F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), ROW).alias("_rank"))
+    first = groups.join(ranks, ROW).groupBy("component_id").agg(F.min("_rank").alias("_rank")).select(F.col("_rank")[ROW].alias(ROW))
+    return rows.join(materialize(first, "ngram-kept"), ROW, "left_semi").select(*docs.columns)
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
