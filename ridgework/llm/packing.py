@@ -113,22 +113,23 @@ def cut_pieces(docs: DataFrame, max_len: int = MAX_LEN, tokenizer: str | None =
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .token_cache import encoder
 
-        e, tail = encoder(path), int(end_id).to_bytes(4, "little")
-        for batch in batches:
-            for doc_ids, texts in text_blocks(batch):
-                out: list[tuple] = []
-                for doc_id, x in zip(doc_ids, e.encode(texts)):
-                    raw = x + tail
-                    n = len(raw) // 4
-                    first = (n - 1) % max_len + 1
-                    for i, a in enumerate([0, *range(first, n, max_len)]):
-                        b = first if i == 0 else a + max_len
-                        part = raw[4 * a : 4 * b]
-                        out.append((doc_id, i, a, b - a, zlib.crc32(part), part))
-                cols = list(zip(*out))
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][: 5 + with_ids]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-                yield pa.RecordBatch.from_pydict({names[i]: pa.array(cols[i], t) for i, t in enumerate(types)})
+        tail = int(end_id).to_bytes(4, "little")
+        with encoder(path) as e:
+            for batch in batches:
+                for doc_ids, texts in text_blocks(batch):
+                    out: list[tuple] = []
+                    for doc_id, x in zip(doc_ids, e.encode(texts)):
+                        raw = x + tail
+                        n = len(raw) // 4
+                        first = (n - 1) % max_len + 1
+                        for i, a in enumerate([0, *range(first, n, max_len)]):
+                            b = first if i == 0 else a + max_len
+                            part = raw[4 * a : 4 * b]
+                            out.append((doc_id, i, a, b - a, zlib.crc32(part), part))
+                    cols = list(zip(*out))
+                    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][: 5 + with_ids]
+                    names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
+                    yield pa.RecordBatch.from_pydict({names[i]: pa.array(cols[i], t) for i, t in enumerate(types)})
 
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(cut, schema)
 

@@ -6,22 +6,26 @@ next piece.  A text may therefore be cut at exactly those spaces, each chunk be
 encoded once, and the ids of the chunks be joined; the result equals encoding
 the whole text.  A block of texts is cut and its distinct chunks found by Arrow;
 those not met before go to the ``tokenizers`` library in few calls, and the
-texts' ids are gathered from a pool by NumPy.  The cache has a bounded number of
-entries, lives as long as the Python worker and changes nothing but the speed.
+texts' ids are gathered from a pool by NumPy.  Tokens that the vocabulary adds (such as
+an end mark spelled out in a text) get their own ids, as the library gives them: a text is
+cut at them first.  The cache has a bounded number of entries, is freed at the end
+of each task and changes nothing but the speed.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Entries kept per worker, some 200 bytes each; beyond it the cache starts anew.
-MAX_CHUNKS = 1_200_000
+#: Entries kept in a task, some 200 bytes each; chunks met when it is full are kept for their block alone.
+MAX_CHUNKS = 250_000
 #: Characters that form a piece of their own after letters, and runs of them that are kept.
 MARKS, MAX_MARKS = '.,;:!?%&*#$")', 10_000
 #: Longer chunks are encoded but not kept.
@@ -31,7 +35,6 @@ CALL_CHARS = 1 << 18
 
 _ADJACENT = re.compile(r"\s\s")
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-_encoders: dict[str, "ChunkEncoder"] = {}
 
 
 class ChunkEncoder:
@@ -42,7 +45,8 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = {t.content: np.array([i], "<u4").tobytes() for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.added, self.added_ids = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None, added
         size = self.tokenizer.get_vocab_size()
         self.opens = np.zeros(size, dtype=bool)
         for token, i in self.tokenizer.get_vocab().items():
@@ -128,8 +132,13 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; an empty text has none."""
-        if len(self.slots) > MAX_CHUNKS:
-            self._clear()
+        if self.added is None or not any(map(self.added.search, texts)):
+            return self._encode(texts)
+        cut = [self.added.split(t) for t in texts]  # plain parts, with an added token between each two
+        plain = iter(self._encode([p for parts in cut for p in parts[::2]]))
+        return [b"".join(next(plain) if i % 2 == 0 else self.added_ids[p] for i, p in enumerate(parts)) for parts in cut]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         if len(self.marks) > MAX_MARKS:
             self.marks.clear()
         # Arrow cuts texts in which every space is a lone one; the others are cut by the expression
@@ -151,16 +160,16 @@ class ChunkEncoder:
         missing = np.flatnonzero(known < 0).tolist()
         found: dict[str, bytes] = {}
         self._learn([chunks[i] for i in missing], found)
-        keep = [c for c in found if len(c) <= MAX_CHUNK_CHARS]
+        keep = [c for c in found if len(c) <= MAX_CHUNK_CHARS][: MAX_CHUNKS - len(slots)]
         self._put([found[c] for c in keep], len(slots))
         slots.update(zip(keep, range(len(slots), len(slots) + len(keep))))
-        # for this block alone: long chunks, and each text's first chunk, which follows no space
+        # for this block alone: long chunks and those beyond the bound, and each text's first chunk, which follows no space
         kept, used = len(slots), self.used
-        long = [c for c in found if len(c) > MAX_CHUNK_CHARS]
+        long = [c for c in found if c not in slots]
         heads = [chunks[codes[i]] for i in first]
         self._put([found[c] for c in long] + [self._plain(c) if c else b"" for c in heads], kept)
         own = dict(zip(long, range(kept, kept + len(long))))
-        known[missing] = [slots[c] if len(c) <= MAX_CHUNK_CHARS else own[c] for c in (chunks[i] for i in missing)]
+        known[missing] = [slots[c] if c in slots else own[c] for c in (chunks[i] for i in missing)]
         at = known[codes]
         at[first] = kept + len(long) + np.arange(len(heads))
 
@@ -175,8 +184,11 @@ class ChunkEncoder:
         return out
 
 
-def encoder(path: str) -> ChunkEncoder:
-    """The worker's encoder of this vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
-    return _encoders[path]
+@contextmanager
+def encoder(path: str) -> Iterator[ChunkEncoder]:
+    """An encoder of this vocabulary file for the length of a task; its memory is free afterwards for whatever the worker runs next."""
+    e = ChunkEncoder(path)
+    try:
+        yield e
+    finally:
+        e.__dict__.clear()

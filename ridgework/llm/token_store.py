@@ -40,7 +40,7 @@ NULL_ID = -(2**63)
 #: A shard is closed when its ids take so many bytes; a longer document has a shard of its own.
 SHARD_BYTES = 8 << 20
 #: Texts that are encoded at once, in characters.
-ENCODE_CHARS = 8 << 20
+ENCODE_CHARS = 2 << 20
 #: Set bits between two samples of the select structure.
 SELECT_EVERY = 256
 
@@ -163,11 +163,10 @@ def write_token_shards(docs: DataFrame, out: str, tokenizer: str | None = None,
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .token_cache import encoder
 
-        e, tail = encoder(path), struct.pack("<I", end_id)
-        width = 2 if max(e.tokenizer.get_vocab_size() - 1, end_id) < 1 << 16 else 4
+        tail = struct.pack("<I", end_id)
         keys: list[int | None] = []
         ids: list[bytes] = []
-        held, shard = 0, 0
+        held, shard, width = 0, 0, 4
 
         def flush(task: int) -> pa.RecordBatch:
             nonlocal held, shard
@@ -179,17 +178,19 @@ def write_token_shards(docs: DataFrame, out: str, tokenizer: str | None = None,
             return row
 
         task = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            task = batch.column("task")[0].as_py()
-            for doc_ids, texts in text_blocks(batch):
-                for doc_id, x in zip(doc_ids, e.encode(texts)):
-                    keys.append(doc_id)
-                    ids.append(x + tail)
-                    held += len(x) + 4
-                    if held * width // 4 >= shard_bytes:
-                        yield flush(task)
+        with encoder(path) as e:
+            width = 2 if max(e.tokenizer.get_vocab_size() - 1, end_id) < 1 << 16 else 4
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                task = batch.column("task")[0].as_py()
+                for doc_ids, texts in text_blocks(batch):
+                    for doc_id, x in zip(doc_ids, e.encode(texts)):
+                        keys.append(doc_id)
+                        ids.append(x + tail)
+                        held += len(x) + 4
+                        if held * width // 4 >= shard_bytes:
+                            yield flush(task)
         if ids:
             yield flush(task)
 
@@ -203,7 +204,7 @@ def text_blocks(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
     doc_ids, texts = batch.column("doc_id"), batch.column("text")
     a, held = 0, 0
     for b, size in enumerate(pc.binary_length(texts).to_pylist(), 1):
-        held += size
+        held += size or 0
         if held >= ENCODE_CHARS or b == batch.num_rows:
             yield doc_ids.slice(a, b - a).to_pylist(), texts.slice(a, b - a).to_pylist()
             a, held = b, 0

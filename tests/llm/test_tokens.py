@@ -16,9 +16,7 @@ from .edge import documents
 
 @pytest.fixture(scope="module")
 def tok():
-    t = Tokenizer.from_file(ts.default_tokenizer())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(ts.default_tokenizer())
 
 
 @pytest.fixture(scope="module")
