@@ -15,10 +15,12 @@ WS = r"\x20\x09-\x0D"
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` where it is set.
 
-    Only where it is unset (tests on one machine) a temporary folder is made and kept in the session.
+    Only where it is unset and all runs on one machine (tests) a temporary folder is made and kept in the session.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="ridgework-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -37,15 +39,38 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` has written, when all that was made of them is written itself."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if "/ridgework/" in folder:  # only what fresh_path has named
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Key of a row within one stage of the pipeline, where doc_id may be null or repeated.
 ROW = "__row_key"
+#: Keys up to this number (16 MB) are broadcast; beyond it both sides are shuffled.
+BROADCAST_KEYS = 1_000_000
 
 
 def numbered(docs: DataFrame, name: str) -> DataFrame:
-    """``docs`` with ROW, written once, so that all later reads see the same distinct keys."""
+    """``docs`` with ROW, a distinct key that all later reads see alike.
+
+    It is the doc_id where those are distinct and not null; else the rows are numbered and written once.
+    """
+    again = docs.select(F.col("doc_id").cast("long").alias("d")).groupBy("d").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR d IS NULL")
+    if again.isEmpty():
+        return docs.withColumn(ROW, F.col("doc_id").cast("long"))
     return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
 
 
+def rows_with_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The ``rows`` whose ROW is in the written table ``keys``."""
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys.hint("merge"), ROW, "left_semi").drop(ROW)
+
+
 def row_key(df: DataFrame) -> list[str]:
     """[ROW] if ``df`` carries it, else nothing."""
     return [ROW] if ROW in df.columns else []

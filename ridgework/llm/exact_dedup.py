@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ROW, WS, materialize, numbered, partitions, row_key, table
+from .common import ROW, WS, discard, materialize, numbered, partitions, row_key, rows_with_keys, table
 
 #: Characters of the normalised text that take part in the range splitters.
 PREFIX = 32
@@ -58,6 +58,7 @@ def content_groups(docs: DataFrame, n_partitions: int | None = None) -> DataFram
     )
     runs = runs.select("doc_id", *key, "_salt", "_head", "_head_len", "_n", "_rn", F.sha2("_norm", 256).alias("text_sha256"), F.when((F.col("_salt") >= 0) & (F.col("_rn") == 1), F.col("_norm")).alias("_text"))
     runs = materialize(runs, "content-runs")
+    discard(hashes)
     plain = runs.filter("_salt < 0").select("doc_id", F.col("_head").alias("keep_id"), F.col("_n").alias("group_size"), (F.col("_rn") == 1).alias("kept"), "text_sha256", *key)
     heads = runs.filter("_salt >= 0 AND _rn = 1")  # at most 8 * partitions rows
     of = Window.partitionBy("text_sha256", "_text")
@@ -70,7 +71,10 @@ def content_groups(docs: DataFrame, n_partitions: int | None = None) -> DataFram
 def keep_distinct(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that ``content_groups`` drops, also where doc_ids are null or repeated."""
     rows = numbered(docs, "content-docs")
-    return rows.join(content_groups(rows).filter("kept").select(ROW), ROW, "left_semi").select(*docs.columns)
+    groups = content_groups(rows)
+    kept = materialize(groups.filter("kept").select(ROW), "content-kept")
+    discard(groups)
+    return rows_with_keys(rows, kept).select(*docs.columns)
 
 
 def op5_content_sort_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

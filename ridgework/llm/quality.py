@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, materialize, numbered, row_key, table
+from .common import discard, materialize, table
 from .token_store import text_blocks
 
 #: Statistics of a text; each is a float column of the written table.
@@ -63,21 +63,21 @@ def statistics(text: str) -> list[float]:
     ]
 
 
+def stats_of(batch: pa.RecordBatch) -> np.ndarray:
+    """A row of STATS per row of a batch with doc_id and text, with the precision of the written table."""
+    return np.concatenate([np.array([statistics(t or "") for t in texts], np.float32) for _, texts in text_blocks(batch)] or [np.zeros((0, len(STATS)), np.float32)])
+
+
 def document_stats(docs: DataFrame) -> DataFrame:
-    """Written table doc_id, fold and STATS (and ROW if ``docs`` has it); null text counts as empty."""
-    key = row_key(docs)
-    schema = "doc_id long, " + ", ".join([f"{k} long" for k in key] + [f"{s} float" for s in STATS])
+    """Written table doc_id, fold and STATS; null text counts as empty."""
+    schema = "doc_id long, " + ", ".join(f"{s} float" for s in STATS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = 0
-            for doc_ids, texts in text_blocks(batch):
-                own = {k: batch.column(k).slice(at, len(texts)) for k in key}
-                at += len(texts)
-                x = np.array([statistics(t) for t in texts], np.float32)
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc_ids, pa.int64())} | own | {s: pa.array(x[:, i], pa.float32()) for i, s in enumerate(STATS)})
-
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), *key).mapInArrow(run, schema)
+            x = stats_of(batch)
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")} | {s: pa.array(x[:, i], pa.float32()) for i, s in enumerate(STATS)})
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema)
     return materialize(rows.withColumn("fold", F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS)), F.lit(0)).cast("int")), "quality-stats")
 
 
@@ -131,6 +131,7 @@ def fit(stats: DataFrame, labels: DataFrame, n_features: int = N_FEATURES, ridge
     scale = np.array([agg[f"s_{s}"] or 1.0 for s in STATS])
     model = Model(mean, np.where(scale > 1e-9, scale, 1.0), rng.normal(0, 1 / math.sqrt(d), (d, n_features)), rng.uniform(0, 2 * math.pi, n_features), None)
     if not agg["n"]:
+        discard(rows)
         return model
     k = n_features + d + 1
     train = rows.filter(F.col("fold") != CALIBRATE)
@@ -158,19 +159,19 @@ def fit(stats: DataFrame, labels: DataFrame, n_features: int = N_FEATURES, ridge
     if counts:
         b, mean_y, n = (np.array([r[c] for r in counts], float) for c in ("b", "y", "n"))
         model.bins, model.values = isotonic(b * BIN, mean_y, n)
+    discard(rows)
     return model
 
 
 def score(stats: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted (and ROW if ``stats`` has it): a row per row of ``stats``."""
-    key = row_key(stats)
+    """doc_id, held_out, score, predicted: a row per row of ``stats``."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({"doc_id": f["doc_id"], "fold": f["fold"], **{k: f[k] for k in key}, "score": model.score(f[list(STATS)].to_numpy(np.float64))})
+            yield pd.DataFrame({"doc_id": f["doc_id"], "fold": f["fold"], "score": model.score(f[list(STATS)].to_numpy(np.float64))})
 
-    rows = stats.mapInPandas(run, "doc_id long, fold int, " + "".join(f"{k} long, " for k in key) + "score double")
-    return rows.select("doc_id", (F.col("fold") == HELD_OUT).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *key)
+    rows = stats.mapInPandas(run, "doc_id long, fold int, score double")
+    return rows.select("doc_id", (F.col("fold") == HELD_OUT).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -179,11 +180,25 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(stats, fit(stats, labels))
 
 
+def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more: a map, which needs no key of a row.
+
+    Each row goes by its own text, whether its doc_id is null, repeated or neither; null text counts as empty.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(model.score(stats_of(batch).astype(np.float64)) >= threshold, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def keep_accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with predicted = 1; each row by its own text, whether its doc_id is null, repeated or neither."""
-    rows = numbered(docs, "quality-docs")
-    kept = materialize(score_documents(rows, labels).filter("predicted = 1").select(ROW), "kept")
-    return rows.join(kept, ROW, "left_semi").select(*docs.columns)
+    """The rows of ``docs`` that the classifier, trained on the labelled ones, predicts to be good."""
+    stats = document_stats(docs)
+    model = fit(stats, labels)
+    discard(stats)
+    return accepted(docs, model)
 
 
 def op7_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
