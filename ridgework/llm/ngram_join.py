@@ -31,11 +31,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ROW, materialize, numbered, partitions, table
-from .token_store import text_blocks
+from .common import ROW, discard, materialize, numbered, partitions, rows_with_keys, table
 
 WORDS = 5
 #: Similarity of 80 in 100.
@@ -45,6 +45,8 @@ MORE_ORDERS = 2
 MAX_FREQUENT = 1 << 20
 #: A block is counted when it holds so many shingles; shingles in at least RECUR of its documents are reported.
 BLOCK_SHINGLES, RECUR = 2 << 20, 3
+#: Texts whose words are hashed at once, in bytes.
+BLOCK_BYTES = 2 << 20
 #: Leaders of a bucket in the first round, and times more in each next.
 LEADERS, MORE_LEADERS = 1, 8
 #: Members that are verified against one copy of their leader.
@@ -55,42 +57,30 @@ BROADCAST_IDS = 1_000_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
-_BASE = 0x2127599BF4325C37
-_BYTES = np.random.default_rng(11).integers(1, 2**64, 256, np.uint64)
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, *range(9, 14)]] = True
-_powers = _inverses = np.ones(1, np.uint64)
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n-1 at least of an odd base and of its inverse, modulo 2 ** 64."""
-    global _powers, _inverses
-    if len(_powers) < n:
-        size = max(n, 1 << 16)
-        steps = np.repeat(np.array([[_BASE], [pow(_BASE, -1, 1 << 64)]], np.uint64), size, axis=1)
-        steps[:, 0] = 1
-        _powers, _inverses = np.cumprod(steps, axis=1, dtype=np.uint64)
-    return _powers, _inverses
-
-
-def word_hashes(data: bytes) -> np.ndarray:
-    """64-bit hashes of the maximal runs of bytes that aren't ASCII white space: polynomials, from sums over prefixes of the text."""
-    x = np.frombuffer(data, np.uint8)
-    edge = np.flatnonzero(np.diff(_SPACE[x], prepend=True, append=True))
-    start, end = edge[::2], edge[1::2]
-    up, down = _power_tables(len(x))
-    sums = np.cumsum(_BYTES[x] * up[: len(x)], dtype=np.uint64)
-    return _mixed((sums[end - 1] - np.where(start > 0, sums[start - 1], np.uint64(0))) * down[start])
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * _MIX[0]
     return x ^ (x >> np.uint64(29))
 
 
-def shingles(text: str, k: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the k-word shingles of the lower-cased (A-Z) text; of fewer words, one of all."""
-    h = word_hashes(text.encode("utf-8", "surrogatepass").lower())  # bytes: ASCII only, both
+def word_hashes(texts: pa.Array) -> list[np.ndarray]:
+    """Per text the 64-bit BLAKE2b hashes of its words, lower-cased (A-Z); each distinct word of the block is hashed once."""
+    words = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    coded = words.flatten().dictionary_encode()
+    found = coded.dictionary.cast(pa.large_binary()).to_pylist()
+    own = np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in found), "<u8")
+    empty = np.array([not w for w in found], bool)
+    at, bounds = coded.indices.to_numpy(), words.offsets.to_numpy()
+    bounds = bounds - bounds[0]
+    if empty.any():  # of white space at the ends
+        real = ~empty[at]
+        bounds = np.concatenate([[0], np.cumsum(real)])[bounds]
+        at = at[real]
+    h = own[at] if len(at) else np.zeros(0, np.uint64)
+    return [h[a:b] for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
+
+
+def shingles_of(h: np.ndarray, k: int = WORDS) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the k-word shingles of words with these hashes; of fewer words, one of all."""
     if not len(h):
         return np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
@@ -108,6 +98,20 @@ def shingles(text: str, k: int = WORDS) -> np.ndarray:
         return s[np.concatenate([[True], s[1:] != s[:-1]])]
 
 
+def shingles(text: str, k: int = WORDS) -> np.ndarray:
+    return shingles_of(word_hashes(pa.array([text], pa.string()))[0], k)
+
+
+def set_blocks(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(first row, shingle sets) of the texts of a batch in blocks of bounded size."""
+    texts, a, held = batch.column("text"), 0, 0
+    for b, size in enumerate(pc.binary_length(texts).to_pylist(), 1):
+        held += size
+        if held >= BLOCK_BYTES or b == batch.num_rows:
+            yield a, [shingles_of(h, k) for h in word_hashes(texts.slice(a, b - a))]
+            a, held = b, 0
+
+
 def prefix_length(n: int, num: int = NUM, den: int = DEN) -> int:
     return n - -(-num * n // den) + 1 if n else 0
 
@@ -176,9 +180,9 @@ def frequent_shingles(docs: DataFrame, k: int = WORDS) -> tuple[np.ndarray, np.n
             return pa.RecordBatch.from_pydict({"s": pa.array(found[some].view(np.int64)), "c": pa.array(counts[some].astype(np.int64))})
 
         for batch in batches:
-            for _, texts in text_blocks(batch):
-                for t in texts:
-                    held.append(s := shingles(t, k))
+            for _, sets in set_blocks(batch, k):
+                for s in sets:
+                    held.append(s)
                     size += len(s)
                     if size >= BLOCK_SHINGLES:
                         yield flush()
@@ -194,8 +198,10 @@ def frequent_shingles(docs: DataFrame, k: int = WORDS) -> tuple[np.ndarray, np.n
             break
         least = r["k"]
     if least is None:
+        discard(found)
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     rows = found.filter(F.col("k") >= least).toPandas()
+    discard(found)
     s, c = rows["s"].to_numpy(np.int64).view(np.uint64), rows["k"].to_numpy(np.uint64)
     order = np.argsort(s)
     return s[order], np.minimum(c[order], np.uint64(63))
@@ -210,10 +216,9 @@ def signatures(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN)
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = Frequent(*shared.value)
         for batch in batches:
-            for doc_ids, texts in text_blocks(batch):
-                sets = [shingles(t, k) for t in texts]
-                pre, two = zip(*(prefixes_and_two(s, frequent, orders, num, den) for s in sets)) if sets else ((), ())
-                cols = {"doc_id": pa.array(doc_ids, pa.int64()), "n": pa.array(map(len, sets), pa.int64()), "digest": pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())}
+            for first, sets in set_blocks(batch, k):
+                pre, two = zip(*(prefixes_and_two(s, frequent, orders, num, den) for s in sets))
+                cols = {"doc_id": batch.column("doc_id").slice(first, len(sets)), "n": pa.array(map(len, sets), pa.int64()), "digest": pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())}
                 cols["two"] = pa.array(two, pa.list_(pa.int32()))
                 for i in range(orders):
                     # only equality of some element matters, so 16 bits do for the filters that follow the first order
@@ -241,16 +246,20 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int = WORDS, num: int = NUM, de
         of, sets = None, []
         for batch in batches:
             out: list[tuple[int, int]] = []
-            for a, salt, b, text in zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "b", "text"))):
-                if b is None:
-                    if of != (a, salt):
-                        of, sets = (a, salt), []
-                    sets.append(shingles(text, k))
-                elif any(similar(s, shingles(text, k), num, den) for s in sets):
-                    out.append((a, b))
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "b"))))
+            for first, found in set_blocks(batch, k):
+                for (a, salt, b), x in zip(keys[first:], found):
+                    if b is None:
+                        if of != (a, salt):
+                            of, sets = (a, salt), []
+                        sets.append(x)
+                    elif any(similar(s, x, num, den) for s in sets):
+                        out.append((a, b))
             yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
 
-    return materialize(rows.mapInArrow(compare, "a long, b long").distinct(), "ngram-links")
+    links = materialize(rows.mapInArrow(compare, "a long, b long").distinct(), "ngram-links")
+    discard(ids, sizes)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -267,8 +276,10 @@ def components(links: DataFrame) -> DataFrame:
         step = labels.join(near, "node").select("node", "comp", F.least("comp", "m").alias("now"))
         jump = labels.select(F.col("node").alias("now"), F.col("comp").alias("far"))
         after = materialize(step.join(jump, "now", "left").select("node", F.least("now", "far").alias("comp"), (F.least("now", "far") < F.col("comp")).alias("moved")), "labels")
+        discard(labels)
         labels = after.select("node", "comp")
         if after.filter("moved").isEmpty():
+            discard(both)
             return labels
 
 
@@ -299,7 +310,9 @@ def near_groups(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN)
     may_lead = (num + den) * F.col("i") <= (den - num) * F.col("n")
     tokens = classes.select(F.posexplode("p0").alias("i", "t"), "node", "n")
     shared = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.bool_or(may_lead).alias("some")).filter("c > 1 AND some").select("t")
-    members = materialize(tokens.join(materialize(shared, "ngram-shared"), "t"), "ngram-members")
+    shared = materialize(shared, "ngram-shared")
+    members = materialize(tokens.join(shared, "t"), "ngram-members")
+    discard(shared)
     filters = classes.select("node", "n", *(f"p{i}" for i in range(1, 1 + MORE_ORDERS)))
 
     links, tested = [], []
@@ -325,26 +338,35 @@ def near_groups(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN)
             both = both.filter(enough(F.col("n_a"), F.col(f"a{i}"), F.col("n"), F.col(f"p{i}"), num, den))
         found = materialize(both.select("a", "b").distinct(), "ngram-candidates")
         if comps is not None and found.isEmpty():
+            discard(found)
             return leads, comps
         links.append(verify(found, docs, k, num, den))
+        discard(found, *([comps] if comps is not None else []))
         return leads, components(reduce(DataFrame.unionByName, links))
 
     def still_open(left: DataFrame, comps: DataFrame) -> DataFrame:
         """The members, with their components, of buckets that hold several components."""
         left = left.join(comps, "node", "left").select("t", "node", "n", "i", F.coalesce("comp", "node").alias("comp"))
         open_ = left.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bool_or(may_lead).alias("some")).filter("lo <> hi AND some").select("t")
-        return materialize(left.join(materialize(open_, "ngram-open"), "t"), "ngram-left")
+        open_ = materialize(open_, "ngram-open")
+        after = materialize(left.join(open_, "t"), "ngram-left")
+        discard(open_)
+        return after
 
-    _, comps = lead(classes.select(F.explode("two").alias("t"), F.lit(0).alias("i"), "node", "n", F.col("node").alias("comp")), 1, None)
+    leads, comps = lead(classes.select(F.explode("two").alias("t"), F.lit(0).alias("i"), "node", "n", F.col("node").alias("comp")), 1, None)
     left, count = still_open(members, comps), LEADERS
+    discard(leads, members)
     while not left.isEmpty():
+        before = left
         leads, comps = lead(left, count, comps)
-        done = leads.groupBy("t").agg(F.max("a").alias("done"))
-        left = left.drop("comp").join(materialize(done, "ngram-done"), "t", "left").filter(F.col("done").isNull() | ~may_lead | (F.col("node") > F.col("done"))).drop("done")
+        done = materialize(leads.groupBy("t").agg(F.max("a").alias("done")), "ngram-done")
+        left = left.drop("comp").join(done, "t", "left").filter(F.col("done").isNull() | ~may_lead | (F.col("node") > F.col("done"))).drop("done")
         left = still_open(left, comps)
+        discard(before, leads, done)
         count *= MORE_LEADERS
-    names = classes.join(comps, "node", "left").select("n", "digest", F.coalesce("comp", "node").alias("component_id"))
-    out = signed.select("doc_id", "n", "digest").join(materialize(names, "ngram-names"), ["n", "digest"], "left")
+    names = materialize(classes.join(comps, "node", "left").select("n", "digest", F.coalesce("comp", "node").alias("component_id")), "ngram-names")
+    out = materialize(signed.select("doc_id", "n", "digest").join(names, ["n", "digest"], "left").select("doc_id", "n", "component_id"), "ngram-groups")
+    discard(left, comps, classes, signed, names, *links, *tested)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"))
 
 
@@ -354,10 +376,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows are linked by a key of their own, so rows with a null or a repeated doc_id are compared like any others.
     """
     rows = numbered(docs, "ngram-docs")
-    groups = near_groups(rows.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), "component_id")
+    groups = near_groups(rows.select(F.col(ROW).alias("doc_id"), "text"))
     ranks = rows.select(ROW, F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), ROW).alias("_rank"))
-    first = groups.join(ranks, ROW).groupBy("component_id").agg(F.min("_rank").alias("_rank")).select(F.col("_rank")[ROW].alias(ROW))
-    return rows.join(materialize(first, "ngram-kept"), ROW, "left_semi").select(*docs.columns)
+    first = groups.select(F.col("doc_id").alias(ROW), "component_id").join(ranks, ROW).groupBy("component_id").agg(F.min("_rank").alias("_rank"))
+    kept = materialize(first.select(F.col("_rank")[ROW].alias(ROW)), "ngram-kept")
+    discard(groups)
+    return rows_with_keys(rows, kept).select(*docs.columns)
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,3 +90,21 @@ def test_keep_one(spark, sf):
     assert kept.columns == docs.columns
     assert {r["doc_id"] for r in kept.select("doc_id").collect()} == {i for i, _, c in brute(docs.collect()) if i == c}
     assert kept.filter(F.col("doc_id").isNull()).count() == 0
+
+
+def test_words_that_collide_under_polynomials():
+    """Thue-Morse words of 1024 characters have equal polynomial hashes modulo 2 ** 64."""
+    a = "a"
+    for _ in range(10):
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    assert ngram_join.shingles(a).tolist() != ngram_join.shingles(b).tolist()
+
+
+def test_word_blocks():
+    import pyarrow as pa
+
+    texts = ["", " ", "a b\tc\n\x0b\x0c\rd  e f ", "Ü É a", "A b C d e f", "a b c d e f"]
+    got = ngram_join.word_hashes(pa.array(texts, pa.string()).slice(1))
+    assert [len(h) for h in got] == [len(re.findall(r"[^\x20\x09-\x0D]+", t)) for t in texts[1:]]
+    assert got[1].tolist() == got[3].tolist() == got[4].tolist() == ngram_join.word_hashes(pa.array(texts[5:]))[0].tolist()
