@@ -2,10 +2,11 @@
 
 A source's documents are laid end to end as one stream of words (documents in the order of a hash
 of their id), which is cut into blocks of fixed length.  A source's target gives its number of
-slots in the mix.  Each slot draws its output shard independently, so the shards' counts of a
-source are multinomial and add up to the target exactly.  Slot j takes block perm(j mod blocks),
-where perm is a keyed pseudorandom permutation of the source's block indices (``common.permuted``); slots and blocks
-meet in a join on (source, block index).
+slots in the mix.  The slots of a source are dealt to the output shards by a multinomial draw: each slot draws its
+shard independently, and the draws are counted, so a shard's counts by source vary as drawn while those of a source add up to
+its target.  A shard then takes as many consecutive slots of the source as it has drawn, after those of the shards before it.
+Slot j takes block perm(j mod blocks), where perm is a keyed pseudorandom permutation of the source's block
+indices (``common.permuted``); slots and blocks meet in a join on (source, block index).
 """
 
 from __future__ import annotations
@@ -19,8 +20,12 @@ BLOCK_WORDS = 64
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, CAP = 1.5, 2.0
 SEED = 17
+#: Output shards; a set of them is a long's bits, so 64 at most.
+SHARDS = 64
 #: Slots that one row of the plan expands to.
 CHUNK = 4096
+#: Sources up to this number are broadcast; beyond it, a shuffle join.
+FEW_SOURCES = 100_000
 
 
 def n_words(text: Column) -> Column:
@@ -58,7 +63,21 @@ def lay_out(docs: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     return materialize(running_start(rows, ["_src", "_null"], ["doc_id", "size"], F.col("size"), "start"), "mix-layout")
 
 
-def draw(layout: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, block: int = BLOCK_WORDS, shards: int = 64, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+def deal(plan: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """Multinomial counts of each source per output shard: _src, _null, shard, drawn, first (the slots of the shards before it).
+
+    plan: _src, _null, n_slots.  The draws are made in chunks by many tasks and counted before any shuffle; what is
+    returned has at most ``shards`` rows a source.
+    """
+    n = 4 * partitions(plan.sparkSession)
+    chunks = plan.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / CHUNK).cast("long")))).repartition(n, "_src", "_null", "c")
+    draws = chunks.withColumn("d", F.explode(F.sequence(F.col("c") * CHUNK, F.least((F.col("c") + 1) * CHUNK, F.col("n_slots")) - 1)))
+    counts = draws.groupBy("_src", "_null", F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), "_src", "_null", "d"), F.lit(shards)).cast("int").alias("shard")).agg(F.count(F.lit(1)).alias("drawn"))
+    before = Window.partitionBy("_src", "_null").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("first", F.coalesce(F.sum("drawn").over(before), F.lit(0)))
+
+
+def draw(layout: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, block: int = BLOCK_WORDS, shards: int = SHARDS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """(sources with their targets, slots of the mix: _src, _null, shard, slot, epoch, block)."""
     sizes = layout.groupBy("_src", "_null").agg(F.sum("size").alias("source_size"))
     sources = source_targets(sizes.withColumn("source", F.when(~F.col("_null"), F.col("_src"))), weights, share, cap)
@@ -68,11 +87,13 @@ def draw(layout: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float =
     mean = F.col("source_size") / F.greatest(F.col("blocks"), F.lit(1))
     n_slots = F.least(F.round(F.col("target") / mean), F.floor(F.lit(cap)) * F.col("blocks")).cast("long")
     plan = sources.filter("source_size > 0").select("_src", "_null", "blocks", n_slots.alias("n_slots")).filter("n_slots > 0")
-    chunks = plan.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / CHUNK).cast("long")))).repartition(4 * partitions(layout.sparkSession), "_src", "_null", "c")
-    slots = chunks.withColumn("slot", F.explode(F.sequence(F.col("c") * CHUNK, F.least((F.col("c") + 1) * CHUNK, F.col("n_slots")) - 1)))
+    dealt = materialize(deal(plan.select("_src", "_null", "n_slots"), shards, seed), "mix-dealt")
+    few = F.broadcast(plan.select("_src", "_null", "blocks")) if sources.count() <= FEW_SOURCES else plan.select("_src", "_null", "blocks")
+    chunks = dealt.join(few, ["_src", "_null"]).withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("drawn") - 1) / CHUNK).cast("long")))).repartition(4 * partitions(layout.sparkSession), "_src", "_null", "shard", "c")
+    slots = chunks.withColumn("slot", F.explode(F.sequence(F.col("first") + F.col("c") * CHUNK, F.col("first") + F.least((F.col("c") + 1) * CHUNK, F.col("drawn")) - 1)))
     prf = lambda r, half: F.xxhash64(F.lit(seed), F.lit(r), "_src", "_null", half)
     slots = slots.select(
-        "_src", "_null", F.pmod(F.xxhash64(F.lit(seed), "_src", "_null", "slot"), F.lit(shards)).cast("int").alias("shard"), "slot",
+        "_src", "_null", "shard", "slot",
         F.floor(F.col("slot") / F.col("blocks")).cast("int").alias("epoch"), permuted(F.pmod("slot", "blocks"), F.col("blocks"), prf).alias("block"),
     )
     return sources, slots
@@ -86,7 +107,7 @@ def spans(layout: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
 
 
 def mix_counts(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, block: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken: a row per row of ``docs``.
+    """doc_id, source, size, source_size, target, taken, n_shards (output shards that hold words of it): a row per row of ``docs``.
 
     Null text has size 0 and is taken 0 times; null is a source of its own, the last.  A source whose
     documents have no words has target 0.  Rows that are equal in doc_id, source and size share what
@@ -94,12 +115,25 @@ def mix_counts(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: floa
     """
     layout = lay_out(docs, block)
     sources, slots = draw(layout, weights, share, cap, block, seed=seed)
-    times = slots.groupBy("_src", "_null", "block").agg(F.count(F.lit(1)).alias("times"))
+    times = slots.groupBy("_src", "_null", "block").agg(F.count(F.lit(1)).alias("times"), F.bit_or(F.expr("shiftleft(1L, shard)")).alias("_shards"))
     # the hint: the planner takes a table that grows out of the few rows of sources for a small one
-    taken = spans(layout, block).join(times.hint("merge"), ["_src", "_null", "block"], "left").groupBy("doc_id", "_src", "_null", "size", "start").agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"))
-    rows = taken.unionByName(layout.filter("size = 0").withColumn("taken", F.lit(0).cast("long")))
-    few = sources.count() <= 100_000  # a row a source; beyond that, a shuffle join
-    return rows.join(F.broadcast(sources) if few else sources, ["_src", "_null"]).select("doc_id", "source", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
+    taken = spans(layout, block).join(times.hint("merge"), ["_src", "_null", "block"], "left").groupBy("doc_id", "_src", "_null", "size", "start")
+    taken = taken.agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"), F.coalesce(F.bit_count(F.bit_or("_shards")), F.lit(0)).cast("long").alias("n_shards"))
+    rows = taken.unionByName(layout.filter("size = 0").withColumn("taken", F.lit(0).cast("long")).withColumn("n_shards", F.lit(0).cast("long")))
+    few = sources.count() <= FEW_SOURCES
+    return rows.join(F.broadcast(sources) if few else sources, ["_src", "_null"]).select("doc_id", "source", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), "n_shards")
+
+
+def mix_shards(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, block: int = BLOCK_WORDS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """What each output shard holds, to be written by shard: shard, slot, source, doc_id, first (word of the document), words.
+
+    A slot is a block of its source, so it may hold the end of one document and the start of the next, a row each.
+    """
+    layout = lay_out(docs, block)
+    _, slots = draw(layout, weights, share, cap, block, shards, seed)
+    rows = spans(layout, block).join(slots.hint("merge"), ["_src", "_null", "block"])
+    first = F.greatest(F.col("block") * block - F.col("start"), F.lit(0))
+    return rows.select("shard", "slot", F.when(~F.col("_null"), F.col("_src")).alias("source"), "doc_id", first.alias("first"), "words")
 
 
 def mix_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, block: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
@@ -112,10 +146,13 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: f
     layout = lay_out(numbered_docs, block)
     _, slots = draw(layout, weights, share, cap, block, seed=seed)
     drawn = spans(layout, block).join(slots.select("_src", "_null", "block", "epoch").hint("merge"), ["_src", "_null", "block"])
-    drawn = drawn.groupBy(ROW, "epoch", F.col("start").alias("_start"), F.col("size").alias("_size")).agg(F.sum("words").alias("_taken"), F.collect_set("block").alias("_blocks")).drop("epoch")
+    drawn = drawn.groupBy(ROW, "epoch", F.col("start").alias("_start"), F.col("size").alias("_size")).agg(F.sum("words").alias("_taken"), F.sort_array(F.collect_set("block")).alias("_blocks")).drop("epoch")
     rows = numbered_docs.join(drawn, ROW)
     words = F.split(F.regexp_replace("text", f"^[{WS}]+", ""), f"[{WS}]+")
-    part = F.array_join(F.filter(words, lambda w, i: (w != "") & F.array_contains("_blocks", F.floor((F.col("_start") + i) / block))), " ")
+    size, to = F.lit(block), F.col("_start") + F.col("_size")
+    of_block = lambda w, b: F.slice(w, F.greatest(b * size - F.col("_start"), F.lit(0)).cast("int") + 1, (F.least((b + 1) * size, to) - F.greatest(b * size, F.col("_start"))).cast("int"))
+    # the words are an element of an array, so that they are split once and not for each block
+    part = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("_blocks", lambda b: of_block(w, b))), " "))[0]
     text = F.when(F.col("_taken") == F.col("_size"), F.col("text")).otherwise(part)
     out = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return rows.select(*(out[c].alias(c) if c in out else F.col(c) for c in docs.columns))

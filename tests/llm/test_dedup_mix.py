@@ -99,6 +99,36 @@ def test_mixed_documents_hold_the_words(spark, sf):
     assert {r["doc_id"]: r["n"] for r in got.collect()} == want
 
 
+def test_shards_are_drawn(spark, sf):
+    """A source's counts by shard are a multinomial draw that adds up; the shards hold all that is taken, a slot each once."""
+    docs = common.table(spark, sf, "documents")
+    rows = mixing.mix_shards(docs, shards=8).collect()
+    assert {tuple(r) for r in rows} == {tuple(r) for r in mixing.mix_shards(docs, shards=8).collect()}
+    taken, slots = Counter(), defaultdict(set)
+    for r in rows:
+        taken[r["doc_id"]] += r["words"]
+        slots[(r["source"], r["shard"])].add(r["slot"])
+    assert taken == +Counter({r["doc_id"]: r["taken"] for r in mixing.mix_counts(docs).collect()})
+    for source in {s for s, _ in slots}:
+        own = sorted((shard, x) for (s, shard), xs in slots.items() if s == source for x in xs)
+        n = len(own)
+        assert [x for _, x in own] == list(range(n))  # consecutive slots, shard after shard
+        counts = [len(slots[(source, i)]) for i in range(8)]
+        assert sum((c - n / 8) ** 2 / (n / 8) for c in counts) < 40  # chi square, 7 degrees of freedom
+        assert n < 200 or len(set(counts)) > 1
+
+
+def test_deal_sums(spark):
+    plan = spark.createDataFrame([("a", False, 10_000), ("", True, 3)], "_src string, _null boolean, n_slots long")
+    rows = mixing.deal(plan, 4).collect()
+    for s, n in (("a", 10_000), ("", 3)):
+        at = 0
+        for r in sorted((r for r in rows if r["_src"] == s), key=lambda r: r["shard"]):
+            assert r["first"] == at and r["drawn"] > 0
+            at += r["drawn"]
+        assert at == n
+
+
 def test_permutation_is_one(spark):
     for n in (1, 2, 3, 5, 7, 10, 97, 1000, 4099):
         got = spark.range(n).select(common.permuted(F.col("id"), F.lit(n).cast("long"), lambda r, half: F.xxhash64(F.lit(r), half)).alias("x")).collect()
