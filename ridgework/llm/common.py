@@ -49,6 +49,17 @@ def discard(*tables: DataFrame) -> None:
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes of texts that go to a Python worker at once, unless the session says otherwise.
+BATCH_BYTES, BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def mapped(df: DataFrame, f, schema) -> DataFrame:
+    """``df.mapInArrow`` in batches of few bytes: ten thousand rows, Spark's default, are many megabytes of texts on both sides of the pipe."""
+    if df.sparkSession.conf.get(BATCH_SETTING, None) is None:
+        df.sparkSession.conf.set(BATCH_SETTING, f"{BATCH_BYTES}b")
+    return df.mapInArrow(f, schema)
+
+
 #: Key of a row within one stage of the pipeline, where doc_id may be null or repeated.
 ROW = "__row_key"
 #: Keys up to this number (16 MB) are broadcast; beyond it both sides are shuffled.

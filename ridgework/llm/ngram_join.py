@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ROW, discard, materialize, numbered, partitions, rows_with_keys, table
+from .common import ROW, discard, mapped, materialize, numbered, partitions, rows_with_keys, table
 
 WORDS = 5
 #: Similarity of 80 in 100.
@@ -44,7 +44,7 @@ NUM, DEN = 80, 100
 MORE_ORDERS = 2
 MAX_FREQUENT = 1 << 20
 #: A block is counted when it holds so many shingles; shingles in at least RECUR of its documents are reported.
-BLOCK_SHINGLES, RECUR = 2 << 20, 3
+BLOCK_SHINGLES, RECUR = 1 << 20, 3
 #: Texts whose words are hashed at once, in bytes.
 BLOCK_BYTES = 2 << 20
 #: Leaders of a bucket in the first round, and times more in each next.
@@ -189,7 +189,7 @@ def frequent_shingles(docs: DataFrame, k: int = WORDS) -> tuple[np.ndarray, np.n
         if held:
             yield flush()
 
-    found = docs.mapInArrow(count, "s long, c long").groupBy("s").agg(F.sum("c").alias("c")).select("s", F.floor(F.log2("c")).cast("int").alias("k"))
+    found = mapped(docs, count, "s long, c long").groupBy("s").agg(F.sum("c").alias("c")).select("s", F.floor(F.log2("c")).cast("int").alias("k"))
     found = materialize(found, "ngram-frequent")
     left, least = MAX_FREQUENT, None
     for r in found.groupBy("k").count().orderBy(F.col("k").desc()).collect():  # a row a class
@@ -226,7 +226,7 @@ def signatures(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN)
                 yield pa.RecordBatch.from_pydict(cols)
 
     schema = "doc_id long, n long, digest binary, two array<int>, p0 array<int>" + "".join(f", p{i} array<short>" for i in range(1, orders))
-    return materialize(docs.mapInArrow(sign, schema), "ngram-signatures")
+    return materialize(mapped(docs, sign, schema), "ngram-signatures")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -257,7 +257,7 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int = WORDS, num: int = NUM, de
                         out.append((a, b))
             yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
 
-    links = materialize(rows.mapInArrow(compare, "a long, b long").distinct(), "ngram-links")
+    links = materialize(mapped(rows, compare, "a long, b long").distinct(), "ngram-links")
     discard(ids, sizes)
     return links
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, running_start, table
+from .common import mapped, materialize, running_start, table
 from .token_store import default_tokenizer, text_blocks
 
 MAX_LEN = 1024
@@ -131,7 +131,7 @@ def cut_pieces(docs: DataFrame, max_len: int = MAX_LEN, tokenizer: str | None =
                     names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
                     yield pa.RecordBatch.from_pydict({names[i]: pa.array(cols[i], t) for i, t in enumerate(types)})
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(cut, schema)
+    return mapped(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), cut, schema)
 
 
 def place(pieces: DataFrame, max_len: int = MAX_LEN) -> DataFrame:

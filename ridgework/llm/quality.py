@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, table
+from .common import discard, mapped, materialize, table
 from .token_store import text_blocks
 
 #: Statistics of a text; each is a float column of the written table.
@@ -77,7 +77,7 @@ def document_stats(docs: DataFrame) -> DataFrame:
             x = stats_of(batch)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")} | {s: pa.array(x[:, i], pa.float32()) for i, s in enumerate(STATS)})
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema)
+    rows = mapped(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")), run, schema)
     return materialize(rows.withColumn("fold", F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS)), F.lit(0)).cast("int")), "quality-stats")
 
 
@@ -190,7 +190,7 @@ def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Dat
         for batch in batches:
             yield batch.filter(pa.array(model.score(stats_of(batch).astype(np.float64)) >= threshold, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
 
 
 def keep_accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, partitions
+from .common import fresh_path, mapped, materialize, partitions, table
 
 MAGIC, HEAD = b"EFT1", struct.Struct("<4sIQQIQ")
 NULL_ID = -(2**63)
@@ -194,9 +194,7 @@ def write_token_shards(docs: DataFrame, out: str, tokenizer: str | None = None,
         if ids:
             yield flush(task)
 
-    from .common import materialize
-
-    return materialize(rows.mapInArrow(write, "task int, shard int, n_docs long, n_ids long"), "token-manifest")
+    return materialize(mapped(rows, write, "task int, shard int, n_docs long, n_ids long"), "token-manifest")
 
 
 def text_blocks(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
@@ -233,7 +231,7 @@ def read_token_shards(spark: SparkSession, path: str, manifest: DataFrame) -> Da
                 crc = [zlib.crc32(s.array[a:b].astype("<u4").tobytes()) for a, b in zip(starts.tolist(), ends.tolist())]
                 yield pa.RecordBatch.from_pydict({"task": pa.array([task] * s.n, pa.int32()), "shard": pa.array([shard] * s.n, pa.int32()), "doc_id": pa.array(s.doc_ids, pa.int64()), "first": pa.array(starts, pa.int64()), "n_tokens": pa.array(ends - starts, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
 
-    found = files.select("path", "content").mapInArrow(read, "task int, shard int, doc_id long, first long, n_tokens long, ids_crc32 long")
+    found = mapped(files.select("path", "content"), read, "task int, shard int, doc_id long, first long, n_tokens long, ids_crc32 long")
     # a row a shard: its size is proven by the manifest's count, which the hint follows
     bases = F.broadcast(bases) if manifest.count() <= 100_000 else bases
     return found.join(bases, ["task", "shard"]).select("doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
@@ -241,8 +239,6 @@ def read_token_shards(spark: SparkSession, path: str, manifest: DataFrame) -> Da
 
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, encoded, written as shards and read back."""
-    from .common import table
-
     out = fresh_path(spark, "tokens")
     manifest = write_token_shards(table(spark, sf_dir, "documents"), out)
     if manifest.isEmpty():

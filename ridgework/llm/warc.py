@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialize, table
+from .common import fresh_path, mapped, materialize, table
 from .token_store import put_file
 
 #: An archive is closed when its payloads take so many bytes; a longer payload has an archive of its own.
@@ -109,7 +109,7 @@ def write_archives(pages: DataFrame, out: str, min_bytes: int = 0, archive_bytes
         if parts:
             yield flush()
 
-    return materialize(rows.mapInArrow(write, "file string, n_records long, n_revisits long"), "warc-manifest")
+    return materialize(mapped(rows, write, "file string, n_records long, n_revisits long"), "warc-manifest")
 
 
 def read_archives(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
@@ -136,7 +136,7 @@ def read_archives(spark: SparkSession, path: str, manifest: DataFrame) -> DataFr
                 cols = list(zip(*out))
                 yield pa.RecordBatch.from_pydict({"page_id": pa.array(cols[0], pa.int64()), "payload_bytes": pa.array(cols[1], pa.int64()), "payload_digest": pa.array(cols[2], pa.string()), "record_type": pa.array(cols[3], pa.string()), "refers_to": pa.array(cols[4], pa.int64())})
 
-    return files.select("content").mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return mapped(files.select("content"), read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
