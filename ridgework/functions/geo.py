@@ -25,6 +25,21 @@ def mock_elevation_m(lat: Column, lng: Column) -> Column:
     return F.greatest(F.lit(0.0), 100 + F.sin(0.07 * lat) * 120 + F.cos(0.05 * lng) * 80)
 
 
+def bearing_deg(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
+    """Initial bearing, 0 to 360."""
+    y = F.sin(F.radians(lng2 - lng1)) * F.cos(F.radians(lat2))
+    x = F.cos(F.radians(lat1)) * F.sin(F.radians(lat2)) - F.sin(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.cos(F.radians(lng2 - lng1))
+    return F.pmod(F.degrees(F.atan2(y, x)) + 360, F.lit(360.0))
+
+
+def destination(lat: Column, lng: Column, bearing: Column, metres: Column) -> tuple[Column, Column]:
+    """(lat, lng) of the point at a bearing and distance on the sphere."""
+    delta, theta, phi = metres / EARTH_M, F.radians(bearing), F.radians(lat)
+    to = F.asin(F.sin(phi) * F.cos(delta) + F.cos(phi) * F.sin(delta) * F.cos(theta))
+    lam = F.radians(lng) + F.atan2(F.sin(theta) * F.sin(delta) * F.cos(phi), F.cos(delta) - F.sin(phi) * F.sin(to))
+    return F.degrees(to), F.degrees(lam)
+
+
 def hex_center(q: Column, r: Column, size: float) -> tuple[Column, Column]:
     """Local metres of a pointy-top axial cell."""
     return size * (3**0.5 * q + 3**0.5 / 2 * r), size * 1.5 * r

@@ -14,8 +14,9 @@ SLOPE = {
 }
 # Default limits by kind.
 MAX_SLOPE, MAX_SIDE = {"Machinery": 25.0, "HandCrew": 45.0, "Aircraft": 90.0}, {"Machinery": 24.0, "HandCrew": 40.0, "Aircraft": 90.0}
+TERRAIN_CEILING = {"flat": 10.0, "medium": 25.0, "steep": 45.0, "very_steep": 90.0}
 CUT_WIDTH_M, EXTRA_PASS, CREW_WIDTH_M = 3.4, 0.85, 3.0
-PARTIAL_SHARE, PARTIAL_PENALTY = 0.15, 2.0
+PARTIAL_SHARE, PARTIAL_PENALTY, NOTIONAL_RATE = 0.15, 2.0, 0.1
 
 
 def interpolate_sql(x: str, anchors) -> str:
@@ -49,5 +50,36 @@ def slope_class_sql(slope: str) -> str:
     return f"(CASE WHEN {slope} >= 0 AND {slope} < 10 THEN 'flat' WHEN {slope} >= 10 AND {slope} < 25 THEN 'medium' WHEN {slope} >= 25 AND {slope} < 45 THEN 'steep' ELSE 'very_steep' END)"
 
 
-def limit_sql(kind: str, explicit: str, defaults: dict[str, float]) -> str:
-    return f"(CASE WHEN {explicit} > 0 THEN {explicit} ELSE {by_kind_sql(kind, {k: str(v) for k, v in defaults.items()})} END)"
+def terrain_level_sql(slope: str) -> str:
+    """Level of a slope; unlike the class, a negative one is flat."""
+    return f"(CASE WHEN {slope} < 10 THEN 'flat' WHEN {slope} < 25 THEN 'medium' WHEN {slope} < 45 THEN 'steep' ELSE 'very_steep' END)"
+
+
+def max_slope_sql(kind: str, explicit: str, terrain: str) -> str:
+    """An explicit limit above 0; else the ceiling of the steepest terrain level in a comma list, at most 1.8 times the kind's default (an empty list: the default)."""
+    ceiling = f"(CASE {' '.join(f"WHEN concat(',', {terrain}, ',') LIKE '%,{t},%' THEN {c}e0" for t, c in sorted(TERRAIN_CEILING.items(), key=lambda x: -x[1]))} WHEN {terrain} = '' THEN {by_kind_sql(kind, {k: f'{v}e0' for k, v in MAX_SLOPE.items()})} ELSE 0e0 END)"
+    return f"(CASE WHEN {explicit} > 0 THEN {explicit} ELSE least({ceiling}, {by_kind_sql(kind, {k: f'{v * 1.8}e0' for k, v in MAX_SLOPE.items()})}) END)"
+
+
+def max_side_sql(kind: str, explicit: str) -> str:
+    return f"(CASE WHEN {explicit} > 0 THEN {explicit} ELSE {by_kind_sql(kind, {k: f'{v}e0' for k, v in MAX_SIDE.items()})} END)"
+
+
+def max_slope(kind: str, explicit: float | None, terrain: str) -> float:
+    if explicit and explicit > 0:
+        return explicit
+    ceiling = max(TERRAIN_CEILING.get(t, 0.0) for t in terrain.split(",")) if terrain else MAX_SLOPE[kind]
+    return min(ceiling, MAX_SLOPE[kind] * 1.8)
+
+
+def width(kind: str, width_m: float, cut: float | None) -> tuple[int | None, float]:
+    """(passes of a machine, times the work) for a break of this width."""
+    if kind == "Machinery":
+        passes = max(1, -int(-width_m // (cut or CUT_WIDTH_M)))
+        return passes, 1 + (passes - 1) * EXTRA_PASS
+    return None, 1.0 if kind == "Aircraft" or width_m <= CREW_WIDTH_M else width_m / CREW_WIDTH_M
+
+
+def rounded_sql(x: str) -> str:
+    """To the next integer, halves up, as text."""
+    return f"cast(cast(floor({x} + 0.5e0) AS BIGINT) AS STRING)"

@@ -2,23 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions import production as p
-from ..operators import evaluation, grid, linear
+from ..operators import grid
 from ..sources import tables as t
 from ..streaming import telemetry
+from . import equipment, lines  # noqa: F401  register their queries
+from .registry import QUERIES, SQL, query  # noqa: F401
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-SEG, CELL, POINT, RES = t.derived_sql("lineitem", t.SEGMENT), t.derived_sql("part", t.CELL), t.derived_sql("supplier", t.POINT), t.resources_sql()
-W = str(t.BREAK_WIDTH_M)
+SEG, CELL = t.derived_sql("lineitem", t.SEGMENT), t.derived_sql("part", t.CELL)
 
 
 def query(sql: str | None = None):
@@ -39,144 +34,9 @@ def _cells(spark, sf):
     return t.derived(spark, sf, "part", t.CELL)
 
 
-_LIMIT, _SIDE = (p.by_kind_sql("kind", {k: str(v) for k, v in d.items()}) for d in (p.MAX_SLOPE, p.MAX_SIDE))
-_LINES = f"""
-  SELECT plan, resource, kind, cost_hour, sum(len) AS total, sum(CASE WHEN slope > {_LIMIT} OR side > {_SIDE} THEN len ELSE 0 END) AS over_,
-         sum(len / (rate * {p.fuel_sql("kind", "veg")} * {p.slope_factor_sql("kind", "slope")}) * {p.width_sql("kind", W, "cut")}) AS h
-  FROM {SEG} AS s CROSS JOIN {RES} AS r WHERE NOT water AND kind <> 'Aircraft' GROUP BY ALL"""
-_EVAL = f"""
-SELECT plan, resource, kind, round(total, 3) AS total_m, round(over_, 3) AS over_m, level, round(t, 6) AS hours, round(t * cost_hour, 4) AS cost
-FROM (SELECT *, CASE WHEN level = 'incompatible' THEN 0.0 ELSE h * (1 + {p.PARTIAL_PENALTY} * over_ / total) END AS t
-      FROM (SELECT *, CASE WHEN over_ = 0 THEN 'full' WHEN over_ / total <= {p.PARTIAL_SHARE} THEN 'partial' ELSE 'incompatible' END AS level FROM ({_LINES})))"""
-
-
-@query(_EVAL)
-def equip_line_eval(spark, sf):
-    return evaluation.evaluate_lines(_segments(spark, sf), t.resources(spark), t.BREAK_WIDTH_M)
-
-
-@query(f"""
-SELECT plan, resource, CAST(drops AS BIGINT) AS drops, round(drops / rate, 6) AS hours, round(coalesce(drops * cost_drop, drops / rate * cost_hour), 4) AS cost
-FROM (SELECT plan, resource, rate, cost_hour, cost_drop, greatest(1.0, ceil(round(sum(len / (drop_m * {p.fuel_sql("kind", "veg")})), 6))) AS drops
-      FROM {SEG} AS s CROSS JOIN {RES} AS r WHERE NOT water AND kind = 'Aircraft' GROUP BY plan, resource, rate, cost_hour, cost_drop)""")
-def equip_aircraft_eval(spark, sf):
-    return evaluation.evaluate_drops(_segments(spark, sf), t.resources(spark))
-
-
-@query(f"""
-SELECT plan, resource, hours, cost FROM (
-  SELECT *, row_number() OVER (PARTITION BY plan ORDER BY cost, resource) AS rn FROM (
-    SELECT *, min(hours) OVER (PARTITION BY plan) AS fastest FROM ({_EVAL}) WHERE level <> 'incompatible') WHERE hours <= 2.0 * fastest) WHERE rn = 1""")
-def equip_recommend(spark, sf):
-    return evaluation.recommend(equip_line_eval(spark, sf))
-
-
 _C = p.slope_class_sql("slope")
 
 
-@query(f"""
-SELECT plan, round(l, 3) AS total_m, round(ls / l, 6) AS mean_slope, round(ms, 6) AS max_slope, round(w, 3) AS water_m,
-       round(least(100.0, 0.55 * (30 * m + 70 * s + 100 * v) / greatest(1.0, l) + 0.45 * (25 * a + 55 * b + 100 * c) / greatest(1.0, l)), 4) AS difficulty
-FROM (SELECT plan, sum(len) AS l, sum(len * slope) AS ls, max(slope) AS ms, sum(CASE WHEN water THEN len ELSE 0 END) AS w,
-  sum(CASE WHEN {_C} = 'medium' THEN len ELSE 0 END) AS m, sum(CASE WHEN {_C} = 'steep' THEN len ELSE 0 END) AS s, sum(CASE WHEN {_C} = 'very_steep' THEN len ELSE 0 END) AS v,
-  sum(CASE WHEN veg = 'lightshrub' THEN len ELSE 0 END) AS a, sum(CASE WHEN veg = 'mediumscrub' THEN len ELSE 0 END) AS b, sum(CASE WHEN veg = 'heavyforest' THEN len ELSE 0 END) AS c
-  FROM {SEG} GROUP BY plan)""")
-def equip_meta(spark, sf):
-    """Mean and largest slope, water and difficulty of each plan."""
-    return evaluation.plan_summary(_segments(spark, sf))
-
-
-@query(f"""
-SELECT resource, kind, slope, veg, round(rate * {p.fuel_sql("kind", "veg")} * {p.slope_factor_sql("kind", "slope")}, 6) AS effective
-FROM {RES} AS r CROSS JOIN (SELECT DISTINCT p_size * 1.25 AS slope FROM part) AS s CROSS JOIN (SELECT unnest(['grassland', 'lightshrub', 'mediumscrub', 'heavyforest']) AS veg) AS v""")
-def rate_curve(spark, sf):
-    """Effective rates of the catalogue over slopes and vegetation."""
-    slopes = t.table(spark, sf, "part").select((F.col("p_size") * F.expr("1.25D")).alias("slope")).distinct()
-    rows = slopes.withColumn("veg", F.explode(F.array(*map(F.lit, p.VEGETATION)))).crossJoin(F.broadcast(t.resources(spark)))
-    return rows.select("resource", "kind", "slope", "veg", F.round(F.col("rate") * F.expr(p.fuel_sql("kind", "veg")) * F.expr(p.slope_factor_sql("kind", "slope")), 6).alias("effective"))
-
-
-@query(f"SELECT p_partkey, resource, round({p.width_sql('kind', 'p_size * 0.5', 'cut')}, 6) AS multiplier FROM part CROSS JOIN {RES} AS r")
-def width_multiplier(spark, sf):
-    rows = t.table(spark, sf, "part").crossJoin(F.broadcast(t.resources(spark)))
-    return rows.select("p_partkey", "resource", F.round(F.expr(p.width_sql("kind", "p_size * 0.5D", "cut")), 6).alias("multiplier"))
-
-
-_ORD = ", ".join(linear.ORDER)
-_CHAIN = f"(SELECT *, row_number() OVER (PARTITION BY plan ORDER BY {_ORD}) AS seg_no, sum(len) OVER (PARTITION BY plan ORDER BY {_ORD} ROWS UNBOUNDED PRECEDING) AS end_m FROM {SEG})"
-
-
-@query(f"SELECT plan, seg_no, round(end_m - len, 3) AS start_m, round(end_m, 3) AS end_m FROM {_CHAIN}")
-def chainage(spark, sf):
-    return linear.chainage(_segments(spark, sf)).select("plan", F.col("seg_no").cast("long").alias("seg_no"), F.round("start_m", 3).alias("start_m"), F.round("end_m", 3).alias("end_m"))
-
-
-def _runs_sql(by: str) -> str:
-    return f"""
-SELECT plan, run_no, {by}, round(min(end_m - len), 3) AS start_m, round(max(end_m), 3) AS end_m, count(*) AS segments, round(max(slope), 6) AS max_slope
-FROM (SELECT *, sum(new) OVER (PARTITION BY plan ORDER BY seg_no) AS run_no FROM (
-  SELECT *, CASE WHEN lag({by}) OVER (PARTITION BY plan ORDER BY seg_no) IS NOT DISTINCT FROM {by} THEN 0 ELSE 1 END AS new FROM {_CHAIN})) GROUP BY plan, run_no, {by}"""
-
-
-@query(_runs_sql("veg"))
-def rle_vegetation(spark, sf):
-    return linear.runs(_segments(spark, sf), "veg")
-
-
-_CLASSED = f"(SELECT *, {_C} AS slope_class FROM {SEG})"
-
-
-@query(_runs_sql("slope_class").replace(SEG, _CLASSED))
-def rle_slope(spark, sf):
-    return linear.runs(_segments(spark, sf).withColumn("slope_class", F.expr(_C)), "slope_class")
-
-
-@query(f"""
-SELECT plan, rank, start_m, end_m FROM (
-  SELECT *, row_number() OVER (PARTITION BY plan ORDER BY end_m - start_m DESC, start_m) AS rank FROM ({_runs_sql("slope_class").replace(SEG, _CLASSED)}) WHERE slope_class IN ('steep', 'very_steep')) WHERE rank <= 3""")
-def steep_runs_top3(spark, sf):
-    """The three longest steep runs of each plan: the report is the feature."""
-    steep = rle_slope(spark, sf).filter("slope_class IN ('steep', 'very_steep')")
-    rank = F.row_number().over(Window.partitionBy("plan").orderBy((F.col("end_m") - F.col("start_m")).desc(), "start_m"))
-    return steep.withColumn("rank", rank.cast("long")).filter("rank <= 3").select("plan", "rank", "start_m", "end_m")
-
-
-@query(f"""
-SELECT slope_class, veg, round(sum(least(a.end_m, b.end_m) - greatest(a.start_m, b.start_m)), 2) AS overlap_m, count(*) AS pieces
-FROM ({_runs_sql("slope_class").replace(SEG, _CLASSED)}) AS a JOIN ({_runs_sql("veg")}) AS b USING (plan)
-WHERE least(a.end_m, b.end_m) > greatest(a.start_m, b.start_m) GROUP BY slope_class, veg""")
-def overlap_matrix(spark, sf):
-    """Length by slope class and vegetation, from the overlap of two run tables."""
-    return linear.overlap_matrix(rle_slope(spark, sf), rle_vegetation(spark, sf), "slope_class", "veg")
-
-
-@query(f"""
-SELECT plan, veg, round(m, 3) AS length_m, round(m / total, 6) AS share FROM (
-  SELECT *, sum(m) OVER (PARTITION BY plan) AS total, row_number() OVER (PARTITION BY plan ORDER BY m DESC, first) AS rn
-  FROM (SELECT plan, veg, sum(len) AS m, min(seg_no) AS first FROM {_CHAIN} GROUP BY plan, veg)) WHERE rn = 1""")
-def predominant_veg(spark, sf):
-    """The vegetation with most length on each plan; of equal ones, the first met."""
-    w = Window.partitionBy("plan")
-    s = linear.chainage(_segments(spark, sf)).groupBy("plan", "veg").agg(F.sum("len").alias("m"), F.min("seg_no").alias("first"))
-    s = s.withColumn("total", F.sum("m").over(w)).withColumn("rn", F.row_number().over(w.orderBy(F.col("m").desc(), "first")))
-    return s.filter("rn = 1").select("plan", "veg", F.round("m", 3).alias("length_m"), F.round(F.col("m") / F.col("total"), 6).alias("share"))
-
-
-_MOCK = "greatest(0.0, 100 + sin(0.07 * lat) * 120 + cos(0.05 * lng) * 80)"
-
-
-@query(f"""
-SELECT track, count(*) AS steps, round(sum(d), 3) AS length_m, round(max(CASE WHEN d = 0 THEN 0.0 ELSE degrees(atan(abs(elev - e0) / d)) END), 6) AS max_slope, true AS estimated
-FROM (SELECT *, 2 * 6371000.0 * atan2(sqrt(a), sqrt(1 - a)) AS d FROM (
-  SELECT *, pow(sin(radians(lat - y0) / 2), 2) + cos(radians(y0)) * cos(radians(lat)) * pow(sin(radians(lng - x0) / 2), 2) AS a FROM (
-    SELECT *, {_MOCK} AS elev, lag({_MOCK}) OVER w AS e0, lag(lat) OVER w AS y0, lag(lng) OVER w AS x0 FROM {POINT} WINDOW w AS (PARTITION BY track ORDER BY seq)) WHERE y0 IS NOT NULL))
-GROUP BY track""")
-def haversine_len(spark, sf):
-    """Length and largest slope of tracks on the stand-in terrain; the flag says that it is an estimate."""
-    s = linear.track_slopes(t.derived(spark, sf, "supplier", t.POINT))
-    return s.groupBy("track").agg(F.count(F.lit(1)).alias("steps"), F.round(F.sum("dist_m"), 3).alias("length_m"), F.round(F.max("slope"), 6).alias("max_slope"), F.bool_or("estimated").alias("estimated"))
-
-
 @query(f"SELECT q, r, round({grid.SIZE_M} * (sqrt(3.0) * q + sqrt(3.0) / 2 * r), 4) AS x, round({grid.SIZE_M} * 1.5 * r, 4) AS y, CAST((abs(q - 10) + abs(r - 5) + abs(q - 10 + r - 5)) / 2 AS INTEGER) AS ring FROM {CELL}")
 def hex_project(spark, sf):
     """Local metres of each cell and its ring around cell (10, 5)."""

@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write and read back below ``spark.checkpoint.dir``; a temporary folder is set only where that is unset."""
+    """Write and read back below ``spark.checkpoint.dir``; a temporary folder is set only where that is unset and all runs on one machine."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="ridgework-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/ridgework/{name}-{uuid.uuid4().hex}"

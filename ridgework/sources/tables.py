@@ -11,20 +11,30 @@ from pyspark.sql import functions as F
 VEG = "(CASE WHEN l_returnflag = 'A' THEN 'grassland' WHEN l_returnflag = 'R' THEN 'lightshrub' WHEN l_linestatus = 'F' THEN 'mediumscrub' ELSE 'heavyforest' END)"
 SEGMENT = {
     "plan": "l_orderkey", "line": "l_linenumber", "len": "l_quantity * 20.0", "slope": "l_discount * 500.0", "side": "l_tax * 400.0", "veg": VEG, "water": "l_partkey % 17 = 0",
-    "part": "l_partkey", "supp": "l_suppkey", "price": "l_extendedprice",
+    "conf": "0.5e0 + (l_partkey % 50) / 100.0e0", "part": "l_partkey", "supp": "l_suppkey", "price": "l_extendedprice",
 }
 CELL = {
     "q": "CAST(p_partkey % 50 AS INTEGER)", "r": "CAST(floor(p_partkey / 50.0) AS INTEGER)", "elev": "p_retailprice / 10.0",
     "veg": "(CASE p_size % 4 WHEN 0 THEN 'grassland' WHEN 1 THEN 'lightshrub' WHEN 2 THEN 'mediumscrub' ELSE 'heavyforest' END)", "trail": "p_size % 5 = 0", "water_body": "p_partkey % 23 = 0",
     "frequency": "(p_partkey % 20) / 20.0",
 }
-POINT = {"track": "s_nationkey", "seq": "s_suppkey", "lat": "-35.0 + (s_suppkey % 97) * 0.01", "lng": "149.0 + (s_suppkey % 89) * 0.01"}
-#: (resource, kind, metres or drops an hour, cost an hour, cut width, drop length, cost of a drop): dozer, grader, crew and two aircraft.
+#: Vertices of drawn lines, a line an order.
+POINT = {c: SEGMENT[c] for c in ("plan", "line", "part", "supp", "price", "len", "slope")} | {"lat": "-35.0e0 + (l_partkey % 97) * 0.0001e0", "lng": "149.0e0 + (l_suppkey % 89) * 0.0001e0"}
+RESOURCE_COLUMNS = (
+    "resource string, kind string, rate double, cost_hour double, cut double, max_slope double, max_side double, terrain string, veg_allowed string, "
+    "drop_m double, turnaround double, cost_drop double"
+)
+_LIGHT, _SCRUB, _ALL = "grassland,lightshrub", "grassland,lightshrub,mediumscrub", "grassland,lightshrub,mediumscrub,heavyforest"
+#: A row a resource: metres an hour, cost an hour, cut width, own limits of slope and side slope, terrain levels and fuels it may work in; of aircraft the
+#: drop length, minutes of a turn and cost of a drop.
 RESOURCES = (
-    ("dozer-small", "Machinery", 800.0, 220.0, 2.5, None, None), ("dozer-large", "Machinery", 1400.0, 420.0, 4.0, None, None), ("grader", "Machinery", 2000.0, 180.0, 3.6, None, None),
-    ("crew", "HandCrew", 120.0, 260.0, None, None, None), ("heli-medium", "Aircraft", 6.0, 3200.0, None, 40.0, None), ("airtanker", "Aircraft", 2.0, 9000.0, None, 120.0, 4500.0),
+    ("dozer-small", "Machinery", 800.0, 220.0, 2.5, None, None, "flat,medium", _SCRUB, None, None, None),
+    ("dozer-large", "Machinery", 1400.0, 420.0, 4.0, 35.0, None, "flat,medium,steep", _ALL, None, None, None),
+    ("grader", "Machinery", 2000.0, None, 3.6, None, 18.0, "flat", _LIGHT, None, None, None),
+    ("crew", "HandCrew", 120.0, 260.0, None, None, None, "flat,medium,steep,very_steep", _ALL, None, None, None),
+    ("heli-medium", "Aircraft", None, 3200.0, None, None, None, "flat,medium,steep,very_steep", _SCRUB, 40.0, 10.0, None),
+    ("airtanker", "Aircraft", None, 9000.0, None, None, None, "flat,medium,steep,very_steep", _ALL, 120.0, 30.0, 4500.0),
 )
-RESOURCE_COLUMNS = "resource string, kind string, rate double, cost_hour double, cut double, drop_m double, cost_drop double"
 BREAK_WIDTH_M = 6.0
 
 
