@@ -52,3 +52,13 @@ def hex_distance(q1: Column, r1: Column, q2: Column, r2: Column) -> Column:
 
 def neighbour_array() -> Column:
     return F.array(*(F.struct(F.lit(i).alias("dir"), F.lit(a).alias("dq"), F.lit(b).alias("dr")) for i, (a, b) in enumerate(NEIGHBOURS)))
+
+
+def to_local(lat: Column, lng: Column, lat0: float, lng0: float) -> tuple[Column, Column]:
+    """Local metres (x, y) east and north of an origin."""
+    return (lng - lng0) * (METRES_PER_DEGREE * F.cos(F.radians(F.lit(lat0)))), (lat - lat0) * METRES_PER_DEGREE
+
+
+def from_local(x: Column, y: Column, lat0: float, lng0: float) -> tuple[Column, Column]:
+    """(lat, lng) of local metres."""
+    return F.lit(lat0) + y / METRES_PER_DEGREE, F.lit(lng0) + x / (METRES_PER_DEGREE * F.cos(F.radians(F.lit(lat0))))

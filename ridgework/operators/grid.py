@@ -1,23 +1,29 @@
-"""Hex-grid operators: stencils are equi-joins on the cell key, never all-pairs."""
+"""Hex-grid operators: stencils are equi-joins or scatters on the cell key, never all-pairs."""
 
 from __future__ import annotations
 
+import heapq
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import neighbour_array
+from ..functions import mobility as m
+from ..functions.geo import hex_center, neighbour_array
+from ..sources.shared import dropped, written
 
 SIZE_M = 25.0
 STEP_M = SIZE_M * 3**0.5
-# Vegetation cost in the order grassland, lightshrub, mediumscrub, heavyforest; trail and boundary factors.
-VEG_COST = (1.0, 1.4, 2.2, 3.8)
-TRAIL, BOUNDARY = 0.35, 0.65
-
-VEG_COST_SQL = "(CASE {v} WHEN 'grassland' THEN 1.0 WHEN 'lightshrub' THEN 1.4 WHEN 'mediumscrub' THEN 2.2 ELSE 3.8 END)"
-SLOPE_COST_SQL = "((1 + 0.6 * pow({s} / 15, 2) + pow({s} / 30, 2)) * (CASE WHEN {s} >= 25 THEN 1.6 ELSE 1.0 END) * (CASE WHEN {s} >= 45 THEN 3.0 ELSE 1.0 END))"
-FORD_SQL = "(CASE WHEN water_body THEN 2.5 WHEN frequency >= 0.5 THEN 1.0 WHEN frequency >= 0.15 THEN 0.4 END)"
-#: Speed on foot in km/h by grade: off the network and on it.
-FOOT_OFF_SQL, FOOT_ON_SQL = "3.6 * (0.11 + exp(-pow(100 * {g} + 2, 2) / 1800))", "6 * exp(-3.5 * abs({g} + 0.05))"
+# Trail and boundary factors, the gap in vegetation cost that makes a boundary, costs of vegetation and slope.
+TRAIL, BOUNDARY, BOUNDARY_GAP = 0.35, 0.65, 1.0
+VEG_COST_SQL = "(CASE {v} WHEN 'grassland' THEN 1.0e0 WHEN 'lightshrub' THEN 1.4e0 WHEN 'mediumscrub' THEN 2.2e0 ELSE 3.8e0 END)"
+SLOPE_COST_SQL = "((1 + 0.6e0 * pow({s} / 15, 2) + pow({s} / 30, 2)) * (CASE WHEN {s} >= 25 THEN 1.6e0 ELSE 1e0 END) * (CASE WHEN {s} >= 45 THEN 3e0 ELSE 1e0 END))"
+# Severity of vegetation, anchors of the severity of slope.
+VEG_SEVERITY_SQL = "(CASE veg WHEN 'grassland' THEN 0e0 WHEN 'lightshrub' THEN 0.18e0 WHEN 'mediumscrub' THEN 0.38e0 ELSE 0.55e0 END)"
+SEVERITY = ((0, 0.0), (10, 0.14), (25, 0.5), (35, 0.78), (45, 1.0))
+ISOCHRONES = (15, 30, 60, 120, 180)
+#: Cells along a side of a tile, in which costs are relaxed by one task.
+TILE = 64
 
 
 def edges(cells: DataFrame) -> DataFrame:
@@ -27,39 +33,256 @@ def edges(cells: DataFrame) -> DataFrame:
     return near.join(far, ["b_q", "b_r"]).withColumn("grade", (F.col("b_elev") - F.col("elev")) / STEP_M).withColumn("slope", F.degrees(F.atan(F.abs("grade"))))
 
 
+def around(cells: DataFrame, *columns: str) -> DataFrame:
+    """What cells send to themselves (dir -1) and their six neighbours: q, r of the receiver, dir from it to the sender, b_ columns.
+
+    A grouping by (q, r) then sees a cell with all its neighbours in one shuffle; groups without a row of dir -1 are outside the grid.
+    """
+    to = F.concat(F.array(F.struct(F.lit(-1).alias("dir"), F.lit(0).alias("dq"), F.lit(0).alias("dr"))), neighbour_array())
+    sent = cells.select("q", "r", *(F.col(c).alias(f"b_{c}") for c in columns), F.explode(to).alias("n"))
+    # the neighbour in direction i sees the sender in direction i + 3
+    return sent.select((F.col("q") + F.col("n.dq")).alias("q"), (F.col("r") + F.col("n.dr")).alias("r"), F.when(F.col("n.dir") < 0, -1).otherwise(F.pmod(F.col("n.dir") + 3, F.lit(6))).alias("dir"), *(f"b_{c}" for c in columns))
+
+
+def _own(x: str) -> Column:
+    return F.max(F.when(F.col("dir") == -1, F.expr(x)))
+
+
+def _near(f, x: str) -> Column:
+    return f(F.when(F.col("dir") >= 0, F.expr(x)))
+
+
+def boundaries(cells: DataFrame) -> DataFrame:
+    """q, r, boundary: whether some neighbour's vegetation cost differs by 1 or more."""
+    v = VEG_COST_SQL.format(v="b_veg")
+    g = around(cells, "veg").groupBy("q", "r").agg(_own(v).alias("v"), _near(F.min, v).alias("lo"), _near(F.max, v).alias("hi")).filter("v IS NOT NULL")
+    return g.select("q", "r", F.expr(f"coalesce(greatest(hi - v, v - lo) >= {BOUNDARY_GAP}e0, false)").alias("boundary"))
+
+
+def marked_edges(cells: DataFrame) -> DataFrame:
+    """Edges with both ends' boundary marks."""
+    return edges(cells.join(boundaries(cells), ["q", "r"]))
+
+
 def route_cost() -> Column:
-    """Cost of an edge for route search: slope cost, mean vegetation cost, trail and vegetation-boundary factors."""
+    """Cost of a marked edge for route search: metres, slope cost, mean vegetation cost; on trails and along boundaries (both ends) less."""
     veg = (F.expr(VEG_COST_SQL.format(v="veg")) + F.expr(VEG_COST_SQL.format(v="b_veg"))) / 2
     trail = F.when(F.col("trail") & F.col("b_trail"), TRAIL).otherwise(1.0)
-    border = F.when(F.abs(F.expr(VEG_COST_SQL.format(v="veg")) - F.expr(VEG_COST_SQL.format(v="b_veg"))) >= 1, BOUNDARY).otherwise(1.0)
+    border = F.when(F.col("boundary") & F.col("b_boundary"), BOUNDARY).otherwise(1.0)
     return STEP_M * F.expr(SLOPE_COST_SQL.format(s="slope")) * veg * trail * border
 
 
 def stencil(cells: DataFrame) -> DataFrame:
-    """Per cell: neighbours, mean and largest slope to them, mean edge cost; cells without neighbours have 0.6."""
-    agg = edges(cells).withColumn("cost", route_cost()).groupBy("q", "r").agg(F.count(F.lit(1)).alias("n"), F.avg("slope").alias("_a"), F.max("slope").alias("_m"), F.avg("cost").alias("_c"))
-    out = cells.select("q", "r").join(agg, ["q", "r"], "left")
-    return out.select("q", "r", F.coalesce("n", F.lit(0)).alias("n"), F.round("_a", 6).alias("mean_slope"), F.round("_m", 6).alias("max_slope"), F.round(F.coalesce("_c", F.lit(0.6)), 6).alias("cost"))
+    """Per cell: neighbours, mean and largest slope to them, mean cost a metre; cells without neighbours have 0.6 and no slope."""
+    e = marked_edges(cells).withColumn("cost", route_cost() / STEP_M)
+    agg = e.groupBy("q", "r").agg(F.count(F.lit(1)).alias("n"), F.avg("slope").alias("_a"), F.max("slope").alias("_m"), F.avg("cost").alias("_c"))
+    out = cells.select("q", "r", "veg").join(agg, ["q", "r"], "left")
+    return out.select("q", "r", "veg", F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.round(F.coalesce("_a", F.lit(0.0)), 6).alias("mean_slope"), F.round("_m", 6).alias("max_slope"), F.round(F.coalesce("_c", F.lit(0.6)), 6).alias("cost"))
+
+
+def normalised(cells: DataFrame) -> DataFrame:
+    """Add normal: the cost between the least (0) and the largest (1) of all, 0.5 if all are alike.  One row of bounds is broadcast."""
+    bounds = cells.agg(F.min("cost").alias("_lo"), F.max("cost").alias("_hi"))
+    return cells.crossJoin(F.broadcast(bounds)).withColumn("normal", F.expr("CASE WHEN _hi - _lo > 1e-9 THEN (cost - _lo) / (_hi - _lo) ELSE 0.5e0 END")).drop("_lo", "_hi")
+
+
+def smooth(cells: DataFrame, value: str, rounds: int = 3, weight: float = 0.5) -> DataFrame:
+    """q, r and ``value``, ``rounds`` times drawn to the mean of the neighbours; without neighbours it stays."""
+    s = cells.select("q", "r", value)
+    for _ in range(rounds):
+        g = around(s, value).groupBy("q", "r").agg(_own(f"b_{value}").alias("x"), _near(F.avg, f"b_{value}").alias("m"), F.bool_or(F.col("dir") == -1).alias("in")).filter("in")
+        s = g.select("q", "r", (F.col("x") * (1 - weight) + F.coalesce("m", "x") * weight).alias(value))
+    return s
+
+
+def plane_fit(cells: DataFrame) -> DataFrame:
+    """Per cell the plane z = a + b x + c y through it and its neighbours: cross slope, roughness (spread of the neighbours' residuals), and its place.
+
+    Without a plane (fewer than 3 points, or all in line) the steepest neighbour gives the slope.  Place: ridge or valley where the
+    height above the neighbours' mean is more than half the mean difference.
+    """
+    g = around(cells, "elev").groupBy("q", "r").agg(F.collect_list(F.struct("dir", F.col("b_elev").alias("z"))).alias("_all"))  # seven at most
+    g = g.withColumn("z", F.expr("get(filter(_all, x -> x.dir = -1), 0).z")).filter("z IS NOT NULL")
+    xs, ys = zip(*((STEP_M * (dq + dr / 2), SIZE_M * 1.5 * dr) for dq, dr in ((1, 0), (1, -1), (0, -1), (-1, 0), (-1, 1), (0, 1))))
+    table = lambda v: f"array({', '.join(f'{x!r}e0' if 'e' not in repr(x) else f'CAST({x!r} AS DOUBLE)' for x in v)})"
+    g = g.withColumn("_p", F.expr(f"transform(filter(_all, x -> x.dir >= 0), x -> named_struct('x', {table(xs)}[x.dir], 'y', {table(ys)}[x.dir], 'z', x.z))"))
+    total = lambda e: f"aggregate(_p, 0e0, (s, p) -> s + {e})"
+    g = g.selectExpr("q", "r", "z", "_p", "1e0 + size(_p) AS n", *(f"{total(e)} AS {name}" for name, e in (("sx", "p.x"), ("sy", "p.y"), ("sxx", "p.x * p.x"), ("syy", "p.y * p.y"), ("sxy", "p.x * p.y"), ("sxz", "p.x * p.z"), ("syz", "p.y * p.z"))), f"z + {total('p.z')} AS sz")
+    g = g.selectExpr("*", *(f"{e} AS {name}" for name, e in CRAMER.items()))
+    g = g.selectExpr("*", "CASE WHEN n >= 3 AND abs(det) >= 1e-6 THEN sqrt(pow(db / det, 2) + pow(dc / det, 2)) ELSE coalesce(array_max(transform(_p, p -> abs(p.z - z) / sqrt(p.x * p.x + p.y * p.y))), 0e0) END AS tan_")
+    g = g.selectExpr("*", "CASE WHEN n >= 3 AND abs(det) >= 1e-6 THEN transform(_p, p -> p.z - (da / det + db / det * p.x + dc / det * p.y)) END AS _res")
+    g = g.selectExpr("*", "aggregate(_res, 0e0, (s, x) -> s + x) / nullif(size(_res), 0) AS _mean", "(sz - z) / nullif(n - 1, 0) AS _nz", "aggregate(_p, 0e0, (s, p) -> s + abs(p.z - z)) / nullif(n - 1, 0) AS _relief")
+    return g.selectExpr("q", "r", "round(degrees(atan(tan_)), 5) AS cross_slope", "round(coalesce(sqrt(aggregate(_res, 0e0, (s, x) -> s + pow(x - _mean, 2)) / nullif(size(_res), 0)), 0e0), 5) AS roughness", f"{PLACE_SQL.format(own='z', mean='_nz', relief='_relief')} AS place")
+
+
+#: Cramer's rule for the three coefficients of a plane.
+CRAMER = {
+    "det": "n * (sxx * syy - sxy * sxy) - sx * (sx * syy - sxy * sy) + sy * (sx * sxy - sxx * sy)",
+    "da": "sz * (sxx * syy - sxy * sxy) - sx * (sxz * syy - sxy * syz) + sy * (sxz * sxy - sxx * syz)",
+    "db": "n * (sxz * syy - sxy * syz) - sz * (sx * syy - sxy * sy) + sy * (sx * syz - sxz * sy)",
+    "dc": "n * (sxx * syz - sxz * sxy) - sx * (sx * syz - sxz * sy) + sz * (sx * sxy - sxx * sy)",
+}
+PLACE_SQL = "(CASE WHEN round({relief}, 9) > 0 AND round({own} - {mean} - 0.5e0 * {relief}, 9) > 0 THEN 'ridge' WHEN round({relief}, 9) > 0 AND round({mean} - {own} - 0.5e0 * {relief}, 9) > 0 THEN 'valley' ELSE 'midslope' END)"
 
 
 def foot_seconds(e: DataFrame) -> DataFrame:
     """Seconds on foot per edge: on the network if both ends are on a trail, at least 0.1 km/h."""
-    speed = F.when(F.col("trail") & F.col("b_trail"), F.expr(FOOT_ON_SQL.format(g="grade"))).otherwise(F.expr(FOOT_OFF_SQL.format(g="grade")))
-    return e.select("q", "r", "dir", F.round(STEP_M / 1000 / F.greatest(F.lit(0.1), speed) * 3600, 6).alias("seconds"))
+    return e.select("q", "r", "dir", F.expr(f"round({STEP_M!r} / 1000 / greatest(0.1e0, {m.foot_sql('trail AND b_trail', 'grade')}) * 3600, 6)").alias("seconds"))
+
+
+#: What an edge means to a mover, over the columns of an edge and of a mover; on: both ends on a trail.
+EDGE_SQL = {
+    "depth": f"(CASE WHEN NOT on_ THEN {m.ford_sql('b_water_body', 'b_waterway', 'b_frequency')} END)",
+    "blocked": f"(CASE WHEN NOT on_ AND slope > max_climb THEN 'climb' WHEN NOT on_ AND side > max_side THEN 'side-slope' WHEN depth IS NOT NULL AND NOT coalesce(depth <= ford, false) THEN 'ford' WHEN NOT on_ AND {m.too_dense_sql('b_veg')} THEN 'vegetation' END)",
+    "ceiling": f"(CASE WHEN on_ THEN CASE WHEN b_highway IS NOT NULL THEN {m.ceiling_sql('b_highway', 'b_surface', 'b_tracktype', 'b_smoothness')} ELSE {m.ceiling_sql('highway', 'surface', 'tracktype', 'smoothness')} END END)",
+    "base": f"(CASE model WHEN 'offpath' THEN {m.foot_sql('on_', 'grade')} ELSE CASE WHEN on_ THEN CASE WHEN model = 'vehicle' THEN least(road_kmh, coalesce(ceiling, road_kmh)) ELSE road_kmh END ELSE road_kmh * cross_factor END * greatest(0.05e0, {m.grade_factor_sql('slope', 'max_climb')}) END)",
+    "kmh": f"greatest(0.1e0, base * coalesce(load, 1e0) * (CASE WHEN dark THEN night ELSE 1e0 END) * (CASE WHEN depth IS NULL THEN 1e0 ELSE {m.FORD_FACTOR}e0 END))",
+    "ratio": f"greatest(slope / max_climb, side / max_side, CASE WHEN class = 'wheeled' THEN width / greatest(0.1e0, {m.gap_sql('b_veg')}) ELSE 0e0 END)",
+    "mobility": f"(CASE WHEN blocked IS NOT NULL THEN 'severely-restricted' WHEN ratio > {m.NEAR}e0 OR (b_veg IN ('heavyforest', 'mediumscrub') AND NOT b_trail) OR depth IS NOT NULL THEN 'restricted' ELSE 'unrestricted' END)",
+}
+
 
+def edge_mobility(e: DataFrame, movers: DataFrame, night: bool = False) -> DataFrame:
+    """Per edge and mover: seconds (null if blocked), what blocks it, mobility class.
 
-def accumulated_cost(cells: DataFrame, q0: int, r0: int) -> DataFrame:
-    """Least cost from a cell to all reachable ones: rounds of relaxation over the edges of cells that improved, until none does.
+    Gates in order: climb, side slope of the cell that is left (both only off the network), ford judged at the far end, vegetation of
+    the far end; then the mover's speed model with load, night and ford factors, at least 0.1 km/h.  Movers are a few rows.
+    """
+    x = e.crossJoin(F.broadcast(movers)).withColumn("on_", F.col("trail") & F.col("b_trail")).withColumn("dark", F.lit(night))
+    for name, sql in EDGE_SQL.items():
+        x = x.withColumn(name, F.expr(sql))
+    return x.select("q", "r", "dir", "mover", F.expr(f"CASE WHEN blocked IS NULL THEN round({STEP_M!r} / 1000 / kmh * 3600, 5) END").alias("seconds"), "blocked", "mobility")
+
+
+#: The same for a cell, by the steepest way to a neighbour.
+CELL_SQL = {
+    "depth": f"(CASE WHEN NOT trail THEN {m.ford_sql()} END)",
+    "blocked": f"(NOT trail AND (steepest > max_climb OR side > max_side OR {m.too_dense_sql('veg')} OR (depth IS NOT NULL AND NOT coalesce(depth <= ford, false))))",
+    "mobility": f"(CASE WHEN blocked THEN 'severely-restricted' WHEN steepest / max_climb > {m.NEAR}e0 OR side / max_side > {m.NEAR}e0 OR (veg IN ('heavyforest', 'mediumscrub') AND NOT trail) OR depth IS NOT NULL THEN 'restricted' ELSE 'unrestricted' END)",
+}
+
+
+def trafficability(cells: DataFrame, movers: DataFrame) -> DataFrame:
+    """Per cell and mover its mobility class."""
+    steep = around(cells, "elev").groupBy("q", "r").agg(_own("b_elev").alias("z"), _near(F.min, "b_elev").alias("lo"), _near(F.max, "b_elev").alias("hi")).filter("z IS NOT NULL")
+    steep = steep.select("q", "r", F.expr(f"coalesce(degrees(atan(greatest(hi - z, z - lo) / {STEP_M!r})), 0e0)").alias("steepest"))
+    x = cells.join(steep, ["q", "r"]).crossJoin(F.broadcast(movers))
+    for name, sql in CELL_SQL.items():
+        x = x.withColumn(name, F.expr(sql))
+    return x.select("q", "r", "mover", "mobility")
+
+
+def accumulated_cost(weights: DataFrame, sources: DataFrame, tile: int = TILE) -> DataFrame:
+    """q, r, cost: least sums of weights from the sources (q, r) to all cells that they reach.
 
-    Each round joins only the frontier with the edges and writes its result, so lineage stays short.  Weights are
-    positive, so a least path has fewer edges than there are cells and the rounds end.
+    weights: q, r, b_q, b_r, w of directed edges, w positive or null (no way).  The grid is cut into tiles; in a round each tile that
+    some improved cost has entered is relaxed by one task (a tile has tile * tile cells, whatever the grid's size), and what crosses its
+    rim opens other tiles.  Rounds end when nothing is open, after about as many as the longest least path enters tiles; tables are written
+    each round, so lineage stays short and lost executors cost one round.
     """
-    from ..sources.shared import written
-
-    e = written(edges(cells).select("q", "r", "b_q", "b_r", route_cost().alias("w")), "edges")
-    best = written(cells.filter((F.col("q") == q0) & (F.col("r") == r0)).select("q", "r", F.lit(0.0).alias("cost"), F.lit(True).alias("open")), "cost")
-    while not best.filter("open").isEmpty():
-        step = best.filter("open").join(e, ["q", "r"]).groupBy(F.col("b_q").alias("q"), F.col("b_r").alias("r")).agg(F.min(F.col("cost") + F.col("w")).alias("_new"))
-        after = best.join(step, ["q", "r"], "full_outer").select("q", "r", F.least("cost", "_new").alias("cost"), (F.col("_new").isNotNull() & (F.col("cost").isNull() | (F.col("_new") < F.col("cost")))).alias("open"))
-        best = written(after, "cost")
+    of = lambda q, r: F.struct(F.floor(F.col(q) / tile).cast("int").alias("x"), F.floor(F.col(r) / tile).cast("int").alias("y"))
+    e = written(weights.filter("w IS NOT NULL").select("q", "r", "b_q", "b_r", "w", of("q", "r").alias("tile")), "edges")
+    best = written(sources.select("q", "r", F.lit(0.0).alias("cost"), F.lit(True).alias("open")).distinct(), "cost")
+
+    def relax(of_tile: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        cost = dict(zip(zip(known["q"], known["r"]), known["cost"]))
+        ways: dict[tuple[int, int], list] = {}
+        for q, r, bq, br, w in of_tile[["q", "r", "b_q", "b_r", "w"]].itertuples(index=False):
+            ways.setdefault((q, r), []).append(((bq, br), w))
+        inside = cost.keys() | ways.keys()
+        heap = [(c, (q, r)) for q, r, c, o in known[["q", "r", "cost", "open"]].itertuples(index=False) if o]
+        heapq.heapify(heap)
+        better: dict[tuple[int, int], float] = {}
+        while heap:
+            c, at = heapq.heappop(heap)
+            if c > cost.get(at, c):
+                continue
+            for to, w in ways.get(at, ()):
+                if c + w < min(cost.get(to, float("inf")), better.get(to, float("inf"))):
+                    better[to] = c + w
+                    if to in inside:
+                        cost[to] = c + w
+                        heapq.heappush(heap, (c + w, to))
+        return pd.DataFrame([(q, r, c, (q, r) not in inside) for (q, r), c in better.items()], columns=["q", "r", "cost", "open"])
+
+    while not (entered := best.filter("open")).isEmpty():
+        tiles = entered.select(of("q", "r").alias("tile")).distinct()
+        known = best.withColumn("tile", of("q", "r")).join(tiles, "tile", "left_semi")
+        found = e.join(tiles, "tile", "left_semi").groupBy("tile").cogroup(known.groupBy("tile")).applyInPandas(relax, "q int, r int, cost double, open boolean")
+        # of equal costs the one that is not open has been relaxed with it
+        after = written(best.withColumn("open", F.lit(False)).unionByName(found).groupBy("q", "r").agg(F.min(F.struct("cost", "open")).alias("c")).select("q", "r", "c.cost", "c.open"), "cost")
+        dropped(best)
+        best = after
+    dropped(e)
     return best.select("q", "r", F.round("cost", 4).alias("cost"))
+
+
+def reversed_edges(weights: DataFrame) -> DataFrame:
+    """For costs to a target in place of those from a source."""
+    return weights.select(F.col("b_q").alias("q"), F.col("b_r").alias("r"), F.col("q").alias("b_q"), F.col("r").alias("b_r"), "w")
+
+
+def isochrones(costs: DataFrame, minutes: tuple[int, ...] = ISOCHRONES) -> DataFrame:
+    """Add band: the first number of minutes that a cost in seconds doesn't exceed; 0 seconds and more than all are in none."""
+    return costs.withColumn("band", F.expr(f"CASE WHEN cost <= 0 THEN NULL {' '.join(f'WHEN cost <= {60 * x} THEN {x}' for x in minutes)} END").cast("int"))
+
+
+def ring_of(radius: Column, i: Column) -> tuple[Column, Column]:
+    """Offsets (dq, dr) of the i-th cell of the ring of a radius: from the fifth direction's corner on, six sides of ``radius`` steps."""
+    side, step = F.floor(i / F.greatest(radius, F.lit(1))).cast("int"), F.pmod(i, F.greatest(radius, F.lit(1)))
+    corners = [(-1, 1)]
+    for dq, dr in ((1, 0), (1, -1), (0, -1), (-1, 0), (-1, 1)):
+        corners.append((corners[-1][0] + dq, corners[-1][1] + dr))
+    at = lambda k, values: F.element_at(F.array(*(F.lit(v[k]) for v in values)), side + 1)
+    dirs = ((1, 0), (1, -1), (0, -1), (-1, 0), (-1, 1), (0, 1))
+    return (at(0, corners) * radius + at(0, dirs) * step).cast("int"), (at(1, corners) * radius + at(1, dirs) * step).cast("int")
+
+
+def cube_round(q: Column, r: Column) -> tuple[Column, Column]:
+    """The cell that holds fractional axial coordinates: all three rounded half up, the one with the largest error set by the others."""
+    y = -q - r
+    up = lambda x: F.floor(x + F.lit(0.5)).cast("long")
+    rq, ry, rr = up(q), up(y), up(r)
+    dq, dy, dr = F.abs(rq - q), F.abs(ry - y), F.abs(rr - r)
+    return F.when((dq > dy) & (dq > dr), -ry - rr).otherwise(rq).cast("int"), F.when(~((dq > dy) & (dq > dr)) & (dy <= dr), -rq - ry).otherwise(rr).cast("int")
+
+
+def line_cells(pairs: DataFrame) -> DataFrame:
+    """The cells of the straight line from (q, r) to (q2, r2): adds i, lq, lr.  Ends are exact; between, points are nudged off cell rims."""
+    n = ((F.abs(F.col("q") - F.col("q2")) + F.abs(F.col("r") - F.col("r2")) + F.abs(F.col("q") + F.col("r") - F.col("q2") - F.col("r2"))) / 2).cast("int")
+    x = pairs.withColumn("_n", n).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("_n"))))
+    t = F.col("i") / F.greatest(F.col("_n"), F.lit(1))
+    lq, lr = cube_round(F.col("q") + 1e-6 + (F.col("q2") - F.col("q")) * t, F.col("r") + 2e-6 + (F.col("r2") - F.col("r")) * t)
+    end = lambda a, b, mid: F.when(F.col("i") == 0, F.col(a)).when(F.col("i") == F.col("_n"), F.col(b)).otherwise(mid).cast("int")
+    return x.withColumn("lq", end("q", "q2", lq)).withColumn("lr", end("r", "r2", lr)).drop("_n")
+
+
+#: Earth's radius with refraction, for the drop of a distant height.
+SIGHT_RADIUS_M, EYE_M = 6_371_000.0 / (1 - 0.13), 1.7
+
+
+def viewshed(cells: DataFrame, observers: DataFrame, rings: int) -> DataFrame:
+    """o_q, o_r, q, r, screened, bare: whether an observer sees the cells up to ``rings`` away, past vegetation and over bare earth.
+
+    Observers (q, r) are few; each looks along the line of cells to each target, whose heights come by a join on the cell.  A target is
+    seen if its angle isn't below the largest between; cells outside the grid hide nothing.
+    """
+    offsets = [(a, b) for a in range(-rings, rings + 1) for b in range(-rings, rings + 1) if (abs(a) + abs(b) + abs(a + b)) // 2 <= rings and (a or b)]
+    o = observers.join(cells.select("q", "r", "elev"), ["q", "r"]).select("q", "r", F.col("elev").alias("o_elev"))
+    pairs = o.withColumn("n", F.explode(F.array(*(F.struct(F.lit(a).alias("dq"), F.lit(b).alias("dr")) for a, b in offsets)))).select("q", "r", "o_elev", (F.col("q") + F.col("n.dq")).alias("q2"), (F.col("r") + F.col("n.dr")).alias("r2"))
+    steps = line_cells(pairs).filter("i > 0")
+    ground = cells.select(F.col("q").alias("lq"), F.col("r").alias("lr"), F.col("elev").alias("z"), F.expr(m.screening_sql("veg")).alias("cover"))
+    s = steps.join(ground, ["lq", "lr"])
+    (x, y), (ox, oy) = hex_center(F.col("lq"), F.col("lr"), SIZE_M), hex_center(F.col("q"), F.col("r"), SIZE_M)
+    s = s.withColumn("d", F.sqrt(F.pow(x - ox, 2) + F.pow(y - oy, 2)))
+    angle = lambda h: F.atan2(F.col("z") + h - F.col("d") * F.col("d") / (2 * SIGHT_RADIUS_M) - F.col("o_elev") - EYE_M, F.col("d"))
+    at_end = (F.col("lq") == F.col("q2")) & (F.col("lr") == F.col("r2"))
+    g = s.groupBy("q", "r", "q2", "r2").agg(F.max(F.when(at_end, angle(F.lit(EYE_M)))).alias("t"), F.max(F.when(~at_end, angle(F.lit(0.0)))).alias("b"), F.max(F.when(~at_end, angle(F.col("cover")))).alias("s")).filter("t IS NOT NULL")
+    return g.select(F.col("q").alias("o_q"), F.col("r").alias("o_r"), F.col("q2").alias("q"), F.col("r2").alias("r"), F.expr("coalesce(round(t - s, 12) >= 0, true)").alias("screened"), F.expr("coalesce(round(t - b, 12) >= 0, true)").alias("bare"))
+
+
+def concealment(cells: DataFrame, seen: DataFrame) -> DataFrame:
+    """q, r, dead_ground (seen by no observer past vegetation), covered (by vegetation of 2 m or more), concealed (either)."""
+    s = seen.filter("screened").select("q", "r").distinct().withColumn("seen", F.lit(True))
+    x = cells.select("q", "r", F.expr(f"{m.screening_sql('veg')} >= {m.CONCEALING_M}e0").alias("covered")).join(s, ["q", "r"], "left")
+    return x.select("q", "r", F.col("seen").isNull().alias("dead_ground"), "covered", (F.col("seen").isNull() | F.col("covered")).alias("concealed"))

@@ -2,85 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import geo
-from ..functions import production as p
-from ..operators import grid
 from ..sources import tables as t
 from ..streaming import telemetry
-from . import equipment, lines  # noqa: F401  register their queries
+from . import equipment, lines, terrain  # noqa: F401  register their queries
 from .registry import QUERIES, SQL, query  # noqa: F401
 
-SEG, CELL = t.derived_sql("lineitem", t.SEGMENT), t.derived_sql("part", t.CELL)
-
-
-def query(sql: str | None = None):
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _segments(spark, sf):
-    return t.derived(spark, sf, "lineitem", t.SEGMENT)
-
-
-def _cells(spark, sf):
-    return t.derived(spark, sf, "part", t.CELL)
-
-
-_C = p.slope_class_sql("slope")
-
-
-@query(f"SELECT q, r, round({grid.SIZE_M} * (sqrt(3.0) * q + sqrt(3.0) / 2 * r), 4) AS x, round({grid.SIZE_M} * 1.5 * r, 4) AS y, CAST((abs(q - 10) + abs(r - 5) + abs(q - 10 + r - 5)) / 2 AS INTEGER) AS ring FROM {CELL}")
-def hex_project(spark, sf):
-    """Local metres of each cell and its ring around cell (10, 5)."""
-    x, y = geo.hex_center(F.col("q"), F.col("r"), grid.SIZE_M)
-    return _cells(spark, sf).select("q", "r", F.round(x, 4).alias("x"), F.round(y, 4).alias("y"), geo.hex_distance(F.col("q"), F.col("r"), F.lit(10), F.lit(5)).alias("ring"))
-
-
-_OFFSETS = "(SELECT * FROM (VALUES " + ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(geo.NEIGHBOURS)) + ") AS o(dir, dq, dr))"
-_EDGES = f"""(SELECT *, degrees(atan(abs(grade))) AS slope FROM (SELECT a.*, b.q AS b_q, b.r AS b_r, b.veg AS b_veg, b.trail AS b_trail, o.dir, (b.elev - a.elev) / {grid.STEP_M!r} AS grade
-  FROM {CELL} AS a CROSS JOIN {_OFFSETS} AS o JOIN {CELL} AS b ON b.q = a.q + o.dq AND b.r = a.r + o.dr))"""
-_VA, _VB = grid.VEG_COST_SQL.format(v="veg"), grid.VEG_COST_SQL.format(v="b_veg")
-_COST = f"{grid.STEP_M!r} * {grid.SLOPE_COST_SQL.format(s='slope')} * ({_VA} + {_VB}) / 2 * (CASE WHEN trail AND b_trail THEN {grid.TRAIL} ELSE 1.0 END) * (CASE WHEN abs({_VA} - {_VB}) >= 1 THEN {grid.BOUNDARY} ELSE 1.0 END)"
-
-
-@query(f"""
-SELECT c.q, c.r, coalesce(n, 0) AS n, round(a, 6) AS mean_slope, round(m, 6) AS max_slope, round(coalesce(cost, 0.6), 6) AS cost FROM {CELL} AS c
-LEFT JOIN (SELECT q, r, count(*) AS n, avg(slope) AS a, max(slope) AS m, avg({_COST}) AS cost FROM {_EDGES} GROUP BY q, r) AS e ON c.q = e.q AND c.r = e.r""")
-def hex_stencil_cost(spark, sf):
-    return grid.stencil(_cells(spark, sf))
-
-
-@query(f"SELECT q, r, dir, round({grid.STEP_M!r} / 1000 / greatest(0.1, CASE WHEN trail AND b_trail THEN {grid.FOOT_ON_SQL.format(g='grade')} ELSE {grid.FOOT_OFF_SQL.format(g='grade')} END) * 3600, 6) AS seconds FROM {_EDGES}")
-def edge_cost_foot(spark, sf):
-    return grid.foot_seconds(grid.edges(_cells(spark, sf)))
-
-
-@query(f"SELECT q, r, {grid.FORD_SQL} AS ford_m FROM {CELL}")
-def fording(spark, sf):
-    """Depth to ford, null where the cell has no water."""
-    return _cells(spark, sf).select("q", "r", F.expr(grid.FORD_SQL).cast("double").alias("ford_m"))
-
-
-@query(f"""
-WITH RECURSIVE e AS (SELECT q, r, b_q, b_r, {_COST} AS w FROM {_EDGES}),
-b(q, r, cost) USING KEY (q, r) AS (
-  SELECT q, r, CAST(0.0 AS DOUBLE) FROM {CELL} WHERE q = 10 AND r = 0
-  UNION SELECT e.b_q, e.b_r, min(b.cost + e.w) FROM b JOIN e ON b.q = e.q AND b.r = e.r LEFT JOIN recurring.b AS o ON o.q = e.b_q AND o.r = e.b_r
-  GROUP BY e.b_q, e.b_r, o.cost HAVING min(b.cost + e.w) < coalesce(o.cost, 1e300))
-SELECT q, r, round(cost, 4) AS cost FROM b""")
-def accumulated_cost(spark, sf):
-    """Least route cost from cell (10, 0) to all cells that it reaches."""
-    return grid.accumulated_cost(_cells(spark, sf), 10, 0)
-
-
 _PAINT = "(SELECT event_id AS seq, event_type <> 'error' AS painted, CAST(user_id % 40 AS INTEGER) AS q, CAST(event_id % 25 AS INTEGER) AS r FROM events)"
 
 

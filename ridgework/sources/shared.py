@@ -21,3 +21,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{base.rstrip('/')}/ridgework/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete a table that ``written`` has made, when all that follows from it is written itself."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if "/ridgework/" in folder:  # only what ``written`` has named
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -14,9 +14,11 @@ SEGMENT = {
     "conf": "0.5e0 + (l_partkey % 50) / 100.0e0", "part": "l_partkey", "supp": "l_suppkey", "price": "l_extendedprice",
 }
 CELL = {
-    "q": "CAST(p_partkey % 50 AS INTEGER)", "r": "CAST(floor(p_partkey / 50.0) AS INTEGER)", "elev": "p_retailprice / 10.0",
+    "q": "CAST(p_partkey % 50 AS INTEGER)", "r": "CAST(floor(p_partkey / 50.0) AS INTEGER)", "elev": "p_retailprice / 10.0e0",
     "veg": "(CASE p_size % 4 WHEN 0 THEN 'grassland' WHEN 1 THEN 'lightshrub' WHEN 2 THEN 'mediumscrub' ELSE 'heavyforest' END)", "trail": "p_size % 5 = 0", "water_body": "p_partkey % 23 = 0",
-    "frequency": "(p_partkey % 20) / 20.0",
+    "frequency": "CASE WHEN p_partkey % 3 <> 0 THEN (p_partkey % 20) / 20.0e0 END", "waterway": "(CASE p_partkey % 19 WHEN 0 THEN 'river' WHEN 1 THEN 'stream' WHEN 2 THEN 'canal' END)", "side": "(p_partkey % 13) * 2.0e0",
+    "highway": "(CASE WHEN p_size % 5 = 0 AND p_partkey % 4 <> 0 THEN CASE p_partkey % 7 WHEN 0 THEN 'primary' WHEN 1 THEN 'residential' WHEN 2 THEN 'service' WHEN 3 THEN 'path' ELSE 'track' END END)",
+    "surface": "(CASE p_partkey % 6 WHEN 0 THEN 'gravel' WHEN 1 THEN 'mud' WHEN 2 THEN 'asphalt' END)", "tracktype": "(CASE WHEN p_partkey % 5 = 0 THEN 'grade4' END)", "smoothness": "(CASE WHEN p_partkey % 8 = 0 THEN 'very_bad' WHEN p_partkey % 8 = 1 THEN 'impassable' END)",
 }
 #: Vertices of drawn lines, a line an order.
 POINT = {c: SEGMENT[c] for c in ("plan", "line", "part", "supp", "price", "len", "slope")} | {"lat": "-35.0e0 + (l_partkey % 97) * 0.0001e0", "lng": "149.0e0 + (l_suppkey % 89) * 0.0001e0"}
