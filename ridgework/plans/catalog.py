@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..sources import tables as t
 from ..streaming import telemetry
-from . import equipment, lines, terrain  # noqa: F401  register their queries
+from . import equipment, lines, spatial, terrain, vegetation  # noqa: F401  register their queries
 from .registry import QUERIES, SQL, query  # noqa: F401
 
 _PAINT = "(SELECT event_id AS seq, event_type <> 'error' AS painted, CAST(user_id % 40 AS INTEGER) AS q, CAST(event_id % 25 AS INTEGER) AS r FROM events)"
@@ -30,18 +30,3 @@ SELECT user_id, slot, requests, greatest(0, requests - 2) AS refused FROM (
   SELECT user_id, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS slot, count(*) AS requests FROM events GROUP BY 1, 2)""")
 def rate_limit(spark, sf):
     return telemetry.limited(t.table(spark, sf, "events"), 2, 86_400)
-
-
-@query("""
-SELECT n_name AS class, r_name AS formation, s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'type' WHEN s_suppkey % 3 = 1 THEN 'class' ELSE 'formation' END AS matched,
-       CASE WHEN s_suppkey % 3 = 0 THEN 0.99 WHEN s_suppkey % 3 = 1 THEN 0.95 ELSE 0.94 END AS confidence
-FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
-def veg_mapping_hier(spark, sf):
-    """Type, else class, else formation gives a mapping: left joins of dimension tables, the first hit wins."""
-    s = t.table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
-    dims = t.table(spark, sf, "nation").join(t.table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    types = s.filter("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("k3"), F.lit(0.99).alias("c3"))
-    classes = s.filter("s_suppkey % 3 = 1").select(F.col("s_suppkey").alias("k2"), F.lit(0.95).alias("c2"))
-    j = s.join(dims, F.col("s_nationkey") == F.col("n_nationkey")).join(types, F.col("s_suppkey") == F.col("k3"), "left").join(classes, F.col("s_suppkey") == F.col("k2"), "left")
-    matched = F.when(F.col("c3").isNotNull(), "type").when(F.col("c2").isNotNull(), "class").otherwise("formation")
-    return j.select(F.col("n_name").alias("class"), F.col("r_name").alias("formation"), "s_suppkey", matched.alias("matched"), F.coalesce("c3", "c2", F.lit(0.94)).alias("confidence"))
