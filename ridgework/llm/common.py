@@ -50,7 +50,7 @@ def discard(*tables: DataFrame) -> None:
 
 
 #: Bytes of texts that go to a Python worker at once, unless the session says otherwise.
-BATCH_BYTES, BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES, BATCH_SETTING = 2 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def mapped(df: DataFrame, f, schema) -> DataFrame:

@@ -6,9 +6,9 @@ shingles first (a class by corpus frequency, then one of several hashes), so pas
 documents share come last and rarely meet.  A pair is verified only if it shares prefix shingles
 under every order, and under the further ones so many that the rests can make up for the others.
 
-* Frequencies: every task counts the shingles of blocks of whole documents and reports those that
-  recur in a block; what is frequent overall must be so in some block.  The most frequent
-  ``MAX_FREQUENT`` are sent to all tasks: a table of fixed size, which only sets the orders.
+* Frequencies: every task counts the shingles of its documents in large blocks and reports those that
+  recur in a block.  What many of all documents share does so in some of B blocks, from about sqrt(2 B) documents on.  The most
+  frequent ``MAX_FREQUENT`` are sent to all tasks: a table of fixed size, which only sets the orders.
 * Equal sets become one class, with the smallest doc_id as its node.
 * A first round takes two prefix shingles of each class only, and pairs each class with the smallest that has one of
   the two as well: it finds most of each group of near copies, whose many other shared shingles then pair nothing.
@@ -43,10 +43,10 @@ NUM, DEN = 80, 100
 #: Orders beside the first.
 MORE_ORDERS = 2
 MAX_FREQUENT = 1 << 20
-#: A block is counted when it holds so many shingles; shingles in at least RECUR of its documents are reported.
-BLOCK_SHINGLES, RECUR = 1 << 20, 3
+#: A block is counted when it holds so many shingles; those that recur in it are reported.
+BLOCK_SHINGLES = 1 << 21
 #: Texts whose words are hashed at once, in bytes.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Leaders of a bucket in the first round, and times more in each next.
 LEADERS, MORE_LEADERS = 1, 8
 #: Members that are verified against one copy of their leader.
@@ -168,25 +168,26 @@ def frequent_shingles(docs: DataFrame, k: int = WORDS) -> tuple[np.ndarray, np.n
     """Sorted shingles that recur most, MAX_FREQUENT at most, and their classes (log2 of the count), as ``Frequent`` takes them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
+        block, size = np.empty(BLOCK_SHINGLES, np.uint64), 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal size
-            found, counts = np.unique(np.concatenate(held), return_counts=True)
-            some = counts >= RECUR
-            held.clear()
-            size = 0
-            return pa.RecordBatch.from_pydict({"s": pa.array(found[some].view(np.int64)), "c": pa.array(counts[some].astype(np.int64))})
+            x = block[:size]
+            x.sort()
+            again = np.unique(x[1:][x[1:] == x[:-1]])
+            counts = np.searchsorted(x, again, "right") - np.searchsorted(x, again)
+            return pa.RecordBatch.from_pydict({"s": pa.array(again.view(np.int64)), "c": pa.array(counts.astype(np.int64))})
 
         for batch in batches:
             for _, sets in set_blocks(batch, k):
                 for s in sets:
-                    held.append(s)
-                    size += len(s)
-                    if size >= BLOCK_SHINGLES:
-                        yield flush()
-        if held:
+                    while len(s):
+                        part, s = s[: BLOCK_SHINGLES - size], s[BLOCK_SHINGLES - size :]
+                        block[size : size + len(part)] = part
+                        size += len(part)
+                        if size == BLOCK_SHINGLES:
+                            yield flush()
+                            size = 0
+        if size:
             yield flush()
 
     found = mapped(docs, count, "s long, c long").groupBy("s").agg(F.sum("c").alias("c")).select("s", F.floor(F.log2("c")).cast("int").alias("k"))
@@ -199,12 +200,12 @@ def frequent_shingles(docs: DataFrame, k: int = WORDS) -> tuple[np.ndarray, np.n
         least = r["k"]
     if least is None:
         discard(found)
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint8)
     rows = found.filter(F.col("k") >= least).toPandas()
     discard(found)
-    s, c = rows["s"].to_numpy(np.int64).view(np.uint64), rows["k"].to_numpy(np.uint64)
+    s, c = rows["s"].to_numpy(np.int64).view(np.uint64), np.minimum(rows["k"].to_numpy(), 63).astype(np.uint8)
     order = np.argsort(s)
-    return s[order], np.minimum(c[order], np.uint64(63))
+    return s[order], c[order]
 
 
 def signatures(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -226,7 +227,9 @@ def signatures(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN)
                 yield pa.RecordBatch.from_pydict(cols)
 
     schema = "doc_id long, n long, digest binary, two array<int>, p0 array<int>" + "".join(f", p{i} array<short>" for i in range(1, orders))
-    return materialize(mapped(docs, sign, schema), "ngram-signatures")
+    signed = materialize(mapped(docs, sign, schema), "ngram-signatures")
+    shared.destroy()
+    return signed
 
 
 def verify(pairs: DataFrame, docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:

@@ -40,7 +40,7 @@ NULL_ID = -(2**63)
 #: A shard is closed when its ids take so many bytes; a longer document has a shard of its own.
 SHARD_BYTES = 8 << 20
 #: Texts that are encoded at once, in characters.
-ENCODE_CHARS = 2 << 20
+ENCODE_CHARS = 1 << 20
 #: Set bits between two samples of the select structure.
 SELECT_EVERY = 256
 
