@@ -19,12 +19,15 @@ card   13 to 19 digits, in groups or not, Luhn    all digits but the last, which
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import permuted, table
 
-KEY = "ridgework"
+#: The session's setting that holds the key.
+KEY_SETTING = "spark.ridgework.pseudonyms.key"
 KINDS = ("email", "ip", "date", "ssn", "phone", "card")
 EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9\-])"
 IP = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)"
@@ -182,17 +185,20 @@ def kind_of(value: Column) -> Column:
     )
 
 
-def pseudonym(value: Column, kind: Column, key: str = KEY) -> Column:
+def pseudonym(value: Column, kind: Column, key: str) -> Column:
     out = F.when(kind == "email", _email(value, key)).when(kind == "ip", _ip(value, key)).when(kind == "date", _date(value, key))
     return out.when(kind == "ssn", _ssn(value, key)).when(kind == "phone", _phone(value, key)).when(kind == "card", _card(value, key)).otherwise(value)
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, text with pseudonyms, n_<kind> per kind: a row per row of ``docs``.
 
     Null texts stay null and empty ones empty, with counts of 0; rows are independent, so repeated rows
     give repeated results; columns other than doc_id and text don't matter.  Texts are processed whole.
+    Who has the key can invert the pseudonyms, so it is no default of the code; it must not be empty.
     """
+    if not key:
+        raise ValueError("a key is needed")
     # every candidate holds a digit or an @, which most texts don't: a cheap test spares them the long expression
     all_found = F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))
     found = docs.select("doc_id", "text", F.when(F.col("text").rlike("[0-9@]"), all_found).otherwise(F.array().cast("array<string>")).alias("_found"))
@@ -206,4 +212,5 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(table(spark, sf_dir, "documents"))
+    """All documents, under the session's key, or under one of this run alone where none is set."""
+    return pseudonymise(table(spark, sf_dir, "documents"), spark.conf.get(KEY_SETTING, None) or secrets.token_hex(16))

@@ -12,11 +12,13 @@ from ridgework.llm import pseudonyms as ps
 from .edge import documents
 
 
+KEY = "a key of the tests"
+
 def luhn(s):
     return sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(int(c) for c in reversed(s))) % 10
 
 
-def permute(x, n, kind, key=ps.KEY):
+def permute(x, n, kind, key=KEY):
     a = math.isqrt(n - 1) + 1
     b = -(-n // a)
     h = lambda r, half: int(hashlib.sha256(f"{key}|{kind}|{r}|{half}".encode()).hexdigest()[:15], 16)
@@ -53,7 +55,7 @@ def email(v):
         return out
 
     for r in range(4):
-        s = hashlib.sha256(f"{ps.KEY}|email|{r}|{left if r % 2 else right}".encode()).hexdigest()
+        s = hashlib.sha256(f"{KEY}|email|{r}|{left if r % 2 else right}".encode()).hexdigest()
         if r % 2 == 0:
             left = shift(left, s)
         else:
@@ -104,7 +106,7 @@ TEXTS = [
 
 
 def check(docs):
-    got = {(r["doc_id"], r["text"]) for r in ps.pseudonymise(docs).select("doc_id", "text").collect()}
+    got = {(r["doc_id"], r["text"]) for r in ps.pseudonymise(docs, KEY).select("doc_id", "text").collect()}
     assert got == {(r["doc_id"], r["text"] if r["text"] is None else re.sub(ps.CANDIDATE, plain, r["text"], flags=re.A)) for r in docs.collect()}
 
 
@@ -112,11 +114,11 @@ def test_against_brute_force(spark, sf):
     check(spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string"))
     check(common.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text"))
     check(documents(spark).select("doc_id", "text"))
-    assert ps.pseudonymise(documents(spark).limit(0)).collect() == []
+    assert ps.pseudonymise(documents(spark).limit(0), KEY).collect() == []
 
 
 def test_counts_and_formats(spark):
-    rows = ps.pseudonymise(spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")).orderBy("doc_id").collect()
+    rows = ps.pseudonymise(spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string"), KEY).orderBy("doc_id").collect()
     counts = [{k: r[f"n_{k}"] for k in ps.KINDS if r[f"n_{k}"]} for r in rows]
     assert counts[:5] == [{"email": 2, "card": 2}, {"ip": 1, "date": 3}, {"ssn": 1, "phone": 4}, {}, {"card": 3}]
     a, b = re.findall(r"\d{4} \d{4} \d{4} \d{4}|\d{16}", rows[0]["text"])[:2]
@@ -128,3 +130,10 @@ def test_counts_and_formats(spark):
 def test_permutation(spark, n):
     got = [r["x"] for r in spark.range(n).select(ps._permute(F.col("id"), n, "k", "t").alias("x")).collect()]
     assert sorted(got) == list(range(n))
+
+
+def test_key_is_needed(spark):
+    with pytest.raises(ValueError):
+        ps.pseudonymise(documents(spark), "")
+    one, other = (ps.pseudonymise(spark.createDataFrame([(1, TEXTS[0])], "doc_id long, text string"), k).first()["text"] for k in ("one", "other"))
+    assert one != other
