@@ -37,6 +37,28 @@ def test_against_sql(spark, shard):
     assert sorted(map(tuple, got)) == sorted(duckdb.sql(metric_search.SQL).fetchall())
 
 
+def test_clusters_rule_out_shards(spark):
+    """Of well separated clusters a query visits few cells, and still finds what all pairs give."""
+    rng = np.random.default_rng(5)
+    x = np.floor(rng.normal(0, 4, (30, 8)).repeat(40, axis=0) * 256 + rng.normal(0, 8, (1200, 8))) / 256
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    used = metric_search.usable(rows).withColumn("dim", metric_search.F.size("v"))
+    used = common.materialize(used, "t")
+    data, cells = metric_search.cells_of(used, 1024, 40)
+    assert len(cells.shards) > 10
+    got = metric_search.top_k(rows, shard=40).collect()
+    v = np.floor(256 * x)
+    want = set()
+    for i in range(0, 1200, 50):
+        best = sorted((-int(v[i] @ v[j]), j) for j in range(1200) if j != i)[:5]
+        want |= {(i, n, j, -sc) for n, (sc, j) in enumerate(best, 1)}
+    assert {tuple(r) for r in got} == want
+    floors = {(r["query_id"]): r["score"] for r in got if r["rank"] == 5}
+    queries = used.filter("vec_id % 50 = 0").join(spark.createDataFrame([(i, float(s)) for i, s in floors.items()], "vec_id long, floor double"), "vec_id")
+    visits = metric_search.routed(queries.select("vec_id", "v", "dim", "floor"), cells, False).count()
+    assert visits < 0.5 * 24 * sum(cells.shards.values())
+
+
 def test_edge_rows(spark):
     rows = [(0, [1.0, 2.0], 1), (1, [1.0, 2.0], 1), (1, [1.0, 2.0], 1), (2, None, 1), (3, [None, 1.0], 1), (4, [float("nan"), 1.0], 1), (5, [float("inf"), 1.0], 1), (50, [3.0], 1), (None, [1.0, 1.0], 1), (100, [1e30, 1e30], 1), (7, [], 1), (150, [-1.0, -0.001], 1)]
     docs = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
