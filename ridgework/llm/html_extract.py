@@ -10,6 +10,7 @@ block is only bad for its links or its place, as everything else there is the ar
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 from typing import NamedTuple
@@ -35,7 +36,8 @@ STOP_WORDS = frozenset(
     "al como con cuando de del donde el ella en entre era es esta este fue ha hay la las le lo los más me mi muy no o para pero por que se si sin sobre su sus también un "
     "una y ya".split()
 )
-RAW = "script|style|noscript|template|svg|math|iframe|object|textarea|select|xmp"
+#: Elements whose content is raw: it ends at their end tag only, or with the page.
+RAW = "script|style|noscript|iframe|textarea|xmp"
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?>\"[^\"]*\"|'[^']*'|[^>])*+(?<!/)>.*?(?:</\1\s*>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?>\"[^\"]*\"|'[^']*'|[^>])*+)(?:>|\Z)", re.S | re.I)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 WORD = re.compile(r"[^\W\d_]+")
@@ -45,7 +47,9 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content never is main text.
-AWAY = frozenset("head title nav footer aside form fieldset button dialog menu noscript option label datalist".split())
+AWAY = frozenset("head title nav footer aside form fieldset button dialog menu option label datalist template svg math object select".split())
+#: Elements in which ``/>`` closes a tag.
+FOREIGN = ("svg", "math")
 AWAY_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus footer gdpr login "
     "masthead menu modal nav navbar navigation newsletter notice notification overlay pager pagination popup promo promotion recommended related replies reply respond "
@@ -85,6 +89,7 @@ def blocks(html: str) -> list[Block]:
     """The text blocks of a page in order, character references decoded and white space made single."""
     found: list[Block] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, away, in an article
+    opened: Counter[str] = Counter()  # tags on the stack, so that it is only walked for one that is there
     away = article = False
     in_link = 0
     tag_of = ""
@@ -101,6 +106,8 @@ def blocks(html: str) -> list[Block]:
 
     def pop_to(i: int) -> None:
         nonlocal away, article
+        for name, *_ in stack[i:]:
+            opened[name] -= 1
         del stack[i:]
         now = stack[-1][1:] if stack else (False, False)
         if now != (away, article):
@@ -122,7 +129,7 @@ def blocks(html: str) -> list[Block]:
                 close()
             if tag == "a":
                 in_link = 0
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if opened[tag] else ():
                 if stack[i][0] == tag:
                     pop_to(i)
                     break
@@ -137,14 +144,14 @@ def blocks(html: str) -> list[Block]:
             close()
             in_link = 0
             shut = CLOSES.get(tag, set()) | {"p"}
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if any(opened[name] for name in shut) else ():
                 if stack[i][0] in WALLS:
                     break
                 if stack[i][0] in shut:
                     pop_to(i)
                     break
             tag_of = tag
-        if tag in VOID:
+        if tag in VOID or m[4].endswith("/") and (tag in FOREIGN or any(opened[name] for name in FOREIGN)):
             continue
         if tag == "a":
             in_link = 1
@@ -153,6 +160,7 @@ def blocks(html: str) -> list[Block]:
         if gone and not away or inside != article:
             close()
         stack.append((tag, gone, inside))
+        opened[tag] += 1
         away, article = gone, inside
     if at < len(html):
         parts.append(html[at:])
@@ -181,26 +189,33 @@ def second_pass(found: list[Block]) -> list[bool]:
     if "good" not in labels:  # of a short page the near-good blocks are the text
         labels = ["good" if x == "near" else x for x in labels]
 
-    def nearest(i: int, step: int) -> str | None:
-        """Label of the nearest decided block on that side; within an article what has no place in it doesn't count."""
-        i += step
-        while 0 <= i < len(found) and (labels[i] not in ("good", "bad") or article and found[i].away):
-            i += step
-        return labels[i] if 0 <= i < len(found) and found[i].article == article else None
+    # labels of the nearest decided blocks on either side, each by one pass: of all blocks, and, as an article's undecided ones see them,
+    # of those that have a place in an article
+    n = len(found)
+    sides: dict[tuple[int, bool], list[str | None]] = {}
+    for step in (-1, 1):
+        for article in (False, True):
+            seen: list[str | None] = [None] * n
+            last = None  # (label, in an article) of the last decided block
+            for i in range(n) if step < 0 else range(n - 1, -1, -1):
+                seen[i] = last[0] if last and last[1] == article else None
+                if labels[i] in ("good", "bad") and not (article and found[i].away):
+                    last = labels[i], found[i].article
+            sides[step, article] = seen
 
     out = []
     for i, (b, label) in enumerate(zip(found, labels)):
-        article = b.article
         if label in ("good", "bad"):
             out.append(label == "good")
             continue
-        sides = {nearest(i, -1), nearest(i, 1)}
+        before, after = sides[-1, b.article][i], sides[1, b.article][i]
+        around = {before, after}
         if b.article:  # undecided here is the article, unless it stands amid bad list items
-            out.append("good" in sides or None in sides or b.tag != "li")
+            out.append("good" in around or None in around or b.tag != "li")
         elif label == "near":
-            out.append("good" in sides or sides == {None})
+            out.append("good" in around or around == {None})
         else:
-            out.append(sides <= {"good"} or b.tag in ("h1", "h2", "h3", "h4", "h5", "h6") and nearest(i, 1) == "good")
+            out.append(around <= {"good"} or b.tag in ("h1", "h2", "h3", "h4", "h5", "h6") and after == "good")
     return out
 
 
@@ -213,7 +228,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars: a row per row of ``pages``.
 
     Null html counts as empty; a page without main text has an empty text.  Rows are independent, so
-    repeated ones give repeated results; a very long page is one row's work.
+    repeated ones give repeated results; a very long page is one row's work, which grows with its length.  An unclosed script, style or
+    other raw element takes the rest of the page, as in a browser; any other unclosed element ends with what it stands in.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

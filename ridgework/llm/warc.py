@@ -23,6 +23,8 @@ from .token_store import put_file
 
 #: An archive is closed when its payloads take so many bytes; a longer payload has an archive of its own.
 ARCHIVE_BYTES = 16 << 20
+#: Bytes of an archive that are decompressed at first for a record.
+WINDOW = 1 << 10
 #: Repeated digests up to this number (a few MB) are broadcast.
 BROADCAST_DIGESTS = 50_000
 DATE = "1970-01-01T00:00:00Z"
@@ -45,11 +47,22 @@ def record(kind: str, page_id: int | None, url: str | None, digest: str, size: i
 
 
 def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, payload) of each record of an archive of gzip members."""
-    while data:
-        z = zlib.decompressobj(31)
-        raw = z.decompress(data) + z.flush()
-        data = z.unused_data
+    """(headers, payload) of each record of an archive of gzip members.
+
+    A member is fed in windows that double, so what is read beyond its end, and read again, is never more than the member itself or WINDOW.
+    """
+    view, at = memoryview(data), 0
+    while at < len(view):
+        z, parts, window = zlib.decompressobj(31), [], WINDOW
+        while not z.eof:
+            if at >= len(view):
+                raise ValueError("damaged archive")
+            piece = view[at : at + window]
+            parts.append(z.decompress(piece))
+            at += len(piece)
+            window *= 2
+        at -= len(z.unused_data)
+        raw = b"".join(parts)
         head, _, rest = raw.partition(b"\r\n\r\n")
         first, *lines = head.decode().split("\r\n")
         if not first.startswith("WARC/"):

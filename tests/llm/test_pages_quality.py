@@ -117,3 +117,66 @@ def test_isotonic():
     x, y = quality.isotonic(np.arange(5.0), np.array([0, 0.5, 0.2, 0.9, 0.8]), np.ones(5))
     assert list(np.diff(y) >= 0) == [True] * (len(y) - 1)
     assert y == pytest.approx([0, 0.35, 0.85])
+
+
+def test_long_pages_and_unclosed_elements():
+    """Work grows with the length of a page; unclosed elements end with what they stand in, raw ones with the page."""
+    import time
+
+    began = time.time()
+    html_extract.main_text("<table>" + "<tr><td>ab cd</td></tr>" * 100_000 + "</table>")
+    html_extract.main_text("<p>x" + "<span>" * 30_000 + "</i>" * 30_000 + "<p>y" * 30_000)
+    assert time.time() - began < 30
+    story = "This is the story of a town and the people who lived in it, and of all that they had done when the river rose over the fields. " * 3
+    for name in ("object", "select", "svg", "math", "template"):
+        assert html_extract.main_text(f"<body><div><{name}>gone</div><p>{story}</p></body>") == story.strip()
+    assert html_extract.main_text(f"<body><svg><svg></svg><text>gone</text></svg><p>{story}</p></body>") == story.strip()
+    for name in ("script", "style", "iframe", "textarea"):
+        assert html_extract.main_text(f"<body><p>{story}</p><{name}>gone <p>{story}</p></body>") == story.strip()
+
+
+def test_marked_page_without_article():
+    """Blocks of a page by hand: what is text, and what takes its label from its neighbours."""
+    story = "It was in the year of the flood that the people of the town had to leave their homes, and they did so with the little that they could carry on their backs. " * 2
+    parts = [("a", "Home"), ("h2", "The flood"), ("p", story), ("p", "So it was."), ("p", story), ("p", '<a href="x">Read more of this and of all the other news</a>'), ("p", "Short tail")]
+    page = "<body>" + "".join(f"<{t}>{x}</{t}>" for t, x in parts) + "</body>"
+    assert html_extract.main_text(page).split("\n\n") == ["The flood", story.strip(), "So it was.", story.strip()]
+
+
+def test_many_revisits_are_read_in_one_pass():
+    import time
+    import zlib
+
+    z = zlib.compressobj(1, wbits=31)
+    one = z.compress(warc.record("revisit", 1, "http://x", "A" * 32, 10, 2, b"")) + z.flush()
+    began = time.time()
+    assert sum(1 for _ in warc.records(one * 100_000)) == 100_000
+    assert time.time() - began < 30
+    z = zlib.compressobj(1, wbits=31)
+    payload = bytes(range(256)) * 4000
+    large = z.compress(warc.record("response", 1, "http://x", "A" * 32, len(payload), None, payload)) + z.flush()
+    assert [p for _, p in warc.records(one + large + one)] == [b"", payload, b""]
+    with pytest.raises(ValueError):
+        list(warc.records(large[:-9]))
+
+
+def test_weights_and_calibration_by_plain_algebra(spark, sf):
+    """The distributed fit gives the weights of the normal equations over all rows of the training folds, and monotone values."""
+    import numpy as np
+
+    docs, labels = common.table(spark, sf, "documents"), common.table(spark, sf, "labels")
+    model = quality.fit(quality.document_stats(docs), labels, n_features=16)
+    y = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    rows = [(r["doc_id"], quality.statistics(r["text"] or "")) for r in docs.collect() if r["doc_id"] in y]
+    import zlib
+
+    fold = {d: zlib.crc32(str(d).encode()) % 4 for d, _ in rows}
+    x = np.array([s for d, s in rows if fold[d] != 2], np.float32).astype(float)
+    assert np.allclose(model.mean, x.mean(axis=0)) and np.allclose(model.scale, np.where(x.std(axis=0) > 1e-9, x.std(axis=0), 1.0))
+    train = [(d, s) for d, s in rows if fold[d] not in (2, 3)]
+    z = model.features(np.array([s for _, s in train], np.float32).astype(float))
+    want = np.linalg.solve(z.T @ z + quality.RIDGE * len(x) / z.shape[1] * np.eye(z.shape[1]), z.T @ np.array([y[d] for d, _ in train], float))
+    assert np.allclose(model.weights, want, atol=1e-6)
+    assert (np.diff(model.values) >= 0).all()
+    for d, s in rows[:50]:
+        assert 0 <= model.score(np.array([s]))[0] <= 1
