@@ -201,9 +201,16 @@ def frequent_shingles(docs: DataFrame, k: int = WORDS) -> tuple[np.ndarray, np.n
     if least is None:
         discard(found)
         return np.zeros(0, np.uint64), np.zeros(0, np.uint8)
-    rows = found.filter(F.col("k") >= least).toPandas()
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            classes = np.minimum(batch.column("k").to_numpy(), 63).astype(np.uint8)
+            yield pa.RecordBatch.from_pydict({"s": pa.array([batch.column("s").to_numpy().tobytes()], pa.binary()), "k": pa.array([classes.tobytes()], pa.binary())})
+
+    # nine bytes a shingle, in a row a batch: as rows of their own they would fill the driver
+    rows = mapped(found.filter(F.col("k") >= least), packed, "s binary, k binary").collect()
     discard(found)
-    s, c = rows["s"].to_numpy(np.int64).view(np.uint64), np.minimum(rows["k"].to_numpy(), 63).astype(np.uint8)
+    s, c = np.frombuffer(b"".join(r["s"] for r in rows), np.uint64), np.frombuffer(b"".join(r["k"] for r in rows), np.uint8)
     order = np.argsort(s)
     return s[order], c[order]
 
@@ -389,3 +396,18 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
+
+
+#: All pairs that share a shingle, and the smallest doc_id reachable; for small tables.
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s AS a JOIN s AS b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM p JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * common >= 80 * (x.n + y.n - common)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+c(node, comp) USING KEY (node) AS (
+  SELECT doc_id, doc_id FROM n
+  UNION SELECT e.a, min(c.comp) FROM c JOIN e ON e.b = c.node JOIN recurring.c AS o ON o.node = e.a GROUP BY e.a, o.comp HAVING min(c.comp) < o.comp)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(comp, doc_id) AS component_id FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c ON node = doc_id
+"""
