@@ -15,4 +15,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_content_sort_dedup": exact_dedup.SQL, "op6_mtree_top_k": metric_search.SQL}
+    return {"op4_ngram_jaccard_join": ngram_join.SQL, "op5_content_sort_dedup": exact_dedup.SQL, "op6_mtree_top_k": metric_search.SQL, "op8_warc_revisits": warc.SQL}

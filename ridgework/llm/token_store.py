@@ -41,8 +41,8 @@ NULL_ID = -(2**63)
 SHARD_BYTES = 8 << 20
 #: Texts that are encoded at once, in characters.
 ENCODE_CHARS = 1 << 20
-#: Set bits between two samples of the select structure.
-SELECT_EVERY = 256
+#: Set bits between two samples of the select structure; bytes whose bits are counted at once to build it; boundaries read at once.
+SELECT_EVERY, PIECE, RUN = 256, 1 << 16, 4096
 
 
 def default_tokenizer() -> str:
@@ -71,10 +71,18 @@ class Boundaries:
     def __init__(self, n: int, low: int, lows: bytes, highs: bytes):
         self.n, self.low = n, low
         self._lows, self._highs = np.frombuffer(lows, np.uint8), np.frombuffer(highs, np.uint8)
-        counts = np.cumsum(np.bitwise_count(self._highs), dtype=np.int64)
-        # of every SELECT_EVERY-th set bit: the byte that holds it, and the set bits before that byte
-        self._byte = np.searchsorted(counts, np.arange(0, n, SELECT_EVERY), side="right")
-        self._rank = np.where(self._byte > 0, counts[self._byte - 1], 0) if n else np.zeros(0, np.int64)
+        # of every SELECT_EVERY-th set bit: the byte that holds it, and the set bits before that byte; the bytes are counted in pieces
+        n_samples = -(-n // SELECT_EVERY)
+        self._byte, self._rank = np.zeros(n_samples, np.int64), np.zeros(n_samples, np.int64)
+        before = done = 0
+        for a in range(0, len(self._highs), PIECE):
+            counts = np.cumsum(np.bitwise_count(self._highs[a : a + PIECE]), dtype=np.int64)
+            total = before + int(counts[-1])
+            here = np.arange(done, min(n_samples, -(-total // SELECT_EVERY)))
+            at = np.searchsorted(counts, here * SELECT_EVERY - before, side="right")
+            self._byte[here] = a + at
+            self._rank[here] = before + np.where(at > 0, counts[at - 1], 0)
+            before, done = total, done + len(here)
 
     def _low_part(self, a: int, b: int) -> np.ndarray:
         if not self.low:
@@ -102,6 +110,8 @@ def write_shard(doc_ids: list[int | None], ids: list[bytes], width: int) -> byte
     ends = np.cumsum([len(x) // 4 for x in ids], dtype=np.int64)
     low, lows, highs = elias_fano(ends)
     array = np.frombuffer(b"".join(ids), "<u4")
+    if NULL_ID in doc_ids:
+        raise ValueError(f"doc_id {NULL_ID} stands for null")
     keys = np.array([NULL_ID if d is None else d for d in doc_ids], "<i8")
     head = HEAD.pack(MAGIC, width, len(ids), len(array), low, len(highs))
     return b"".join([head, keys.tobytes(), lows, highs, array.astype(f"<u{width}").tobytes()])
@@ -151,7 +161,7 @@ def write_token_shards(docs: DataFrame, out: str, tokenizer: str | None = None,
     """Encode whole texts, append ``end_id`` to each and write shards below ``out`` in ascending doc_id order.
 
     Returns the manifest, a row per shard: task (range partition), shard (number in it), n_docs,
-    n_ids.  Null text counts as empty and gives the end id alone; a null doc_id sorts first;
+    n_ids.  A doc_id of -2 ** 63, which the file keeps for null, is refused.  Null text counts as empty and gives the end id alone; a null doc_id sorts first;
     rows with the same doc_id are all kept, ordered by text; an empty table writes no shard.
     Columns other than doc_id and text don't matter.
     """
@@ -226,10 +236,12 @@ def read_token_shards(spark: SparkSession, path: str, manifest: DataFrame) -> Da
             for name, data in zip(batch.column("path").to_pylist(), batch.column("content")):
                 task, shard = map(int, name.rpartition("/")[2].removesuffix(".eft").split("-"))
                 s = Shard(data.as_py())
-                ends = s.boundaries.ends(0, s.n)
-                starts = np.concatenate([[0], ends[:-1]])
-                crc = [zlib.crc32(s.array[a:b].astype("<u4").tobytes()) for a, b in zip(starts.tolist(), ends.tolist())]
-                yield pa.RecordBatch.from_pydict({"task": pa.array([task] * s.n, pa.int32()), "shard": pa.array([shard] * s.n, pa.int32()), "doc_id": pa.array(s.doc_ids, pa.int64()), "first": pa.array(starts, pa.int64()), "n_tokens": pa.array(ends - starts, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
+                for i in range(0, s.n, RUN):  # select gives a run's boundaries; no table of all is made
+                    j = min(i + RUN, s.n)
+                    ends = s.boundaries.ends(i, j)
+                    starts = np.concatenate([[s.boundaries.end(i - 1) if i else 0], ends[:-1]])
+                    crc = [zlib.crc32(s.array[a:b].astype("<u4").tobytes()) for a, b in zip(starts.tolist(), ends.tolist())]
+                    yield pa.RecordBatch.from_pydict({"task": pa.array([task] * (j - i), pa.int32()), "shard": pa.array([shard] * (j - i), pa.int32()), "doc_id": pa.array(s.doc_ids[i:j], pa.int64()), "first": pa.array(starts, pa.int64()), "n_tokens": pa.array(ends - starts, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
 
     found = mapped(files.select("path", "content"), read, "task int, shard int, doc_id long, first long, n_tokens long, ids_crc32 long")
     # a row a shard: its size is proven by the manifest's count, which the hint follows

@@ -159,3 +159,13 @@ def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     if manifest.isEmpty():
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
     return read_archives(spark, out, manifest)
+
+
+#: A digest in base 32 from its bits.
+SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages), f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY h, n) AS first FROM p), d AS (
+  SELECT *, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * get_bit(b, CAST(5 * i AS INTEGER)) + 8 * get_bit(b, CAST(5 * i + 1 AS INTEGER)) + 4 * get_bit(b, CAST(5 * i + 2 AS INTEGER)) + 2 * get_bit(b, CAST(5 * i + 3 AS INTEGER)) + get_bit(b, CAST(5 * i + 4 AS INTEGER)), 1)), '') AS digest
+  FROM (SELECT *, CAST(unhex(h) AS BIT) AS b FROM f))
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM d
+"""
