@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources import tables as t
-from ..streaming import telemetry
-from . import equipment, lines, spatial, terrain, vegetation  # noqa: F401  register their queries
+from . import equipment, feeds, lines, spatial, terrain, text, vegetation  # noqa: F401  register their queries
 from .registry import QUERIES, SQL, query  # noqa: F401
 
 _PAINT = "(SELECT event_id AS seq, event_type <> 'error' AS painted, CAST(user_id % 40 AS INTEGER) AS q, CAST(event_id % 25 AS INTEGER) AS r FROM events)"
@@ -17,16 +16,3 @@ def painted_area(spark, sf):
     """Cells whose last stroke paints: the last write of each cell, by an aggregate that combines before the shuffle."""
     e = t.derived(spark, sf, "events", {"seq": "event_id", "painted": "event_type <> 'error'", "q": "CAST(user_id % 40 AS INTEGER)", "r": "CAST(event_id % 25 AS INTEGER)"})
     return e.groupBy("q", "r").agg(F.max(F.struct("seq", "painted")).alias("last")).filter("last.painted").select("q", "r", "last.seq")
-
-
-@query("""
-SELECT date_trunc('day', ts) AS day, event_type, count(*) AS events, count(DISTINCT user_id) AS clients, round(sum(value), 4) AS value FROM events GROUP BY 1, 2""")
-def telemetry_daily(spark, sf):
-    return telemetry.daily(t.table(spark, sf, "events"))
-
-
-@query("""
-SELECT user_id, slot, requests, greatest(0, requests - 2) AS refused FROM (
-  SELECT user_id, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS slot, count(*) AS requests FROM events GROUP BY 1, 2)""")
-def rate_limit(spark, sf):
-    return telemetry.limited(t.table(spark, sf, "events"), 2, 86_400)
