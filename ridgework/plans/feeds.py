@@ -181,10 +181,10 @@ def equip_override_diff(spark, sf):
     return entities.differing(*_patched(spark, sf))
 
 
-@query("SELECT p_partkey, p_type FROM part WHERE p_type = 'PROMO BURNISHED COPPER' OR p_partkey = 7")
+@query("SELECT p_partkey, p_type FROM part WHERE p_type = 'LARGE' OR p_partkey = 7")
 def kv_lookup(spark, sf):
     """Rows of one partition, and one row by its key: filters that reach the scan."""
-    return t.table(spark, sf, "part").filter("p_type = 'PROMO BURNISHED COPPER' OR p_partkey = 7").select("p_partkey", "p_type")
+    return t.table(spark, sf, "part").filter("p_type = 'LARGE' OR p_partkey = 7").select("p_partkey", "p_type")
 
 
 @query("SELECT cell, count(*) AS routes FROM (SELECT DISTINCT l_orderkey AS route, l_partkey % 500 AS cell FROM lineitem) GROUP BY cell")
