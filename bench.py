@@ -9,7 +9,10 @@ from pyspark.sql import SparkSession
 
 from ridgework.plans import catalog
 
-HEADLINE = ("equip_line_eval", "equip_aircraft_eval", "equip_recommend", "equip_meta", "rle_slope", "overlap_matrix", "hex_stencil_cost", "edge_cost_foot", "painted_area", "telemetry_daily")
+HEADLINE = (
+    "equip_line_eval", "equip_aircraft_eval", "equip_recommend", "equip_meta", "rle_slope", "overlap_matrix", "overlay_join", "slope_distribution", "hex_stencil_cost", "edge_cost_foot", "edge_cost_movers", "accumulated_cost", "viewshed",
+    "point_in_polygon", "painted_area", "telemetry_daily",
+)
 
 
 def main() -> None:
@@ -18,11 +21,13 @@ def main() -> None:
     conf = {"spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.driver.memory": "8g", "spark.local.dir": d, "spark.sql.warehouse.dir": f"{d}/warehouse", "spark.ui.showConsoleProgress": "false"}
     spark = SparkSession.builder.master(f"local[{cpus}]").config(map=conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    run = lambda name, at: catalog.QUERIES[name](spark, at).write.format("noop").mode("overwrite").save()
+    for name in ("equip_line_eval", "rle_slope"):  # start of the engine, compilation of plans of these shapes
+        run(name, sf)
     took = {}
     for name in HEADLINE:
         began = time.time()
-        catalog.QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
+        run(name, sf)
         took[name] = round(time.time() - began, 3)
     print(json.dumps({"metric": "headline queries", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": sf}))
 

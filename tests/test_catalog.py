@@ -1,15 +1,19 @@
+import re
+
 import duckdb
 import pytest
 
 from ridgework.plans import catalog
 
 SF = "/root/testdata/sf0.01"
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 @pytest.fixture(scope="module")
 def db():
     con = duckdb.connect()
-    for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"):
+    con.execute("SET TimeZone = 'UTC'")
+    for name in TABLES:
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     return con
 
@@ -25,3 +29,29 @@ def test_query_equals_sql(spark, db, name):
     want = db.execute(f"SELECT {', '.join(names)} FROM ({catalog.SQL[name]})").fetchall()
     assert want
     assert rounded(map(tuple, got.select(*names).collect())) == rounded(want)
+
+
+def test_every_query_has_sql():
+    assert catalog.QUERIES.keys() == catalog.SQL.keys()
+
+
+def test_results_reach_the_branches(spark):
+    """Equal rows prove little of a branch that no row takes."""
+    seen = lambda name, col: {r[0] for r in catalog.QUERIES[name](spark, SF).select(col).distinct().collect()}
+    assert seen("equip_line_eval", "level") == {"full", "partial", "incompatible"}
+    assert seen("equip_aircraft_eval", "level") == {"full", "partial", "incompatible"}
+    notes = seen("equip_line_eval", "note")
+    for part in ("exceeds this resource's", "over limits", "rollover", "passes for", "effort scaled"):
+        assert any(part in (n or "") for n in notes), part
+    assert any(re.search("longer than fastest", n) for n in seen("equip_recommend", "note")) and "Cost-optimised selection" in seen("equip_recommend", "note")
+    assert seen("edge_cost_movers", "blocked") == {None, "climb", "side-slope", "ford", "vegetation"}
+    assert seen("trafficability", "mobility") == {"unrestricted", "restricted", "severely-restricted"}
+    assert seen("fording", "ford_m") >= {None, 2.5, 1.2, 0.4, 1.0}
+    assert seen("veg_mapping_hier", "matched") == {"type", "class", "formation", None}
+    assert seen("veg_area", "source") == {"polygon", "raster", "nodata", None}
+    assert seen("plane_fit", "place") == {"ridge", "midslope", "valley"}
+    assert seen("incident_sectors", "sector") == {"head", "rear", "leftFlank", "rightFlank"}
+    assert seen("upsert_versions", "status") == {200, 404, 409} and seen("insert_new", "status") == {201, 409}
+    assert seen("rate_limit", "allowed") == {True, False} and seen("road_times", "basis") == {"published", "estimated", "vehicle-capability-only"}
+    assert seen("isochrones", "band") >= {None, 15} and seen("viewshed", "screened") == {True, False} and seen("hex_boundary", "boundary") == {True, False}
+    assert seen("grounding_check", "ok") == {True, False} and seen("state_first_match", "state") >= {"NSW", "VIC", "QLD", "WA", "SA", "TAS", "NT"}
