@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import production as p
 from ..operators import linear, overrides
+from ..sources import tables as t
 from . import equipment, lines
 from .equipment import SEG, segments
 from .registry import SQL, query
@@ -87,3 +88,38 @@ def insights_rules(spark, sf):
     r = r.withColumn("_poor", F.max((F.col("sev") < 3) & (F.col("id") != "strategy")).over(by)).filter("id <> 'good-line' OR NOT _poor")
     severity = F.element_at(F.array(*map(F.lit, ("critical", "warning", "advice", "info"))), F.col("sev") + 1)
     return r.select("plan", F.row_number().over(by.orderBy("sev", "seq", "rank")).alias("place"), "id", severity.alias("severity"))
+
+
+# Factors of time by terrain level and by vegetation of the coarse model.
+COARSE_TERRAIN = {"flat": 1.0, "medium": 1.3, "steep": 1.7, "very_steep": 2.2}
+COARSE_FUEL = {"grassland": 1.0, "lightshrub": 1.1, "mediumscrub": 1.5, "heavyforest": 2.0}
+_LEVELS = tuple(COARSE_TERRAIN)
+_case = lambda x, table: f"(CASE {x} {' '.join(f"WHEN '{k}' THEN {v}e0" for k, v in table.items())} END)"
+_RANK = f"(CASE required {' '.join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(_LEVELS))} END)"
+_COARSE = f"""(SELECT plan, d, top, veg, flat, medium, steep, very_steep, {p.terrain_level_sql("top")} AS required FROM (
+  SELECT plan, sum(len) AS d, max(slope) AS top, {', '.join(f"sum(CASE WHEN {_C} = '{c}' THEN len ELSE 0 END) AS {c}" for c in _LEVELS)} FROM {SEG} GROUP BY plan) JOIN (SELECT plan, veg FROM ({SQL['predominant_veg']})) USING (plan))"""
+
+
+@query(f"""
+SELECT plan, resource, level, CAST(CASE WHEN level <> 'incompatible' AND kind = 'Aircraft' THEN ceil(d / drop_m) END AS BIGINT) AS drops, round(hours, 6) AS hours, round(hours * coalesce(cost_hour, 0), 4) AS cost FROM (
+  SELECT *, CASE WHEN level = 'incompatible' THEN 0 WHEN kind = 'Aircraft' THEN ceil(d / drop_m) * turnaround / 60 ELSE d / (rate / ({_case('required', COARSE_TERRAIN)} * {_case('veg', COARSE_FUEL)})) * CASE WHEN level = 'partial' THEN 1 + 2 * over_ / d ELSE 1 END END AS hours FROM (
+    SELECT *, CASE WHEN kind = 'Machinery' AND max_slope IS NOT NULL AND top > max_slope THEN 'incompatible' WHEN fuel AND {_RANK} <= best THEN 'full' WHEN kind = 'Machinery' AND fuel AND over_ > 0 AND over_ / d <= 0.15 THEN 'partial' ELSE 'incompatible' END AS level FROM (
+      SELECT *, list_contains(string_split(veg_allowed, ','), veg) AS fuel, CASE WHEN best < 3 THEN very_steep ELSE 0 END + CASE WHEN best < 2 THEN steep ELSE 0 END + CASE WHEN best < 1 THEN medium ELSE 0 END AS over_ FROM (
+        SELECT c.*, r.*, CASE WHEN list_contains(string_split(terrain, ','), 'very_steep') THEN 3 WHEN list_contains(string_split(terrain, ','), 'steep') THEN 2 WHEN list_contains(string_split(terrain, ','), 'medium') THEN 1 ELSE 0 END AS best FROM {_COARSE} AS c CROSS JOIN {equipment.RES} AS r))))""")
+def equip_coarse_fallback(spark, sf):
+    """Resources by one terrain level (of the largest slope) and one vegetation a plan, for when the full model is away; only machines can be partial."""
+    by = segments(spark, sf).groupBy("plan").agg(F.sum("len").alias("d"), F.max("slope").alias("top"), *(F.expr(f"sum(CASE WHEN {_C} = '{c}' THEN len ELSE 0e0 END)").alias(c) for c in _LEVELS))
+    c = by.join(lines.predominant_veg(spark, sf).select("plan", "veg"), "plan").withColumn("required", F.expr(p.terrain_level_sql("top")))
+    number = lambda x: "CAST(NULL AS DOUBLE)" if x is None else f"{float(x)!r}e0"
+    rows = []
+    for name, kind, rate, cost, _, max_slope, _, terrain, fuels, drop_m, turn, _ in t.RESOURCES:
+        best = max(_LEVELS.index(x) for x in terrain.split(","))
+        over, fuel = " + ".join(_LEVELS[best + 1 :]) or "0e0", f"veg IN ({', '.join(f"'{v}'" for v in fuels.split(','))})"
+        partial = f"WHEN {fuel} AND {over} > 0 AND ({over}) / d <= {p.PARTIAL_SHARE}e0 THEN 'partial'" if kind == "Machinery" else ""
+        steep = f"WHEN top > {number(max_slope)} THEN 'incompatible'" if kind == "Machinery" and max_slope is not None else ""
+        level = f"CASE {steep} WHEN {fuel} AND {_RANK} <= {best} THEN 'full' {partial} ELSE 'incompatible' END"
+        rows.append(f"named_struct('resource', '{name}', 'kind', '{kind}', 'rate', {number(rate)}, 'cost_hour', {number(cost)}, 'drop_m', {number(drop_m)}, 'turn', {number(turn)}, 'over', {over}, 'level', {level})")
+    x = c.select("plan", "d", "veg", "required", F.expr(f"inline(array({', '.join(rows)}))"))
+    hours = f"CASE WHEN level = 'incompatible' THEN 0e0 WHEN kind = 'Aircraft' THEN ceil(d / drop_m) * turn / 60 ELSE d / (rate / ({_case('required', COARSE_TERRAIN)} * {_case('veg', COARSE_FUEL)})) * CASE WHEN level = 'partial' THEN 1 + 2 * over / d ELSE 1e0 END END"
+    x = x.withColumn("_h", F.expr(hours))
+    return x.select("plan", "resource", "level", F.expr("CASE WHEN level <> 'incompatible' AND kind = 'Aircraft' THEN CAST(ceil(d / drop_m) AS BIGINT) END").alias("drops"), F.round("_h", 6).alias("hours"), F.round(F.col("_h") * F.coalesce("cost_hour", F.lit(0.0)), 4).alias("cost"))
