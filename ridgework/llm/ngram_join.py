@@ -66,9 +66,12 @@ def word_hashes(texts: pa.Array) -> list[np.ndarray]:
     """Per text the 64-bit BLAKE2b hashes of its words, lower-cased (A-Z); each distinct word of the block is hashed once."""
     words = pc.ascii_split_whitespace(pc.ascii_lower(texts))
     coded = words.flatten().dictionary_encode()
-    found = coded.dictionary.cast(pa.large_binary()).to_pylist()
-    own = np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in found), "<u8")
-    empty = np.array([not w for w in found], bool)
+    found = coded.dictionary
+    _, starts, data = found.buffers()
+    ends = np.frombuffer(starts, np.int32)[found.offset : found.offset + len(found) + 1] if len(found) else np.zeros(1, np.int32)
+    raw, cut = data.to_pybytes() if data else b"", ends.tolist()  # slices of one buffer: values one by one are slow
+    own = np.frombuffer(b"".join([hashlib.blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(cut, cut[1:])]), "<u8")
+    empty = ends[1:] == ends[:-1]
     at, bounds = coded.indices.to_numpy(), words.offsets.to_numpy()
     bounds = bounds - bounds[0]
     if empty.any():  # of white space at the ends
