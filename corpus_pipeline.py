@@ -10,7 +10,6 @@ doc_ids: rows with a null doc_id, or with the same one, are documents of their o
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ridgework.llm import exact_dedup, mixing, ngram_join, packing, quality
 from ridgework.llm.common import materialize, table
