@@ -76,7 +76,7 @@ def evaluate_lines(segments: DataFrame, resources: Sequence[Resource], width: fl
         "plan", "ord", "resource", "kind", F.round("total_m", 3).alias("total_m"), F.round("over_m", 3).alias("over_m"), "level", F.round("_t", 6).alias("hours"),
         F.round(F.col("_t") * F.coalesce("cost_hour", F.lit(0.0)), 4).alias("cost"), "passes", F.expr(f"round(nullif({SHARE_SQL}, 0e0), 6)").alias("over_share"),
         F.expr("CASE WHEN steepest > slope_limit THEN round(steepest, 6) END").alias("max_slope_exceeded"), F.expr("CASE WHEN steepest_side > side_limit THEN round(steepest_side, 6) END").alias("max_side_exceeded"),
-        F.expr("round(_conf / nullif(total_m, 0e0), 6)").alias("confidence"), F.expr(line_note_sql(width)).alias("note"),
+        F.expr("round(round(_conf / nullif(total_m, 0e0), 9), 6)").alias("confidence"), F.expr(line_note_sql(width)).alias("note"),
     )
 
 
@@ -94,7 +94,7 @@ def evaluate_drops(segments: DataFrame, resources: Sequence[Resource]) -> DataFr
     cost = F.expr("CASE WHEN cost_drop > 0 THEN drops * cost_drop ELSE coalesce(_t * cost_hour, 0e0) END")
     return out.select(
         "plan", "resource", F.col("drops").cast("long").alias("drops"), F.round("_t", 6).alias("hours"), F.round(cost, 4).alias("cost"), "level",
-        F.expr(f"round(nullif({SHARE_SQL}, 0e0), 6)").alias("over_share"), F.expr("round(_conf / nullif(total_m, 0e0), 6)").alias("confidence"), F.expr(drop_note_sql()).alias("note"),
+        F.expr(f"round(nullif({SHARE_SQL}, 0e0), 6)").alias("over_share"), F.expr("round(round(_conf / nullif(total_m, 0e0), 9), 6)").alias("confidence"), F.expr(drop_note_sql()).alias("note"),
     )
 
 
@@ -123,7 +123,7 @@ def plan_summary(segments: DataFrame) -> DataFrame:
         _sum("len * coalesce(conf, 0e0)").alias("_c"),
     )
     mean = "coalesce(_ls / nullif(_l, 0e0), 0e0)"
-    return s.select("plan", F.round("_l", 3).alias("total_m"), F.expr(f"round({mean}, 6)").alias("mean_slope"), F.expr("round(greatest(0e0, coalesce(_m, 0e0)), 6)").alias("max_slope"), F.round("_w", 3).alias("water_m"), F.expr("round(coalesce(_c / nullif(_l, 0e0), 0e0), 6)").alias("confidence"), F.expr(p.terrain_level_sql(f"round({mean}, 6)")).alias("terrain"))
+    return s.select("plan", F.round("_l", 3).alias("total_m"), F.expr(f"round({mean}, 6)").alias("mean_slope"), F.expr("round(greatest(0e0, coalesce(_m, 0e0)), 6)").alias("max_slope"), F.round("_w", 3).alias("water_m"), F.expr("round(round(coalesce(_c / nullif(_l, 0e0), 0e0), 9), 6)").alias("confidence"), F.expr(p.terrain_level_sql(f"round({mean}, 6)")).alias("terrain"))
 
 
 def difficulty(segments: DataFrame) -> DataFrame:

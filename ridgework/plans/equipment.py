@@ -36,7 +36,7 @@ _LINES = f"""
 _EVAL = _sql(f"""
 SELECT plan, CAST(ord AS INTEGER) AS ord, resource, kind, round(total_m, 3) AS total_m, round(over_m, 3) AS over_m, level, round(t, 6) AS hours, round(t * coalesce(cost_hour, 0), 4) AS cost, passes, round(nullif(f, 0), 6) AS over_share,
        CASE WHEN steepest > slope_limit THEN round(steepest, 6) END AS max_slope_exceeded, CASE WHEN steepest_side > side_limit THEN round(steepest_side, 6) END AS max_side_exceeded,
-       round(c / nullif(total_m, 0), 6) AS confidence, {evaluation.line_note_sql(W)} AS note
+       round(round(c / nullif(total_m, 0), 9), 6) AS confidence, {evaluation.line_note_sql(W)} AS note
 FROM (SELECT *, CASE level WHEN 'incompatible' THEN 0.0 WHEN 'partial' THEN h * (1 + 2.0 * f) * mult ELSE h * mult END AS t
       FROM (SELECT *, CASE WHEN f = 0 THEN 'full' WHEN f <= 0.15 THEN 'partial' ELSE 'incompatible' END AS level
             FROM (SELECT *, coalesce(over_m / nullif(total_m, 0), 0) AS f, {p.width_sql("kind", str(W), "cut")} AS mult, CASE WHEN kind = 'Machinery' THEN CAST(greatest(1, ceil({W} / coalesce(cut, 3.4))) AS BIGINT) END AS passes FROM ({_LINES}))))""")
@@ -49,7 +49,7 @@ def equip_line_eval(spark, sf):
 
 
 _AIR = _sql(f"""
-SELECT plan, resource, drops, round(hours, 6) AS hours, round(CASE WHEN cost_drop > 0 THEN drops * cost_drop ELSE coalesce(hours * cost_hour, 0) END, 4) AS cost, level, round(nullif(f, 0), 6) AS over_share, round(c / nullif(total_m, 0), 6) AS confidence, {evaluation.drop_note_sql()} AS note
+SELECT plan, resource, drops, round(hours, 6) AS hours, round(CASE WHEN cost_drop > 0 THEN drops * cost_drop ELSE coalesce(hours * cost_hour, 0) END, 4) AS cost, level, round(nullif(f, 0), 6) AS over_share, round(round(c / nullif(total_m, 0), 9), 6) AS confidence, {evaluation.drop_note_sql()} AS note
 FROM (SELECT *, drops * turnaround / 60 AS hours FROM (SELECT *, CASE WHEN level = 'incompatible' THEN 0 ELSE CAST(greatest(1.0, ceil(round(d, 6))) AS BIGINT) END AS drops
   FROM (SELECT *, CASE WHEN f = 0 THEN 'full' WHEN f <= 0.15 THEN 'partial' ELSE 'incompatible' END AS level FROM (SELECT *, coalesce(over_m / nullif(total_m, 0), 0) AS f FROM (
     SELECT plan, resource, turnaround, cost_hour, cost_drop, {_clauses("len")} AS total_m, {_clauses("len * conf")} AS c, {_clauses("CASE WHEN list_contains(string_split(veg_allowed, ','), veg) THEN 0 ELSE len END")} AS over_m, {_clauses(f"len / (drop_m * {p.fuel_sql('kind', 'veg')})")} AS d
@@ -91,7 +91,7 @@ def equip_order(spark, sf):
 
 
 @query(f"""
-SELECT plan, round(l, 3) AS total_m, round(coalesce(ls / nullif(l, 0), 0), 6) AS mean_slope, round(greatest(0, coalesce(m, 0)), 6) AS max_slope, round(w, 3) AS water_m, round(coalesce(c / nullif(l, 0), 0), 6) AS confidence,
+SELECT plan, round(l, 3) AS total_m, round(coalesce(ls / nullif(l, 0), 0), 6) AS mean_slope, round(greatest(0, coalesce(m, 0)), 6) AS max_slope, round(w, 3) AS water_m, round(round(coalesce(c / nullif(l, 0), 0), 9), 6) AS confidence,
        {p.terrain_level_sql("round(coalesce(ls / nullif(l, 0), 0), 6)")} AS terrain
 FROM (SELECT plan, {_clauses("len")} AS l, {_clauses("len * slope")} AS ls, max(CASE WHEN NOT water THEN slope END) AS m, sum(CASE WHEN water THEN len ELSE 0 END) AS w, {_clauses("len * conf")} AS c FROM {SEG} GROUP BY plan)""")
 def equip_meta(spark, sf):
