@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.01"
 @pytest.mark.parametrize("name", list(queries.oracle_sql()))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "pages", "embeddings"):
+    for table in ("documents", "pages", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     got = queries.queries()[name](spark, SF)
     columns = sorted(got.columns)
