@@ -11,8 +11,10 @@ pairs are best.  A link row is scored as it passes, and its documents' partial s
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +29,17 @@ from .token_store import default_tokenizer
 #: A ids of a stripe: its dense block has WIDTH x (B ids) longs, 131 MB of 32 000.
 WIDTH = 512
 #: A block of documents closes at so many characters, or documents (their numbers are 16 bits).
-BLOCK_CHARS, BLOCK_DOCS = 1 << 21, 1 << 16
+BLOCK_CHARS, BLOCK_DOCS = 1 << 20, 1 << 16
 #: The cache is emptied when it holds so many chunks or linked pairs; chunks that are learnt at once, in characters; pairs that are expanded at once.
 MAX_CHUNKS, MAX_PAIRS, LEARN_CHARS, EXPAND = 200_000, 4_000_000, 1 << 18, 1 << 21
+#: Chunks that go to the libraries as one text.
+CALL = 64
 #: Cells of a row of the table of counts.
 SLICE = 1 << 20
 
 _ADJACENT = re.compile(r"\s\s")
+#: Chunks that can't be put between others with single spaces: at their ends is white space of any kind, or they hold the mark that one vocabulary has for a space.
+_ODD = r"^$|\x{2581}|^[WS]|[WS]$".replace("WS", r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
 _LONE_SPACE, _INNER = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"\S ")
 _BLOCKS = (
     "block long, stripe int, cells binary, held binary, docs binary, times binary, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>"
@@ -53,6 +59,12 @@ def _byte_level() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
 
 
+def _pooled(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sizes, starts, all bytes one after the other)."""
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    return sizes, np.cumsum(sizes) - sizes, np.frombuffer(b"".join(parts), np.uint8)
+
+
 class Vocabularies:
     """Both tokenizers and the bytes of their ids."""
 
@@ -60,6 +72,7 @@ class Vocabularies:
         import sentencepiece
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True  # their strings in a text are plain text
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
@@ -71,7 +84,11 @@ class Vocabularies:
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         #: Whether texts may be cut at a space between two non-spaces.
         self.cut = not any(_INNER.search(t.decode(errors="replace")) for t in self.bytes_a + self.bytes_b)
-        self.len_a, self.len_b = (np.fromiter(map(len, t), np.int64, len(t)) for t in (self.bytes_a, self.bytes_b))
+        (self.len_a, self.start_a, self.pool_a), (self.len_b, self.start_b, self.pool_b) = map(_pooled, (self.bytes_a, self.bytes_b))
+        #: Ids in decimal, each with room for the mark that follows.
+        numbers = [f"{i};".encode() for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
+        sizes, self.decimal_starts, self.decimals = _pooled(numbers)
+        self.digits = sizes - 1
 
 
 def group_ends(ends_a: np.ndarray, ends_b: np.ndarray) -> np.ndarray:
@@ -94,7 +111,7 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class Aligner:
-    """Chunks of texts, each encoded and aligned once; chunk i of the cache has FIGURES in ``figures[i]`` and its linked pairs in a pool."""
+    """Chunks of texts, each encoded and aligned once; chunk i of the cache has FIGURES in ``figures[i]``, its linked pairs and its groups as text in pools."""
 
     def __init__(self, vocabularies: Vocabularies):
         self.v = vocabularies
@@ -102,49 +119,65 @@ class Aligner:
 
     def _clear(self) -> None:
         self.slots: dict[str, int] = {}
-        self.strings: list[bytes | None] = []
-        self.parts: list[tuple[np.ndarray, ...]] = [(np.zeros((0, 4), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        self.parts: list[tuple[np.ndarray, ...]] = [(np.zeros((0, 4), np.int64), *(np.zeros(0, np.int64) for _ in range(4)), np.zeros(0, np.uint8))]
         self.n_pairs = 0
 
     def _arrays(self) -> tuple[np.ndarray, ...]:
-        """figures, pairs a chunk, their codes a * (B ids) + b, and how often each is linked; all learnt so far."""
+        """figures, pairs a chunk, their codes a * (B ids) + b, how often each is linked, bytes of text a chunk, the texts; all learnt so far."""
         self.parts = [tuple(np.concatenate(p) for p in zip(*self.parts))]
         return self.parts[0]
 
+    def _encoded(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """(A ids, B ids, bytes a chunk) of chunks that follow a space each; None if tokens' bytes aren't the text's."""
+        v = self.v
+        texts = [" ".join(chunks[i : i + CALL]) for i in range(0, len(chunks), CALL)]  # as texts, which are cut where chunks begin
+        a = np.fromiter(chain.from_iterable(e.ids for e in v.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)), np.int64)
+        b = np.fromiter(chain.from_iterable(v.b.encode(texts, num_threads=1)), np.int64)
+        raw = np.frombuffer("".join(" " + t for t in texts).encode(), np.uint8)
+        for ids, sizes, starts, pool in ((a, v.len_a, v.start_a, v.pool_a), (b, v.len_b, v.start_b, v.pool_b)):
+            found = pool[_ranges(starts[ids], sizes[ids])]
+            if len(found) != len(raw) or (found != raw).any():
+                return None
+        return a, b, pc.binary_length(pa.array(chunks, pa.large_string())).to_numpy() + 1
+
     def _learn(self, chunks: list[str]) -> None:
-        """Append chunks, each of which follows a space, to the cache."""
-        v, n_b = self.v, len(self.v.bytes_b)
-        ids_a = [e.ids for e in v.a.encode_batch_fast([" " + c for c in chunks], add_special_tokens=False)]
-        ids_b = v.b.encode(chunks, num_threads=1)
-        texts = [b" " + c.encode() for c in chunks]
-        good = [i for i, (t, a, b) in enumerate(zip(texts, ids_a, ids_b)) if b"".join(map(v.bytes_a.__getitem__, a)) == t == b"".join(map(v.bytes_b.__getitem__, b))]
-        strings: list[bytes | None] = [None] * len(chunks)
-        figures, n_pairs = np.zeros((len(chunks), 4), np.int64), np.zeros(len(chunks), np.int64)
-        codes, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if good:
-            # chunks end in common offsets, so all are aligned as one text
-            a, b = (np.array([i for g in good for i in ids[g]], np.int64) for ids in (ids_a, ids_b))
-            ends_a, ends_b = np.cumsum(v.len_a[a]), np.cumsum(v.len_b[b])
-            ends = group_ends(ends_a, ends_b)
-            group_a, group_b = np.searchsorted(ends, ends_a), np.searchsorted(ends, ends_b)
-            chunk = np.searchsorted(np.cumsum([len(texts[g]) for g in good]), ends)
-            in_a, in_b = np.bincount(group_a, minlength=len(ends)), np.bincount(group_b, minlength=len(ends))
-            links = np.zeros(len(good), np.int64)
-            np.add.at(links, chunk, in_a * in_b)
-            groups = np.bincount(chunk, minlength=len(good))
-            figures[good] = np.stack([[len(ids_a[g]) for g in good], [len(ids_b[g]) for g in good], groups, links], axis=1)
-            text_a, text_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-            to_a, to_b = np.cumsum(in_a).tolist(), np.cumsum(in_b).tolist()
-            each = [f"{','.join(text_a[i:j])}|{','.join(text_b[k:m])}" for i, j, k, m in zip([0, *to_a], to_a, [0, *to_b], to_b)]
-            last = np.cumsum(groups).tolist()
-            for g, i, j in zip(good, [0, *last], last):
-                strings[g] = ";".join(each[i:j]).encode()
-            owner, codes, times = self._pairs(a, b, group_a, group_b, chunk, n_b)
-            n_pairs[good] = np.bincount(owner, minlength=len(good))
-        self.parts.append((figures, n_pairs, codes, times))
-        self.strings += strings
+        """Append chunks, each of which follows a space, to the cache; one whose tokens' bytes aren't its own has no groups."""
+        found = self._encoded(chunks)
+        if found is None and len(chunks) > 1:
+            for part in (chunks[: len(chunks) // 2], chunks[len(chunks) // 2 :]):
+                self._learn(part)
+            return
+        self.slots.update(zip(chunks, range(len(self.slots), len(self.slots) + len(chunks))))
+        n, n_b = len(chunks), len(self.v.bytes_b)
+        if found is None:
+            self.parts.append((np.zeros((1, 4), np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint8)))
+            return
+        # chunks end in common offsets, so all are aligned as one text
+        a, b, sizes = found
+        ends_a, ends_b, last = np.cumsum(self.v.len_a[a]), np.cumsum(self.v.len_b[b]), np.cumsum(sizes)
+        ends = group_ends(ends_a, ends_b)
+        group_a, group_b, chunk = np.searchsorted(ends, ends_a), np.searchsorted(ends, ends_b), np.searchsorted(last, ends)
+        in_a, in_b = np.bincount(group_a, minlength=len(ends)), np.bincount(group_b, minlength=len(ends))
+        figures = np.zeros((n, 4), np.int64)
+        np.add.at(figures, chunk, np.stack([in_a, in_b, np.ones_like(in_a), in_a * in_b], axis=1))
+        owner, codes, times = self._pairs(a, b, group_a, group_b, chunk, n_b)
+        text, sizes = self._text(a, b, in_a, in_b)
+        self.parts.append((figures, np.bincount(owner, minlength=n), codes, times, np.bincount(chunk, sizes, n).astype(np.int64), text))
         self.n_pairs += len(codes)
 
+    def _text(self, a, b, in_a, in_b) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of all groups written as ``a1,a2|b1;``, bytes a group)."""
+        v, to_a, to_b = self.v, np.cumsum(in_a), np.cumsum(in_b)
+        # a group's A ids come after the B ids of the groups before, its B ids after its own A ids
+        place_a, place_b = np.arange(len(a)) + np.repeat(to_b - in_b, in_a), np.arange(len(b)) + np.repeat(to_a, in_b)
+        ids, mark = np.empty(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
+        ids[place_a], ids[place_b] = a, b
+        mark[place_a[to_a - 1]], mark[place_b[to_b - 1]] = ord("|"), ord(";")
+        sizes = v.digits[ids] + 1
+        text = v.decimals[_ranges(v.decimal_starts[ids], sizes)]
+        text[np.cumsum(sizes) - 1] = mark
+        return text, np.add.reduceat(sizes, to_a + to_b - in_a - in_b)
+
     def _pairs(self, a, b, group_a, group_b, chunk, n_b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(chunk, code, times) of linked pairs, by chunk and code: distinct ids of a group meet, not their occurrences."""
         n_a = len(self.v.bytes_a)
@@ -187,33 +220,36 @@ class Aligner:
         full = [i for i, t in enumerate(texts) if t]
         chunks, codes, sizes = self._chunks([texts[i] for i in full]) if full else ([], np.zeros(0, np.int64), np.zeros(0, np.int64))
         fresh = [c for c in chunks if c not in self.slots]
+        odd = pc.match_substring_regex(pa.array(fresh, pa.large_string()), _ODD).to_pylist() if self.v.cut else [True] * len(fresh)
+        for c in [c for c, o in zip(fresh, odd) if o]:
+            self._learn([c])
+        fresh = [c for c, o in zip(fresh, odd) if not o]
         while fresh:  # in calls of bounded size; a longer chunk has a call of its own
             held, n = 0, 0
             while n < len(fresh) and (n == 0 or held + len(fresh[n]) <= LEARN_CHARS):
                 held += len(fresh[n]) + 1
                 n += 1
-            at = len(self.strings)
             self._learn(fresh[:n])
-            self.slots.update(zip(fresh[:n], range(at, at + n)))
             fresh = fresh[n:]
-        figures, n_pairs, pool, pool_times = self._arrays()
+        figures, n_pairs, pool, pool_times, n_text, text = self._arrays()
         first = np.cumsum(n_pairs) - n_pairs
         slot = np.fromiter(map(self.slots.__getitem__, chunks), np.int64, len(chunks))
         at = slot[codes] if len(codes) else np.zeros(0, np.int64)
         doc = np.repeat(np.arange(len(full)), sizes)
         ok = np.ones(len(full), bool)
-        ok[doc[np.array([s is None for s in self.strings], bool)[at]]] = False  # a text with a chunk that isn't itself in bytes has no tokens
+        ok[doc[figures[at, 0] == 0]] = False  # a text with a chunk that isn't itself in bytes has no tokens
         out, hashes = np.zeros((len(texts), 4), np.int64), [""] * len(texts)
         ends = np.cumsum(sizes)
         sums = np.vstack([np.zeros((1, 4), np.int64), np.cumsum(figures[at], axis=0)])
-        slots = at.tolist()
+        text_at = np.cumsum(n_text) - n_text
         for k, (i, x, y) in enumerate(zip(full, (ends - sizes).tolist(), ends.tolist())):
             if ok[k]:
                 out[i] = sums[y] - sums[x]
-                hashes[i] = hashlib.sha256(b";".join(map(self.strings.__getitem__, slots[x:y]))).hexdigest()
+                own = at[x:y]
+                hashes[i] = hashlib.sha256(text[_ranges(text_at[own], n_text[own])][:-1].tobytes()).hexdigest()
         use = ok[doc]
-        key, times = np.unique(doc[use] * max(1, len(self.strings)) + at[use], return_counts=True)
-        doc, at = key // max(1, len(self.strings)), key % max(1, len(self.strings))
+        key, times = np.unique(doc[use] * max(1, len(self.slots)) + at[use], return_counts=True)
+        doc, at = key // max(1, len(self.slots)), key % max(1, len(self.slots))
         own = _ranges(first[at], n_pairs[at])
         number = np.array(full, np.int64)[np.repeat(doc, n_pairs[at])] if len(at) else np.zeros(0, np.int64)
         key, times = _summed(pool[own] * BLOCK_DOCS + number, pool_times[own] * np.repeat(times, n_pairs[at]))
