@@ -115,6 +115,19 @@ def running_start(df: DataFrame, keys: list[str], order: list[str], value, out:
     return df.join(offsets, [*keys, "_b"]).withColumn(out, (F.col(out) + F.col("_o")).cast("long")).drop("_b", "_v", "_o")
 
 
+def before_in_order(df: DataFrame, order: list, sums: dict[str, Column], name: str) -> DataFrame:
+    """Written table with, for each of ``sums``, the sum of its column over all rows that come before in ``order``, which tells all rows apart.
+
+    Rows are range-partitioned by ``order``; the totals of the ranges, a row each, give the offsets, so no task orders everything.
+    """
+    df = materialize(df.withColumns({f"_v_{c}": v for c, v in sums.items()}).repartitionByRange(partitions(df.sparkSession), *order).withColumn("_p", F.spark_partition_id()), name)
+    totals = df.groupBy("_p").agg(*(F.sum(f"_v_{c}").alias(f"_t_{c}") for c in sums))
+    earlier, inside = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_p", *(F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_o_{c}") for c in sums))  # a row a range: broadcast
+    df = df.withColumns({c: F.coalesce(F.sum(f"_v_{c}").over(inside), F.lit(0)) for c in sums}).join(F.broadcast(offsets), "_p")
+    return df.withColumns({c: F.col(c) + F.col(f"_o_{c}") for c in sums}).drop("_p", *(f"_v_{c}" for c in sums), *(f"_o_{c}" for c in sums))
+
+
 ROUNDS, WALKS = 4, 24
 
 

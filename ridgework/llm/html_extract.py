@@ -4,7 +4,9 @@ A page is cut into blocks at block-level tags.  The first pass classifies a bloc
 stands (menus, notices, adverts, forms and the like are bad), by link density, length and
 stop-word density as good, bad, near good or short.  The second pass gives short and near-good
 blocks the label of their nearest decided neighbours.  Within an ``article`` or ``main`` element a
-block is only bad for its links or its place, as everything else there is the article.
+block is only bad for its links or its place, as everything else there is the article; such an element
+counts if at least as much good text stands in it as beside it.  Scripts that write without spaces go by length and
+punctuation in place of stop words.
 """
 
 from __future__ import annotations
@@ -61,6 +63,16 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 WALLS = frozenset("article aside body div footer form header html main nav ol section table ul".split())
 
 
+#: What may stand beside a name of AWAY_NAMES in a class or id: ``site-nav`` is away, ``has-sidebar`` and ``topic-social`` are not.
+FILLERS = frozenset(
+    "area bar bottom box btn button buttons container content float fixed global group holder icons inner item items left link links list main mobile outer page panel post posts primary "
+    "right row secondary section site slot sticky text top unit wrap wrapper".split()
+)
+#: Scripts without spaces, and the marks that end or part their sentences.
+UNSPACED = re.compile(r"[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\U00020000-\U0003FFFF]")
+UNSPACED_MARKS, UNSPACED_SHARE, UNSPACED_WEIGHT = re.compile(r"[\u3001\u3002\uFF01\uFF0C\uFF0E\uFF1A\uFF1B\uFF1F.!?,]"), 0.3, 3
+
+
 class Block(NamedTuple):
     text: str
     links: int  # characters in links
@@ -75,9 +87,11 @@ def away_by_attributes(tag: str, rest: str, in_article: bool) -> bool:
     for name, value in ATTRIBUTE.findall(rest):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
-            names = set(re.split(r"[^a-z]+", value))
-            if names & AWAY_NAMES or "header" in names and not in_article:
-                return True
+            for token in value.split():
+                names = set(re.split(r"[^a-z]+", token)) - {""}
+                away = names & AWAY_NAMES or (names & {"header"} if not in_article else None)
+                if away and names <= AWAY_NAMES | FILLERS | {"header"}:
+                    return True
         elif name == "role" and value in AWAY_ROLES or name == "aria-hidden" and value == "true":
             return True
         elif name == "hidden" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
@@ -169,22 +183,33 @@ def blocks(html: str) -> list[Block]:
 
 
 def first_pass(b: Block) -> str:
-    density = b.links / len(b.text)
-    if b.away or (density > MAX_LINKS_ARTICLE and b.tag == "li" if b.article else density > MAX_LINKS or "©" in b.text):
+    density, n = b.links / len(b.text), len(b.text)
+    if b.away or (density > MAX_LINKS_ARTICLE and b.tag == "li" if b.article else density > MAX_LINKS or "©" in b.text and n <= LENGTH_HIGH):
         return "bad"
-    words = WORD.findall(b.text.lower())
-    stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    if len(b.text) < LENGTH_LOW:
+    if len(UNSPACED.findall(b.text)) >= UNSPACED_SHARE * n:
+        n *= UNSPACED_WEIGHT  # a character says more
+        stops = STOP_HIGH if UNSPACED_MARKS.search(b.text) else 0.0
+    else:
+        words = WORD.findall(b.text.lower())
+        stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    if n < LENGTH_LOW:
         return "short"
     if stops >= STOP_HIGH:
-        return "good" if len(b.text) > LENGTH_HIGH else "near"
+        return "good" if n > LENGTH_HIGH else "near"
     return "near" if stops >= STOP_LOW or b.article else "bad"
 
 
 def second_pass(found: list[Block]) -> list[bool]:
     """Whether each block is main text."""
-    if any(b.article and not b.away for b in found):  # the page marks its article: what stands outside isn't
-        found = [b if b.article else b._replace(away=True) for b in found]
+    if any(b.article and not b.away for b in found):
+        good = Counter[bool]()  # characters of good text in articles and beside them
+        for b in found:
+            if first_pass(b._replace(article=False)) == "good":
+                good[b.article] += len(b.text)
+        if good[True] >= good[False]:  # the page marks its article: what stands outside isn't
+            found = [b if b.article else b._replace(away=True) for b in found]
+        else:  # what it marks is a teaser beside the text
+            found = [b._replace(article=False) for b in found]
     labels = [first_pass(b) for b in found]
     if "good" not in labels:  # of a short page the near-good blocks are the text
         labels = ["good" if x == "near" else x for x in labels]

@@ -1,12 +1,12 @@
 """Mixing sources to target weights, in DataFrame operations only.
 
 A source's documents are laid end to end as one stream of words (documents in the order of a hash
-of their id), which is cut into blocks of fixed length.  A source's target gives its number of
-slots in the mix.  The slots of a source are dealt to the output shards by a multinomial draw: each slot draws its
-shard independently, and the draws are counted, so a shard's counts by source vary as drawn while those of a source add up to
-its target.  A shard then takes as many consecutive slots of the source as it has drawn, after those of the shards before it.
+of their id), which is cut into blocks of fixed length.  The mix is cut into output shards of a fixed number of slots, and each shard draws how
+many of its slots go to which source.  Of what a source may expect of a shard the whole slots are certain; those that are left of the shard are drawn
+multinomially, with what is left of the sources' expectations as probabilities.  So counts over sources are random in every shard and always add up to it, and their
+sums over shards come near the targets.  A source's slots are numbered by prefix sums over the shards.
 Slot j takes block perm(j mod blocks), where perm is a keyed pseudorandom permutation of the source's block
-indices (``common.permuted``); slots and blocks meet in a join on (source, block index).
+indices (``common.permuted``); slots and blocks meet in a join on (source, block index).  Slots beyond the cap times a source's blocks stay empty.
 """
 
 from __future__ import annotations
@@ -14,14 +14,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ROW, WS, materialize, numbered, partitions, permuted, row_key, running_start, table
+from .common import ROW, WS, before_in_order, discard, materialize, numbered, partitions, permuted, row_key, running_start, table
 
-BLOCK_WORDS = 64
+BLOCK_WORDS = 32
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, CAP = 1.5, 2.0
 SEED = 17
-#: Output shards; a set of them is a long's bits, so 64 at most.
-SHARDS = 64
+#: Slots of an output shard.
+SHARD_SLOTS = 16384
+#: Parts of a slot in which expectations are compared, and bins in which draws find their source.
+UNIT, BINS = 1 << 32, 1 << 12
 #: Slots that one row of the plan expands to.
 CHUNK = 4096
 #: Sources up to this number are broadcast; beyond it, a shuffle join.
@@ -42,42 +44,64 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     none is above.  That is water filling: with sources by ascending cap / weight, source i is capped
     if it would be above its cap when all before it are.
     """
-    turn = Window.orderBy(F.col("source").asc_nulls_last())  # a row a source
-    s = sizes.withColumn("_i", F.row_number().over(turn) - 1)
+    s = before_in_order(sizes, [F.col("source").asc_nulls_last()], {"_i": F.lit(1)}, "mix-turns")
     s = s.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.pmod("_i", F.lit(len(weights))) + 1).cast("int")))
-    s = s.withColumn("_cap", F.lit(cap) * F.col("source_size"))
-    by = Window.orderBy(F.col("_cap") / F.col("weight"), "_i")
-    all_rows, before = Window.partitionBy(), by.rowsBetween(Window.unboundedPreceding, -1)
-    s = s.withColumn("_all", F.lit(share) * F.sum("source_size").over(all_rows))
-    s = s.withColumn("_caps", F.coalesce(F.sum("_cap").over(before), F.lit(0.0))).withColumn("_w", F.sum("weight").over(by.rowsBetween(0, Window.unboundedFollowing)))
-    s = s.withColumn("_level", (F.col("_all") - F.col("_caps")) / F.col("_w"))
+    s = s.withColumn("_cap", F.lit(cap) * F.col("source_size")).withColumn("_ratio", F.col("_cap") / F.col("weight"))
+    s = before_in_order(s, ["_ratio", "_i"], {"_caps": F.col("_cap"), "_w": F.col("weight")}, "mix-caps")
+    total = s.agg(F.sum("source_size").alias("_sizes"), F.sum("weight").alias("_weights"))  # one row
+    s = s.crossJoin(F.broadcast(total)).withColumn("_level", (F.lit(share) * F.col("_sizes") - F.col("_caps")) / (F.col("_weights") - F.col("_w")))
     s = s.withColumn("_capped", F.col("weight") * F.col("_level") > F.col("_cap"))
-    s = s.withColumn("_level", F.min(F.when(~F.col("_capped"), F.struct(F.col("_cap") / F.col("weight") , "_i", "_level"))).over(all_rows)["_level"])
-    return s.select("source", "source_size", "weight", F.when(F.col("_capped") | F.col("_level").isNull(), F.col("_cap")).otherwise(F.col("weight") * F.col("_level")).alias("target"))
+    level = s.agg(F.min(F.when(~F.col("_capped"), F.struct("_ratio", "_i", "_level")))["_level"].alias("_at"))  # one row
+    s = s.crossJoin(F.broadcast(level))
+    return s.select("source", "source_size", "weight", F.when(F.col("_capped") | F.col("_at").isNull(), F.col("_cap")).otherwise(F.col("weight") * F.col("_at")).alias("target"))
 
 
 def lay_out(docs: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     """Written table doc_id, _src, _null, size, start (and ROW if ``docs`` has it): each document's place in its source's word stream."""
     rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("_src"), F.col("source").isNull().alias("_null"), n_words(F.col("text")).alias("size"), *row_key(docs))
     rows = materialize(rows, "mix-sizes")
-    return materialize(running_start(rows, ["_src", "_null"], ["doc_id", "size"], F.col("size"), "start"), "mix-layout")
+    layout = materialize(running_start(rows, ["_src", "_null"], ["doc_id", "size"], F.col("size"), "start"), "mix-layout")
+    discard(rows)
+    return layout
 
 
-def deal(plan: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """Multinomial counts of each source per output shard: _src, _null, shard, drawn, first (the slots of the shards before it).
+def _each(df: DataFrame, n: Column, out: str, *keys: str) -> DataFrame:
+    """``df`` once for each ``out`` of 0..n-1, made in chunks by many tasks; the few rows of ``df`` differ in ``keys``."""
+    chunks = df.withColumn("_n", n).filter("_n > 0").withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / CHUNK).cast("long")))).repartition(4 * partitions(df.sparkSession), *keys, "_c")
+    return chunks.withColumn(out, F.explode(F.sequence(F.col("_c") * CHUNK, F.least((F.col("_c") + 1) * CHUNK, F.col("_n")) - 1))).drop("_c", "_n")
 
-    plan: _src, _null, n_slots.  The draws are made in chunks by many tasks and counted before any shuffle; what is
-    returned has at most ``shards`` rows a source.
-    """
-    n = 4 * partitions(plan.sparkSession)
-    chunks = plan.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / CHUNK).cast("long")))).repartition(n, "_src", "_null", "c")
-    draws = chunks.withColumn("d", F.explode(F.sequence(F.col("c") * CHUNK, F.least((F.col("c") + 1) * CHUNK, F.col("n_slots")) - 1)))
-    counts = draws.groupBy("_src", "_null", F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), "_src", "_null", "d"), F.lit(shards)).cast("int").alias("shard")).agg(F.count(F.lit(1)).alias("drawn"))
-    before = Window.partitionBy("_src", "_null").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("first", F.coalesce(F.sum("drawn").over(before), F.lit(0)))
 
+def deal(plan: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
+    """Written table _src, _null, shard, drawn: how many slots of each output shard go to each source, where any do.
 
-def draw(layout: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, block: int = BLOCK_WORDS, shards: int = SHARDS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    plan: _src, _null, slots (a double: what the source may expect of the whole mix).  Shards have ``shard_slots`` slots, the last one what is left; there are two
+    kinds of them, and a source expects the same of every shard of a kind.  Draws fall on the sources' fractions laid end to end; both meet on bins of that line.
+    """
+    spark = plan.sparkSession
+    total = plan.agg(F.sum("slots")).first()[0] or 0.0  # one row
+    n = round(total)
+    kinds = [(0, shard_slots, n // shard_slots, 0), (1, n % shard_slots, int(n % shard_slots > 0), n // shard_slots)]
+    kinds = [k for k in kinds if k[1] and k[2]]
+    kind = spark.createDataFrame(kinds, "kind int, size long, shards long, first long")  # two rows
+    e = plan.crossJoin(F.broadcast(kind)).withColumn("_e", F.col("size") * F.col("slots") / F.lit(total or 1.0))
+    e = e.withColumn("whole", F.floor("_e").cast("long")).withColumn("units", F.floor((F.col("_e") - F.floor("_e")) * UNIT).cast("long")).drop("_e", "slots")
+    e = materialize(running_start(e, ["kind"], ["_src", "_null"], F.col("units"), "start"), "mix-expected")
+    line = e.groupBy("kind", "size", "shards", "first").agg(F.sum("whole").alias("whole"), F.sum("units").alias("units"))  # two rows
+    certain = _each(e.filter("whole > 0").select("_src", "_null", "kind", "shards", "first", "whole"), F.col("shards"), "shard", "_src", "_null", "kind").select("_src", "_null", (F.col("first") + F.col("shard")).alias("shard"), F.col("whole").alias("drawn"))
+    width = F.greatest(F.ceil(F.col("units") / BINS), F.lit(1)).cast("long")
+    draws = _each(line.filter("units > 0").withColumn("left", F.col("size") - F.col("whole")).withColumn("width", width), F.col("shards") * F.col("left"), "d", "kind")
+    draws = draws.withColumn("u", F.pmod(F.xxhash64(F.lit(seed), F.lit("draw"), "first", "d"), F.col("units")))
+    draws = draws.select("kind", (F.col("first") + F.floor(F.col("d") / F.col("left"))).cast("long").alias("shard"), "u", F.floor(F.col("u") / F.col("width")).cast("long").alias("bin"))
+    on = e.filter("units > 0").join(F.broadcast(line.select("kind", width.alias("width"))), "kind").select("_src", "_null", "kind", "start", (F.col("start") + F.col("units")).alias("end"), "width")
+    on = on.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / F.col("width")).cast("long"), F.floor((F.col("end") - 1) / F.col("width")).cast("long")))).drop("width")
+    # the hint: neither side need be small
+    drawn = draws.join(on.hint("merge"), ["kind", "bin"]).filter("u >= start AND u < end").groupBy("_src", "_null", "shard").agg(F.count(F.lit(1)).alias("drawn"))
+    dealt = materialize(certain.unionByName(drawn).groupBy("_src", "_null", "shard").agg(F.sum("drawn").alias("drawn")), "mix-dealt")
+    discard(e)
+    return dealt
+
+
+def draw(layout: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, block: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """(sources with their targets, slots of the mix: _src, _null, shard, slot, epoch, block)."""
     sizes = layout.groupBy("_src", "_null").agg(F.sum("size").alias("source_size"))
     sources = source_targets(sizes.withColumn("source", F.when(~F.col("_null"), F.col("_src"))), weights, share, cap)
@@ -85,12 +109,12 @@ def draw(layout: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float =
     sources = materialize(sources.withColumn("blocks", F.ceil(F.col("source_size") / F.lit(block))), "mix-sources")
     # words a slot takes on average; the last block of a source may be shorter
     mean = F.col("source_size") / F.greatest(F.col("blocks"), F.lit(1))
-    n_slots = F.least(F.round(F.col("target") / mean), F.floor(F.lit(cap)) * F.col("blocks")).cast("long")
-    plan = sources.filter("source_size > 0").select("_src", "_null", "blocks", n_slots.alias("n_slots")).filter("n_slots > 0")
-    dealt = materialize(deal(plan.select("_src", "_null", "n_slots"), shards, seed), "mix-dealt")
+    plan = sources.filter("source_size > 0 AND target > 0").select("_src", "_null", "blocks", (F.col("target") / mean).alias("slots"))
+    dealt = deal(plan.select("_src", "_null", "slots"), shard_slots, seed)
+    numbers = materialize(running_start(dealt, ["_src", "_null"], ["shard"], F.col("drawn"), "first"), "mix-numbers")
+    discard(dealt)
     few = F.broadcast(plan.select("_src", "_null", "blocks")) if sources.count() <= FEW_SOURCES else plan.select("_src", "_null", "blocks")
-    chunks = dealt.join(few, ["_src", "_null"]).withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("drawn") - 1) / CHUNK).cast("long")))).repartition(4 * partitions(layout.sparkSession), "_src", "_null", "shard", "c")
-    slots = chunks.withColumn("slot", F.explode(F.sequence(F.col("first") + F.col("c") * CHUNK, F.col("first") + F.least((F.col("c") + 1) * CHUNK, F.col("drawn")) - 1)))
+    slots = _each(numbers.join(few, ["_src", "_null"]), F.col("drawn"), "slot", "_src", "_null", "shard").withColumn("slot", F.col("first") + F.col("slot")).filter(F.col("slot") < F.floor(F.lit(cap)) * F.col("blocks"))
     prf = lambda r, half: F.xxhash64(F.lit(seed), F.lit(r), "_src", "_null", half)
     slots = slots.select(
         "_src", "_null", "shard", "slot",
@@ -106,37 +130,37 @@ def spans(layout: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     return rows.withColumn("words", F.least(end, (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block))
 
 
-def mix_counts(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, block: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, n_shards (output shards that hold words of it): a row per row of ``docs``.
+def mix_counts(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, block: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken: a row per row of ``docs``.
 
     Null text has size 0 and is taken 0 times; null is a source of its own, the last.  A source whose
     documents have no words has target 0.  Rows that are equal in doc_id, source and size share what
     they are taken alike.  Reruns agree: places, draws and permutations are functions of the rows and the seed.
     """
     layout = lay_out(docs, block)
-    sources, slots = draw(layout, weights, share, cap, block, seed=seed)
-    times = slots.groupBy("_src", "_null", "block").agg(F.count(F.lit(1)).alias("times"), F.bit_or(F.expr("shiftleft(1L, shard)")).alias("_shards"))
+    sources, slots = draw(layout, weights, share, cap, block, shard_slots, seed)
+    times = slots.groupBy("_src", "_null", "block").agg(F.count(F.lit(1)).alias("times"))
     # the hint: the planner takes a table that grows out of the few rows of sources for a small one
     taken = spans(layout, block).join(times.hint("merge"), ["_src", "_null", "block"], "left").groupBy("doc_id", "_src", "_null", "size", "start")
-    taken = taken.agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"), F.coalesce(F.bit_count(F.bit_or("_shards")), F.lit(0)).cast("long").alias("n_shards"))
-    rows = taken.unionByName(layout.filter("size = 0").withColumn("taken", F.lit(0).cast("long")).withColumn("n_shards", F.lit(0).cast("long")))
+    taken = taken.agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"))
+    rows = taken.unionByName(layout.filter("size = 0").withColumn("taken", F.lit(0).cast("long")))
     few = sources.count() <= FEW_SOURCES
-    return rows.join(F.broadcast(sources) if few else sources, ["_src", "_null"]).select("doc_id", "source", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), "n_shards")
+    return rows.join(F.broadcast(sources) if few else sources, ["_src", "_null"]).select("doc_id", "source", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
 
 
-def mix_shards(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, block: int = BLOCK_WORDS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+def mix_shards(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, block: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
     """What each output shard holds, to be written by shard: shard, slot, source, doc_id, first (word of the document), words.
 
     A slot is a block of its source, so it may hold the end of one document and the start of the next, a row each.
     """
     layout = lay_out(docs, block)
-    _, slots = draw(layout, weights, share, cap, block, shards, seed)
+    _, slots = draw(layout, weights, share, cap, block, shard_slots, seed)
     rows = spans(layout, block).join(slots.hint("merge"), ["_src", "_null", "block"])
     first = F.greatest(F.col("block") * block - F.col("start"), F.lit(0))
     return rows.select("shard", "slot", F.when(~F.col("_null"), F.col("_src")).alias("source"), "doc_id", first.alias("first"), "words")
 
 
-def mix_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, block: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
+def mix_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, block: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
     """The mix as documents: a row per document and epoch in which some of its blocks are drawn, with the columns of ``docs``.
 
     Its text holds the words of those blocks; a document whose blocks are all drawn keeps its text as it is.
@@ -144,7 +168,7 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: f
     """
     numbered_docs = numbered(docs, "mix-docs")
     layout = lay_out(numbered_docs, block)
-    _, slots = draw(layout, weights, share, cap, block, seed=seed)
+    _, slots = draw(layout, weights, share, cap, block, shard_slots, seed)
     drawn = spans(layout, block).join(slots.select("_src", "_null", "block", "epoch").hint("merge"), ["_src", "_null", "block"])
     drawn = drawn.groupBy(ROW, "epoch", F.col("start").alias("_start"), F.col("size").alias("_size")).agg(F.sum("words").alias("_taken"), F.sort_array(F.collect_set("block")).alias("_blocks")).drop("epoch")
     rows = numbered_docs.join(drawn, ROW)

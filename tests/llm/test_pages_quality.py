@@ -42,8 +42,82 @@ def test_page_without_article():
     assert html_extract.main_text(html).split("\n\n") == ["Heading", good, "Short one.", good]
 
 
+PROSE = "It was in the spring of that year that the people of the valley first saw what the river could do to them, and they have not been the same since then, as all of them will tell you when you ask for it. "
+CHINESE = "那一年的春天,山谷里的人们第一次看到这条河能对他们做什么。从那以后,他们再也不是从前的样子了,只要你去问,每个人都会告诉你。河水漫过了田地,也漫过了房屋,直到夏天才慢慢退去。村里的老人说,这样的水他们只在年轻的时候见过一次,那时候桥还没有修好。"
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "layout-no-sidebar", "post with-banner", "topic-social", "article-body promoted", "entry nofooter"])
+def test_names_that_only_mention_a_place(name):
+    html = f'<body><div class="site-nav"><a href=/>Home</a></div><div class="{name}"><h1>The river</h1><p>{PROSE}<p>{PROSE}</div><div class="sidebar"><p>{PROSE}</div><div id="page-footer">{PROSE}</div>'
+    assert html_extract.main_text(html).split("\n\n") == ["The river", PROSE.strip(), PROSE.strip()]
+
+
+@pytest.mark.parametrize("name", ["sidebar", "cookie-notice", "site-footer", "main-nav", "ad_banner", "comment-list", "related-posts", "social share", "nav2", "widget widget-text"])
+def test_names_of_places(name):
+    html = f'<body><div><p>{PROSE}</div><div class="{name}"><p>Elsewhere. {PROSE}</div><div><p>{PROSE}</div>'
+    assert html_extract.main_text(html).split("\n\n") == [PROSE.strip()] * 2
+
+
+def test_a_teaser_in_an_article_is_not_the_page():
+    html = f"<body><div><h1>The river</h1><p>{PROSE * 2}<p>{PROSE}</div><article><h2>Read this</h2><p>A teaser of something else.</article>"
+    text = html_extract.main_text(html)
+    assert PROSE.strip() in text and (PROSE * 2).strip() in text and "The river" in text
+
+
+def test_a_long_paragraph_with_a_copyright_sign_stays():
+    long = f"{PROSE}The map © of the survey was made for it. {PROSE}"
+    assert html_extract.main_text(f"<body><p>{PROSE}<p>{long}<p>{PROSE}<p>© 2020 The Valley").split("\n\n") == [PROSE.strip(), long.strip(), PROSE.strip()]
+
+
+def test_prose_without_spaces():
+    html = f"<body><ul><li><a href=/>首页</a><li><a href=/a>关于</a></ul><div><p>{CHINESE}</p><p>{CHINESE}</p></div><div><a href=/x>{CHINESE[:40]}</a></div>"
+    assert html_extract.main_text(html).split("\n\n") == [CHINESE, CHINESE]
+
+
+def slow_second_pass(found):
+    """The second pass with a walk to either side for each undecided block."""
+    if any(b.article and not b.away for b in found):
+        good = {True: 0, False: 0}
+        for b in found:
+            good[b.article] += len(b.text) * (html_extract.first_pass(b._replace(article=False)) == "good")
+        found = [b if b.article else b._replace(away=True) for b in found] if good[True] >= good[False] else [b._replace(article=False) for b in found]
+    labels = [html_extract.first_pass(b) for b in found]
+    if "good" not in labels:
+        labels = ["good" if x == "near" else x for x in labels]
+    out = []
+    for i, b in enumerate(found):
+        if labels[i] in ("good", "bad"):
+            out.append(labels[i] == "good")
+            continue
+        around = []
+        for way in (range(i - 1, -1, -1), range(i + 1, len(found))):
+            at = next((j for j in way if labels[j] in ("good", "bad") and not (b.article and found[j].away)), None)
+            around.append(labels[at] if at is not None and found[at].article == b.article else None)
+        before, after = around
+        if b.article:
+            out.append("good" in around or None in around or b.tag != "li")
+        elif labels[i] == "near":
+            out.append("good" in around or set(around) == {None})
+        else:
+            out.append(set(around) <= {"good"} or b.tag in ("h1", "h2", "h3", "h4", "h5", "h6") and after == "good")
+    return out
+
+
+def test_second_pass_equals_walks():
+    rng = np.random.default_rng(11)
+    texts = [PROSE * 2, PROSE, "Short.", "Some words of it that are here for the sake of it and more of them in a row", "keyword list price sale buy now order cheap shipping deals best offer today"]
+    for _ in range(300):
+        found = [html_extract.Block(t := texts[rng.integers(5)], int(len(t) * rng.choice([0, 0, 0.5, 1])), str(rng.choice(["p", "li", "h2", "div"])), bool(rng.random() < 0.15), bool(rng.random() < 0.5)) for _ in range(rng.integers(0, 14))]
+        assert html_extract.second_pass(found) == slow_second_pass(found)
+
+
 def test_odd_html(spark):
-    assert [html_extract.main_text(h) for h in ("", "<", "<p", "&am", "<!-- x", "<script>", "<" * 50_000, "<a title=\"" * 20_000)] is not None
+    odd = {
+        "": "", "<": "", "<p": "", "&am": "", "<!-- x": "", "<script>": "", "<" * 50_000: "", "<a title=\"" * 20_000: "", "<article><p>&lt;b&gt; &amp; &#65;&#x42; &nbsp;x</p>": "<b> & AB x", "<article>a\n\t b<p>c": "a b\n\nc",
+        "<article><p>one<script>two</script>three</article>": "onethree", "<article>a<br>b<br/>c</article>": "a b c", "</p></div>x": "", "<article hidden>hi": "hi",
+    }
+    # a few words without an article or prose beside them are no text
+    assert {h: html_extract.main_text(h) for h in odd} == odd
     rows = spark.createDataFrame([(1, None, None, "x"), (1, None, None, "x"), (None, "u", "<article>hi</article>", "x")], "page_id long, url string, html string, text string")
     assert sorted(r["text"] for r in html_extract.extract(rows).collect()) == ["", "", "hi"]
     assert html_extract.extract(rows.limit(0)).collect() == []
