@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import production as p
-from ..operators import linear, overrides
+from ..operators import linear, overrides, simplify
 from ..sources import tables as t
 from .equipment import SEG, segments
 from .registry import query
@@ -308,3 +308,26 @@ def merge_overrides(spark, sf):
     """A new span put in place of those that it touches: as it is, or grown over them."""
     spans, new = overrides.derived_spans(spark, sf)
     return overrides.put(spans, new)
+
+
+#: A track a supplier, to and fro with some noise.
+_TRACK = {"line": "l_suppkey", "i": "l_orderkey * 8 + l_linenumber", "lat": "-35.0e0 + l_orderkey * 0.00002e0", "lng": "149.0e0 + (l_partkey % 23) * 0.00002e0 + abs(l_orderkey % 4000 - 2000) * 0.00001e0"}
+
+
+@query(f"""
+WITH RECURSIVE v AS MATERIALIZED (SELECT line, i, min(lat) AS lat, min(lng) AS lng FROM {t.derived_sql("lineitem", _TRACK)} GROUP BY ALL),
+pieces AS (
+  SELECT line, min(i) AS lo, max(i) AS hi FROM v GROUP BY line
+  UNION ALL
+  SELECT line, CASE WHEN left_ THEN lo ELSE w END, CASE WHEN left_ THEN w ELSE hi END FROM (
+    SELECT line, lo, hi, arg_max(i, (d, -i)) AS w FROM (
+      SELECT line, lo, hi, i, round(sqrt(pow(px - s * ex, 2) + pow(py - s * ey, 2)), 6) AS d FROM (
+        SELECT *, CASE WHEN ex * ex + ey * ey = 0 THEN 0 ELSE greatest(0.0, least(1.0, (px * ex + py * ey) / (ex * ex + ey * ey))) END AS s FROM (
+          SELECT p.line, p.lo, p.hi, v.i, (v.lng - a.lng) * 111320.0e0 * cos(radians(a.lat)) AS px, (v.lat - a.lat) * 111320.0e0 AS py, (b.lng - a.lng) * 111320.0e0 * cos(radians(a.lat)) AS ex, (b.lat - a.lat) * 111320.0e0 AS ey
+          FROM pieces AS p JOIN v ON v.line = p.line AND v.i > p.lo AND v.i < p.hi JOIN v AS a ON a.line = p.line AND a.i = p.lo JOIN v AS b ON b.line = p.line AND b.i = p.hi)))
+    GROUP BY line, lo, hi HAVING max(d) > 12.0), (VALUES (true), (false)) AS s(left_))
+SELECT v.line, v.i, round(v.lat, 6) AS lat, round(v.lng, 6) AS lng FROM v WHERE EXISTS (SELECT 1 FROM pieces AS p WHERE p.line = v.line AND (p.lo = v.i OR p.hi = v.i))""")
+def path_simplify(spark, sf):
+    """Vertices of each supplier's track that stay when it is simplified to 12 m."""
+    v = t.derived(spark, sf, "lineitem", _TRACK).groupBy("line", "i").agg(F.min("lat").alias("lat"), F.min("lng").alias("lng"))
+    return simplify.simplify(v).select("line", "i", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"))
