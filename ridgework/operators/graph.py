@@ -37,19 +37,24 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return nodes.unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
 
 
-def ranked(df: DataFrame, order: list[Column | str], out: str = "rank", within: list[str] | None = None) -> DataFrame:
-    """Add ``out``, the row's number from 1 by ``order``, over all rows or ``within`` the rows of some columns, however many they are.
+def running(df: DataFrame, order: list[Column | str], value: Column, out: str, within: list[str] | None = None) -> DataFrame:
+    """Add ``out``, the sum of ``value`` over the rows that come before by ``order``, of all rows or ``within`` those of some columns, however many they are.
 
-    Rows are range-partitioned by (within, order); counts of the ranges, a row a range and value of ``within``, give the offsets.  ``order`` should tell all rows apart.
+    Rows are range-partitioned by (within, order); sums of the ranges, a row a range and value of ``within``, give the offsets.  ``order`` should tell all rows apart.
     """
     keys = within or []
-    parts = written(df.repartitionByRange(*keys, *order).withColumn("_p", F.spark_partition_id()), "ranges")
-    counts = parts.groupBy(*keys, "_p").agg(F.count(F.lit(1)).alias("_c"))
+    parts = written(df.withColumn("_v", value).repartitionByRange(*keys, *order).withColumn("_p", F.spark_partition_id()), "ranges")
+    sums = parts.groupBy(*keys, "_p").agg(F.sum("_v").alias("_c"))
     before = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_o", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
+    sums = sums.withColumn("_o", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
     same = F.col("_p") == F.col("_p2")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_{k}2"))
-    counts = counts.select(*(F.col(k).alias(f"_{k}2") for k in keys), F.col("_p").alias("_p2"), "_o")
-    inside = Window.partitionBy(*keys, "_p").orderBy(*order)
-    return parts.withColumn(out, F.row_number().over(inside)).join(counts, same).withColumn(out, (F.col(out) + F.col("_o")).cast("long")).drop("_p", "_p2", "_o", *(f"_{k}2" for k in keys))
+    sums = sums.select(*(F.col(k).alias(f"_{k}2") for k in keys), F.col("_p").alias("_p2"), "_o")
+    inside = Window.partitionBy(*keys, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return parts.withColumn(out, F.coalesce(F.sum("_v").over(inside), F.lit(0))).join(sums, same).withColumn(out, F.col(out) + F.col("_o")).drop("_p", "_p2", "_o", "_v", *(f"_{k}2" for k in keys))
+
+
+def ranked(df: DataFrame, order: list[Column | str], out: str = "rank", within: list[str] | None = None) -> DataFrame:
+    """Add ``out``, the row's number from 1 by ``order``, over all rows or ``within`` the rows of some columns."""
+    return running(df, order, F.lit(1).cast("long"), out, within).withColumn(out, F.col(out) + 1)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,8 +24,8 @@ SLOPE_COST_SQL = "((1 + 0.6e0 * pow({s} / 15, 2) + pow({s} / 30, 2)) * (CASE WHE
 VEG_SEVERITY_SQL = "(CASE veg WHEN 'grassland' THEN 0e0 WHEN 'lightshrub' THEN 0.18e0 WHEN 'mediumscrub' THEN 0.38e0 ELSE 0.55e0 END)"
 SEVERITY = ((0, 0.0), (10, 0.14), (25, 0.5), (35, 0.78), (45, 1.0))
 ISOCHRONES = (15, 30, 60, 120, 180)
-#: Cells along a side of a tile, in which costs are relaxed by one task.
-TILE = 64
+#: Cells along a side of a tile, in which components are found by one task, and of one in which costs are relaxed; tables of improved costs that are merged.
+TILE, COST_TILE, MERGE_EVERY = 64, 256, 6
 
 
 def edges(cells: DataFrame) -> DataFrame:
@@ -172,49 +174,72 @@ def trafficability(cells: DataFrame, movers: DataFrame) -> DataFrame:
     return x.select("q", "r", "mover", "mobility")
 
 
-def accumulated_cost(weights: DataFrame, sources: DataFrame, tile: int = TILE) -> DataFrame:
+def accumulated_cost(weights: DataFrame, sources: DataFrame, tile: int = COST_TILE) -> DataFrame:
     """q, r, cost: least sums of weights from the sources (q, r) to all cells that they reach.
 
     weights: q, r, b_q, b_r, w of directed edges, w positive or null (no way).  The grid is cut into tiles; in a round each tile that
     some improved cost has entered is relaxed by one task (a tile has tile * tile cells, whatever the grid's size), and what crosses its
-    rim opens other tiles.  Rounds end when nothing is open, after about as many as the longest least path enters tiles; tables are written
-    each round, so lineage stays short and lost executors cost one round.
+    rim opens other tiles.  A round writes what it has improved and nothing else; every few rounds that is merged.  Rounds end when nothing is open, after
+    about as many as the longest least path enters tiles; lost executors cost one round.
     """
     of = lambda q, r: F.struct(F.floor(F.col(q) / tile).cast("int").alias("x"), F.floor(F.col(r) / tile).cast("int").alias("y"))
-    e = written(weights.filter("w IS NOT NULL").select("q", "r", "b_q", "b_r", "w", of("q", "r").alias("tile")), "edges")
-    best = written(sources.select("q", "r", F.lit(0.0).alias("cost"), F.lit(True).alias("open")).distinct(), "cost")
+    e = written(weights.filter("w IS NOT NULL").select("q", "r", "b_q", "b_r", "w", of("q", "r").alias("tile")).repartition("tile").sortWithinPartitions("tile"), "edges")
+    # round: when a cost was found; open: it was found outside its own tile, which has not been relaxed with it
+    tables = [written(sources.select("q", "r", F.lit(0.0).alias("cost"), F.lit(True).alias("open"), F.lit(0).alias("round")).distinct(), "cost")]
 
     def relax(of_tile: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        cost = dict(zip(zip(known["q"], known["r"]), known["cost"]))
-        ways: dict[tuple[int, int], list] = {}
-        for q, r, bq, br, w in of_tile[["q", "r", "b_q", "b_r", "w"]].itertuples(index=False):
-            ways.setdefault((q, r), []).append(((bq, br), w))
-        inside = cost.keys() | ways.keys()
-        heap = [(c, (q, r)) for q, r, c, o in known[["q", "r", "cost", "open"]].itertuples(index=False) if o]
+        q0, r0 = (int(np.floor(known[c].iloc[0] / tile)) * tile for c in ("q", "r"))
+        inside = lambda q, r: (q >= q0) & (q < q0 + tile) & (r >= r0) & (r < r0 + tile)
+        at = lambda q, r: (q - q0 + 1) * (tile + 2) + (r - r0 + 1)  # noqa: E731  with a rim of the cells around
+        if len(of_tile) == 0:
+            return pd.DataFrame({"q": [], "r": [], "cost": [], "open": []}).astype({"q": "int32", "r": "int32", "open": "bool"})
+        start = at(of_tile["q"].to_numpy(np.int64), of_tile["r"].to_numpy(np.int64))
+        order = np.argsort(start, kind="stable")
+        first = np.searchsorted(start[order], np.arange((tile + 2) ** 2 + 1)).tolist()
+        bq, br = of_tile["b_q"].to_numpy(np.int64)[order], of_tile["b_r"].to_numpy(np.int64)[order]
+        to, w, stays = at(bq, br).tolist(), of_tile["w"].to_numpy(np.float64)[order].tolist(), inside(bq, br).tolist()
+        cost = np.full((tile + 2) ** 2, np.inf)
+        own = at(known["q"].to_numpy(np.int64), known["r"].to_numpy(np.int64))
+        cost[own] = known["cost"]
+        cost = cost.tolist()
+        heap = [(cost[i], i) for i in own[known["open"].to_numpy()].tolist()]
         heapq.heapify(heap)
-        better: dict[tuple[int, int], float] = {}
+        better: set[int] = set()
         while heap:
-            c, at = heapq.heappop(heap)
-            if c > cost.get(at, c):
+            c, i = heapq.heappop(heap)
+            if c > cost[i]:
                 continue
-            for to, w in ways.get(at, ()):
-                if c + w < min(cost.get(to, float("inf")), better.get(to, float("inf"))):
-                    better[to] = c + w
-                    if to in inside:
-                        cost[to] = c + w
-                        heapq.heappush(heap, (c + w, to))
-        return pd.DataFrame([(q, r, c, (q, r) not in inside) for (q, r), c in better.items()], columns=["q", "r", "cost", "open"])
-
-    while not (entered := best.filter("open")).isEmpty():
+            for k in range(first[i], first[i + 1]):
+                j, d = to[k], c + w[k]
+                if d < cost[j]:
+                    cost[j] = d
+                    better.add(j)
+                    if stays[k]:
+                        heapq.heappush(heap, (d, j))
+        found = np.array(sorted(better), np.int64)
+        q, r = found // (tile + 2) + q0 - 1, found % (tile + 2) + r0 - 1
+        return pd.DataFrame({"q": q.astype(np.int32), "r": r.astype(np.int32), "cost": np.array(cost)[found] if len(found) else np.zeros(0), "open": ~inside(q, r)})
+
+    def merged(rows: DataFrame) -> DataFrame:
+        """The least cost of each cell; of equal ones that which isn't open has been relaxed."""
+        return rows.groupBy("q", "r").agg(F.min(F.struct("cost", "open", "round")).alias("c")).select("q", "r", "c.cost", "c.open", "c.round")
+
+    turn = 0
+    while not (entered := tables[-1].filter(f"open AND round = {turn}")).isEmpty():
         tiles = entered.select(of("q", "r").alias("tile")).distinct()
-        known = best.withColumn("tile", of("q", "r")).join(tiles, "tile", "left_semi")
+        rows = reduce(DataFrame.unionByName, tables).withColumn("open", F.expr(f"open AND round = {turn}"))
+        known = merged(rows.withColumn("tile", of("q", "r")).join(tiles, "tile", "left_semi").drop("tile")).withColumn("tile", of("q", "r"))
         found = e.join(tiles, "tile", "left_semi").groupBy("tile").cogroup(known.groupBy("tile")).applyInPandas(relax, "q int, r int, cost double, open boolean")
-        # of equal costs the one that is not open has been relaxed with it
-        after = written(best.withColumn("open", F.lit(False)).unionByName(found).groupBy("q", "r").agg(F.min(F.struct("cost", "open")).alias("c")).select("q", "r", "c.cost", "c.open"), "cost")
-        dropped(best)
-        best = after
+        turn += 1
+        tables.append(written(found.withColumn("round", F.lit(turn)), "cost"))
+        if len(tables) > MERGE_EVERY and not tables[-1].isEmpty():
+            # the costs of this round stay a table of their own, as they open tiles
+            old = written(merged(reduce(DataFrame.unionByName, tables[:-1])), "cost")
+            for t in tables[:-1]:
+                dropped(t)
+            tables = [old, tables[-1]]
     dropped(e)
-    return best.select("q", "r", F.round("cost", 4).alias("cost"))
+    return merged(reduce(DataFrame.unionByName, tables)).select("q", "r", F.round("cost", 4).alias("cost"))
 
 
 def reversed_edges(weights: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import entities, feeds
+from ..operators import entities, feeds, graph
 from ..sources import tables as t
 from ..streaming import telemetry
 from .lines import _VERT, vertices
@@ -195,11 +195,12 @@ def chokepoints(spark, sf):
 
 @query("SELECT event_type, max(CASE WHEN i = floor((n - 1) * 0.1e0 + 0.5) THEN value END) AS p10, max(CASE WHEN i = floor((n - 1) * 0.5e0 + 0.5) THEN value END) AS p50, max(CASE WHEN i = floor((n - 1) * 0.9e0 + 0.5) THEN value END) AS p90 FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) GROUP BY event_type")
 def percentile_pick(spark, sf):
-    """Values at rounded ranks, not interpolated.  Equal values are counted first, so a key has as many rows as it has values."""
+    """Values at rounded ranks, not interpolated.  Equal values are counted first, and a type's values are ranked over many tasks."""
     c = t.table(spark, sf, "events").groupBy("event_type", "value").agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy("event_type").orderBy("value")
-    c = c.withColumn("to", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(Window.partitionBy("event_type")))
-    at = lambda p: F.max(F.when((F.col("to") - F.col("c") <= F.floor((F.col("n") - 1) * F.lit(p) + 0.5)) & (F.floor((F.col("n") - 1) * F.lit(p) + 0.5) < F.col("to")), F.col("value")))
+    n = c.groupBy("event_type").agg(F.sum("c").alias("n"))
+    c = graph.running(c, ["value"], F.col("c"), "start", ["event_type"]).join(n, "event_type")
+    rank = lambda p: F.floor((F.col("n") - 1) * F.lit(p) + 0.5)
+    at = lambda p: F.max(F.when((F.col("start") <= rank(p)) & (rank(p) < F.col("start") + F.col("c")), F.col("value")))
     return c.groupBy("event_type").agg(at(0.1).alias("p10"), at(0.5).alias("p50"), at(0.9).alias("p90"))
 
 

@@ -224,7 +224,10 @@ def edge_cost_night(spark, sf):
 _STEEP = f"(SELECT c.*, coalesce(s, 0) AS steepest FROM {CELL} AS c LEFT JOIN (SELECT q, r, max(slope) AS s FROM {_EDGES} GROUP BY q, r) AS e ON c.q = e.q AND c.r = e.r)"
 
 
-@query(f"SELECT q, r, mover, mobility FROM {_chain(f'(SELECT * FROM {_STEEP} AS c CROSS JOIN {_movers_sql()} AS m)', grid.CELL_SQL)}")
+SQL_TRAFFICABILITY = f"SELECT q, r, mover, mobility FROM {_chain(f'(SELECT * FROM {_STEEP} AS c CROSS JOIN {_movers_sql()} AS m)', grid.CELL_SQL)}"
+
+
+@query(SQL_TRAFFICABILITY)
 def trafficability(spark, sf):
     """Mobility class of each cell for each mover."""
     return grid.trafficability(cells(spark, sf), movers(spark))
