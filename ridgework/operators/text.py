@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import gis_files
+
 # What counts as a number with its unit, and as a citation; words that say nothing.
 NUMBER = r"(\$)?(-?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?)\s*(hours?|hrs?|km/h|km|ha|minutes?|mins?|m|h|%|°)?"
 CITATION = r"(?i)\[\[doc:([a-z0-9-]+)\]\]"
@@ -96,7 +101,17 @@ def gpx(vertices: DataFrame) -> DataFrame:
 
 
 def gpx_points(texts: DataFrame) -> DataFrame:
-    """plan, place, lat, lng of the track points of GPX texts with two of them at least."""
-    tag = r'<trkpt\b[^>]*\blat="([^"]*)"[^>]*\blon="([^"]*)"'
-    p = texts.withColumn("_p", F.regexp_extract_all("gpx", F.lit(tag), F.lit(0))).filter(F.size("_p") >= 2).select("plan", F.posexplode("_p").alias("place", "m"))
-    return p.select("plan", "place", *(F.regexp_extract("m", tag, i).try_cast("double").alias(c) for i, c in ((1, "lat"), (2, "lng")))).dropna(subset=["lat", "lng"])
+    """plan, place, lat, lng of the points of the tracks and routes of GPX texts, those of two points at least, whatever the order of their attributes; damaged texts go as far as they do."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for plan, text in zip(f["plan"], f["gpx"]):
+                try:
+                    found = gis_files.gpx(text or "")
+                except gis_files.BadFile:
+                    continue
+                rows += [(plan, i, *p) for i, p in enumerate(p for _, _, rings in found for p in rings[0])]
+            yield pd.DataFrame(rows, columns=["plan", "place", "lat", "lng"])
+
+    return texts.select(F.col("plan").cast("long").alias("plan"), "gpx").mapInPandas(run, "plan long, place int, lat double, lng double")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources import tables as t
-from . import corridors, equipment, feeds, insights, lines, paths, rings, spatial, terrain, text, vegetation  # noqa: F401  register their queries
+from . import corridors, equipment, feeds, files, insights, lines, paths, rings, spatial, terrain, text, vegetation  # noqa: F401  register their queries
 from .registry import QUERIES, SQL, query  # noqa: F401
 
 _PAINT = "(SELECT event_id AS seq, event_type <> 'error' AS painted, CAST(user_id % 40 AS INTEGER) AS q, CAST(event_id % 25 AS INTEGER) AS r FROM events)"

@@ -5,12 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write and read back below ``spark.checkpoint.dir``; a temporary folder is set only where that is unset and all runs on one machine."""
-    spark = df.sparkSession
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A folder below ``spark.checkpoint.dir`` that nobody has used; a temporary folder is set only where that is unset and all runs on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         master = spark.sparkContext.master
@@ -18,9 +17,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="ridgework-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/ridgework/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/ridgework/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write and read back in a fresh folder: cuts lineage, survives lost executors."""
+    path = fresh_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def dropped(df: DataFrame) -> None:
