@@ -78,6 +78,36 @@ def sa(rows: DataFrame) -> DataFrame:
     )
 
 
+def _wa(rows: DataFrame, prefix: str, what: str, status: str, level: Column) -> DataFrame:
+    placed = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
+    r = rows.withColumn("p", F.when(placed, F.array("longitude", "latitude")).otherwise(first_point(F.col("geometry")))).filter("p IS NOT NULL")
+    return r.select(
+        F.concat(F.lit(prefix), "id").alias("id"), F.lit("DFES (Emergency WA)").alias("source"), F.lit("WA").alias("state"), F.coalesce("name", F.lit(what)).alias("title"), F.coalesce("type", F.lit(what)).alias("category"),
+        F.coalesce(status, F.lit("")).alias("status"), level.alias("level"), F.col("p")[0].alias("lng"), F.col("p")[1].alias("lat"), "updated", F.col("updated").alias("updated_raw"), F.lit(None).cast("string").alias("size"),
+    )
+
+
+def wa_incidents(rows: DataFrame) -> DataFrame:
+    """rows: id, name, type, status, latitude, longitude, geometry (used where a number lacks), updated."""
+    return _wa(rows, "wa-", "Incident", "status", F.lit("incident"))
+
+
+def wa_warnings(rows: DataFrame) -> DataFrame:
+    """The same with subtype, after whose ``--`` the level stands."""
+    return _wa(rows, "wa-warn-", "Warning", "status", warning_level(F.replace(F.get(F.split("subtype", "--"), F.lit(1)), F.lit("-"), F.lit(" "))))
+
+
+def act(rows: DataFrame) -> DataFrame:
+    """rows: guid, title, type, description, point (lat lng between white space), pub_date, which is kept as it is; rows without two numbers as point are left out."""
+    xy = F.split(F.trim("point"), r"\s+")
+    r = rows.withColumn("lat", F.get(xy, F.lit(0)).try_cast("double")).withColumn("lng", F.get(xy, F.lit(1)).try_cast("double")).filter("lat IS NOT NULL AND lng IS NOT NULL")
+    status = F.trim(F.regexp_extract(F.coalesce("description", F.lit("")), r"(?i)Status:\s*([^\r\n]+)", 1))
+    return r.select(
+        F.concat(F.lit("act-"), "guid").alias("id"), F.lit("ACT ESA").alias("source"), F.lit("ACT").alias("state"), F.coalesce(F.trim("title"), F.lit("Incident")).alias("title"), F.coalesce(F.trim("type"), F.lit("Incident")).alias("category"),
+        status.alias("status"), F.lit("incident").alias("level"), "lng", "lat", F.lit(None).cast("string").alias("updated"), F.trim("pub_date").alias("updated_raw"), F.lit(None).cast("string").alias("size"),
+    )
+
+
 def union(*feeds: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, (f.select(*COLUMNS) for f in feeds))
 

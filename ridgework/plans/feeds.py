@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import entities, feeds, graph
 from ..sources import tables as t
-from ..streaming import telemetry
+from ..streaming import incidents, telemetry
 from .lines import _VERT, vertices
 from .registry import query
 
@@ -263,3 +263,48 @@ def route_stats(spark, sf):
 
     s = linear.track_slopes(t.derived(spark, sf, "lineitem", t.POINT))
     return s.groupBy("plan").agg(F.round(F.sum("dist_m"), 3).alias("distance_m"), F.round(F.max("slope"), 6).alias("max_slope"), F.expr("round(coalesce(sum(slope * dist_m) / nullif(sum(dist_m), 0e0), 0e0), 6)").alias("mean_slope"), F.round(F.sum(F.when(F.col("slope") >= 25, F.col("dist_m")).otherwise(0.0)), 3).alias("steep_m"))
+
+
+# WA rows are placed by numbers where they have them, else by geometry; ACT rows by a text of two numbers, which some lack.
+_WEST = {"latitude": "CASE WHEN n % 3 <> 1 THEN -31.5e0 - n % 4 END", "longitude": "CASE WHEN n % 5 <> 2 THEN 115.25e0 + n % 6 END", "subtype": "CASE n % 4 WHEN 0 THEN 'warnings_bushfire--emergency-warning' WHEN 1 THEN 'warnings_bushfire--watch-and-act' WHEN 2 THEN 'warnings_flood' END"}
+_WEST_SQL = f"(SELECT *, CASE WHEN latitude IS NOT NULL AND longitude IS NOT NULL THEN [longitude, latitude] ELSE p END AS place FROM (SELECT *, {', '.join(f'{e} AS {k}' for k, e in _WEST.items())} FROM {_POINTS}))"
+_ACT = {"point": "CASE n % 6 WHEN 0 THEN 'unknown' WHEN 1 THEN NULL ELSE concat(' -35.', CAST(n % 9 AS {s}), '  149.', CAST(n % 7 AS {s}), ' ') END", "told": "CASE n % 4 WHEN 0 THEN concat('Agency: x', chr(10), 'STATUS: on scene ', chr(13), chr(10), 'Units: 3') WHEN 1 THEN 'none' END"}
+_NO = "CAST(NULL AS VARCHAR)"
+
+
+@query(f"""
+SELECT concat('wa-', CAST(n AS VARCHAR)) AS id, 'DFES (Emergency WA)' AS source, 'WA' AS state, coalesce(CASE WHEN n % 2 = 0 THEN kind END, 'Incident') AS title, 'Incident' AS category, 'Active' AS status, 'incident' AS level, place[1] AS lng, place[2] AS lat, date AS updated, date AS updated_raw, {_NO} AS size FROM {_WEST_SQL} WHERE n % 3 <> 2 AND place IS NOT NULL
+UNION ALL SELECT concat('wa-warn-', CAST(n AS VARCHAR)), 'DFES (Emergency WA)', 'WA', kind, 'Warning', '', CASE WHEN n % 4 = 0 THEN 'emergency-warning' WHEN n % 4 = 1 THEN 'watch-and-act' ELSE 'incident' END, place[1], place[2], date, date, {_NO} FROM {_WEST_SQL} WHERE n % 3 = 2 AND place IS NOT NULL
+UNION ALL SELECT concat('act-', CAST(n AS VARCHAR)), 'ACT ESA', 'ACT', kind, 'Incident', CASE WHEN n % 4 = 0 THEN 'on scene' ELSE '' END, 'incident', CAST(regexp_extract(point, '149[.][0-9]+') AS DOUBLE), CAST(regexp_extract(point, '-35[.][0-9]+') AS DOUBLE), {_NO}, date, {_NO} FROM (SELECT *, {_ACT['point'].format(s='VARCHAR')} AS point FROM {_E}) WHERE n % 6 > 1""")
+def feed_west_act(spark, sf):
+    """Incidents and warnings of WA and incidents of ACT as one table."""
+    e = _events(spark, sf)
+    west = e.select("*", *(F.expr(x).alias(k) for k, x in _WEST.items())).select(F.col("n").cast("string").alias("id"), "n", "kind", F.lit(None).cast("string").alias("type"), "latitude", "longitude", "geometry", "subtype", F.col("date").alias("updated"))
+    incidents = west.filter("n % 3 <> 2").withColumn("name", F.expr("CASE WHEN n % 2 = 0 THEN kind END")).withColumn("status", F.lit("Active"))
+    warnings = west.filter("n % 3 = 2").withColumn("name", F.col("kind")).withColumn("status", F.lit(None).cast("string"))
+    act = e.select(F.col("n").cast("string").alias("guid"), F.col("kind").alias("title"), F.lit(None).cast("string").alias("type"), F.expr(_ACT["told"]).alias("description"), F.expr(_ACT["point"].format(s="STRING")).alias("point"), F.col("date").alias("pub_date"))
+    return feeds.union(feeds.wa_incidents(incidents), feeds.wa_warnings(warnings), feeds.act(act))
+
+
+# Each event is what a poll gave of an incident: it may be given again by the next poll, unchanged.
+_POLL = {"id": "concat('i-', CAST(user_id % 97 AS {s}))", "source": "concat('s', CAST(user_id % 97 % 5 AS {s}))", "level": "CASE event_id % 4 WHEN 0 THEN 'advice' WHEN 1 THEN 'watch-and-act' ELSE 'incident' END", "title": "event_type"}
+_POLLS = f"(SELECT event_id, date_trunc('hour', ts) AS updated, date_trunc('day', ts) + INTERVAL 1 DAY AS polled, {', '.join(f'{e.format(s='VARCHAR')} AS {k}' for k, e in _POLL.items())} FROM events)"
+
+
+def polls(spark, sf):
+    e = t.table(spark, sf, "events")
+    return e.select("event_id", F.date_trunc("hour", "ts").alias("updated"), (F.date_trunc("day", "ts") + F.expr("INTERVAL 1 DAY")).alias("polled"), *(F.expr(x.format(s="STRING")).alias(k) for k, x in _POLL.items()))
+
+
+@query(f"SELECT id, source, updated, level, title, versions FROM (SELECT *, row_number() OVER (PARTITION BY id, source ORDER BY updated DESC, level DESC, title DESC) AS k, count(*) OVER (PARTITION BY id, source) AS versions FROM (SELECT id, any_value(source) AS source, updated, max((level, title))[1] AS level, max((level, title))[2] AS title FROM {_POLLS} GROUP BY id, updated)) WHERE k = 1")
+def incident_latest(spark, sf):
+    """The latest version of each polled incident."""
+    # which of several rows of one version stays is decided here, so that any engine finds the same
+    one = polls(spark, sf).groupBy("id", "source", "updated").agg(F.max(F.struct("level", "title")).alias("v")).select("id", "source", "updated", "v.level", "v.title")
+    return incidents.latest(one)
+
+
+@query(f"SELECT source, polled, count(*) AS incidents, max(updated) AS newest FROM {_POLLS} GROUP BY ALL")
+def incident_polls(spark, sf):
+    """What each poll of a source gave."""
+    return incidents.given(polls(spark, sf))

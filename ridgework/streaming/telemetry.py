@@ -47,8 +47,11 @@ def limited(events: DataFrame, limit: int, seconds: int) -> DataFrame:
     return events.repartition("key").sortWithinPartitions("key", "ts", "event_id").select("event_id", "key", "ts").mapInPandas(run, LIMITED)
 
 
-def limited_stream(events: DataFrame, limit: int, seconds: int) -> DataFrame:
-    """The same on a stream: a key's open window is its state, dropped when it has ended.  Requests of a batch are taken in order of time."""
+def limited_stream(events: DataFrame, limit: int, seconds: int, late: str = "10 minutes") -> DataFrame:
+    """The same on a stream: a key's open window is its state, dropped when the watermark has passed its end, however long the stream stands still.
+
+    Requests of a batch are taken in order of time; those older than the watermark are left out.
+    """
     window_ns = seconds * 10**9
 
     def run(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -62,7 +65,7 @@ def limited_stream(events: DataFrame, limit: int, seconds: int) -> DataFrame:
             start, count, row = hit(int(ns), start, count, limit, window_ns)
             out.append(row)
         state.update((start, count))
-        state.setTimeoutDuration(seconds * 1000)
+        state.setTimeoutTimestamp(max((start + window_ns) // 10**6, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"event_id": f["event_id"].to_numpy(), **dict(zip(("allowed", "remaining", "retry_after_s"), zip(*out)))})
 
-    return events.select("event_id", "key", "ts").groupBy("key").applyInPandasWithState(run, LIMITED, "start long, count int", "append", "ProcessingTimeTimeout")
+    return events.select("event_id", "key", "ts").withWatermark("ts", late).groupBy("key").applyInPandasWithState(run, LIMITED, "start long, count int", "append", "EventTimeTimeout")

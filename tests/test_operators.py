@@ -128,6 +128,59 @@ def test_streams_agree_with_batches(spark):
     assert daily == {tuple(r) for r in telemetry.daily(events).collect()}
 
 
+def test_a_polled_stream_equals_the_batch_across_a_restart(spark):
+    """Shuffled, late and repeated polls in several files; the query stops after two of them and goes on from its checkpoint."""
+    from ridgework.streaming import incidents
+
+    t0 = datetime.datetime(2024, 1, 1)
+    hour = lambda n: t0 + datetime.timedelta(hours=n)
+    # poll p gives every incident's version of that time; every third incident isn't changed by every poll
+    rows = [(f"s{i % 2}", hour(p), f"i{i}", hour(p - (i % 3)), ("advice", "watch-and-act")[(i + p) % 2] if i % 3 == 0 else "incident", f"t{p - (i % 3)}") for p in range(12) for i in range(9)]
+    df = spark.createDataFrame(rows, "source string, polled timestamp, id string, updated timestamp, level string, title string")
+    d = tempfile.mkdtemp(prefix="spark-")
+    parts = [rows[60:80] + rows[:30], rows[30:60] + rows[70:90], rows[80:], rows[50:100]]  # out of order, overlapping
+    put = lambda i: spark.createDataFrame(parts[i], df.schema).coalesce(1).write.mode("append").parquet(f"{d}/in/{i}")
+    seen: dict = {}
+
+    def run(name):
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/in/*")
+
+        def keep(batch, _):
+            for r in batch.collect():  # rows of a test
+                seen[r.id, r.source] = tuple(r)
+
+        q = incidents.latest(stream, "1 day").writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{d}/{name}").trigger(availableNow=True).start()
+        q.awaitTermination(300)
+
+    put(0)
+    put(1)
+    run("latest")
+    put(2)
+    put(3)
+    run("latest")
+    want = {(r.id, r.source): tuple(r) for r in incidents.latest(df).collect()}
+    assert seen == want and {k: v[5] for k, v in want.items()} == {(f"i{i}", f"s{i % 2}"): 12 for i in range(9)}
+    stream = spark.readStream.schema(df.schema).parquet(f"{d}/in/*")
+    q = incidents.given(stream.dropDuplicates(["source", "polled", "id"]), "1 hour").writeStream.outputMode("append").format("memory").queryName("ridgework_given").option("checkpointLocation", f"{d}/given").trigger(availableNow=True).start()
+    q.awaitTermination(300)
+    given = {tuple(r) for r in spark.table("ridgework_given").collect()}
+    assert given and given <= {tuple(r) for r in incidents.given(df).collect()} and len(given) >= 20  # the last polls wait for the watermark
+
+
+def test_windows_of_a_stream_end_by_event_time(spark):
+    """A key's window lives while the stream stands still, and a restart finds it; it goes when the watermark has passed its end."""
+    t0, d = datetime.datetime(2024, 1, 1), tempfile.mkdtemp(prefix="spark-")
+    at = lambda s: t0 + datetime.timedelta(seconds=s)
+    schema = "event_id long, key string, ts timestamp"
+    for i, part in enumerate(([(0, "a", at(0)), (1, "b", at(1))], [(2, "a", at(5)), (3, "a", at(9))], [(4, "b", at(5000))], [(5, "a", at(5001)), (6, "b", at(5002))])):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{d}/in/{i}")
+        stream = spark.readStream.schema(schema).parquet(f"{d}/in/*")
+        q = telemetry.limited_stream(stream, 2, 600, "1 minute").writeStream.format("parquet").option("path", f"{d}/out").option("checkpointLocation", f"{d}/state").trigger(availableNow=True).start()
+        q.awaitTermination(300)
+    got = {r.event_id: (r.allowed, r.remaining) for r in spark.read.parquet(f"{d}/out").collect()}
+    assert got == {0: (True, 1), 1: (True, 1), 2: (True, 0), 3: (False, 0), 4: (True, 1), 5: (True, 1), 6: (True, 0)}
+
+
 def test_limits_by_a_plain_walk(spark):
     rows = [(i, "k", datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)) for i, s in enumerate((0, 1, 2, 9, 10, 11, 25))]
     got = [tuple(r) for r in telemetry.limited(spark.createDataFrame(rows, "event_id long, key string, ts timestamp"), 2, 10).orderBy("event_id").collect()]
