@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,16 +16,25 @@ def updated(entities: DataFrame, updates: DataFrame) -> DataFrame:
     """id, seq, status, version (after it) of updates (id, seq, expected or null) against entities (id, version, standard), in order of seq per entity.
 
     404 without such an entity, 409 on a standard one or if the expected version isn't the current one; else 200 and the next version.
-    An entity's updates are folded as one array: give a batch of them at a time.
+    Updates are dealt by entity and sorted; a task walks them with the version of one entity, so no entity's updates are held at once.
     """
-    one = updates.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("seq", "expected"))).alias("_u")).join(entities, "id", "left")
-    step = (
-        "aggregate(_u, named_struct('v', CAST(version AS BIGINT), 'out', CAST(array() AS array<struct<seq:bigint,status:int,version:bigint>>)), (a, u) -> "
-        "CASE WHEN a.v IS NULL OR standard OR (u.expected IS NOT NULL AND u.expected <> a.v) "
-        "THEN named_struct('v', a.v, 'out', concat(a.out, array(named_struct('seq', u.seq, 'status', CASE WHEN a.v IS NULL THEN 404 ELSE 409 END, 'version', a.v)))) "
-        "ELSE named_struct('v', a.v + 1, 'out', concat(a.out, array(named_struct('seq', u.seq, 'status', 200, 'version', a.v + 1)))) END).out"
-    )
-    return one.select("id", F.explode(F.expr(step)).alias("x")).select("id", "x.*")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of, version = object(), None
+        for f in frames:
+            status, after = [], []
+            for key, there, standard, start, expected in zip(f["id"], f["there"], f["standard"], f["version"], f["expected"]):
+                if key != of:
+                    of, version = key, int(start) if there else None
+                good = there and not standard and (pd.isna(expected) or expected == version)
+                version = version + 1 if good else version
+                status.append(200 if good else 409 if there else 404)
+                after.append(version)
+            yield pd.DataFrame({"id": f["id"], "seq": f["seq"], "status": status, "version": pd.array(after, "Int64")})
+
+    known = entities.select("id", F.col("version").cast("long").alias("version"), F.coalesce("standard", F.lit(False)).alias("standard"), F.lit(True).alias("there"))
+    rows = updates.select("id", "seq", F.col("expected").cast("long").alias("expected")).join(known, "id", "left").withColumns({"there": F.coalesce("there", F.lit(False)), "standard": F.coalesce("standard", F.lit(False)), "version": F.coalesce("version", F.lit(0).cast("long"))})
+    return rows.repartition("id").sortWithinPartitions("id", "seq").mapInPandas(run, f"id {dict(updates.dtypes)['id']}, seq {dict(updates.dtypes)['seq']}, status int, version long")
 
 
 def inserted(entities: DataFrame, inserts: DataFrame) -> DataFrame:

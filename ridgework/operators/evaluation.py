@@ -27,7 +27,7 @@ DROP_NOTE_SQL = "(CASE level WHEN 'incompatible' THEN concat({share}, '% of rout
 
 
 def line_note_sql(width: float) -> str:
-    return LINE_NOTE_SQL.format(share=p.rounded_sql(f"100 * {SHARE_SQL}"), side=p.rounded_sql("100 * side_over_m / nullif(total_m, 0e0)"), limit="CAST(CAST(side_limit AS BIGINT) AS STRING)", width=f"'{int(width + 0.5)}'")
+    return LINE_NOTE_SQL.format(share=p.rounded_sql(f"100 * {SHARE_SQL}"), side=p.rounded_sql("100 * side_over_m / nullif(total_m, 0e0)"), limit="CASE WHEN side_limit = floor(side_limit) THEN CAST(CAST(side_limit AS BIGINT) AS STRING) ELSE CAST(side_limit AS STRING) END", width=f"'{int(width + 0.5)}'")
 
 
 def drop_note_sql() -> str:

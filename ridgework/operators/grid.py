@@ -26,6 +26,8 @@ SEVERITY = ((0, 0.0), (10, 0.14), (25, 0.5), (35, 0.78), (45, 1.0))
 ISOCHRONES = (15, 30, 60, 120, 180)
 #: Cells along a side of a tile, in which components are found by one task, and of one in which costs are relaxed; tables of improved costs that are merged.
 TILE, COST_TILE, MERGE_EVERY = 64, 256, 6
+#: Tiles up to this number are named in a filter.
+MOST_TILES = 10_000
 
 
 def edges(cells: DataFrame) -> DataFrame:
@@ -117,6 +119,32 @@ def plane_fit(cells: DataFrame) -> DataFrame:
     return g.selectExpr("q", "r", "round(degrees(atan(tan_)), 5) AS cross_slope", "round(coalesce(sqrt(aggregate(_res, 0e0, (s, x) -> s + pow(x - _mean, 2)) / nullif(size(_res), 0)), 0e0), 5) AS roughness", f"{PLACE_SQL.format(own='z', mean='_nz', relief='_relief')} AS place")
 
 
+def with_tile(cells: DataFrame, tile: int = TILE) -> DataFrame:
+    """Add tile, a number of the tile that a cell is in, by which stored tables are partitioned."""
+    return cells.withColumn("tile", F.floor(F.col("q") / tile) * 1_000_000 + F.floor(F.col("r") / tile))
+
+
+def refitted(cells: DataFrame, fresh: DataFrame, tile: int = TILE, most_tiles: int = MOST_TILES) -> DataFrame:
+    """The rows of ``plane_fit`` that new cells (q, r) change: their own and those of their neighbours; all others hold as they are.
+
+    ``cells`` has all cells, the new ones among them, and ``tile`` as from ``with_tile``; where it is a table partitioned by tile, only tiles of new cells and those around are
+    read.  The list of tiles is looked up in the driver while it has at most ``most_tiles`` entries; beyond, every tile is read.
+    """
+    step = F.concat(F.array(F.struct(F.lit(-1).alias("dir"), F.lit(0).alias("dq"), F.lit(0).alias("dr"))), neighbour_array())
+    grow = lambda c: c.select("q", "r", F.explode(step).alias("n")).select((F.col("q") + F.col("n.dq")).cast("int").alias("q"), (F.col("r") + F.col("n.dr")).cast("int").alias("r")).distinct()
+    changed = grow(fresh.select("q", "r").distinct())
+    needed = grow(changed)
+    tiles = with_tile(needed, tile).select("tile").distinct().limit(most_tiles + 1).collect()
+    near = cells.filter(F.col("tile").isin([r["tile"] for r in tiles])) if len(tiles) <= most_tiles else cells
+    fitted = plane_fit(near.drop("tile").join(needed, ["q", "r"], "left_semi"))
+    return fitted.join(changed, ["q", "r"], "left_semi")
+
+
+def merged_planes(stored: DataFrame, changed: DataFrame) -> DataFrame:
+    """Stored rows of ``plane_fit`` with the changed ones in their place."""
+    return stored.select(*changed.columns).join(changed.select("q", "r"), ["q", "r"], "left_anti").unionByName(changed)
+
+
 #: Cramer's rule for the three coefficients of a plane.
 CRAMER = {
     "det": "n * (sxx * syy - sxy * sxy) - sx * (sx * syy - sxy * sy) + sy * (sx * sxy - sxx * sy)",
@@ -137,7 +165,7 @@ EDGE_SQL = {
     "depth": f"(CASE WHEN NOT on_ THEN {m.ford_sql('b_water_body', 'b_waterway', 'b_frequency')} END)",
     "blocked": f"(CASE WHEN NOT on_ AND slope > max_climb THEN 'climb' WHEN NOT on_ AND side > max_side THEN 'side-slope' WHEN depth IS NOT NULL AND NOT coalesce(depth <= ford, false) THEN 'ford' WHEN NOT on_ AND {m.too_dense_sql('b_veg')} THEN 'vegetation' END)",
     "ceiling": f"(CASE WHEN on_ THEN CASE WHEN b_highway IS NOT NULL THEN {m.ceiling_sql('b_highway', 'b_surface', 'b_tracktype', 'b_smoothness')} ELSE {m.ceiling_sql('highway', 'surface', 'tracktype', 'smoothness')} END END)",
-    "base": f"(CASE model WHEN 'offpath' THEN {m.foot_sql('on_', 'grade')} ELSE CASE WHEN on_ THEN CASE WHEN model = 'vehicle' THEN least(road_kmh, coalesce(ceiling, road_kmh)) ELSE road_kmh END ELSE road_kmh * cross_factor END * greatest(0.05e0, {m.grade_factor_sql('slope', 'max_climb')}) END)",
+    "base": f"(CASE model WHEN 'offpath' THEN {m.foot_sql('on_', 'grade')} WHEN 'tobler' THEN {m.foot_sql('true', 'grade')} ELSE CASE WHEN on_ THEN CASE WHEN model = 'vehicle' THEN least(road_kmh, coalesce(ceiling, road_kmh)) ELSE road_kmh END ELSE road_kmh * cross_factor END * greatest(0.05e0, {m.grade_factor_sql('slope', 'max_climb')}) END)",
     "kmh": f"greatest(0.1e0, base * coalesce(load, 1e0) * (CASE WHEN dark THEN night ELSE 1e0 END) * (CASE WHEN depth IS NULL THEN 1e0 ELSE {m.FORD_FACTOR}e0 END))",
     "ratio": f"greatest(slope / max_climb, side / max_side, CASE WHEN class = 'wheeled' THEN width / greatest(0.1e0, {m.gap_sql('b_veg')}) ELSE 0e0 END)",
     "mobility": f"(CASE WHEN blocked IS NOT NULL THEN 'severely-restricted' WHEN ratio > {m.NEAR}e0 OR (b_veg IN ('heavyforest', 'mediumscrub') AND NOT b_trail) OR depth IS NOT NULL THEN 'restricted' ELSE 'unrestricted' END)",

@@ -55,9 +55,13 @@ def guard(points: DataFrame, most: int = MAX_VERTICES) -> DataFrame:
 
 
 def vertices(points: DataFrame) -> DataFrame:
-    """seq from 0, lat, lng, chainage ``cum`` and the vertex before (_lat, _lng, _cum, null for the first) of each plan's points."""
+    """seq from 0, lat, lng, chainage ``cum`` and the vertex before (_lat, _lng, _cum, null for the first) of each plan's points.
+
+    A plan of more than MAX_VERTICES is an error, as its windows would have no bound.
+    """
     w = Window.partitionBy("plan").orderBy(*ORDER)
-    p = points.select("plan", (F.row_number().over(w) - 1).alias("seq"), "lat", "lng", F.lag("lat").over(w).alias("_lat"), F.lag("lng").over(w).alias("_lng"))
+    n = F.row_number().over(w)
+    p = points.select("plan", F.when(n <= MAX_VERTICES, n - 1).otherwise(F.raise_error(F.lit(f"a plan has more than {MAX_VERTICES} vertices"))).alias("seq"), "lat", "lng", F.lag("lat").over(w).alias("_lat"), F.lag("lng").over(w).alias("_lng"))
     p = p.withColumn("dist_m", F.coalesce(haversine_m(F.col("_lat"), F.col("_lng"), F.col("lat"), F.col("lng")), F.lit(0.0)))
     along = Window.partitionBy("plan").orderBy("seq")
     p = p.withColumn("cum", F.sum("dist_m").over(along.rowsBetween(Window.unboundedPreceding, 0)))

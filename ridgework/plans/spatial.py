@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..functions import mobility as m
 from ..functions import vegetation as v
-from ..operators import spatial
+from ..operators import coordinates, incident_box, spatial
 from ..sources import tables as t
 from .lines import _VERT, _hav, vertices
 from .registry import query
@@ -211,3 +211,79 @@ def incident_offset(spark, sf):
 def haversine_pairs(spark, sf):
     """Metres of each node from one position."""
     return nodes(spark, sf).select("ord", F.round(geo.haversine_m(F.col("lat"), F.col("lng"), F.lit(-34.93), F.lit(149.07)), 3).alias("dist_m"))
+
+
+_FIRES = {"fire": "n_nationkey", "head": "20.0e0 + (n_nationkey * 131) % 900", "flank": "CASE WHEN n_nationkey % 3 <> 0 THEN 10.0e0 + (n_nationkey * 71) % 300 END", "rear": "CASE WHEN n_nationkey % 2 = 0 THEN 5.0e0 + n_nationkey % 40 END", "pace": "400.0e0 + (n_nationkey % 7) * 300.0e0"}
+
+
+def _fixed_point_sql() -> str:
+    """Three rounds, each: vertices moved out, the line's length from vertex to vertex, hours, the next distance."""
+    to = "asin(sin(radians(lat)) * cos(d / 6371000.0) + cos(radians(lat)) * sin(d / 6371000.0) * cos(radians(bearing)))"
+    parts = [
+        f"v AS MATERIALIZED (SELECT fire, id, lat, lng, bearing, sector, array_position(['head', 'leftFlank', 'rightFlank', 'rear'], sector) AS p, count(*) OVER (PARTITION BY fire, sector) AS n FROM {_SECT})",
+        f"f AS MATERIALIZED (SELECT * FROM {t.derived_sql('nation', _FIRES)})",
+        "near AS (SELECT s.fire, s.sector, arg_min(o.lat, (o.p, o.id)) AS lat, arg_min(o.lng, (o.p, o.id)) AS lng FROM (SELECT DISTINCT fire, sector FROM v WHERE n = 1) AS s JOIN v AS o ON o.fire = s.fire AND o.sector <> s.sector GROUP BY ALL)",
+        "s0 AS MATERIALIZED (SELECT DISTINCT fire, sector, n, CASE sector WHEN 'head' THEN head WHEN 'rear' THEN coalesce(rear, head) ELSE coalesce(flank, head) END AS ros, pace, 100.0 AS d, CAST(NULL AS DOUBLE) AS h, false AS ok, false AS done FROM v JOIN f USING (fire))",
+    ]
+    for i in range(3):
+        parts.append(
+            f"""m{i} AS MATERIALIZED (SELECT fire, sector, sum({_hav("lat", "lng", "plat", "plng")}) AS m, count(*) AS k FROM (SELECT *, lag(lat) OVER w AS plat, lag(lng) OVER w AS plng FROM (
+  SELECT fire, sector, id, degrees({to}) AS lat, lng + degrees(atan2(sin(radians(bearing)) * sin(d / 6371000.0) * cos(radians(lat)), cos(d / 6371000.0) - sin(radians(lat)) * sin({to}))) AS lng FROM v JOIN s{i} USING (fire, sector)
+  UNION ALL SELECT fire, sector, 1000000000, lat, lng FROM near) WINDOW w AS (PARTITION BY fire, sector ORDER BY id)) GROUP BY fire, sector),
+t{i} AS MATERIALIZED (SELECT s.*, CASE WHEN k < 2 THEN NULL WHEN m < 1 THEN 0 ELSE m / pace END AS hh FROM s{i} AS s JOIN m{i} USING (fire, sector)),
+s{i + 1} AS MATERIALIZED (SELECT fire, sector, n, ros, pace, CASE WHEN done OR hh IS NULL THEN d ELSE least(5000, greatest(30, ros * hh)) END AS d, CASE WHEN done THEN h ELSE hh END AS h,
+  CASE WHEN done THEN ok WHEN hh IS NULL THEN false ELSE abs(least(5000, greatest(30, ros * hh)) - d) <= 15 END AS ok, CASE WHEN done OR hh IS NULL THEN true ELSE abs(least(5000, greatest(30, ros * hh)) - d) <= 15 END AS done FROM t{i})"""
+        )
+    return ", ".join(parts)
+
+
+@query(f"WITH {_fixed_point_sql()} SELECT fire, sector, round(ros, 4) AS ros, round(d, 4) AS distance_m, round(h, 6) AS hours, ok AS converged, CAST(n AS INTEGER) AS vertices FROM s3")
+def incident_standoff(spark, sf):
+    """How far each sector of a fire's box stands off, by iteration, and whether that has settled."""
+    d = incident_box.stand_off(_sectors(spark, sf), t.derived(spark, sf, "nation", _FIRES))
+    return d.select("fire", "sector", F.round("ros", 4).alias("ros"), F.round("distance_m", 4).alias("distance_m"), F.round("hours", 6).alias("hours"), "converged", "vertices")
+
+
+_BOX_TO = "asin(sin(radians(lat)) * cos(d / 6371000.0) + cos(radians(lat)) * sin(d / 6371000.0) * cos(radians(bearing)))"
+
+
+@query(f"""WITH {_fixed_point_sql()},
+b AS (SELECT fire, row_number() OVER (PARTITION BY fire ORDER BY id) - 1 AS place, degrees({_BOX_TO}) AS lat, lng + degrees(atan2(sin(radians(bearing)) * sin(d / 6371000.0) * cos(radians(lat)), cos(d / 6371000.0) - sin(radians(lat)) * sin({_BOX_TO}))) AS lng FROM v JOIN s3 USING (fire, sector))
+SELECT fire, CAST(place AS INTEGER) AS place, round(lat, 6) AS lat, round(lng, 6) AS lng FROM b UNION ALL SELECT fire, CAST(n AS INTEGER), round(lat, 6), round(lng, 6) FROM b JOIN (SELECT fire, count(*) AS n FROM b GROUP BY fire) USING (fire) WHERE place = 0""")
+def incident_ring(spark, sf):
+    """The closed ring of each fire's box."""
+    v = _sectors(spark, sf)
+    d = incident_box.stand_off(v, t.derived(spark, sf, "nation", _FIRES))
+    return incident_box.box(v, d).select("fire", "place", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"))
+
+
+_PLACES = {"id": "c_custkey", "lat": "-43.5e0 + (c_custkey * 7919 % 33000) * 0.001e0", "lng": "114.0e0 + (c_custkey * 104729 % 40000) * 0.001e0"}
+
+
+def _utm_sql() -> str:
+    k = f"{2 * coordinates._N**0.5 / (1 + coordinates._N)!r}e0"
+    series = lambda of, c, g, h: " + ".join(f"{a!r} * {g}({2 * j} * {of[0]}) * {h}({2 * j} * {of[1]})" if "e" in repr(a) else f"{a!r}e0 * {g}({2 * j} * {of[0]}) * {h}({2 * j} * {of[1]})" for j, a in enumerate(c, 1))
+    r = f"{coordinates.SCALE * coordinates._RADIUS!r}e0"
+    return f"""SELECT id, zone, 500000 + {r} * (y + {series(('x', 'y'), coordinates.ALPHA, 'cos', 'sinh')}) AS easting, 10000000 + {r} * (x + {series(('x', 'y'), coordinates.ALPHA, 'sin', 'cosh')}) AS northing, lat, lng
+  FROM (SELECT *, atan2(t, cos(lam)) AS x, atanh(sin(lam) / sqrt(1 + t * t)) AS y FROM (SELECT *, sinh(atanh(sin(radians(lat))) - {k} * atanh({k} * sin(radians(lat)))) AS t, radians(lng - (zone * 6.0 - 183.0)) AS lam FROM (
+    SELECT *, CAST(floor((lng + 180) / 6) + 1 AS INTEGER) AS zone FROM {t.derived_sql('customer', _PLACES)})))"""
+
+
+@query(f"SELECT id, zone, round(easting, 4) AS easting, round(northing, 4) AS northing, round(lat, 8) AS lat, round(lng, 8) AS lng FROM ({_utm_sql()})")
+def utm_roundtrip(spark, sf):
+    """Zone coordinates of places, and the places that come back from them."""
+    p = t.derived(spark, sf, "customer", _PLACES).withColumn("zone", coordinates.zone_of(F.col("lng")))
+    e, n = coordinates.to_utm(F.col("lat"), F.col("lng"), F.col("zone"))
+    p = p.select("id", "zone", e.alias("easting"), n.alias("northing"))
+    lat, lng = coordinates.from_utm(F.col("easting"), F.col("northing"), F.col("zone"), F.lit(True))
+    return p.select("id", "zone", F.round("easting", 4).alias("easting"), F.round("northing", 4).alias("northing"), F.round(lat, 8).alias("lat"), F.round(lng, 8).alias("lng"))
+
+
+_REF = "CASE c_custkey % 5 WHEN 0 THEN concat(CAST(100 + c_custkey % 900 AS {s}), ' ', CAST(200 + c_custkey % 700 AS {s})) WHEN 1 THEN concat('GR ', CAST(1000 + c_custkey % 9000 AS {s}), '-', CAST(2000 + c_custkey % 7000 AS {s})) WHEN 2 THEN CAST(100000 + c_custkey AS {s}) WHEN 3 THEN CAST(c_custkey AS {s}) ELSE 'none' END"
+
+
+@query(f"SELECT id, CASE WHEN len(d) IN (6, 8) THEN d[: len(d) // 2] END AS easting, CASE WHEN len(d) IN (6, 8) THEN d[len(d) // 2 + 1 :] END AS northing FROM (SELECT c_custkey AS id, regexp_replace({_REF.format(s='VARCHAR')}, '[^0-9]', '', 'g') AS d FROM customer)")
+def grid_reference_digits(spark, sf):
+    """Easting and northing digits of grid references as people write them."""
+    c = t.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), coordinates.grid_digits(F.expr(_REF.format(s="STRING"))).alias("g"))
+    return c.select("id", "g.easting", "g.northing")

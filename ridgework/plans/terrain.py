@@ -9,6 +9,7 @@ from ..functions import mobility as m
 from ..functions.production import interpolate_sql
 from ..operators import grid
 from ..sources import tables as t
+from ..sources.shared import fresh_folder, written
 from .registry import query
 
 CELL = t.derived_sql("part", t.CELL)
@@ -178,15 +179,29 @@ _SUMS = f"""(SELECT c.q, c.r, c.elev AS z, 1 + count(b.q) AS n, c.elev + coalesc
 _PLANES = f"(SELECT *, n >= 3 AND abs(det) >= 1e-6 AS fits FROM (SELECT *, {', '.join(f'{e} AS {k}' for k, e in grid.CRAMER.items())} FROM {_SUMS}))"
 
 
-@query(f"""
+_PLANE_FIT = f"""
 SELECT p.q, p.r, round(degrees(atan(CASE WHEN any_value(fits) THEN sqrt(pow(any_value(db / det), 2) + pow(any_value(dc / det), 2)) ELSE coalesce(any_value(steep), 0) END)), 5) AS cross_slope,
        round(CASE WHEN any_value(fits) THEN coalesce(stddev_pop(b.elev - (da / det + db / det * {_X} + dc / det * {_Y})), 0) ELSE 0 END, 5) AS roughness, any_value({grid.PLACE_SQL.format(own="z", mean="nz", relief="coalesce(relief, 0)")}) AS place
-FROM {_PLANES} AS p CROSS JOIN {_NEAR} AS o LEFT JOIN {CELL} AS b ON b.q = p.q + o.dq AND b.r = p.r + o.dr GROUP BY p.q, p.r""".replace("db / det", "db / nullif(det, 0)").replace("dc / det", "dc / nullif(det, 0)").replace("da / det", "da / nullif(det, 0)"))
+FROM {_PLANES} AS p CROSS JOIN {_NEAR} AS o LEFT JOIN {CELL} AS b ON b.q = p.q + o.dq AND b.r = p.r + o.dr GROUP BY p.q, p.r""".replace("db / det", "db / nullif(det, 0)").replace("dc / det", "dc / nullif(det, 0)").replace("da / det", "da / nullif(det, 0)")
+
+
+@query(_PLANE_FIT)
 def plane_fit(spark, sf):
     """Cross slope, roughness and place (ridge, midslope, valley) of each cell."""
     return grid.plane_fit(cells(spark, sf))
 
 
+@query(_PLANE_FIT)
+def cross_slope_incremental(spark, sf):
+    """Cross slopes of a grid that has grown: those of the first cells are stored by tile, new cells and their neighbours are fitted and merged in."""
+    c = grid.with_tile(cells(spark, sf).select("q", "r", "elev"), 16)
+    old, folder = "q < 30 AND r % 8 <> 7", fresh_folder(spark, "planes")
+    c.write.partitionBy("tile").parquet(f"{folder}/cells")
+    stored = written(grid.plane_fit(c.filter(old)), "planes")
+    changed = grid.refitted(spark.read.parquet(f"{folder}/cells"), c.filter(f"NOT ({old})"), 16)
+    return grid.merged_planes(stored, changed)
+
+
 @query(f"SELECT q, r, dir, round({STEP} / 1000 / greatest(0.1, {m.foot_sql('trail AND b_trail', 'grade')}) * 3600, 6) AS seconds, round(degrees(atan(grade)), 6) AS signed_slope FROM {_EDGES}")
 def edge_cost_foot(spark, sf):
     """Seconds on foot and the signed slope of each edge."""

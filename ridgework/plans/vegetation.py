@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import vegetation as v
@@ -155,7 +157,6 @@ SELECT id, vegetation, matched, confidence FROM (
 UNION ALL SELECT id, NULL, NULL, NULL FROM {_SITES.format(s='VARCHAR')} AS s WHERE NOT EXISTS (SELECT 1 FROM {_MAPS.format(s='VARCHAR')} AS m WHERE active AND lower(m.formation) = lower(s.formation) AND (coalesce(m.class, '') = '' OR lower(m.class) = lower(s.class)) AND (coalesce(m.type, '') = '' OR lower(m.type) = lower(s.type)))""")
 def veg_mapping_hier(spark, sf):
     """Vegetation of each site by the mapping rows of its type, else class, else formation."""
-    for name in ("supplier", "customer", "nation", "region"):
-        t.table(spark, sf, name).createOrReplaceTempView(f"ridgework_{name}")
-    named = lambda sql: spark.sql("SELECT * FROM " + sql.format(s="STRING").replace("FROM supplier", "FROM ridgework_supplier").replace("FROM customer", "FROM ridgework_customer").replace("JOIN nation", "JOIN ridgework_nation").replace("JOIN region", "JOIN ridgework_region"))
+    of = {name: t.table(spark, sf, name) for name in ("supplier", "customer", "nation", "region")}
+    named = lambda sql: spark.sql("SELECT * FROM " + re.sub(r"\b(FROM|JOIN) (supplier|customer|nation|region)\b", r"\1 {\2}", sql.format(s="STRING")), **of)
     return op.hierarchical(named(_SITES), named(_MAPS)).select("id", "vegetation", "matched", "confidence")
