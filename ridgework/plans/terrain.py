@@ -236,6 +236,36 @@ def edge_cost_night(spark, sf):
     return grid.edge_mobility(grid.edges(cells(spark, sf)), movers(spark).filter("mover <> 'walker'"), night=True)
 
 
+#: Movers whose edges reach the gates and models that the others don't: one of a plain speed by grade, one that hardly climbs, a unit on the march, tracks that push stems over.
+GATED = (
+    ("scout", "foot", "tobler", 50.0, 45.0, 2.6, 0.6, None, 5.0, 0.8, 0.9, 0.7),
+    ("cart", "wheeled", "vehicle", 1.5, 30.0, 0.5, 2.2, None, 30.0, 0.5, None, 0.6),
+    ("platoon", "foot", "march", 3.0, 12.0, 0.4, 1.0, None, 4.0, 0.6, 0.85, 0.6),
+    ("plough", "tracked", "vehicle", 30.0, 26.0, 1.3, 4.5, 160.0, 55.0, 0.5, None, 0.5),
+)
+_ROAD = {"primary": 65, "residential": 25, "service": 15}
+_GATED_SQL = f"""
+WITH mv AS (SELECT * FROM (VALUES {', '.join('(' + ', '.join('NULL' if v is None else f"'{v}'" if isinstance(v, str) else f'CAST({v} AS DOUBLE)' for v in r) + ')' for r in GATED)}) AS v(mover, class, model, max_climb, max_side, ford, width, stem, road, cross_, load, night)),
+c AS (SELECT CAST(p_partkey % 50 AS INTEGER) AS q, CAST(p_partkey // 50 AS INTEGER) AS r, p_retailprice / 10.0 AS z, ['grassland', 'lightshrub', 'mediumscrub', 'heavyforest'][p_size % 4 + 1] AS veg, p_size % 5 = 0 AS trail, (p_partkey % 13) * 2.0 AS side,
+  CASE WHEN p_partkey % 23 = 0 THEN 2.5 WHEN p_partkey % 19 IN (0, 2) THEN 1.2 WHEN p_partkey % 19 = 1 THEN 0.4 WHEN p_partkey % 3 <> 0 AND p_partkey % 20 >= 10 THEN 1.0 WHEN p_partkey % 3 <> 0 AND p_partkey % 20 >= 3 THEN 0.4 END AS water,
+  CASE WHEN p_size % 5 = 0 AND p_partkey % 4 <> 0 THEN CASE p_partkey % 7 WHEN 0 THEN 'primary' WHEN 1 THEN 'residential' WHEN 2 THEN 'service' WHEN 3 THEN 'path' ELSE 'track' END END AS way,
+  CASE p_partkey % 6 WHEN 0 THEN 40 WHEN 1 THEN 10 END AS surface, CASE WHEN p_partkey % 5 = 0 THEN 25 END AS grade_cap, CASE p_partkey % 8 WHEN 0 THEN 20 WHEN 1 THEN 0 END AS smooth FROM part),
+w AS (SELECT *, coalesce(least(CASE way {' '.join(f"WHEN '{k}' THEN {v}" for k, v in _ROAD.items())} END, surface, grade_cap, smooth), CASE WHEN way IS NOT NULL THEN 30 END) AS cap FROM c),
+e AS (SELECT a.q, a.r, d.dir, a.trail AND b.trail AS net, (b.z - a.z) / (25 * sqrt(3.0)) AS grade, a.side, b.veg, b.trail AS far_trail, CASE WHEN NOT (a.trail AND b.trail) THEN b.water END AS depth, CASE WHEN b.way IS NOT NULL THEN b.cap ELSE a.cap END AS cap
+  FROM w AS a, (VALUES (0, 1, 0), (1, 1, -1), (2, 0, -1), (3, -1, 0), (4, -1, 1), (5, 0, 1)) AS d(dir, dq, dr) JOIN w AS b ON b.q = a.q + d.dq AND b.r = a.r + d.dr),
+m AS (SELECT e.*, mv.*, degrees(atan(abs(grade))) AS slope, CASE veg WHEN 'grassland' THEN 50 WHEN 'lightshrub' THEN 8 WHEN 'mediumscrub' THEN 4 ELSE 2 END AS gap, CASE veg WHEN 'grassland' THEN 20 WHEN 'lightshrub' THEN 60 WHEN 'mediumscrub' THEN 150 ELSE 610 END AS stems FROM e, mv),
+g AS (SELECT *, CASE WHEN NOT net AND slope > max_climb THEN 'climb' WHEN NOT net AND side > max_side THEN 'side-slope' WHEN depth > ford THEN 'ford' WHEN NOT net AND (class = 'wheeled' AND gap < width OR class = 'tracked' AND gap < width AND stems > stem) THEN 'vegetation' END AS blocked,
+  CASE model WHEN 'tobler' THEN 6 * exp(-3.5 * abs(grade + 0.05)) ELSE CASE WHEN NOT net THEN road * cross_ WHEN model = 'vehicle' THEN least(road, coalesce(cap, road)) ELSE road END * greatest(0.05, 1 - pow(least(1, slope / max_climb), 2)) END AS base FROM m)
+SELECT q, r, dir, mover, blocked, CASE WHEN blocked IS NULL THEN round(25 * sqrt(3.0) / 1000 / greatest(0.1, base * coalesce(load, 1) * CASE WHEN depth IS NULL THEN 1 ELSE 0.4 END) * 3600, 5) END AS seconds,
+  CASE WHEN blocked IS NOT NULL THEN 'severely-restricted' WHEN slope > 0.85 * max_climb OR side > 0.85 * max_side OR class = 'wheeled' AND width > 0.85 * gap OR veg IN ('mediumscrub', 'heavyforest') AND NOT far_trail OR depth IS NOT NULL THEN 'restricted' ELSE 'unrestricted' END AS mobility FROM g"""
+
+
+@query(_GATED_SQL)
+def edge_cost_gates(spark, sf):
+    """The same for movers that reach every gate and speed model; its SQL shares nothing with the expressions that it tests."""
+    return grid.edge_mobility(grid.edges(cells(spark, sf)), spark.createDataFrame(list(GATED), m.MOVER_COLUMNS))
+
+
 _STEEP = f"(SELECT c.*, coalesce(s, 0) AS steepest FROM {CELL} AS c LEFT JOIN (SELECT q, r, max(slope) AS s FROM {_EDGES} GROUP BY q, r) AS e ON c.q = e.q AND c.r = e.r)"
 
 

@@ -45,7 +45,10 @@ def test_results_reach_the_branches(spark):
     for part in ("exceeds this resource's", "over limits", "rollover", "passes for", "effort scaled"):
         assert any(part in (n or "") for n in notes), part
     assert any(re.search("longer than fastest", n) for n in seen("equip_recommend", "note")) and any(n.endswith("Cost-optimised selection") for n in seen("equip_recommend", "note"))
-    assert seen("edge_cost_movers", "blocked") >= {None, "side-slope", "ford", "vegetation"}  # no edge here is too steep
+    assert seen("edge_cost_movers", "blocked") >= {None, "side-slope", "ford", "vegetation"}
+    assert seen("edge_cost_gates", "blocked") == {None, "climb", "side-slope", "ford", "vegetation"}
+    assert seen("corridor_effects", "status") >= {"collapsed", "degraded", "displaced-into"} and seen("corridor_summary", "frontage") >= {"two-abreast", "single-file"}
+    assert seen("water_rings", "closed") == {True, False} and seen("painted_members", "member") == {True, False} and seen("incident_standoff", "converged") == {True, False}
     assert seen("trafficability", "mobility") == {"unrestricted", "restricted", "severely-restricted"}
     assert seen("fording", "ford_m") >= {None, 2.5, 1.2, 0.4, 1.0}
     assert seen("veg_mapping_hier", "matched") == {"type", "class", "formation", None}
