@@ -85,7 +85,8 @@ def stencil(cells: DataFrame) -> DataFrame:
 
 
 def normalised(cells: DataFrame) -> DataFrame:
-    """Add normal: the cost between the least (0) and the largest (1) of all, 0.5 if all are alike.  One row of bounds is broadcast."""
+    """Add normal: the cost between the least (0) and the largest (1) of all, 0.5 if all are alike.  Costs are written once; one row of bounds is broadcast."""
+    cells = written(cells, "costs")
     bounds = cells.agg(F.min("cost").alias("_lo"), F.max("cost").alias("_hi"))
     return cells.crossJoin(F.broadcast(bounds)).withColumn("normal", F.expr("CASE WHEN _hi - _lo > 1e-9 THEN (cost - _lo) / (_hi - _lo) ELSE 0.5e0 END")).drop("_lo", "_hi")
 
@@ -178,9 +179,12 @@ def edge_mobility(e: DataFrame, movers: DataFrame, night: bool = False) -> DataF
     Gates in order: climb, side slope of the cell that is left (both only off the network), ford judged at the far end, vegetation of
     the far end; then the mover's speed model with load, night and ford factors, at least 0.1 km/h.  Movers are a few rows.
     """
-    x = e.crossJoin(F.broadcast(movers)).withColumn("on_", F.col("trail") & F.col("b_trail")).withColumn("dark", F.lit(night))
+    x = e.withColumn("on_", F.col("trail") & F.col("b_trail")).withColumn("dark", F.lit(night))
+    for name in ("depth", "ceiling"):  # the same for all movers
+        x = x.withColumn(name, F.expr(EDGE_SQL[name]))
+    x = x.crossJoin(F.broadcast(movers))
     for name, sql in EDGE_SQL.items():
-        x = x.withColumn(name, F.expr(sql))
+        x = x if name in ("depth", "ceiling") else x.withColumn(name, F.expr(sql))
     return x.select("q", "r", "dir", "mover", F.expr(f"CASE WHEN blocked IS NULL THEN round({STEP_M!r} / 1000 / kmh * 3600, 5) END").alias("seconds"), "blocked", "mobility")
 
 
