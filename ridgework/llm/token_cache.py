@@ -184,9 +184,21 @@ class ChunkEncoder:
         return out
 
 
+_kept: dict[str, ChunkEncoder] = {}
+
+
 @contextmanager
-def encoder(path: str) -> Iterator[ChunkEncoder]:
-    """An encoder of this vocabulary file for the length of a task; its memory is free afterwards for whatever the worker runs next."""
+def encoder(path: str, keep: bool = False) -> Iterator[ChunkEncoder]:
+    """An encoder of this vocabulary file for the length of a task; its memory is free afterwards for whatever the worker runs next.
+
+    With ``keep`` it stays for the worker's next tasks, with the chunks it has met, at most MAX_CHUNKS: for jobs of many small tasks, which would meet them anew.
+    """
+    if keep:
+        if path not in _kept:
+            _kept.clear()
+            _kept[path] = ChunkEncoder(path)
+        yield _kept[path]
+        return
     e = ChunkEncoder(path)
     try:
         yield e

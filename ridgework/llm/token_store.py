@@ -188,7 +188,7 @@ def write_token_shards(docs: DataFrame, out: str, tokenizer: str | None = None,
             return row
 
         task = 0
-        with encoder(path) as e:
+        with encoder(path, keep=True) as e:
             width = 2 if max(e.tokenizer.get_vocab_size() - 1, end_id) < 1 << 16 else 4
             for batch in batches:
                 if not batch.num_rows:
