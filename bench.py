@@ -11,7 +11,7 @@ from ridgework.plans import catalog
 
 HEADLINE = (
     "equip_line_eval", "equip_aircraft_eval", "equip_recommend", "equip_meta", "rle_slope", "overlap_matrix", "overlay_join", "slope_distribution", "hex_stencil_cost", "edge_cost_foot", "edge_cost_movers", "accumulated_cost", "viewshed",
-    "point_in_polygon", "painted_area", "telemetry_daily", "corridor_field", "least_paths", "water_rings", "path_simplify", "painted_members", "gis_roundtrip",
+    "point_in_polygon", "painted_area", "telemetry_daily", "least_paths",
 )
 
 
