@@ -29,7 +29,7 @@ def route_samples(routes: DataFrame) -> DataFrame:
     """route, x0, y0, x1, y1, x2, y2: the cells' centres at a quarter, half and three quarters of the route's steps, rounded half up."""
     ends = routes.groupBy("route").agg(F.max("i").alias("last"))
     wanted = ends.select("route", F.posexplode(F.array(*(F.floor(F.lit(f) * F.col("last") + 0.5).cast("int") for f in FRACTIONS))).alias("k", "i"))
-    found = wanted.join(routes.select("route", "i", "q", "r"), ["route", "i"])
+    found = wanted.join(routes.select("route", "i", "q", "r").hint("merge"), ["route", "i"])
     x, y = hex_center(F.col("q"), F.col("r"), SIZE_M)
     pick = lambda k, v: F.max(F.when(F.col("k") == k, v))
     return found.groupBy("route").agg(*(pick(k, v).alias(f"{a}{k}") for k in range(3) for a, v in (("x", x), ("y", y))))
@@ -57,10 +57,10 @@ def cluster_samples(samples: DataFrame, near: float) -> DataFrame:
     pairs = written(pairs.filter(all_near(least)).select(F.col("s.rep").alias("a"), F.col("t.rep").alias("b"), F.col("s.box").alias("box"), F.col("t.box").alias("box2"), all_near(most).alias("sure")), "box-pairs")
     far = points.select(F.col("box").alias("box2"), *(F.col(a).alias(f"_{a}") for a in _AXES))
     apart = lambda a: F.abs(F.col(a) - F.col(f"_{a}"))
-    compared = pairs.filter("NOT sure").join(points.drop("rep"), "box").join(far, "box2").filter(all_near(apart)).select("a", "b").distinct()
+    compared = pairs.filter("NOT sure").join(points.drop("rep").hint("merge"), "box").join(far.hint("merge"), "box2").filter(all_near(apart)).select("a", "b").distinct()
     labels = connected_components(pairs.filter("sure").select("a", "b").unionByName(compared))
-    of_box = boxes.select("box", F.col("rep").alias("node")).join(labels, "node", "left").select("box", F.coalesce("component", "node").alias("cluster"))
-    return samples.select("route", box.alias("box")).join(of_box, "box").select("route", "cluster")
+    of_box = boxes.select("box", F.col("rep").alias("node")).join(labels.hint("merge"), "node", "left").select("box", F.coalesce("component", "node").alias("cluster"))
+    return samples.select("route", box.alias("box")).join(of_box.hint("merge"), "box").select("route", "cluster")
 
 
 def cluster_routes(routes: DataFrame, near: float = NEAR_WIDTHS * STEP_M) -> DataFrame:
@@ -94,9 +94,9 @@ def components(members: DataFrame, tile: int = TILE) -> DataFrame:
     # half of the directions see each pair of neighbours once
     out = found.withColumn("n", F.explode(F.slice(neighbour_array(), 1, 3))).select("cluster", F.col("node").alias("a"), "q", "r", (F.col("q") + F.col("n.dq")).alias("q2"), (F.col("r") + F.col("n.dr")).alias("r2"))
     out = out.filter(f"floor(q / {tile}) <> floor(q2 / {tile}) OR floor(r / {tile}) <> floor(r2 / {tile})").drop("q", "r")
-    rims = out.join(found.select("cluster", F.col("q").alias("q2"), F.col("r").alias("r2"), F.col("node").alias("b")), ["cluster", "q2", "r2"]).select("a", "b").distinct()
+    rims = out.join(found.select("cluster", F.col("q").alias("q2"), F.col("r").alias("r2"), F.col("node").alias("b")).hint("merge"), ["cluster", "q2", "r2"]).select("a", "b").distinct()
     labels = connected_components(rims)
-    return found.join(labels, "node", "left").select("cluster", "q", "r", F.coalesce("component", "node").alias("_f")).select("cluster", "q", "r", F.struct("_f.r", "_f.q").alias("first"))
+    return found.join(labels.hint("merge"), "node", "left").select("cluster", "q", "r", F.coalesce("component", "node").alias("_f")).select("cluster", "q", "r", F.struct("_f.r", "_f.q").alias("first"))
 
 
 def density(routes: DataFrame, clusters: DataFrame, cells: DataFrame, rounds: int = SMOOTH_ROUNDS, weight: float = SMOOTHING, by_time: bool = True) -> DataFrame:
@@ -106,18 +106,18 @@ def density(routes: DataFrame, clusters: DataFrame, cells: DataFrame, rounds: in
     """
     best = routes.agg(F.min("seconds").alias("_best"))  # one row
     w = F.when(F.col("seconds") > 0, F.greatest(F.lit(0.05), F.col("_best") / F.col("seconds"))).otherwise(1.0) if by_time else F.lit(1.0)
-    crossed = routes.select("route", "q", "r", "seconds").distinct().join(clusters, "route").crossJoin(F.broadcast(best))
+    crossed = routes.select("route", "q", "r", "seconds").distinct().join(clusters.hint("merge"), "route").crossJoin(F.broadcast(best))
     raw = crossed.groupBy("cluster", "q", "r").agg(F.sum(w).alias("v"), F.count(F.lit(1)).alias("routes"))
     sides = neighbour_array()
     present = cells.select("q", "r").withColumn("n", F.explode(F.concat(F.array(F.struct(F.lit(-1).alias("dir"), F.lit(0).alias("dq"), F.lit(0).alias("dr"))), sides)))
     degree = present.groupBy((F.col("q") + F.col("n.dq")).alias("q"), (F.col("r") + F.col("n.dr")).alias("r")).agg(F.sum((F.col("n.dir") >= 0).cast("int")).alias("near"), F.bool_or(F.col("n.dir") < 0).alias("in")).filter("in").drop("in")
-    s = raw.join(cells.select("q", "r"), ["q", "r"], "left_semi").select("cluster", "q", "r", "v")
+    s = raw.join(cells.select("q", "r").hint("merge"), ["q", "r"], "left_semi").select("cluster", "q", "r", "v")
     for _ in range(rounds):  # what a cell sends to its neighbours; cells that nothing reaches stay at 0
         sent = s.withColumn("n", F.explode(F.concat(F.array(F.struct(F.lit(-1).alias("dir"), F.lit(0).alias("dq"), F.lit(0).alias("dr"))), sides)))
         g = sent.groupBy("cluster", (F.col("q") + F.col("n.dq")).alias("q"), (F.col("r") + F.col("n.dr")).alias("r"))
-        g = g.agg(F.sum(F.when(F.col("n.dir") < 0, F.col("v")).otherwise(0.0)).alias("own"), F.sum(F.when(F.col("n.dir") >= 0, F.col("v")).otherwise(0.0)).alias("sum")).join(degree, ["q", "r"])
+        g = g.agg(F.sum(F.when(F.col("n.dir") < 0, F.col("v")).otherwise(0.0)).alias("own"), F.sum(F.when(F.col("n.dir") >= 0, F.col("v")).otherwise(0.0)).alias("sum")).join(degree.hint("merge"), ["q", "r"])
         s = g.select("cluster", "q", "r", F.when(F.col("near") > 0, F.col("own") * (1 - weight) + F.col("sum") / F.col("near") * weight).otherwise(F.col("own")).alias("v"))
-    return s.join(raw.select("cluster", "q", "r", "routes"), ["cluster", "q", "r"], "left").select("cluster", "q", "r", F.col("v").alias("density"), F.coalesce("routes", F.lit(0).cast("long")).alias("routes"))
+    return s.join(raw.select("cluster", "q", "r", "routes").hint("merge"), ["cluster", "q", "r"], "left").select("cluster", "q", "r", F.col("v").alias("density"), F.coalesce("routes", F.lit(0).cast("long")).alias("routes"))
 
 
 def corridor_cells(routes: DataFrame, clusters: DataFrame, cells: DataFrame, share: float = MEMBER_SHARE, least: int = LEAST_CELLS, tile: int = TILE) -> DataFrame:
@@ -131,7 +131,7 @@ def corridor_cells(routes: DataFrame, clusters: DataFrame, cells: DataFrame, sha
     member = written(d.crossJoin(F.broadcast(peak)).filter(F.round(F.col("density") - F.col("_peak") * share, 9) >= 0).filter("_peak > 0"), "members")
     found = components(member, tile)
     kept = found.groupBy("cluster", "first").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-    rows = found.join(kept.drop("n"), ["cluster", "first"]).join(member, ["cluster", "q", "r"])
+    rows = found.join(kept.drop("n").hint("merge"), ["cluster", "first"]).join(member.hint("merge"), ["cluster", "q", "r"])
     return written(rows.select("cluster", "first", "q", "r", F.least(F.lit(1.0), F.col("density") / F.col("_peak")).alias("density"), "routes"), "corridor-cells")
 
 
@@ -140,8 +140,8 @@ def corridors(found: DataFrame, routes: DataFrame, clusters: DataFrame) -> DataF
 
     A corridor's routes are those of its cluster that pass any of its cells; the median of an even number is the mean of the two in the middle.
     """
-    of = routes.select("route", "q", "r").distinct().join(clusters, "route").join(found.select("cluster", "first", "q", "r"), ["cluster", "q", "r"]).select("cluster", "first", "route").distinct()
-    times = of.join(routes.groupBy("route").agg(F.max("seconds").alias("seconds")), "route")
+    of = routes.select("route", "q", "r").distinct().join(clusters.hint("merge"), "route").join(found.select("cluster", "first", "q", "r").hint("merge"), ["cluster", "q", "r"]).select("cluster", "first", "route").distinct()
+    times = of.join(routes.groupBy("route").agg(F.max("seconds").alias("seconds")).hint("merge"), "route")
     use = times.groupBy("cluster", "first").agg(F.count(F.lit(1)).alias("routes"), F.median("seconds").alias("median_s"), F.min("seconds").alias("fastest_s"))
     size = found.groupBy("cluster", "first").agg(F.count(F.lit(1)).alias("cells"))
     n = routes.agg(F.countDistinct("route").alias("_n"))  # one row
@@ -155,7 +155,7 @@ def width_slices(found: DataFrame, facts: DataFrame, slices: int = SLICES) -> Da
 
     facts: q, r, arrival (null: not reached), mobility (null counts as severely-restricted), water.  Without two arrivals, or all alike, both widths are all cells.
     """
-    x = found.select("cluster", "first", "q", "r").join(facts, ["q", "r"], "left")
+    x = found.select("cluster", "first", "q", "r").join(facts.hint("merge"), ["q", "r"], "left")
     share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
     mobility = F.coalesce("mobility", F.lit("severely-restricted"))
     g = x.groupBy("cluster", "first").agg(

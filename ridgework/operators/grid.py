@@ -31,10 +31,13 @@ MOST_TILES = 10_000
 
 
 def edges(cells: DataFrame) -> DataFrame:
-    """Directed edges between neighbouring cells, both ends' columns (b_ for the far end)."""
+    """Directed edges between neighbouring cells, both ends' columns (b_ for the far end).
+
+    Joins of cells with cells are merges here: files are so much smaller than the rows derived from them that whole grids would be broadcast.
+    """
     far = cells.select(*(F.col(c).alias(f"b_{c}") for c in cells.columns))
     near = cells.withColumn("_n", F.explode(neighbour_array())).select("*", (F.col("q") + F.col("_n.dq")).alias("b_q"), (F.col("r") + F.col("_n.dr")).alias("b_r"), F.col("_n.dir").alias("dir")).drop("_n")
-    return near.join(far, ["b_q", "b_r"]).withColumn("grade", (F.col("b_elev") - F.col("elev")) / STEP_M).withColumn("slope", F.degrees(F.atan(F.abs("grade"))))
+    return near.join(far.hint("merge"), ["b_q", "b_r"]).withColumn("grade", (F.col("b_elev") - F.col("elev")) / STEP_M).withColumn("slope", F.degrees(F.atan(F.abs("grade"))))
 
 
 def around(cells: DataFrame, *columns: str) -> DataFrame:
@@ -65,7 +68,7 @@ def boundaries(cells: DataFrame) -> DataFrame:
 
 def marked_edges(cells: DataFrame) -> DataFrame:
     """Edges with both ends' boundary marks."""
-    return edges(cells.join(boundaries(cells), ["q", "r"]))
+    return edges(cells.join(boundaries(cells).hint("merge"), ["q", "r"]))
 
 
 def route_cost() -> Column:
@@ -80,7 +83,7 @@ def stencil(cells: DataFrame) -> DataFrame:
     """Per cell: neighbours, mean and largest slope to them, mean cost a metre; cells without neighbours have 0.6 and no slope."""
     e = marked_edges(cells).withColumn("cost", route_cost() / STEP_M)
     agg = e.groupBy("q", "r").agg(F.count(F.lit(1)).alias("n"), F.avg("slope").alias("_a"), F.max("slope").alias("_m"), F.avg("cost").alias("_c"))
-    out = cells.select("q", "r", "veg").join(agg, ["q", "r"], "left")
+    out = cells.select("q", "r", "veg").join(agg.hint("merge"), ["q", "r"], "left")
     return out.select("q", "r", "veg", F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.round(F.coalesce("_a", F.lit(0.0)), 6).alias("mean_slope"), F.round("_m", 6).alias("max_slope"), F.round(F.coalesce("_c", F.lit(0.6)), 6).alias("cost"))
 
 
@@ -137,13 +140,13 @@ def refitted(cells: DataFrame, fresh: DataFrame, tile: int = TILE, most_tiles: i
     needed = grow(changed)
     tiles = with_tile(needed, tile).select("tile").distinct().limit(most_tiles + 1).collect()
     near = cells.filter(F.col("tile").isin([r["tile"] for r in tiles])) if len(tiles) <= most_tiles else cells
-    fitted = plane_fit(near.drop("tile").join(needed, ["q", "r"], "left_semi"))
-    return fitted.join(changed, ["q", "r"], "left_semi")
+    fitted = plane_fit(near.drop("tile").join(needed.hint("merge"), ["q", "r"], "left_semi"))
+    return fitted.join(changed.hint("merge"), ["q", "r"], "left_semi")
 
 
 def merged_planes(stored: DataFrame, changed: DataFrame) -> DataFrame:
     """Stored rows of ``plane_fit`` with the changed ones in their place."""
-    return stored.select(*changed.columns).join(changed.select("q", "r"), ["q", "r"], "left_anti").unionByName(changed)
+    return stored.select(*changed.columns).join(changed.select("q", "r").hint("merge"), ["q", "r"], "left_anti").unionByName(changed)
 
 
 #: Cramer's rule for the three coefficients of a plane.
@@ -200,37 +203,51 @@ def trafficability(cells: DataFrame, movers: DataFrame) -> DataFrame:
     """Per cell and mover its mobility class."""
     steep = around(cells, "elev").groupBy("q", "r").agg(_own("b_elev").alias("z"), _near(F.min, "b_elev").alias("lo"), _near(F.max, "b_elev").alias("hi")).filter("z IS NOT NULL")
     steep = steep.select("q", "r", F.expr(f"coalesce(degrees(atan(greatest(hi - z, z - lo) / {STEP_M!r})), 0e0)").alias("steepest"))
-    x = cells.join(steep, ["q", "r"]).crossJoin(F.broadcast(movers))
+    x = cells.join(steep.hint("merge"), ["q", "r"]).crossJoin(F.broadcast(movers))
     for name, sql in CELL_SQL.items():
         x = x.withColumn(name, F.expr(sql))
     return x.select("q", "r", "mover", "mobility")
 
 
+def _tile_shape(cells: DataFrame, tile: int) -> tuple[int, int, int, int]:
+    """(least q, least r, width, height): tiles of at most tile * tile cells, counted from the least cell; those of a narrow grid span it and are longer."""
+    q0, q1, r0, r1 = cells.agg(F.min("q"), F.max("q"), F.min("r"), F.max("r")).first()
+    if q0 is None:
+        return 0, 0, tile, tile
+    wide, high = q1 - q0 + 1, r1 - r0 + 1
+    if min(wide, high) >= tile:
+        return q0, r0, tile, tile
+    return (q0, r0, wide, tile * tile // wide) if wide <= high else (q0, r0, tile * tile // high, high)
+
+
 def accumulated_cost(weights: DataFrame, sources: DataFrame, tile: int = COST_TILE) -> DataFrame:
     """q, r, cost: least sums of weights from the sources (q, r) to all cells that they reach.
 
     weights: q, r, b_q, b_r, w of directed edges, w positive or null (no way).  The grid is cut into tiles; in a round each tile that
-    some improved cost has entered is relaxed by one task (a tile has tile * tile cells, whatever the grid's size), and what crosses its
+    some improved cost has entered is relaxed by one task (a tile has tile * tile cells at most, whatever the grid's size and shape), and what crosses its
     rim opens other tiles.  A round writes what it has improved and nothing else; every few rounds that is merged.  Rounds end when nothing is open, after
-    about as many as the longest least path enters tiles; lost executors cost one round.
+    about as many as the longest least path enters tiles; lost executors cost one round.  A round reads the edges of its own tiles, by their numbers up to MOST_TILES.
     """
-    of = lambda q, r: F.struct(F.floor(F.col(q) / tile).cast("int").alias("x"), F.floor(F.col(r) / tile).cast("int").alias("y"))
-    e = written(weights.filter("w IS NOT NULL").select("q", "r", "b_q", "b_r", "w", of("q", "r").alias("tile")).repartition("tile").sortWithinPartitions("tile"), "edges")
+    ways = written(weights.filter("w IS NOT NULL").select("q", "r", "b_q", "b_r", "w"), "ways")
+    ql, rl, wide, high = _tile_shape(ways, tile)
+    of = lambda q, r: F.floor((F.col(q) - ql) / wide) * 2**32 + F.floor((F.col(r) - rl) / high)
+    e = written(ways.withColumn("tile", of("q", "r")).repartition("tile").sortWithinPartitions("tile"), "edges")
+    dropped(ways)
     # round: when a cost was found; open: it was found outside its own tile, which has not been relaxed with it
     tables = [written(sources.select("q", "r", F.lit(0.0).alias("cost"), F.lit(True).alias("open"), F.lit(0).alias("round")).distinct(), "cost")]
 
     def relax(of_tile: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        q0, r0 = (int(np.floor(known[c].iloc[0] / tile)) * tile for c in ("q", "r"))
-        inside = lambda q, r: (q >= q0) & (q < q0 + tile) & (r >= r0) & (r < r0 + tile)
-        at = lambda q, r: (q - q0 + 1) * (tile + 2) + (r - r0 + 1)  # noqa: E731  with a rim of the cells around
+        q0, r0 = (int(known[c].iloc[0] - low) // n * n + low for c, low, n in (("q", ql, wide), ("r", rl, high)))
+        inside = lambda q, r: (q >= q0) & (q < q0 + wide) & (r >= r0) & (r < r0 + high)
+        at = lambda q, r: (q - q0 + 1) * (high + 2) + (r - r0 + 1)  # noqa: E731  with a rim of the cells around
         if len(of_tile) == 0:
             return pd.DataFrame({"q": [], "r": [], "cost": [], "open": []}).astype({"q": "int32", "r": "int32", "open": "bool"})
         start = at(of_tile["q"].to_numpy(np.int64), of_tile["r"].to_numpy(np.int64))
         order = np.argsort(start, kind="stable")
-        first = np.searchsorted(start[order], np.arange((tile + 2) ** 2 + 1)).tolist()
+        first = np.searchsorted(start[order], np.arange((wide + 2) * (high + 2) + 1)).tolist()
         bq, br = of_tile["b_q"].to_numpy(np.int64)[order], of_tile["b_r"].to_numpy(np.int64)[order]
         to, w, stays = at(bq, br).tolist(), of_tile["w"].to_numpy(np.float64)[order].tolist(), inside(bq, br).tolist()
-        cost = np.full((tile + 2) ** 2, np.inf)
+        cost = np.full((wide + 2) * (high + 2), np.inf)
         own = at(known["q"].to_numpy(np.int64), known["r"].to_numpy(np.int64))
         cost[own] = known["cost"]
         cost = cost.tolist()
@@ -249,7 +266,7 @@ def accumulated_cost(weights: DataFrame, sources: DataFrame, tile: int = COST_TI
                     if stays[k]:
                         heapq.heappush(heap, (d, j))
         found = np.array(sorted(better), np.int64)
-        q, r = found // (tile + 2) + q0 - 1, found % (tile + 2) + r0 - 1
+        q, r = found // (high + 2) + q0 - 1, found % (high + 2) + r0 - 1
         return pd.DataFrame({"q": q.astype(np.int32), "r": r.astype(np.int32), "cost": np.array(cost)[found] if len(found) else np.zeros(0), "open": ~inside(q, r)})
 
     def merged(rows: DataFrame) -> DataFrame:
@@ -257,11 +274,15 @@ def accumulated_cost(weights: DataFrame, sources: DataFrame, tile: int = COST_TI
         return rows.groupBy("q", "r").agg(F.min(F.struct("cost", "open", "round")).alias("c")).select("q", "r", "c.cost", "c.open", "c.round")
 
     turn = 0
-    while not (entered := tables[-1].filter(f"open AND round = {turn}")).isEmpty():
-        tiles = entered.select(of("q", "r").alias("tile")).distinct()
+    while True:
+        tiles = tables[-1].filter(f"open AND round = {turn}").select(of("q", "r").alias("tile")).distinct()
+        named = [x["tile"] for x in tiles.limit(MOST_TILES + 1).collect()]
+        if not named:
+            break
+        within = (lambda x: x.filter(F.col("tile").isin(named))) if len(named) <= MOST_TILES else (lambda x: x.join(tiles, "tile", "left_semi"))
         rows = reduce(DataFrame.unionByName, tables).withColumn("open", F.expr(f"open AND round = {turn}"))
-        known = merged(rows.withColumn("tile", of("q", "r")).join(tiles, "tile", "left_semi").drop("tile")).withColumn("tile", of("q", "r"))
-        found = e.join(tiles, "tile", "left_semi").groupBy("tile").cogroup(known.groupBy("tile")).applyInPandas(relax, "q int, r int, cost double, open boolean")
+        known = merged(within(rows.withColumn("tile", of("q", "r"))).drop("tile")).withColumn("tile", of("q", "r"))
+        found = within(e).groupBy("tile").cogroup(known.groupBy("tile")).applyInPandas(relax, "q int, r int, cost double, open boolean")
         turn += 1
         tables.append(written(found.withColumn("round", F.lit(turn)), "cost"))
         if len(tables) > MERGE_EVERY and not tables[-1].isEmpty():
@@ -329,7 +350,7 @@ def viewshed(cells: DataFrame, observers: DataFrame, rings: int) -> DataFrame:
     pairs = o.withColumn("n", F.explode(F.array(*(F.struct(F.lit(a).alias("dq"), F.lit(b).alias("dr")) for a, b in offsets)))).select("q", "r", "o_elev", (F.col("q") + F.col("n.dq")).alias("q2"), (F.col("r") + F.col("n.dr")).alias("r2"))
     steps = line_cells(pairs).filter("i > 0")
     ground = cells.select(F.col("q").alias("lq"), F.col("r").alias("lr"), F.col("elev").alias("z"), F.expr(m.screening_sql("veg")).alias("cover"))
-    s = steps.join(ground, ["lq", "lr"])
+    s = steps.join(ground.hint("merge"), ["lq", "lr"])
     (x, y), (ox, oy) = hex_center(F.col("lq"), F.col("lr"), SIZE_M), hex_center(F.col("q"), F.col("r"), SIZE_M)
     s = s.withColumn("d", F.sqrt(F.pow(x - ox, 2) + F.pow(y - oy, 2)))
     angle = lambda h: F.atan2(F.col("z") + h - F.col("d") * F.col("d") / (2 * SIGHT_RADIUS_M) - F.col("o_elev") - EYE_M, F.col("d"))
@@ -341,5 +362,5 @@ def viewshed(cells: DataFrame, observers: DataFrame, rings: int) -> DataFrame:
 def concealment(cells: DataFrame, seen: DataFrame) -> DataFrame:
     """q, r, dead_ground (seen by no observer past vegetation), covered (by vegetation of 2 m or more), concealed (either)."""
     s = seen.filter("screened").select("q", "r").distinct().withColumn("seen", F.lit(True))
-    x = cells.select("q", "r", F.expr(f"{m.screening_sql('veg')} >= {m.CONCEALING_M}e0").alias("covered")).join(s, ["q", "r"], "left")
+    x = cells.select("q", "r", F.expr(f"{m.screening_sql('veg')} >= {m.CONCEALING_M}e0").alias("covered")).join(s.hint("merge"), ["q", "r"], "left")
     return x.select("q", "r", F.col("seen").isNull().alias("dead_ground"), "covered", (F.col("seen").isNull() | F.col("covered")).alias("concealed"))

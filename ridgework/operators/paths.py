@@ -17,7 +17,7 @@ def penalised(weights: DataFrame, penalties: DataFrame) -> DataFrame:
     """weights (q, r, b_q, b_r, w) times the factors of penalties (q, r, b_q, b_r, factor; both directions of an edge on their own, several multiply); an infinite factor leaves no way."""
     p = penalties.groupBy("q", "r", "b_q", "b_r").agg(F.product("factor").alias("factor"))
     w = F.col("w") * F.coalesce("factor", F.lit(1.0))
-    return weights.join(p, ["q", "r", "b_q", "b_r"], "left").select("q", "r", "b_q", "b_r", F.when(w < float("inf"), w).alias("w"))
+    return weights.join(p.hint("merge"), ["q", "r", "b_q", "b_r"], "left").select("q", "r", "b_q", "b_r", F.when(w < float("inf"), w).alias("w"))
 
 
 def predecessors(weights: DataFrame, costs: DataFrame) -> DataFrame:
@@ -28,7 +28,7 @@ def predecessors(weights: DataFrame, costs: DataFrame) -> DataFrame:
     """
     near = costs.select("q", "r", F.col("cost").alias("_a"))
     far = costs.select(F.col("q").alias("b_q"), F.col("r").alias("b_r"), F.col("cost").alias("_b"))
-    e = weights.filter("w IS NOT NULL").join(near, ["q", "r"]).join(far, ["b_q", "b_r"]).filter(F.abs(F.col("_a") + F.col("w") - F.col("_b")) < SAME_COST)
+    e = weights.filter("w IS NOT NULL").join(near.hint("merge"), ["q", "r"]).join(far.hint("merge"), ["b_q", "b_r"]).filter(F.abs(F.col("_a") + F.col("w") - F.col("_b")) < SAME_COST)
     return e.groupBy("b_q", "b_r").agg(F.min(F.struct("q", "r")).alias("p")).select(F.col("b_q").alias("q"), F.col("b_r").alias("r"), F.col("p.q").alias("p_q"), F.col("p.r").alias("p_r"))
 
 
@@ -43,24 +43,24 @@ def paths(before: DataFrame, targets: DataFrame) -> DataFrame:
     while True:
         last = jumps[-1]
         again = last.select(F.col("q").alias("p_q"), F.col("r").alias("p_r"), F.col("p_q").alias("f_q"), F.col("p_r").alias("f_r"))
-        more = written(last.join(again, ["p_q", "p_r"]).select("q", "r", F.col("f_q").alias("p_q"), F.col("f_r").alias("p_r")), "jumps")
+        more = written(last.join(again.hint("merge"), ["p_q", "p_r"]).select("q", "r", F.col("f_q").alias("p_q"), F.col("f_r").alias("p_r")), "jumps")
         if more.isEmpty():
             dropped(more)
             break
         jumps.append(more)
     held = targets.select(F.col("q").alias("t_q"), F.col("r").alias("t_r"), "q", "r", F.lit(0).cast("long").alias("back")).distinct()
     for k in range(len(jumps) - 1, -1, -1):
-        far = held.join(jumps[k], ["q", "r"]).select("t_q", "t_r", F.col("p_q").alias("q"), F.col("p_r").alias("r"), (F.col("back") + 2**k).alias("back"))
+        far = held.join(jumps[k].hint("merge"), ["q", "r"]).select("t_q", "t_r", F.col("p_q").alias("q"), F.col("p_r").alias("r"), (F.col("back") + 2**k).alias("back"))
         held = written(held.unionByName(far), "paths")
     length = held.groupBy("t_q", "t_r").agg(F.max("back").alias("_n"))
     for j in jumps:
         dropped(j)
-    return held.join(length, ["t_q", "t_r"]).select("t_q", "t_r", (F.col("_n") - F.col("back")).alias("step"), "q", "r")
+    return held.join(length.hint("merge"), ["t_q", "t_r"]).select("t_q", "t_r", (F.col("_n") - F.col("back")).alias("step"), "q", "r")
 
 
 def assembled(cells: DataFrame, costs: DataFrame, classes: DataFrame) -> DataFrame:
     """q, r, seconds (null: not reached), mobility, x, y of every cell, reached or not."""
-    return cells.select("q", "r", "x", "y").join(costs.select("q", "r", F.col("cost").alias("seconds")), ["q", "r"], "left").join(classes, ["q", "r"], "left").select("q", "r", "seconds", "mobility", "x", "y")
+    return cells.select("q", "r", "x", "y").join(costs.select("q", "r", F.col("cost").alias("seconds")).hint("merge"), ["q", "r"], "left").join(classes.hint("merge"), ["q", "r"], "left").select("q", "r", "seconds", "mobility", "x", "y")
 
 
 def touched_rims(results: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ def _facts(spark, sf):
     best = grid.edge_mobility(grid.edges(c), terrain.movers(spark).filter("mover = 'truck'")).groupBy("q", "r").agg(F.max(F.expr("CASE mobility WHEN 'unrestricted' THEN 2 WHEN 'restricted' THEN 1 ELSE 0 END")).alias("b"))
     water = (F.col("water_body") | F.col("waterway").isNotNull() | F.coalesce(F.col("frequency") >= 0.15, F.lit(False))).alias("water")
     cells = t.derived(spark, sf, "part", t.CELL | {"arrival": ARRIVAL}).select("q", "r", "arrival", water)
-    return cells.join(best, ["q", "r"], "left").select("q", "r", "arrival", "water", F.expr("CASE b WHEN 2 THEN 'unrestricted' WHEN 1 THEN 'restricted' END").alias("mobility"))
+    return cells.join(best.hint("merge"), ["q", "r"], "left").select("q", "r", "arrival", "water", F.expr("CASE b WHEN 2 THEN 'unrestricted' WHEN 1 THEN 'restricted' END").alias("mobility"))
 
 
 def _field(spark, sf, of=ROUTE):

@@ -366,5 +366,5 @@ def concealment(spark, sf):
 @query(f"SELECT c.highway AS corridor, count(*) AS cells, round(avg(CASE WHEN seen THEN 1.0 ELSE 0.0 END), 6) AS covered FROM {CELL} AS c LEFT JOIN {_SEEN} AS s ON s.q = c.q AND s.r = c.r WHERE c.highway IS NOT NULL GROUP BY c.highway")
 def observation_coverage(spark, sf):
     """The share of each kind of way that observers see."""
-    c = concealment(spark, sf).join(cells(spark, sf).select("q", "r", "highway"), ["q", "r"]).filter("highway IS NOT NULL")
+    c = concealment(spark, sf).join(cells(spark, sf).select("q", "r", "highway").hint("merge"), ["q", "r"]).filter("highway IS NOT NULL")
     return c.groupBy(F.col("highway").alias("corridor")).agg(F.count(F.lit(1)).alias("cells"), F.round(F.avg(F.when(~F.col("dead_ground"), 1.0).otherwise(0.0)), 6).alias("covered"))
