@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import mobility as m
 from ..functions.geo import hex_center, neighbour_array
-from ..sources.shared import dropped, written
+from ..sources.shared import dropped, spread, written
 
 SIZE_M = 25.0
 STEP_M = SIZE_M * 3**0.5
@@ -326,13 +326,18 @@ def cube_round(q: Column, r: Column) -> tuple[Column, Column]:
 
 
 def line_cells(pairs: DataFrame) -> DataFrame:
-    """The cells of the straight line from (q, r) to (q2, r2): adds i, lq, lr.  Ends are exact; between, points are nudged off cell rims."""
+    """The cells of the straight line from (q, r) to (q2, r2): adds i, lq, lr.  Ends are exact; between, points are nudged off cell rims.
+
+    Pairs are few rows of many cells each, so they are dealt over the tasks first.
+    """
     n = ((F.abs(F.col("q") - F.col("q2")) + F.abs(F.col("r") - F.col("r2")) + F.abs(F.col("q") + F.col("r") - F.col("q2") - F.col("r2"))) / 2).cast("int")
-    x = pairs.withColumn("_n", n).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("_n"))))
-    t = F.col("i") / F.greatest(F.col("_n"), F.lit(1))
-    lq, lr = cube_round(F.col("q") + 1e-6 + (F.col("q2") - F.col("q")) * t, F.col("r") + 2e-6 + (F.col("r2") - F.col("r")) * t)
+    # column by column, so that each is computed once a row and not wherever the next ones mention it
+    x = spread(pairs).withColumn("_n", n).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("_n"))))
+    x = x.withColumn("_t", F.col("i") / F.greatest(F.col("_n"), F.lit(1)))
+    x = x.withColumns({"_q": F.col("q") + 1e-6 + (F.col("q2") - F.col("q")) * F.col("_t"), "_r": F.col("r") + 2e-6 + (F.col("r2") - F.col("r")) * F.col("_t")})
+    lq, lr = cube_round(F.col("_q"), F.col("_r"))
     end = lambda a, b, mid: F.when(F.col("i") == 0, F.col(a)).when(F.col("i") == F.col("_n"), F.col(b)).otherwise(mid).cast("int")
-    return x.withColumn("lq", end("q", "q2", lq)).withColumn("lr", end("r", "r2", lr)).drop("_n")
+    return x.withColumns({"lq": end("q", "q2", lq), "lr": end("r", "r2", lr)}).drop("_n", "_t", "_q", "_r")
 
 
 #: Earth's radius with refraction, for the drop of a distant height.
