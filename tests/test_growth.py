@@ -1,6 +1,6 @@
 """Steps that grew faster than their input, or through the driver."""
 
-from ridgework.operators import corridors, grid, paths
+from ridgework.operators import corridors, grid, paths, spatial
 from ridgework.plans import terrain
 
 
@@ -24,3 +24,27 @@ def test_tiles_of_a_narrow_grid_are_long(spark):
     assert grid._tile_shape(strip.selectExpr("r AS q", "q AS r"), 256) == (-7, 3, 65536 // 50, 50)
     assert grid._tile_shape(strip, 32) == (3, -7, 32, 32)
     assert grid._tile_shape(strip.limit(0), 32) == (0, 0, 32, 32)
+
+
+def test_lines_are_computed_column_by_column_in_many_tasks(spark, sf):
+    """Expressions that mention each other were inlined into ones of thousands of terms, a row at a time in one task."""
+    pairs = terrain.cells(spark, sf).selectExpr("q", "r", "0 AS q2", "200 AS r2").coalesce(1)
+    lines = grid.line_cells(pairs)
+    assert lines.rdd.getNumPartitions() > 1
+    assert len(plan(lines)) < 20_000
+
+
+def test_places_are_measured_once(spark):
+    """Many points and nodes at a few places: distances and tests of places, not of their pairs."""
+    sites = spark.range(3000).selectExpr("id", "-35e0 + id % 3 * 0.001e0 AS lat", "149e0 AS lng")
+    nodes = spark.range(2000).selectExpr("id AS ord", "-35e0 + id % 2 * 0.001e0 AS lat", "149e0 AS lng")
+    pairs = spatial._near_places(sites, nodes, 150.0).collect()
+    assert len(pairs) == 5 and len({(p.lat, p.n_lat) for p in pairs}) == 5
+    found = spatial.within(sites, nodes, 150.0)
+    assert found.count() == 5000 * 1000 and found.select("id", "ord").distinct().count() == 5000 * 1000
+    best = {r.id: r.ord for r in spatial.nearest(sites, nodes, 150.0).collect()}
+    assert best == {i: 1998 if i % 3 == 0 else 1999 for i in range(3000)}
+    square = "array(named_struct('x1', 148.9e0, 'y1', -35.1e0, 'x2', 149.1e0, 'y2', -35.1e0), named_struct('x1', 149.1e0, 'y1', -35.1e0, 'x2', 149.1e0, 'y2', -34.9e0), named_struct('x1', 149.1e0, 'y1', -34.9e0, 'x2', 148.9e0, 'y2', -34.9e0), named_struct('x1', 148.9e0, 'y1', -34.9e0, 'x2', 148.9e0, 'y2', -35.1e0))"
+    polygons = spark.range(7, 500).selectExpr("id AS ord", f"{square} AS edges")
+    inside = spatial.in_polygons(sites, polygons, 0.1)
+    assert inside.count() == 3000 and inside.select("ord").distinct().collect()[0][0] == 7
