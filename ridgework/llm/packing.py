@@ -100,12 +100,12 @@ def slot_rows(counts: dict[int, int], max_len: int = MAX_LEN) -> list[tuple[int,
     return rows
 
 
-def cut_pieces(docs: DataFrame, max_len: int = MAX_LEN, tokenizer: str | None = None, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def cut_pieces(docs: DataFrame, max_len: int = MAX_LEN, tokenizer: str | None = None, end_id: int = END_ID, with_ids: bool = False, keep: bool = False) -> DataFrame:
     """Pieces of all documents: doc_id, piece, start, length, ids_crc32 (and ids, little-endian unsigned 32-bit).
 
     A document's ids end with ``end_id``; only a document of more than ``max_len`` ids is cut, into
     pieces of ``max_len`` of which the first may be shorter.  Null text counts as empty and gives a
-    piece of one id.  Rows with the same doc_id are documents of their own.
+    piece of one id.  Rows with the same doc_id are documents of their own.  With ``keep`` a worker's cache of chunks outlives its task.
     """
     path = tokenizer or default_tokenizer()
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
@@ -114,7 +114,7 @@ def cut_pieces(docs: DataFrame, max_len: int = MAX_LEN, tokenizer: str | None =
         from .token_cache import encoder
 
         tail = int(end_id).to_bytes(4, "little")
-        with encoder(path) as e:
+        with encoder(path, keep) as e:
             for batch in batches:
                 for doc_ids, texts in text_blocks(batch):
                     out: list[tuple] = []
@@ -150,9 +150,9 @@ def place(pieces: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first_bin") + F.floor(k / F.col("times"))).cast("long").alias("sequence_id"), (F.col("at") + F.pmod(k, F.col("times")) * F.col("length")).cast("long").alias("offset"))
 
 
-def pack(docs: DataFrame, max_len: int = MAX_LEN, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, max_len: int = MAX_LEN, tokenizer: str | None = None, end_id: int = END_ID, keep: bool = False) -> DataFrame:
     """Pack all documents: a row per piece with its sequence and place."""
-    return place(materialize(cut_pieces(docs, max_len, tokenizer, end_id), "pieces"), max_len)
+    return place(materialize(cut_pieces(docs, max_len, tokenizer, end_id, keep=keep), "pieces"), max_len)
 
 
 def sequences(docs: DataFrame, placed: DataFrame, max_len: int = MAX_LEN, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
@@ -163,4 +163,4 @@ def sequences(docs: DataFrame, placed: DataFrame, max_len: int = MAX_LEN, tokeni
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(table(spark, sf_dir, "documents"), keep=True)
