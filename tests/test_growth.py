@@ -1,7 +1,8 @@
 """Steps that grew faster than their input, or through the driver."""
 
-from ridgework.operators import corridors, grid, paths, spatial
+from ridgework.operators import corridors, grid, linear, paths, spatial
 from ridgework.plans import terrain
+from ridgework.sources import shared, tables
 
 
 def plan(df):
@@ -48,3 +49,14 @@ def test_places_are_measured_once(spark):
     polygons = spark.range(7, 500).selectExpr("id AS ord", f"{square} AS edges")
     inside = spatial.in_polygons(sites, polygons, 0.1)
     assert inside.count() == 3000 and inside.select("ord").distinct().collect()[0][0] == 7
+
+
+def test_tasks_are_as_many_as_rows_ask_for(spark, sf, monkeypatch):
+    """What a task sorts was a fixed share of the table, so it grew with it."""
+    monkeypatch.setattr(shared, "ROWS_A_TASK", 300)
+    points, segments = tables.derived(spark, sf, "lineitem", tables.POINT), tables.derived(spark, sf, "lineitem", tables.SEGMENT)
+    least = points.count() // 300
+    for df in (linear.chainage(segments), linear.runs(segments, "veg"), linear.slope_pieces(linear.densify(linear.vertices(points)))):
+        assert plan(df).count("Exchange hashpartitioning") == 1
+        assert df.rdd.getNumPartitions() >= least
+    assert plan(linear.runs(segments, "veg")).count("Sort [") == 1
