@@ -1,6 +1,6 @@
 """Steps that grew faster than their input, or through the driver."""
 
-from ridgework.operators import corridors, grid, linear, paths, spatial
+from ridgework.operators import corridors, grid, linear, paths, simplify, spatial
 from ridgework.plans import terrain
 from ridgework.sources import shared, tables
 
@@ -60,3 +60,14 @@ def test_tasks_are_as_many_as_rows_ask_for(spark, sf, monkeypatch):
         assert plan(df).count("Exchange hashpartitioning") == 1
         assert df.rdd.getNumPartitions() >= least
     assert plan(linear.runs(segments, "veg")).count("Sort [") == 1
+
+
+def test_short_lines_are_simplified_where_they_lie(spark, monkeypatch):
+    """Every open range was shuffled and written anew each round; longer lines than a task may have still go that way, to the same rows."""
+    tracks = spark.range(1200).selectExpr("id % 7 AS line", "id AS i", "-35e0 + (id * id % 83) * 0.00003e0 + id * 0.00001e0 AS lat", "149e0 + (id * 31 % 67) * 0.00004e0 AS lng")
+    rounds = simplify.simplify(tracks, most=2).collect()
+    mixed = simplify.simplify(tracks.unionAll(tracks.selectExpr("line + 10", "i", "lat", "lng").filter("line % 10 = 3 AND i < 300")), most=100).collect()
+    monkeypatch.setattr(simplify, "in_rounds", None)
+    once = simplify.simplify(tracks).collect()
+    assert sorted(once) == sorted(rounds) and 100 < len(once) < 1200
+    assert sorted(r for r in mixed if r.line < 10) == sorted(once) and any(r.line == 13 for r in mixed)
