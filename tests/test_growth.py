@@ -60,6 +60,11 @@ def test_tasks_are_as_many_as_rows_ask_for(spark, sf, monkeypatch):
         assert plan(df).count("Exchange hashpartitioning") == 1
         assert df.rdd.getNumPartitions() >= least
     assert plan(linear.runs(segments, "veg")).count("Sort [") == 1
+    monkeypatch.setattr(shared, "MERGED", 4)
+    assert [shared.dealt(points, "plan", light=x).rdd.getNumPartitions() for x in (False, True)] == [least, 4]
+    monkeypatch.setattr(shared, "MOST_ROWS", 600)
+    assert shared.dealt(points, "plan", light=True).rdd.getNumPartitions() == least // 2
+    assert shared.dealt(points.limit(0), "plan").count() == 0
 
 
 def test_short_lines_are_simplified_where_they_lie(spark, monkeypatch):
