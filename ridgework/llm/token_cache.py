@@ -26,6 +26,8 @@ import pyarrow.compute as pc
 
 #: Entries kept in a task, some 200 bytes each; chunks met when it is full are kept for their block alone.
 MAX_CHUNKS = 250_000
+#: The same for a cache that outlives its task: at 250 000 a third of the chunks that a worker encodes are ones that it has met before.
+KEPT_CHUNKS = 1_000_000
 #: Characters that form a piece of their own after letters, and runs of them that are kept.
 MARKS, MAX_MARKS = '.,;:!?%&*#$")', 10_000
 #: Longer chunks are encoded but not kept.
@@ -40,7 +42,8 @@ _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 class ChunkEncoder:
     """ids of texts as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int | None = None):
+        self.most = MAX_CHUNKS if most is None else most
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -160,7 +163,7 @@ class ChunkEncoder:
         missing = np.flatnonzero(known < 0).tolist()
         found: dict[str, bytes] = {}
         self._learn([chunks[i] for i in missing], found)
-        keep = [c for c in found if len(c) <= MAX_CHUNK_CHARS][: MAX_CHUNKS - len(slots)]
+        keep = [c for c in found if len(c) <= MAX_CHUNK_CHARS][: self.most - len(slots)]
         self._put([found[c] for c in keep], len(slots))
         slots.update(zip(keep, range(len(slots), len(slots) + len(keep))))
         # for this block alone: long chunks and those beyond the bound, and each text's first chunk, which follows no space
@@ -175,7 +178,9 @@ class ChunkEncoder:
 
         lens = self.lens[at]
         ends = np.cumsum(lens)
-        ids = self.pool[np.repeat(self.starts[at] - (ends - lens), lens) + np.arange(ends[-1] if len(ends) else 0)]
+        place = np.repeat(self.starts[at] - (ends - lens), lens)
+        place += np.arange(len(place))
+        ids = self.pool.take(place)
         self.used = used
         bounds = np.concatenate([[0], ends])
         out: list[bytes] = [b""] * len(texts)
@@ -191,12 +196,12 @@ _kept: dict[str, ChunkEncoder] = {}
 def encoder(path: str, keep: bool = False) -> Iterator[ChunkEncoder]:
     """An encoder of this vocabulary file for the length of a task; its memory is free afterwards for whatever the worker runs next.
 
-    With ``keep`` it stays for the worker's next tasks, with the chunks it has met, at most MAX_CHUNKS: for jobs of many small tasks, which would meet them anew.
+    With ``keep`` it stays for the worker's next tasks, with the chunks it has met, at most KEPT_CHUNKS: for jobs of many small tasks, which would meet them anew.
     """
     if keep:
         if path not in _kept:
             _kept.clear()
-            _kept[path] = ChunkEncoder(path)
+            _kept[path] = ChunkEncoder(path, KEPT_CHUNKS)
         yield _kept[path]
         return
     e = ChunkEncoder(path)

@@ -144,3 +144,18 @@ def test_patterns_place_all(counts):
         for k, t in combo:
             left[k] += t * bins
     assert left == Counter(counts)
+
+
+def test_a_kept_cache_meets_no_chunk_twice():
+    """At the bound of one task's cache a worker encoded a third of its chunks again; what a small cache gives is the same."""
+    import public_tokenizers
+
+    from ridgework.llm import token_cache
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    with token_cache.encoder(path, keep=True) as e:
+        assert e.most == token_cache.KEPT_CHUNKS > token_cache.MAX_CHUNKS
+        texts = [" ".join(f"w{i * j % 97}x," for i in range(50)) for j in range(9)] + ["", "a", " b  c "]
+        ids = e.encode(texts)
+        assert e.encode(texts) == ids
+    assert ChunkEncoder(path, 5).encode(texts) == ids and len(ids[9]) == 0
