@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,15 +104,21 @@ def gpx(vertices: DataFrame) -> DataFrame:
 def gpx_points(texts: DataFrame) -> DataFrame:
     """plan, place, lat, lng of the points of the tracks and routes of GPX texts, those of two points at least, whatever the order of their attributes; damaged texts go as far as they do."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for plan, text in zip(f["plan"], f["gpx"]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            plans, sizes, lines = [], [], []
+            for plan, text in zip(batch.column("plan").to_pylist(), batch.column("gpx").to_pylist()):
                 try:
-                    found = gis_files.gpx(text or "")
+                    found = [rings[0] for _, _, rings in gis_files.gpx(text or "")]
                 except gis_files.BadFile:
                     continue
-                rows += [(plan, i, *p) for i, p in enumerate(p for _, _, rings in found for p in rings[0])]
-            yield pd.DataFrame(rows, columns=["plan", "place", "lat", "lng"])
-
-    return texts.select(F.col("plan").cast("long").alias("plan"), "gpx").mapInPandas(run, "plan long, place int, lat double, lng double")
+                plans.append(plan)
+                sizes.append(sum(map(len, found)))
+                lines += found
+            n = np.array(sizes, np.int64)
+            flat, ends = gis_files.flat_points(lines), np.cumsum(n)
+            plan = pa.array(plans, pa.int64()).take(pa.array(np.repeat(np.arange(len(n)), n)))
+            place = (np.arange(len(flat)) - np.repeat(ends - n, n)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([plan, pa.array(place), pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["plan", "place", "lat", "lng"])
+
+    return texts.select(F.col("plan").cast("long").alias("plan"), "gpx").mapInArrow(run, "plan long, place int, lat double, lng double")

@@ -26,19 +26,22 @@ def documents(spark, sf):
     lat, lng = F.col("lat"), F.col("lng")
     v = v.withColumn("tuple", F.concat(lng, F.lit(","), lat, F.lit(",0"))).withColumn("pair", F.concat(F.lit("["), lng, F.lit(", "), lat, F.lit("]")))
     point = F.when(F.col("seq") % 2 == 0, F.concat(F.lit("<trkpt lon='"), lng, F.lit("' lat=\""), lat, F.lit("\"/>"))).otherwise(F.concat(F.lit('<trkpt lat="'), lat, F.lit('" lon="'), lng, F.lit('"><ele>0</ele></trkpt>')))
-    # a plan's vertices are bounded, and so is a range of plans
-    one = v.withColumn("point", point).groupBy("plan").agg(F.count(F.lit(1)).alias("n"), *(F.collect_list(F.struct("seq", F.col(c).alias("p"))).alias(c) for c in ("tuple", "pair", "point")))
-    first = lambda c: F.array_min(F.col(c))["p"]
+    ending = F.expr(_FORMAT)
+    # each vertex in its file's form only; a plan's vertices are bounded, and so is a range of plans
+    form = F.when(ending == "gpx", point).when(ending == "geojson", F.col("pair")).otherwise(F.col("tuple"))
+    one = v.select("plan", "seq", form.alias("p")).groupBy("plan").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("seq", "p"))).alias("points"))
+    one = one.withColumn("ending", ending).withColumn("points", F.transform("points", lambda x: x["p"]))
+    points, first = lambda by: F.array_join("points", by), F.get("points", F.lit(0))
     ring = (F.col("n") >= 3) & (F.col("plan") % 3 == 0)
     name = F.concat(F.lit("plan <"), F.col("plan").cast("string"), F.lit("> & more"))
     escaped = F.replace(F.replace(F.replace(name, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    tuples, pairs = _joined("tuple", " "), _joined("pair", ", ")
-    shape = F.when(ring, F.concat(F.lit("<Polygon><outerBoundaryIs><LinearRing><coordinates>"), tuples, F.lit(" "), first("tuple"), F.lit("</coordinates></LinearRing></outerBoundaryIs></Polygon>"))).otherwise(F.concat(F.lit("<LineString><tessellate>1</tessellate><coordinates>"), tuples, F.lit("</coordinates></LineString>")))
+    tuples, pairs = points(" "), points(", ")
+    shape = F.when(ring, F.concat(F.lit("<Polygon><outerBoundaryIs><LinearRing><coordinates>"), tuples, F.lit(" "), first, F.lit("</coordinates></LinearRing></outerBoundaryIs></Polygon>"))).otherwise(F.concat(F.lit("<LineString><tessellate>1</tessellate><coordinates>"), tuples, F.lit("</coordinates></LineString>")))
     kml = F.concat(F.lit("<Placemark><name>"), escaped, F.lit("</name><description><![CDATA[<p>a & b</p>]]></description>"), shape, F.lit("</Placemark>"))
-    gpx = F.concat(F.lit("<trk><name>"), escaped, F.lit("</name><trkseg>"), _joined("point", "\n"), F.lit("</trkseg></trk>"))
-    geometry = F.when(ring, F.concat(F.lit('"Polygon", "coordinates": [['), pairs, F.lit(", "), first("pair"), F.lit("]]"))).otherwise(F.concat(F.lit('"LineString", "coordinates": ['), pairs, F.lit("]")))
+    gpx = F.concat(F.lit("<trk><name>"), escaped, F.lit("</name><trkseg>"), points("\n"), F.lit("</trkseg></trk>"))
+    geometry = F.when(ring, F.concat(F.lit('"Polygon", "coordinates": [['), pairs, F.lit(", "), first, F.lit("]]"))).otherwise(F.concat(F.lit('"LineString", "coordinates": ['), pairs, F.lit("]")))
     geojson = F.concat(F.lit('{"type": "Feature", "properties": {"name": "'), name, F.lit('"}, "geometry": {"type": '), geometry, F.lit("}}"))
-    one = one.withColumn("ending", F.expr(_FORMAT)).withColumn("p", F.when(F.col("ending") == "gpx", gpx).when(F.col("ending") == "geojson", geojson).otherwise(kml))
+    one = one.withColumn("p", F.when(F.col("ending") == "gpx", gpx).when(F.col("ending") == "geojson", geojson).otherwise(kml))
     all_ = one.groupBy(F.expr(_GROUP).alias("part"), "ending").agg(F.collect_list(F.struct("plan", "p")).alias("all"))
     body = F.when(F.col("ending") == "gpx", F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><gpx version="1.1"><metadata><name>plans</name></metadata>'), _joined("all", "\n"), F.lit("</gpx>")))
     body = body.when(F.col("ending") == "geojson", F.concat(F.lit('{"type": "FeatureCollection", "features": ['), _joined("all", ",\n"), F.lit("]}")))

@@ -67,3 +67,29 @@ def test_a_folder_of_files(spark):
     assert [x[1:3] for x in sorted(got["a.kml"])] == [("line", "One & A <b>"), ("polygon", "Placemark 2")] and got["c.kmz"] == got["a.kml"] and got["j"] == got["b.gpx"] and got["e.txt"] == [(0, "line", "Feature 1", None)]
     assert {k: v[0][3] for k, v in got.items() if v[0][3]} == {"d.kmz": "not an archive", "f.dat": "unsupported", "g.json": "not JSON", "h.geojson": "too many vertices", "i.kml": "no lines or polygons"}
     assert "k.gpx" not in got  # Spark lists no empty files
+
+
+def test_texts_are_cut_alike_whatever_number_of_tokens_is_cut_at_once(monkeypatch):
+    text = "a<b x='1'>c<!-- d --><![CDATA[<e>]]></b>f<g/>h < i"
+    whole = list(g.events(text))
+    assert ("open", "b", {"x": "1"}) in whole and ("text", "<e>", None) in whole and whole[-1] == ("text", "h ", None)
+    for n in range(1, 9):
+        monkeypatch.setattr(g, "TOKENS", n)
+        assert list(g.events(text)) == whole
+
+
+def test_plain_points_and_tuples_are_read_whole_and_others_one_by_one(monkeypatch):
+    seen = []
+    monkeypatch.setattr(g, "_number", lambda x, f=g._number: seen.append(x) or f(x))
+    track = "<gpx><trk><trkpt lat=\"-35.5\" lon='149'/><trkpt lat='1' lon='2e0'></trkpt>{}</trk></gpx>"
+    line = "<kml><Placemark><LineString><coordinates>149,-35.5,0 2e0,1{}</coordinates></LineString></Placemark></kml>"
+    assert g.gpx(track.format(""))[0][2] == g.kml(line.format(""))[0][2] == [[(-35.5, 149.0), (1.0, 2.0)]] and not seen
+    assert g.gpx(track.format("<trkpt lon='4' lat='3'/><trkpt lat='1e999' lon='0'/>"))[0][2] == g.kml(line.format(" 4,3 x,1 5"))[0][2] == [[(-35.5, 149.0), (1.0, 2.0), (3.0, 4.0)]] and seen
+
+
+def test_plain_gpx_is_read_without_scanning_and_to_the_same_effect(monkeypatch):
+    point = "<trkpt lat=\"-35.5\" lon='149'/>\n<trkpt lon='2e0' lat='1'><ele>0</ele></trkpt>"
+    plain = f"<?xml version='1.0'?><gpx version=\"1.1\"><metadata><name>m</name></metadata><trk><name> a &lt; b </name><trkseg>{point}</trkseg></trk>\n<trk><name></name><trkseg>{point}</trkseg></trk><trk><name>short</name><trkseg></trkseg></trk></gpx>"
+    scanned = g.gpx(plain.replace("</gpx>", "<x/></gpx>"))
+    monkeypatch.setattr(g, "scanned", None)
+    assert g.gpx(plain) == scanned == [("line", name, [[(-35.5, 149.0), (1.0, 2.0)]]) for name in ("a < b", "Track 2")]
