@@ -1,19 +1,27 @@
 """Rings from fragments, and their holes.
 
-Fragments meet at their ends.  At each point ends are paired, so a way along fragments is a linked list over (fragment, direction); lists
-are followed by pointer doubling, in about twice the logarithm of the longest ring's number of fragments of joins, and never by a walk.
+Fragments meet at their ends.  At each point ends are paired, so a way along fragments is a linked list over (fragment, direction).  Relations of up to
+MOST_FRAGMENTS are walked within the tasks that they are dealt to, after one shuffle; the lists of larger ones are followed by pointer doubling, in about
+twice the logarithm of the longest ring's number of fragments of joins.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
 
 from ..sources.shared import dropped, written
 from .spatial import INSIDE_SQL, cell
 
 #: Decimals of degrees within which two ends are one point.
 DECIMALS = 7
+#: Fragments of a relation up to which one task walks it.
+MOST_FRAGMENTS = 50_000
 COORDS = "array<struct<lat:double,lng:double>>"
 
 
@@ -52,6 +60,88 @@ def stitch(fragments: DataFrame) -> DataFrame:
     f = written(fragments.filter("size(coords) >= 2").select("relation", "ord", "coords").withColumn("_closed", is_closed(F.col("coords"))), "fragments")
     whole = f.filter("_closed").select("relation", F.col("ord").alias("first"), F.lit(True).alias("closed"), "coords")
     parts = f.filter("NOT _closed")
+    large = parts.groupBy("relation").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > MOST_FRAGMENTS).select("relation")
+    if large.isEmpty():
+        rows = _walked(parts)
+    else:
+        large = written(large, "large-relations")
+        rows = _walked(parts.join(large, "relation", "left_anti")).unionByName(_followed(parts.join(large, "relation", "left_semi")))
+    rows = rows.withColumn("coords", F.when(F.col("dir") == 0, F.col("coords")).otherwise(F.reverse("coords")))
+    ways = rows.groupBy("relation", "first").agg(F.bool_and("closed").alias("closed"), F.sort_array(F.collect_list(F.struct("k", "coords"))).alias("p"))  # the points of one way
+    ways = ways.select("relation", "first", "closed", F.flatten(F.transform("p", lambda x, i: F.when(i == 0, x["coords"]).otherwise(F.slice(x["coords"], 2, F.greatest(F.size(x["coords"]) - 1, F.lit(0)))))).alias("coords"))
+    return whole.unionByName(ways.select("relation", "first", F.col("closed") & is_closed(F.col("coords")), "coords").toDF("relation", "first", "closed", "coords"))
+
+
+def _ways(starts: list, ends: list) -> tuple[list[int], list[int], list[bool], list[int]]:
+    """Of one relation's fragments, by their ends' points and in the order of ord: the first fragment of each one's way, its direction in it, whether the way closes, its place."""
+    n, waiting, mate = len(starts), {}, {}
+    for i, pair in enumerate(zip(starts, ends)):
+        for end in (0, 1):
+            other = waiting.pop(pair[end], None)
+            if other is None:
+                waiting[pair[end]] = (i, end)
+            else:
+                mate[i, end], mate[other] = other, (i, end)
+    first, dirs, closed, place = [-1] * n, [0] * n, [False] * n, [0] * n
+    for i in range(n):
+        if first[i] >= 0:
+            continue
+        way, at = [(i, 0)], mate.get((i, 1))
+        while at is not None and at[0] != i:
+            way.append(at)  # entered by its end 0, it is walked forwards
+            at = mate.get((at[0], 1 - at[1]))
+        ring, before = at is not None, []
+        at = None if ring else mate.get((i, 0))
+        while at is not None:
+            before.append((at[0], 1 - at[1]))
+            at = mate.get((at[0], 1 - at[1]))
+        for k, (j, d) in enumerate(before[::-1] + way):
+            first[j], dirs[j], closed[j], place[j] = i, d, ring, k
+    return first, dirs, closed, place
+
+
+def _walked(parts: DataFrame) -> DataFrame:
+    """relation, ord, coords, first, dir, closed, k (place in the way) of fragments that aren't closed; a relation's are walked by one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the relation that the last batch may have cut
+
+        def found(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            relations, starts, ends = (rows.column(c).to_pylist() for c in ("relation", "_start", "_end"))
+            out, a = ([], [], [], []), 0
+            for b in range(1, len(relations) + 1):
+                if b == len(relations) or relations[b] != relations[a]:
+                    first, *others = _ways(starts[a:b], ends[a:b])
+                    for to, values in zip(out, ([a + i for i in first], *others)):
+                        to += values
+                    a = b
+            first = rows.column("ord").take(pa.array(out[0], pa.int64()))
+            columns = [rows.column("relation"), rows.column("ord"), rows.column("coords"), first, pa.array(out[1], pa.int32()), pa.array(out[2], pa.bool_()), pa.array(out[3], pa.int64())]
+            yield from pa.Table.from_arrays(columns, ["relation", "ord", "coords", "first", "dir", "closed", "k"]).to_batches()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            relation = batch.column("relation")
+            same = pc.fill_null(pc.equal(relation, relation[-1]), False).to_pylist()
+            cut = len(same) - next((i for i, x in enumerate(reversed(same)) if not x), len(same))
+            held.append(batch.slice(0, cut))
+            if cut or held[0].num_rows and held[0].column("relation")[0] != relation[-1]:
+                yield from found(pa.Table.from_batches(held))
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield from found(pa.Table.from_batches(held))
+
+    of = {x.name: x.dataType for x in parts.schema}
+    schema = StructType([StructField(c, of[c]) for c in ("relation", "ord", "coords")] + [StructField("first", of["ord"]), StructField("dir", IntegerType()), StructField("closed", BooleanType()), StructField("k", LongType())])
+    text = lambda p: F.concat_ws(" ", *(F.coalesce((F.round(p[c], DECIMALS) + 0.0).cast("string"), F.lit("-")) for c in ("lat", "lng")))
+    rows = parts.filter("relation IS NOT NULL AND ord IS NOT NULL").select("relation", "ord", "coords", text(F.col("coords")[0]).alias("_start"), text(F.element_at("coords", -1)).alias("_end"))
+    return rows.repartition("relation").sortWithinPartitions("relation", "ord").mapInArrow(run, schema)
+
+
+def _followed(parts: DataFrame) -> DataFrame:
+    """The same by pointer doubling, for relations that are too large for a task."""
     ends = parts.select("relation", "ord", F.explode(F.array(F.struct(F.lit(0).alias("end"), point_key(F.col("coords")[0]).alias("key")), F.struct(F.lit(1).alias("end"), point_key(F.element_at("coords", -1)).alias("key")))).alias("e")).select("relation", "ord", "e.*")
     at = Window.partitionBy("relation", "key").orderBy("ord", "end")
     node = lambda o, d: F.struct("relation", F.col(o).alias("ord"), d.alias("dir"))
@@ -69,11 +159,8 @@ def stitch(fragments: DataFrame) -> DataFrame:
     kept = written(kept.select("id", "first", F.col("nxt").isNotNull().alias("closed")), "ring-ways")
     path = links.join(kept, "id").select("id", F.when(~F.col("closed") | (F.col("nxt.ord") != F.col("first")), F.col("nxt")).alias("nxt"), F.lit(1).cast("long").alias("left"))
     left = _doubled(path, "left", lambda a, b: a + b)  # how many fragments are left, this one included
-    rows = left.join(kept, "id").select("id.relation", "id.ord", "id.dir", "first", "closed", "left").join(parts.select("relation", "ord", "coords"), ["relation", "ord"])
-    rows = rows.withColumn("coords", F.when(F.col("dir") == 0, F.col("coords")).otherwise(F.reverse("coords")))
-    ways = rows.groupBy("relation", "first").agg(F.bool_and("closed").alias("closed"), F.sort_array(F.collect_list(F.struct((-F.col("left")).alias("k"), "coords"))).alias("p"))  # the points of one way
-    ways = ways.select("relation", "first", "closed", F.flatten(F.transform("p", lambda x, i: F.when(i == 0, x["coords"]).otherwise(F.slice(x["coords"], 2, F.greatest(F.size(x["coords"]) - 1, F.lit(0)))))).alias("coords"))
-    return whole.unionByName(ways.select("relation", "first", F.col("closed") & is_closed(F.col("coords")), "coords").toDF("relation", "first", "closed", "coords"))
+    rows = left.join(kept, "id").select("id.relation", "id.ord", "id.dir", "first", "closed", (-F.col("left")).alias("k"))
+    return rows.join(parts.select("relation", "ord", "coords"), ["relation", "ord"]).select("relation", "ord", "coords", "first", "dir", "closed", "k")
 
 
 def ring_edges(coords: Column) -> Column:

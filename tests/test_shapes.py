@@ -51,6 +51,21 @@ def test_a_ring_of_a_thousand_fragments(spark, monkeypatch):
     assert rounds.count("ring-links") <= 2 * 12 + 2
 
 
+def test_small_relations_are_walked_in_a_task_and_large_ones_followed_to_the_same_ways(spark, monkeypatch):
+    rng, rows = random.Random(7), []
+    for relation in range(8):
+        points = [(float(i), float(rng.randrange(3))) for i in range(5)]
+        rows += [(relation, o, [rng.choice(points), (9.0, o / 10), rng.choice(points)]) for o in range(rng.randrange(1, 7))]
+    names = []
+    real = rings.written
+    monkeypatch.setattr(rings, "written", lambda df, name: names.append(name) or real(df, name))
+    ways = lambda: {(r.relation, r.first, r.closed, tuple((p.lat, p.lng) for p in r.coords)) for r in rings.stitch(spark.createDataFrame(rows, FRAGMENTS)).collect()}
+    walked = ways()
+    assert len(walked) > 8 and "ring-links" not in names
+    monkeypatch.setattr(rings, "MOST_FRAGMENTS", 3)
+    assert ways() == walked and "ring-links" in names
+
+
 def test_holes_go_to_the_ring_that_holds_them(spark):
     outer = [(1, 0, square(0.0, 0.0, 1.0)), (1, 1, square(0.0, 5.0, 1.0)), (2, 0, square(0.0, 0.0, 1.0)), (1, 2, [(8.0, 8.0), (9.0, 9.0)])]
     inner = [(1, 0, square(0.4, 5.4, 0.1)), (1, 1, square(0.2, 0.2, 0.1)), (1, 2, square(0.6, 0.6, 0.1)), (1, 3, square(3.0, 3.0, 0.1)), (1, 4, [(0.5, 0.5), (0.5, 0.6)])]
