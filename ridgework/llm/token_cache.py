@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Entries kept in a task, some 200 bytes each; chunks met when it is full are kept for their block alone.
-MAX_CHUNKS = 250_000
+MAX_CHUNKS = 64_000
 #: The same for a cache that outlives its task: at 250 000 a third of the chunks that a worker encodes are ones that it has met before.
 KEPT_CHUNKS = 1_000_000
 #: Characters that form a piece of their own after letters, and runs of them that are kept.
