@@ -1,7 +1,8 @@
 """Corridors of movement: clusters of routes, smoothed density of their cells, components of dense cells, and what measures do to them.
 
 A route is rows (route, i, q, r, seconds): its cells in order, and its whole time.  Routes are clustered first, so that avenues that
-share their ends stay apart; density, membership and components are then of a cluster each.
+share their ends stay apart; density, membership and components are then of a cluster each.  Joins are merges: rows of routes are many times those of the
+table that they come from, by whose size whole fields would be broadcast, through the driver.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import hex_center, neighbour_array
@@ -27,12 +28,10 @@ _AXES = ("x0", "y0", "x1", "y1", "x2", "y2")
 
 def route_samples(routes: DataFrame) -> DataFrame:
     """route, x0, y0, x1, y1, x2, y2: the cells' centres at a quarter, half and three quarters of the route's steps, rounded half up."""
-    ends = routes.groupBy("route").agg(F.max("i").alias("last"))
-    wanted = ends.select("route", F.posexplode(F.array(*(F.floor(F.lit(f) * F.col("last") + 0.5).cast("int") for f in FRACTIONS))).alias("k", "i"))
-    found = wanted.join(routes.select("route", "i", "q", "r"), ["route", "i"])
+    at = [F.col("i") == F.floor(F.lit(f) * F.col("last") + 0.5) for f in FRACTIONS]
+    found = routes.filter("route IS NOT NULL").select("route", "i", "q", "r", F.max("i").over(Window.partitionBy("route")).alias("last")).filter(reduce(lambda a, b: a | b, at))
     x, y = hex_center(F.col("q"), F.col("r"), SIZE_M)
-    pick = lambda k, v: F.max(F.when(F.col("k") == k, v))
-    return found.groupBy("route").agg(*(pick(k, v).alias(f"{a}{k}") for k in range(3) for a, v in (("x", x), ("y", y))))
+    return found.groupBy("route").agg(*(F.max(F.when(at[k], v)).alias(f"{a}{k}") for k in range(3) for a, v in (("x", x), ("y", y))))
 
 
 def cluster_samples(samples: DataFrame, near: float) -> DataFrame:
@@ -50,17 +49,17 @@ def cluster_samples(samples: DataFrame, near: float) -> DataFrame:
     right = boxes.select(F.struct(*boxes.columns).alias("t"), *(c.alias(f"_c{i}") for i, c in enumerate(cell)))
     for i in range(4):
         right = right.withColumn(f"c{i}", F.explode(F.sequence(F.col(f"_c{i}") - 1, F.col(f"_c{i}") + 1)))
-    pairs = left.join(right.drop(*(f"_c{i}" for i in range(4))), [f"c{i}" for i in range(4)]).filter("s.rep < t.rep")
+    pairs = left.join(right.drop(*(f"_c{i}" for i in range(4))).hint("merge"), [f"c{i}" for i in range(4)]).filter("s.rep < t.rep")
     least = lambda a: F.greatest(F.col(f"s.lo_{a}") - F.col(f"t.hi_{a}"), F.col(f"t.lo_{a}") - F.col(f"s.hi_{a}"), F.lit(0.0))
     most = lambda a: F.greatest(F.col(f"s.hi_{a}") - F.col(f"t.lo_{a}"), F.col(f"t.hi_{a}") - F.col(f"s.lo_{a}"))
     all_near = lambda gap: reduce(lambda a, b: a & b, (F.sqrt(gap(f"x{k}") * gap(f"x{k}") + gap(f"y{k}") * gap(f"y{k}")) <= near for k in range(3)))
     pairs = written(pairs.filter(all_near(least)).select(F.col("s.rep").alias("a"), F.col("t.rep").alias("b"), F.col("s.box").alias("box"), F.col("t.box").alias("box2"), all_near(most).alias("sure")), "box-pairs")
     far = points.select(F.col("box").alias("box2"), *(F.col(a).alias(f"_{a}") for a in _AXES))
     apart = lambda a: F.abs(F.col(a) - F.col(f"_{a}"))
-    compared = pairs.filter("NOT sure").join(points.drop("rep"), "box").join(far, "box2").filter(all_near(apart)).select("a", "b").distinct()
+    compared = pairs.filter("NOT sure").join(points.drop("rep").hint("merge"), "box").join(far.hint("merge"), "box2").filter(all_near(apart)).select("a", "b").distinct()
     labels = connected_components(pairs.filter("sure").select("a", "b").unionByName(compared))
-    of_box = boxes.select("box", F.col("rep").alias("node")).join(labels, "node", "left").select("box", F.coalesce("component", "node").alias("cluster"))
-    return samples.select("route", box.alias("box")).join(of_box, "box").select("route", "cluster")
+    of_box = boxes.select("box", F.col("rep").alias("node")).join(labels.hint("merge"), "node", "left").select("box", F.coalesce("component", "node").alias("cluster"))
+    return samples.select("route", box.alias("box")).join(of_box.hint("merge"), "box").select("route", "cluster")
 
 
 def cluster_routes(routes: DataFrame, near: float = NEAR_WIDTHS * STEP_M) -> DataFrame:
@@ -94,9 +93,9 @@ def components(members: DataFrame, tile: int = TILE) -> DataFrame:
     # half of the directions see each pair of neighbours once
     out = found.withColumn("n", F.explode(F.slice(neighbour_array(), 1, 3))).select("cluster", F.col("node").alias("a"), "q", "r", (F.col("q") + F.col("n.dq")).alias("q2"), (F.col("r") + F.col("n.dr")).alias("r2"))
     out = out.filter(f"floor(q / {tile}) <> floor(q2 / {tile}) OR floor(r / {tile}) <> floor(r2 / {tile})").drop("q", "r")
-    rims = out.join(found.select("cluster", F.col("q").alias("q2"), F.col("r").alias("r2"), F.col("node").alias("b")), ["cluster", "q2", "r2"]).select("a", "b").distinct()
+    rims = out.join(found.select("cluster", F.col("q").alias("q2"), F.col("r").alias("r2"), F.col("node").alias("b")).hint("merge"), ["cluster", "q2", "r2"]).select("a", "b").distinct()
     labels = connected_components(rims)
-    return found.join(labels, "node", "left").select("cluster", "q", "r", F.coalesce("component", "node").alias("_f")).select("cluster", "q", "r", F.struct("_f.r", "_f.q").alias("first"))
+    return found.join(labels.hint("merge"), "node", "left").select("cluster", "q", "r", F.coalesce("component", "node").alias("_f")).select("cluster", "q", "r", F.struct("_f.r", "_f.q").alias("first"))
 
 
 def density(routes: DataFrame, clusters: DataFrame, cells: DataFrame, rounds: int = SMOOTH_ROUNDS, weight: float = SMOOTHING, by_time: bool = True) -> DataFrame:
@@ -131,7 +130,7 @@ def corridor_cells(routes: DataFrame, clusters: DataFrame, cells: DataFrame, sha
     member = written(d.crossJoin(F.broadcast(peak)).filter(F.round(F.col("density") - F.col("_peak") * share, 9) >= 0).filter("_peak > 0"), "members")
     found = components(member, tile)
     kept = found.groupBy("cluster", "first").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-    rows = found.join(kept.drop("n"), ["cluster", "first"]).join(member, ["cluster", "q", "r"])
+    rows = found.join(kept.drop("n").hint("merge"), ["cluster", "first"]).join(member.hint("merge"), ["cluster", "q", "r"])
     return written(rows.select("cluster", "first", "q", "r", F.least(F.lit(1.0), F.col("density") / F.col("_peak")).alias("density"), "routes"), "corridor-cells")
 
 
@@ -140,12 +139,12 @@ def corridors(found: DataFrame, routes: DataFrame, clusters: DataFrame) -> DataF
 
     A corridor's routes are those of its cluster that pass any of its cells; the median of an even number is the mean of the two in the middle.
     """
-    of = routes.select("route", "q", "r").distinct().join(clusters, "route").join(found.select("cluster", "first", "q", "r"), ["cluster", "q", "r"]).select("cluster", "first", "route").distinct()
-    times = of.join(routes.groupBy("route").agg(F.max("seconds").alias("seconds")), "route")
+    of = routes.select("route", "q", "r").distinct().join(clusters.hint("merge"), "route").join(found.select("cluster", "first", "q", "r").hint("merge"), ["cluster", "q", "r"]).select("cluster", "first", "route").distinct()
+    times = of.join(routes.groupBy("route").agg(F.max("seconds").alias("seconds")).hint("merge"), "route")
     use = times.groupBy("cluster", "first").agg(F.count(F.lit(1)).alias("routes"), F.median("seconds").alias("median_s"), F.min("seconds").alias("fastest_s"))
     size = found.groupBy("cluster", "first").agg(F.count(F.lit(1)).alias("cells"))
     n = routes.agg(F.countDistinct("route").alias("_n"))  # one row
-    rows = size.join(use, ["cluster", "first"], "left").crossJoin(F.broadcast(n))
+    rows = size.join(use.hint("merge"), ["cluster", "first"], "left").crossJoin(F.broadcast(n))
     rows = rows.withColumn("routes", F.coalesce("routes", F.lit(0).cast("long"))).withColumn("share", F.col("routes") / F.greatest(F.col("_n"), F.lit(1))).drop("_n")
     return written(ranked(rows, [F.col("routes").desc(), F.col("cells").desc(), "cluster", "first"]), "corridors")
 
@@ -162,15 +161,15 @@ def width_slices(found: DataFrame, facts: DataFrame, slices: int = SLICES) -> Da
         F.min("arrival").alias("lo"), F.max("arrival").alias("hi"), F.count(F.lit(1)).alias("n"), share(mobility == "unrestricted").alias("unrestricted"), share(mobility == "restricted").alias("restricted"),
         share(mobility == "severely-restricted").alias("severe"), share(F.coalesce("water", F.lit(False))).alias("water"),
     )
-    at = x.filter("arrival IS NOT NULL").join(g.select("cluster", "first", "lo", "hi").filter("hi > lo"), ["cluster", "first"])
+    at = x.filter("arrival IS NOT NULL").join(g.select("cluster", "first", "lo", "hi").filter("hi > lo").hint("merge"), ["cluster", "first"])
     at = at.withColumn("slice", F.least(F.lit(slices - 1), F.floor((F.col("arrival") - F.col("lo")) / (F.col("hi") - F.col("lo")) * slices)))
     width = at.groupBy("cluster", "first", "slice").agg(F.count(F.lit(1)).alias("c")).groupBy("cluster", "first").agg(F.min("c").alias("bottleneck"), F.max("c").alias("widest"))
-    return g.join(width, ["cluster", "first"], "left").select("cluster", "first", F.coalesce("bottleneck", "n").alias("bottleneck"), F.coalesce("widest", "n").alias("widest"), "unrestricted", "restricted", "severe", "water")
+    return g.join(width.hint("merge"), ["cluster", "first"], "left").select("cluster", "first", F.coalesce("bottleneck", "n").alias("bottleneck"), F.coalesce("widest", "n").alias("widest"), "unrestricted", "restricted", "severe", "water")
 
 
 def summary(ranked_corridors: DataFrame, widths: DataFrame, mover_width_m: float) -> DataFrame:
     """What ``corridors`` and ``width_slices`` tell together: ease, width, how many abreast, pinch and risk of each corridor."""
-    x = ranked_corridors.join(widths, ["cluster", "first"])
+    x = ranked_corridors.join(widths.hint("merge"), ["cluster", "first"])
     x = x.withColumn("pinch", F.when(F.col("widest") > 0, F.col("bottleneck") / F.col("widest")).otherwise(1.0)).withColumn("width_m", F.col("bottleneck") * STEP_M)
     x = x.withColumn("abreast", F.floor(F.col("width_m") / mover_width_m).cast("long") if mover_width_m > 0 else F.lit(0).cast("long"))
     ease = F.when(F.col("unrestricted") >= 0.6, "unrestricted").when(F.col("unrestricted") >= 0.25, "restricted").otherwise("severely-restricted")
@@ -196,11 +195,11 @@ def effects(before: DataFrame, before_cells: DataFrame, after: DataFrame, after_
     Corridors meet on the cells they share; the match is the one after that holds most of a corridor's cells, of equals the first in rank.  Below a quarter the corridor has collapsed (null delay).
     A match with more routes is displaced-into; one a minute slower, of less than three quarters of the width or with fewer routes is degraded.
     """
-    key = lambda cells, of: cells.join(of.select("cluster", "first", "rank"), ["cluster", "first"]).select("rank", "q", "r")
-    shared = key(before_cells, before).join(key(after_cells, after).withColumnRenamed("rank", "rank2"), ["q", "r"]).groupBy("rank", "rank2").agg(F.count(F.lit(1)).alias("shared"))
+    key = lambda cells, of: cells.join(of.select("cluster", "first", "rank").hint("merge"), ["cluster", "first"]).select("rank", "q", "r")
+    shared = key(before_cells, before).join(key(after_cells, after).withColumnRenamed("rank", "rank2").hint("merge"), ["q", "r"]).groupBy("rank", "rank2").agg(F.count(F.lit(1)).alias("shared"))
     best = shared.groupBy("rank").agg(F.max(F.struct("shared", (-F.col("rank2")).alias("k"))).alias("m")).select("rank", F.col("m.shared").alias("shared"), (-F.col("m.k")).alias("rank2"))
     a = after.select(F.col("rank").alias("rank2"), F.col("routes").alias("routes_after"), F.col("median_s").alias("_median2"), F.col("width_m").alias("width_after"))
-    x = before.join(best, "rank", "left").withColumn("overlap", F.coalesce(F.col("shared") / F.col("cells"), F.lit(0.0))).withColumn("rank2", F.when(F.col("overlap") >= MATCH_OVERLAP, F.col("rank2"))).join(a, "rank2", "left")
+    x = before.join(best.hint("merge"), "rank", "left").withColumn("overlap", F.coalesce(F.col("shared") / F.col("cells"), F.lit(0.0))).withColumn("rank2", F.when(F.col("overlap") >= MATCH_OVERLAP, F.col("rank2"))).join(a.hint("merge"), "rank2", "left")
     delay = F.col("_median2") - F.col("median_s")
     status = (
         F.when(F.col("rank2").isNull(), "collapsed").when(F.col("routes_after") > F.col("routes"), "displaced-into")

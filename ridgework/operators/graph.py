@@ -21,10 +21,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while before["n"]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(least.hint("merge"), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = written(large, "links")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("x"), "a", "m")
+        small = large.join(low.hint("merge"), "a").select(F.col("b").alias("x"), "a", "m")
         small = small.select("a", F.col("m").alias("b")).unionByName(small.filter("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b"))).distinct()
         after = written(small, "links")
         dropped(e)

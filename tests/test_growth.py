@@ -1,7 +1,7 @@
 """Steps that grew faster than their input, or through the driver."""
 
-from ridgework.operators import corridors, grid, linear, paths, simplify, spatial
-from ridgework.plans import terrain
+from ridgework.operators import corridors, graph, grid, linear, paths, simplify, spatial
+from ridgework.plans import catalog, terrain
 from ridgework.sources import shared, tables
 
 
@@ -19,6 +19,23 @@ def test_cells_meet_cells_by_merges(spark, sf):
     assert "BroadcastHashJoin" not in plan(grid.trafficability(c, terrain.movers(spark)))
 
 
+def test_routes_and_corridors_meet_by_merges(spark, sf, monkeypatch):
+    """Rows of routes were broadcast by the size of the suppliers that they come from; ranks still broadcast a row a range."""
+    seen = []
+    for module in (corridors, graph):
+        monkeypatch.setattr(module, "written", lambda df, name: seen.append(plan(df)) or shared.written(df, name))
+    seen.append(plan(catalog.QUERIES["corridor_effects"](spark, sf)))
+    joins = [line for p in seen for line in p.splitlines() if "BroadcastHashJoin" in line]
+    assert len(seen) > 20 and all("_p2" in line for line in joins)
+
+
+def test_samples_of_routes(spark):
+    """Routes of 1 to 9 cells, one with a gap, one without a name."""
+    routes = spark.range(10).selectExpr("id AS route", "explode(sequence(0, CAST(id AS INT))) AS i").filter("route <> 8 OR i <> 4").selectExpr("nullif(route, 9) AS route", "i", "i AS q", "0 AS r")
+    found = {r.route: tuple(None if x is None else round(x / grid.STEP_M) for x in (r.x0, r.x1, r.x2)) for r in corridors.route_samples(routes).collect()}
+    assert found == {0: (0, 0, 0), 1: (0, 1, 1), 2: (1, 1, 2), 3: (1, 2, 2), 4: (1, 2, 3), 5: (1, 3, 4), 6: (2, 3, 5), 7: (2, 4, 5), 8: (2, None, 6)}
+
+
 def test_tiles_of_a_narrow_grid_are_long(spark):
     strip = spark.range(50 * 4000).selectExpr("CAST(id % 50 AS INT) + 3 AS q", "CAST(id / 50 AS INT) - 7 AS r")
     assert grid._tile_shape(strip, 256) == (3, -7, 50, 65536 // 50)
