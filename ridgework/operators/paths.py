@@ -1,16 +1,20 @@
-"""Least paths over accumulated costs: predecessors, penalties, paths by pointer doubling, what results say of the grid's rim."""
+"""Least paths over accumulated costs: predecessors, penalties, paths by chains within tiles and pointer doubling over them, what results say of the grid's rim."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import dropped, written
+from ..sources.shared import dropped, spread, written
 
 # Fixed value: the share of a box's span that counts as its rim.
 RIM = 0.1
 #: Costs that differ by less come from equally good predecessors.
 SAME_COST = 1e-3
+#: Cells along a side of a tile in which paths are walked by one task, and of a chain at most.
+PATH_TILE, CHAIN = 512, 512
 
 
 def penalised(weights: DataFrame, penalties: DataFrame) -> DataFrame:
@@ -32,30 +36,90 @@ def predecessors(weights: DataFrame, costs: DataFrame) -> DataFrame:
     return e.groupBy("b_q", "b_r").agg(F.min(F.struct("q", "r")).alias("p")).select(F.col("b_q").alias("q"), F.col("b_r").alias("r"), F.col("p.q").alias("p_q"), F.col("p.r").alias("p_r"))
 
 
-def paths(before: DataFrame, targets: DataFrame) -> DataFrame:
+def _chains(before: DataFrame, targets: DataFrame, tile: int, most: int) -> DataFrame:
+    """q, r, p_q, p_r (null: no more), n, cells: where a path that comes to (q, r) leads within the tile, n cells (``most`` and one at most), and where it goes on.
+
+    Paths come into tiles at targets and at the predecessors of other tiles' cells; longer ways are cut where all that meet there are cut.  A tile is one task's group
+    of tile * tile cells at most; cells are their numbers in it.
+    """
+    at = lambda q, r: (F.floor(F.col(q) / tile).cast("int"), F.floor(F.col(r) / tile).cast("int"))
+    tiled = lambda df: df.withColumns(dict(zip(("tile_q", "tile_r"), at("q", "r"))))
+    before = tiled(before.select("q", "r", "p_q", "p_r"))
+    p_q, p_r = at("p_q", "p_r")
+    entered = before.filter((F.col("tile_q") != p_q) | (F.col("tile_r") != p_r)).select(F.col("p_q").alias("q"), F.col("p_r").alias("r"))
+    # under names of their own: grouped beside each other, columns that both sides have from one table are mistaken
+    comes = tiled(targets.select("q", "r").unionByName(entered).distinct()).withColumnsRenamed({"q": "s_q", "r": "s_r"})
+
+    def walked(key: tuple, of_tile: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
+        if not len(starts):
+            return pd.DataFrame({"q": [], "r": [], "p_q": [], "p_r": [], "ends": [], "n": [], "cells": []}).astype({"q": "int32", "r": "int32", "p_q": "int32", "p_r": "int32", "ends": "bool", "n": "int64", "cells": "object"})
+        if not len(of_tile):  # sources alone
+            of_tile = starts[["s_q", "s_r", "s_q", "s_r"]].iloc[:0].set_axis(["q", "r", "p_q", "p_r"], axis=1)
+        q0, r0 = int(key[0]) * tile, int(key[1]) * tile
+        place = lambda df, q, r: ((df[q].to_numpy(np.int64) - q0) * tile + df[r].to_numpy(np.int64) - r0).astype(np.int32)
+        cell, to = place(of_tile, "q", "r"), of_tile[["p_q", "p_r"]].to_numpy(np.int64).reshape(-1, 2)
+        stays = (to[:, 0] // tile == key[0]) & (to[:, 1] // tile == key[1])
+        ahead, leaves = np.full(tile * tile, -1, np.int32), np.full(tile * tile, -1, np.int32)
+        ahead[cell[stays]] = place(of_tile[stays], "p_q", "p_r")
+        leaves[cell[~stays]] = np.flatnonzero(~stays)
+        # steps to the last cell within the tile
+        steps, far = (ahead >= 0).astype(np.int32), ahead.copy()
+        while (more := np.flatnonzero(far >= 0)).size:
+            steps[more], far[more] = steps[more] + steps[far[more]], far[far[more]]
+        known, new, rows = np.zeros(tile * tile, bool), np.unique(place(starts, "s_q", "s_r")), []
+        while len(new):
+            known[new] = True
+            cut = []
+            for some in np.array_split(new, -(-len(new) // 4096)):
+                length = np.where(steps[some] <= most, steps[some] + 1, (steps[some] - 1) % most + 1)
+                grid = np.full((len(some), length.max()), -1, np.int32)
+                now = some
+                for i in range(length.max()):
+                    grid[:, i] = now
+                    now = np.where(now >= 0, ahead[now], -1)
+                last = grid[np.arange(len(some)), length - 1]
+                goes, out = ahead[last], leaves[last]
+                on = np.where((goes >= 0)[:, None], np.stack([goes // tile + q0, goes % tile + r0], 1), to[out] if len(to) else 0)
+                rows.append(pd.DataFrame({
+                    "q": (some // tile + q0).astype(np.int32), "r": (some % tile + r0).astype(np.int32), "p_q": on[:, 0].astype(np.int32), "p_r": on[:, 1].astype(np.int32), "ends": (goes < 0) & (out < 0),
+                    "n": length.astype(np.int64), "cells": [g[:k] for g, k in zip(grid, length.tolist())],
+                }))
+                cut.append(goes[goes >= 0])
+            new = np.unique(np.concatenate(cut))
+            new = new[~known[new]]
+        return pd.concat(rows)
+
+    found = before.groupBy("tile_q", "tile_r").cogroup(comes.groupBy("tile_q", "tile_r")).applyInPandas(walked, "q int, r int, p_q int, p_r int, ends boolean, n long, cells array<int>")
+    on = lambda c: F.when(~F.col("ends"), F.col(c)).alias(c)
+    return found.select("q", "r", on("p_q"), on("p_r"), "n", "cells")
+
+
+def paths(before: DataFrame, targets: DataFrame, tile: int = PATH_TILE, most: int = CHAIN) -> DataFrame:
     """t_q, t_r, step, q, r: the cells of the path to each reached target (q, r), steps counted from its source.
 
-    before: as from ``predecessors``.  Jumps of 1, 2, 4 ... cells are made from each other; then, from the longest to the shortest, every cell that a path holds
-    adds the cell a jump before it, so a path of n cells takes about 2 log n joins and no walk.
+    before: as from ``predecessors``.  Paths are chains of cells within tiles, shared by all paths that come through.  Jumps of 1, 2, 4 ... chains are made from each other; then,
+    from the longest to the shortest, every chain that a path holds adds the chain a jump before it, so a path of n chains takes about 2 log n joins and no walk.  A path's
+    cells come out of its chains last, after the last shuffle: what is written and shuffled grows with the chains of paths, not with their cells.
     """
-    one = written(before.select("q", "r", "p_q", "p_r"), "jumps")
-    jumps = [one]
-    while True:
-        last = jumps[-1]
-        again = last.select(F.col("q").alias("p_q"), F.col("r").alias("p_r"), F.col("p_q").alias("f_q"), F.col("p_r").alias("f_r"))
-        more = written(last.join(again.hint("merge"), ["p_q", "p_r"]).select("q", "r", F.col("f_q").alias("p_q"), F.col("f_r").alias("p_r")), "jumps")
-        if more.isEmpty():
-            dropped(more)
-            break
-        jumps.append(more)
-    held = targets.select(F.col("q").alias("t_q"), F.col("r").alias("t_r"), "q", "r", F.lit(0).cast("long").alias("back")).distinct()
-    for k in range(len(jumps) - 1, -1, -1):
-        far = held.join(jumps[k].hint("merge"), ["q", "r"]).select("t_q", "t_r", F.col("p_q").alias("q"), F.col("p_r").alias("r"), (F.col("back") + 2**k).alias("back"))
-        held = written(held.unionByName(far), "paths")
-    length = held.groupBy("t_q", "t_r").agg(F.max("back").alias("_n"))
-    for j in jumps:
+    chains = written(_chains(before, targets, tile, most), "chains")
+    jumps = [written(chains.drop("cells"), "jumps")]  # n: cells of all chains that are jumped, in the last table of all to the source
+    while not (last := jumps[-1]).filter("p_q IS NOT NULL").isEmpty():
+        again = last.select(F.col("q").alias("p_q"), F.col("r").alias("p_r"), F.col("p_q").alias("f_q"), F.col("p_r").alias("f_r"), F.col("n").alias("m"))
+        more = last.join(again.hint("merge"), ["p_q", "p_r"], "left")
+        jumps.append(written(more.select("q", "r", F.col("f_q").alias("p_q"), F.col("f_r").alias("p_r"), (F.col("n") + F.coalesce("m", F.lit(0))).alias("n")), "jumps"))
+    held = written(targets.select(F.col("q").alias("t_q"), F.col("r").alias("t_r"), "q", "r").distinct(), "paths")
+    for jump in reversed(jumps[:-1]):
+        ways = jump.filter("p_q IS NOT NULL").select("q", "r", "p_q", "p_r")
+        far = held.join(ways.hint("merge"), ["q", "r"]).select("t_q", "t_r", F.col("p_q").alias("q"), F.col("p_r").alias("r"))
+        more = written(held.unionByName(far), "paths")
+        dropped(held)
+        held = more
+    for j in jumps[:-1]:
         dropped(j)
-    return held.join(length.hint("merge"), ["t_q", "t_r"]).select("t_q", "t_r", (F.col("_n") - F.col("back")).alias("step"), "q", "r")
+    # few rows of many cells each
+    own = spread(held, "q", "r").join(chains.select("q", "r", "cells").hint("merge"), ["q", "r"]).join(jumps[-1].select("q", "r", F.col("n").alias("_n")).hint("merge"), ["q", "r"])
+    own = own.select("t_q", "t_r", "_n", F.floor(F.col("q") / tile).alias("_q"), F.floor(F.col("r") / tile).alias("_r"), F.posexplode("cells").alias("_i", "_c"))
+    return own.select("t_q", "t_r", (F.col("_n") - 1 - F.col("_i")).alias("step"), (F.col("_q") * tile + F.floor(F.col("_c") / tile)).cast("int").alias("q"), (F.col("_r") * tile + F.col("_c") % tile).cast("int").alias("r"))
 
 
 def assembled(cells: DataFrame, costs: DataFrame, classes: DataFrame) -> DataFrame:

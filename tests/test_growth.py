@@ -93,3 +93,32 @@ def test_short_lines_are_simplified_where_they_lie(spark, monkeypatch):
     once = simplify.simplify(tracks).collect()
     assert sorted(once) == sorted(rounds) and 100 < len(once) < 1200
     assert sorted(r for r in mixed if r.line < 10) == sorted(once) and any(r.line == 13 for r in mixed)
+
+
+def test_cells_of_paths_are_neither_written_nor_shuffled(spark, monkeypatch):
+    """Each round of doubling wrote the cells of all paths anew; now only the chains that paths are made of, each once, and which path holds which."""
+    rows = []
+    monkeypatch.setattr(paths, "written", lambda df, name: rows.append((x := shared.written(df, name)).count()) or x)
+    line = spark.range(1, 6000).selectExpr("CAST(id % 2 AS INT) AS q", "CAST(id AS INT) - 700 AS r", "CAST((id + 1) % 2 AS INT) AS p_q", "CAST(id AS INT) - 701 AS p_r")
+    targets = line.filter("r % 100 = 99").select("q", "r").unionAll(spark.sql("SELECT 0 AS q, -700 AS r"))
+    found = paths.paths(line, targets)
+    assert found.count() == sum(range(800, 6001, 100)) + 1 and found.distinct().count() == found.count()
+    assert found.filter("step <> r + 700 OR q <> step % 2 OR r > t_r").isEmpty()
+    assert sum(rows) < 6000
+
+
+def test_paths_wind_through_tiles(spark):
+    """Paths that leave a tile and come back, chains that are cut within one, targets without a way and without a tile."""
+    snake = [(q if r % 2 else -q, r) for r in range(-9, 9) for q in range(-12, 13)]
+    before = {b: a for a, b in zip(snake, snake[1:])} | {(20, r): (20 - r % 2, r - 1) for r in range(1, 30)} | {(19, r): (20, r - 1) for r in range(1, 30)}
+    targets = [snake[0], snake[-1], snake[200], snake[201], (20, 29), (19, 28), (20, 3), (300, -300)]
+    want = set()
+    for t in targets:
+        way = [t]
+        while way[-1] in before:
+            way.append(before[way[-1]])
+        want |= {(*t, step, *at) for step, at in enumerate(reversed(way))}
+    b = spark.createDataFrame([(*k, *v) for k, v in before.items()], "q int, r int, p_q int, p_r int")
+    for tile, most in ((4, 3), (16, 5), (512, 512)):
+        found = [tuple(r) for r in paths.paths(b, spark.createDataFrame(targets, "q int, r int"), tile, most).collect()]
+        assert set(found) == want and len(found) == len(want)
