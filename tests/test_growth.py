@@ -68,6 +68,20 @@ def test_places_are_measured_once(spark):
     assert inside.count() == 3000 and inside.select("ord").distinct().collect()[0][0] == 7
 
 
+def test_pairs_within_reach_come_after_the_last_shuffle(spark, monkeypatch):
+    """Pairs of points and places of nodes were shuffled, which grow as the square; rows without an id count as others do, places that are unknown meet nothing."""
+    monkeypatch.setattr(spatial, "AT_ONCE", 7, raising=False)
+    sites = spark.range(300).selectExpr("nullif(id, 5) AS id", "CASE WHEN id <> 6 THEN -35e0 + id % 3 * 0.001e0 END AS lat", "149e0 AS lng")
+    nodes = spark.range(200).selectExpr("nullif(id, 8) AS ord", "-35e0 + id % 2 * 0.001e0 AS lat", "CASE WHEN id <> 9 THEN 149e0 END AS lng")
+    found = spatial.within(sites, nodes, 150.0)
+    last = plan(found).split("Exchange")[0]
+    assert "SortMergeJoin" in last and "ATAN" in last.upper()  # where distances are taken
+    near = lambda i, j: i != 6 and j != 9 and abs(i % 3 - j % 2) <= 1
+    rows = sorted((-1 if r.id is None else r.id, -1 if r.ord is None else r.ord) for r in found.collect())
+    assert rows == sorted((-1 if i == 5 else i, -1 if j == 8 else j) for i in range(300) for j in range(200) if near(i, j))
+    assert spatial.within(sites, nodes.limit(0), 150.0).count() == 0
+
+
 def test_tasks_are_as_many_as_rows_ask_for(spark, sf, monkeypatch):
     """What a task sorts was a fixed share of the table, so it grew with it."""
     monkeypatch.setattr(shared, "ROWS_A_TASK", 300)
