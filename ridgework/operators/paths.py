@@ -117,7 +117,8 @@ def paths(before: DataFrame, targets: DataFrame, tile: int = PATH_TILE, most: in
     for j in jumps[:-1]:
         dropped(j)
     # few rows of many cells each
-    own = spread(held, "q", "r").join(chains.select("q", "r", "cells").hint("merge"), ["q", "r"]).join(jumps[-1].select("q", "r", F.col("n").alias("_n")).hint("merge"), ["q", "r"])
+    ends = spread(chains.select("q", "r", "cells"), "q", "r").join(spread(jumps[-1].select("q", "r", F.col("n").alias("_n")), "q", "r").hint("merge"), ["q", "r"])
+    own = spread(held, "q", "r").join(ends.hint("merge"), ["q", "r"])
     own = own.select("t_q", "t_r", "_n", F.floor(F.col("q") / tile).alias("_q"), F.floor(F.col("r") / tile).alias("_r"), F.posexplode("cells").alias("_i", "_c"))
     return own.select("t_q", "t_r", (F.col("_n") - 1 - F.col("_i")).alias("step"), (F.col("_q") * tile + F.floor(F.col("_c") / tile)).cast("int").alias("q"), (F.col("_r") * tile + F.col("_c") % tile).cast("int").alias("r"))
 
