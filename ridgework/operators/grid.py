@@ -26,6 +26,8 @@ SEVERITY = ((0, 0.0), (10, 0.14), (25, 0.5), (35, 0.78), (45, 1.0))
 ISOCHRONES = (15, 30, 60, 120, 180)
 #: Cells along a side of a tile, in which components are found by one task, and of one in which costs are relaxed; tables of improved costs that are merged.
 TILE, COST_TILE, MERGE_EVERY = 64, 256, 6
+#: Lines that are drawn together, and steps of one before those of the next.
+SO_MANY, STEPS = 64, 128
 #: Tiles up to this number are named in a filter.
 MOST_TILES = 10_000
 
@@ -325,14 +327,29 @@ def cube_round(q: Column, r: Column) -> tuple[Column, Column]:
     return F.when((dq > dy) & (dq > dr), -ry - rr).otherwise(rq).cast("int"), F.when(~((dq > dy) & (dq > dr)) & (dy <= dr), -rq - ry).otherwise(rr).cast("int")
 
 
-def line_cells(pairs: DataFrame) -> DataFrame:
+def _together(lines: DataFrame) -> DataFrame:
+    """Rows of lines (q, r, _n and others) with i from 0 to _n, SO_MANY lines that start near each other in turns of STEPS steps.
+
+    Line after line, numbers that count up to thousands hardly compress; the same steps of lines beside each other repeat, so that a written table takes a fraction.
+    """
+    rest = [c for c in lines.columns if c not in ("r", "q")]
+    # a total order: whoever numbers the rows again finds the same lines together
+    near = lines.repartitionByRange(4 * lines.sparkSession.sparkContext.defaultParallelism, "r", "q").sortWithinPartitions("r", "q", *rest).withColumn("_b", F.floor(F.monotonically_increasing_id() / SO_MANY))
+    x = spread(near, "_b").groupBy("_b").agg(F.collect_list(F.struct(*lines.columns)).alias("_l"), F.max("_n").alias("_m"))
+    x = x.select("_l", F.explode(F.sequence(F.lit(0), F.floor(F.col("_m") / STEPS).cast("int"))).alias("_s")).withColumn("_s", F.col("_s") * STEPS)
+    # a step of its own for each turn: what one row of a step makes is held in memory until all of it is there
+    x = x.select("_s", F.inline(F.filter("_l", lambda line: line["_n"] >= F.col("_s"))))
+    return x.withColumn("i", F.explode(F.sequence(F.col("_s"), F.least(F.col("_n"), F.col("_s") + (STEPS - 1))))).drop("_s")
+
+
+def line_cells(pairs: DataFrame, together: bool = False) -> DataFrame:
     """The cells of the straight line from (q, r) to (q2, r2): adds i, lq, lr.  Ends are exact; between, points are nudged off cell rims.
 
-    Pairs are few rows of many cells each, so they are dealt over the tasks first.
+    Pairs are few rows of many cells each, so they are dealt over the tasks first; ``together``, if the cells are written as they come, in turns of lines near each other.
     """
     n = ((F.abs(F.col("q") - F.col("q2")) + F.abs(F.col("r") - F.col("r2")) + F.abs(F.col("q") + F.col("r") - F.col("q2") - F.col("r2"))) / 2).cast("int")
     # column by column, so that each is computed once a row and not wherever the next ones mention it
-    x = spread(pairs).withColumn("_n", n).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("_n"))))
+    x = _together(pairs.withColumn("_n", n)) if together else spread(pairs).withColumn("_n", n).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("_n"))))
     x = x.withColumn("_t", F.col("i") / F.greatest(F.col("_n"), F.lit(1)))
     x = x.withColumns({"_q": F.col("q") + 1e-6 + (F.col("q2") - F.col("q")) * F.col("_t"), "_r": F.col("r") + 2e-6 + (F.col("r2") - F.col("r")) * F.col("_t")})
     lq, lr = cube_round(F.col("_q"), F.col("_r"))

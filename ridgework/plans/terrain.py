@@ -100,7 +100,7 @@ FROM (SELECT *, abs(rx - fq) AS dx, abs(ry + fq + fr) AS dy, abs(rz - fr) AS dz
 def hex_line(spark, sf):
     """Lines of cells between two cells."""
     p = t.derived(spark, sf, "part", {"p_partkey": "p_partkey", "q": t.CELL["q"], "r": t.CELL["r"], "q2": "CAST(p_size % 17 AS INTEGER)", "r2": "CAST(p_partkey % 23 AS INTEGER)"})
-    return grid.line_cells(p).select("p_partkey", "i", "lq", "lr")
+    return grid.line_cells(p, together=True).select("p_partkey", "i", "lq", "lr")
 
 
 @query(f"SELECT q, r, CAST(k AS INTEGER) AS k, round(25.0 * (sqrt(3.0) * q + sqrt(3.0) / 2 * r) + 25.0 * cos(radians(60 * k - 30)), 4) AS x, round(25.0 * 1.5 * r + 25.0 * sin(radians(60 * k - 30)), 4) AS y FROM (SELECT q, r, unnest(range(6)) AS k FROM {CELL})")

@@ -52,6 +52,23 @@ def test_lines_are_computed_column_by_column_in_many_tasks(spark, sf):
     assert len(plan(lines)) < 20_000
 
 
+def test_long_lines_compress(spark, tmp_path):
+    """Line after line took almost 8 bytes a cell as Parquet, so that the result of a large grid filled disks."""
+    parts = spark.range(1_000_000, 1_000_128).selectExpr("id AS p_partkey", "CAST(id % 50 AS INT) AS p_size")
+    parts.write.parquet(f"{tmp_path}/part.parquet")
+    catalog.QUERIES["hex_line"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/lines")
+    rows = spark.read.parquet(f"{tmp_path}/lines").count()
+    assert rows > 128 * 19_000 and sum(f.stat().st_size for f in (tmp_path / "lines").glob("*.parquet")) < 4 * rows
+
+
+def test_lines_drawn_together_are_the_same(spark):
+    """More lines than go together, repeated ones, of no length, without an end."""
+    pairs = spark.range(300).selectExpr("id % 290 AS id", "CAST(id % 7 AS INT) AS q", "CAST(id % 290 AS INT) AS r", "CASE WHEN id <> 11 THEN CAST(id % 7 AS INT) - 3 * CAST(id % 3 AS INT) END AS q2", "CAST(id % 290 - id % 5 * 64 AS INT) AS r2")
+    one, more = (sorted(grid.line_cells(p, together).collect()) for p, together in ((pairs, False), (pairs, True)))
+    assert [r.asDict() for r in one] == [r.asDict() for r in more] and len(one) > 30_000
+    assert grid.line_cells(pairs.limit(0), True).count() == 0
+
+
 def test_places_are_measured_once(spark):
     """Many points and nodes at a few places: distances and tests of places, not of their pairs."""
     sites = spark.range(3000).selectExpr("id", "-35e0 + id % 3 * 0.001e0 AS lat", "149e0 AS lng")
